@@ -140,13 +140,18 @@ def _free_form(texts: pa.Array, reference: pa.Array) -> pa.Array:
     return pa.array(out, pa.int64())
 
 
+def utc(t: Column) -> Column:
+    """A timestamp as local time in UTC, whatever the session's zone."""
+    return F.convert_timezone(F.current_timezone(), F.lit("UTC"), t.cast("timestamp_ntz"))
+
+
 def timestamp(raw: Column, today: str, free_form: bool = False) -> Column:
     """struct<epoch_us, iso, timezone, ok> of a raw time text.
 
     today ('yyyy-MM-dd') supplies the year of a BSD date and what a free-form date leaves out, and stands
-    in for the clock: where nothing fits, epoch_us is its midnight and ok is false. Epochs of 10, 13 and
+    in for the clock: where nothing fits, epoch_us is its midnight (UTC) and ok is false. Epochs of 10, 13 and
     16 digits, Apache, BSD and ISO dates are column expressions; with free_form the rest goes to one
-    Arrow function. Session time zone is taken as UTC.
+    Arrow function. Nothing depends on the session's time zone.
     """
     s = F.regexp_replace(strip(raw), r"^[\[\]\"']+|[\[\]\"']+$", "")
     us = lambda t: F.unix_micros(t)
@@ -156,13 +161,14 @@ def timestamp(raw: Column, today: str, free_form: bool = False) -> Column:
         .when(s.rlike(r"^\d{16}$"), s.try_cast("bigint"))
     )
     apache = F.when(s.rlike(rf"^\d{{1,2}}/{MONTH}/\d{{4}}:\d{{2}}:\d{{2}}:\d{{2}}\s+[+-]\d{{4}}$"), us(F.try_to_timestamp(F.regexp_replace(s, r"\s+", " "), F.lit("d/MMM/yyyy:HH:mm:ss Z"))))
-    bsd = F.when(s.rlike(rf"^{MONTH}\s+\d{{1,2}}\s+\d{{2}}:\d{{2}}:\d{{2}}$"), us(F.try_to_timestamp(F.concat(F.lit(today[:4] + " "), F.regexp_replace(s, r"\s+", " ")), F.lit("yyyy MMM d HH:mm:ss"))))
-    iso = F.when(s.rlike(r"^\d{4}-\d{2}-\d{2}(?:[T ]\d{2}:\d{2}:\d{2}(?:\.\d{1,6})?(?:Z|[+-]\d{2}:?\d{2})?)?$"), us(F.try_to_timestamp(F.regexp_replace(s, r"([+-]\d{2})(\d{2})$", "$1:$2"))))
+    bsd = F.when(s.rlike(rf"^{MONTH}\s+\d{{1,2}}\s+\d{{2}}:\d{{2}}:\d{{2}}$"), us(F.try_to_timestamp(F.concat(F.lit(today[:4] + " "), F.regexp_replace(s, r"\s+", " "), F.lit(" +0000")), F.lit("yyyy MMM d HH:mm:ss Z"))))
+    day = F.when(F.length(s) == 10, F.concat(s, F.lit("T00:00:00Z"))).when(s.rlike(r"(?:Z|[+-]\d{2}:?\d{2})$"), F.regexp_replace(s, r"([+-]\d{2})(\d{2})$", "$1:$2")).otherwise(F.concat(s, F.lit("Z")))
+    iso = F.when(s.rlike(r"^\d{4}-\d{2}-\d{2}(?:[T ]\d{2}:\d{2}:\d{2}(?:\.\d{1,6})?(?:Z|[+-]\d{2}:?\d{2})?)?$"), us(F.try_to_timestamp(day)))
     found = F.coalesce(number, apache, bsd, iso)
     if free_form:
         found = F.coalesce(found, _free_form(F.when(found.isNull() & (s != ""), s), F.lit(today)))
     offset = F.regexp_extract(s, r"([+-]\d{2})(\d{2})$", 1)
     zone = F.when(apache.isNotNull() & ~F.regexp_extract(s, r"([+-]\d{4})$", 1).isin("+0000", "-0000"), F.concat(F.lit("UTC"), offset, F.lit(":"), F.regexp_extract(s, r"([+-]\d{2})(\d{2})$", 2))).otherwise("UTC")
-    epoch = F.coalesce(found, us(F.lit(today).cast("timestamp")))
-    text = F.date_format(F.timestamp_micros(epoch), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'")
+    epoch = F.coalesce(found, us(F.lit(today + "T00:00:00Z").cast("timestamp")))
+    text = F.date_format(utc(F.timestamp_micros(epoch)), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'")
     return F.struct(epoch.alias("epoch_us"), F.regexp_replace(text, r"\.000000", "").alias("iso"), zone.alias("timezone"), found.isNotNull().alias("ok"))
