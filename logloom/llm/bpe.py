@@ -225,7 +225,13 @@ def decode(ids: str | Column, path: str) -> Column:
     @F.arrow_udf("string")
     def of(arrays: pa.Array) -> pa.Array:
         bpe = tokenizer(path)
-        return pa.array([None if a is None else bpe.decode(a) for a in (x.as_py() for x in arrays)], pa.string())
+        flat = arrays.flatten()
+        if flat.null_count:
+            return pa.array([None if a is None else bpe.decode([i for i in a if i is not None]) for a in arrays.to_pylist()], pa.string())
+        flat = flat.to_numpy()
+        ends = np.cumsum(arrays.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+        spans = zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True) if len(ends) else []
+        return pa.array([bpe.decode(flat[a:b].tolist()) if x else None for (a, b), x in zip(spans, arrays.is_valid().to_pylist(), strict=True)], pa.string())
 
     return of(ids)
 

@@ -31,7 +31,7 @@ PATTERNS = {
 _PATTERNS = [re.compile(p, re.IGNORECASE if name != "shouted" else 0) for name, p in PATTERNS.items()]
 _WORD = re.compile(r"\w+")
 #: Stem lengths of features, bits of their hash, labelled rows that the models are fitted on at most.
-STEMS, BITS, SAMPLE = (4, 5, 6), 20, 20_000
+STEMS, BITS, SAMPLE = (4, 5, 6), 20, 8_000
 #: Stems mined as voters at most, and the chance that a stem without meaning becomes one.
 MINED, CHANCE = 200, 0.05
 #: Words whose features a Python worker keeps.
@@ -118,8 +118,9 @@ def fit_linear(rows: list[np.ndarray], target: np.ndarray, rounds: int = 60, dec
     flat = np.concatenate(rows) if rows else np.zeros(0, np.int32)
     often = np.bincount(flat, minlength=1 << BITS) >= 2
     keep = often[flat]
-    doc = np.repeat(np.arange(len(rows)), [len(r) for r in rows])[keep]
+    doc = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])[keep]
     flat = flat[keep]
+    del keep
     weights, bias = np.zeros(1 << BITS), float(np.log(np.clip(target.mean(), 1e-3, 0.999) / (1 - np.clip(target.mean(), 1e-3, 0.999))))
     squares = np.full(1 << BITS, 1e-8)
     balance = np.where(target >= 0.5, 0.5 / max(target.mean(), 1e-3), 0.5 / max(1 - target.mean(), 1e-3)) / max(len(rows), 1)
@@ -175,8 +176,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     votes = votes[:, votes.any(axis=0)]
     posterior = LabelModel(votes, label).posterior(votes)
     width = fixed.shape[1]
-    joined = [np.concatenate([r, np.flatnonzero(f) + (1 << BITS) - width]).astype(np.int32) for r, f in zip(rows, fixed, strict=True)]
-    weights, bias = fit_linear([np.unique(r) for r in joined], posterior)
+    top = (1 << BITS) - width  # the fixed voters' features stand last; a word whose hash falls there is left out
+    joined = [np.concatenate([r[r < top], (np.flatnonzero(f) + top).astype(np.int32)]) for r, f in zip(rows, fixed, strict=True)]
+    weights, bias = fit_linear(joined, posterior)
     voters = weights[-width:].astype(float)
     weights = weights.copy()
     weights[-width:] = 0
