@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from logloom.functions.text import contains_any, strip
+from logloom.functions.text import contains_any, let, strip
 
 #: Substrings of an action in the order in which they are looked for.
 ACTIONS = {
@@ -57,7 +57,7 @@ def _v6(texts: pa.Array) -> pa.Array:
             ip = ipaddress.ip_address(x) if x is not None else None
         except ValueError:
             ip = None
-        out.append({"ip": str(ip), "is_private": ip.is_private} if ip else None)
+        out.append({"ip": str(ip), "is_private": ip.is_private} if ip is not None and ip.version == 6 else None)
     return pa.array(out, pa.struct([("ip", pa.string()), ("is_private", pa.bool_())]))
 
 
@@ -72,19 +72,22 @@ def classify_ip(raw: Column, ipv6: bool = False) -> Column:
 
     IPv4 stays in column expressions. With ipv6, texts that hold two colons go through one Arrow function.
     """
+    none = F.struct(F.lit(None).cast("string").alias("ip"), F.lit(None).cast("boolean").alias("is_private"), F.lit(None).cast("string").alias("version"))
+
+    def of_number(s: Column, number: Column) -> Column:
+        private, public = F.lit(False), F.lit(False)
+        for block in PRIVATE_V4:
+            private = private | _inside(number, block)
+        for block in PUBLIC_V4:
+            public = public | _inside(number, block)
+        return F.when(number.isNotNull(), F.struct(s.alias("ip"), (private & ~public).alias("is_private"), F.lit("IPv4").alias("version")))
+
     s = strip(raw)
     s = F.when(s.contains(".") & (F.length(s) - F.length(F.replace(s, F.lit(":"))) == 1), F.split_part(s, F.lit(":"), F.lit(1))).otherwise(s)
-    number = v4_number(s)
-    private, public = F.lit(False), F.lit(False)
-    for block in PRIVATE_V4:
-        private = private | _inside(number, block)
-    for block in PUBLIC_V4:
-        public = public | _inside(number, block)
-    v4 = F.when(number.isNotNull(), F.struct(s.alias("ip"), (private & ~public).alias("is_private"), F.lit("IPv4").alias("version")))
-    none = F.struct(F.lit(None).cast("string").alias("ip"), F.lit(None).cast("boolean").alias("is_private"), F.lit(None).cast("string").alias("version"))
+    v4 = let(s, lambda t: let(v4_number(t), lambda n: of_number(t, n)))
     if not ipv6:
         return F.coalesce(v4, none)
-    six = _v6(F.when(number.isNull() & s.rlike(":.*:"), s))
+    six = _v6(F.when(s.rlike(":.*:"), s))
     return F.coalesce(v4, F.when(six["ip"].isNotNull(), F.struct(six["ip"].alias("ip"), six["is_private"].alias("is_private"), F.lit("IPv6").alias("version"))), none)
 
 
@@ -154,21 +157,34 @@ def timestamp(raw: Column, today: str, free_form: bool = False) -> Column:
     Arrow function. Nothing depends on the session's time zone.
     """
     s = F.regexp_replace(strip(raw), r"^[\[\]\"']+|[\[\]\"']+$", "")
-    us = lambda t: F.unix_micros(t)
+    if free_form:  # an Arrow function cannot stand inside a lambda
+        native = let(s, lambda t: _native(t, today))
+        found = F.coalesce(native, _free_form(F.when(native.isNull() & (s != ""), s), F.lit(today)))
+        return let(F.struct(s.alias("s"), found.alias("found")), lambda x: _stamped(x["s"], x["found"], today))
+    return let(s, lambda t: let(_native(t, today), lambda found: _stamped(t, found, today)))
+
+
+APACHE = rf"^\d{{1,2}}/{MONTH}/\d{{4}}:\d{{2}}:\d{{2}}:\d{{2}}\s+[+-]\d{{4}}$"
+
+
+def _native(s: Column, today: str) -> Column:
+    """Microseconds by column expressions; null for other forms."""
+    us = F.unix_micros
     number = (
         F.when(s.rlike(r"^\d{10}(?:\.\d{1,6})?$"), (s.try_cast("double") * 1000000).cast("bigint"))
         .when(s.rlike(r"^\d{13}$"), s.try_cast("bigint") * 1000)
         .when(s.rlike(r"^\d{16}$"), s.try_cast("bigint"))
     )
-    apache = F.when(s.rlike(rf"^\d{{1,2}}/{MONTH}/\d{{4}}:\d{{2}}:\d{{2}}:\d{{2}}\s+[+-]\d{{4}}$"), us(F.try_to_timestamp(F.regexp_replace(s, r"\s+", " "), F.lit("d/MMM/yyyy:HH:mm:ss Z"))))
-    bsd = F.when(s.rlike(rf"^{MONTH}\s+\d{{1,2}}\s+\d{{2}}:\d{{2}}:\d{{2}}$"), us(F.try_to_timestamp(F.concat(F.lit(today[:4] + " "), F.regexp_replace(s, r"\s+", " "), F.lit(" +0000")), F.lit("yyyy MMM d HH:mm:ss Z"))))
+    single = F.regexp_replace(s, r"\s+", " ")
+    apache = F.when(s.rlike(APACHE), us(F.try_to_timestamp(single, F.lit("d/MMM/yyyy:HH:mm:ss Z"))))
+    bsd = F.when(s.rlike(rf"^{MONTH}\s+\d{{1,2}}\s+\d{{2}}:\d{{2}}:\d{{2}}$"), us(F.try_to_timestamp(F.concat(F.lit(today[:4] + " "), single, F.lit(" +0000")), F.lit("yyyy MMM d HH:mm:ss Z"))))
     day = F.when(F.length(s) == 10, F.concat(s, F.lit("T00:00:00Z"))).when(s.rlike(r"(?:Z|[+-]\d{2}:?\d{2})$"), F.regexp_replace(s, r"([+-]\d{2})(\d{2})$", "$1:$2")).otherwise(F.concat(s, F.lit("Z")))
     iso = F.when(s.rlike(r"^\d{4}-\d{2}-\d{2}(?:[T ]\d{2}:\d{2}:\d{2}(?:\.\d{1,6})?(?:Z|[+-]\d{2}:?\d{2})?)?$"), us(F.try_to_timestamp(day)))
-    found = F.coalesce(number, apache, bsd, iso)
-    if free_form:
-        found = F.coalesce(found, _free_form(F.when(found.isNull() & (s != ""), s), F.lit(today)))
-    offset = F.regexp_extract(s, r"([+-]\d{2})(\d{2})$", 1)
-    zone = F.when(apache.isNotNull() & ~F.regexp_extract(s, r"([+-]\d{4})$", 1).isin("+0000", "-0000"), F.concat(F.lit("UTC"), offset, F.lit(":"), F.regexp_extract(s, r"([+-]\d{2})(\d{2})$", 2))).otherwise("UTC")
-    epoch = F.coalesce(found, us(F.lit(today + "T00:00:00Z").cast("timestamp")))
+    return F.coalesce(number, apache, bsd, iso)
+
+
+def _stamped(s: Column, found: Column, today: str) -> Column:
+    zone = F.when(s.rlike(APACHE) & ~s.rlike(r"[+-]0000$"), F.concat(F.lit("UTC"), F.regexp_extract(s, r"([+-]\d{2})(\d{2})$", 1), F.lit(":"), F.regexp_extract(s, r"([+-]\d{2})(\d{2})$", 2))).otherwise("UTC")
+    epoch = F.coalesce(found, F.unix_micros(F.lit(today + "T00:00:00Z").cast("timestamp")))
     text = F.date_format(utc(F.timestamp_micros(epoch)), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'")
     return F.struct(epoch.alias("epoch_us"), F.regexp_replace(text, r"\.000000", "").alias("iso"), zone.alias("timezone"), found.isNotNull().alias("ok"))

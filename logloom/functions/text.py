@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -26,11 +28,20 @@ def group(s: Column, pattern: str, i: int) -> Column:
     return F.when(s.rlike(pattern), F.regexp_extract(s, pattern, i))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once a row. A lambda computes what it refers to anew for every element,
+    and Spark finds no common parts inside; a lambda's own variable is held."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def last_wins(entries: Column) -> Column:
     """Map of an array of struct<key, value>; of equal keys the last stays."""
-    keys = F.reverse(F.transform(entries, lambda e: e["key"]))
-    n = F.size(entries)
-    return F.map_from_entries(F.filter(entries, lambda e, i: F.array_position(keys, e["key"]) == n - i))
+
+    def build(e: Column) -> Column:
+        keys = F.reverse(F.transform(e, lambda x: x["key"]))
+        return let(keys, lambda k: F.map_from_entries(F.filter(e, lambda x, i: F.array_position(k, x["key"]) == F.size(e) - i)))
+
+    return let(entries, build)
 
 
 def pairs(s: Column, pattern: str, groups: tuple[int, ...] = (2, 3)) -> Column:

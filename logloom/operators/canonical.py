@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logloom.functions import normalize as N
-from logloom.functions.text import contains_any, strip
+from logloom.functions.text import contains_any, let, strip
 from logloom.operators.parsers import Registry
 
 #: Aliases of each canonical field; the first value that isn't empty wins.
@@ -69,6 +69,14 @@ def given(fields: Column, kinds: Column) -> Column:
     return F.map_filter(fields, counts)
 
 
+def bind(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with columns that are computed once: as the one row of a generator, which Spark neither merges with what
+    stands above nor repeats in a pushed-down filter, as it would for a projection."""
+    for name, value in columns.items():
+        df = df.select("*", F.explode_outer(F.array(value)).alias(name))
+    return df
+
+
 def _pick(name: str) -> Column:
     """struct<value, taken>: the first given alias, and the aliases consumed up to it (all, if none is given)."""
     keys = F.array(*[F.lit(k) for k in ALIASES[name]])
@@ -90,30 +98,30 @@ def normalize(lines: DataFrame, registry: Registry | None = None, config: Engine
     registry, config = registry or Registry(), config or EngineConfig()
     kept = [c for c in lines.columns if c not in ("p", "x", "n", "c", "event")]
     df = lines.select(*kept).withColumn("raw_log", strip(F.col(raw_col)))
-    df = df.withColumn("p", registry.dispatch(F.col("raw_log")))
+    df = bind(df, p=registry.dispatch(F.col("raw_log")))
     return canonical(df, kept, config)
 
 
 def canonical(df: DataFrame, kept: list[str], config: EngineConfig) -> DataFrame:
     """As normalize(), for rows with raw_log and a parsed struct p."""
     fields, kinds = F.col("p.fields"), F.col("p.types")
-    df = df.withColumn("g", given(fields, kinds))
-    df = df.withColumn("x", F.struct(*[_pick(k).alias(k) for k in ALIASES]))
+    df = bind(df, g=given(fields, kinds))
+    df = bind(df, x=F.struct(*[_pick(k).alias(k) for k in ALIASES]))
     x = lambda k: F.col(f"x.{k}.value")
 
     detected = F.from_json(fields["detected_ips"], "array<string>")
     rescued = x("src_ip").isNull() & x("dst_ip").isNull() & detected.isNotNull()
     time_text = F.coalesce(F.when(F.col("p.ts_raw") != "", F.col("p.ts_raw")), *[F.col("g")[k] for k in ("timestamp", "time", "date")])
-    left_early = F.map_filter(fields, lambda k, v: ~F.array_contains(F.flatten(F.array(*[F.col(f"x.{n}.taken") for n in EARLY])), k))
-    df = df.withColumn("n", F.struct(
+    left = lambda names: let(F.flatten(F.array(*[F.col(f"x.{n}.taken") for n in names])), lambda t: F.map_filter(fields, lambda k, v: ~F.array_contains(t, k)))
+    df = bind(df, n=F.struct(
         time_text.alias("time_text"),
         F.when(rescued, F.get(detected, F.lit(0))).otherwise(x("src_ip")).alias("src_raw"),
         F.when(rescued & (F.size(detected) >= 2), F.get(detected, F.lit(1))).otherwise(x("dst_ip")).alias("dst_raw"),
         F.coalesce(rescued & (F.size(detected) >= 2), F.lit(False)).alias("ambiguous"),
-        left_early.alias("left_early"),
+        left(EARLY).alias("left_early"),
         F.lower(F.col("raw_log")).alias("low"),
     ))
-    df = df.withColumn("c", F.struct(
+    df = bind(df, c=F.struct(
         N.timestamp(F.col("n.time_text"), config.today, config.free_form_dates).alias("ts"),
         N.classify_ip(F.col("n.src_raw"), config.ipv6).alias("src"),
         N.classify_ip(F.col("n.dst_raw"), config.ipv6).alias("dst"),
@@ -125,7 +133,7 @@ def canonical(df: DataFrame, kept: list[str], config: EngineConfig) -> DataFrame
         N.status(x("status")).alias("status"),
     ))
     c = lambda k: F.col(f"c.{k}")
-    df = df.withColumn("direction", N.direction(c("src.is_private"), c("dst.is_private")))
+    df = bind(df, direction=N.direction(c("src.is_private"), c("dst.is_private")))
 
     texts = F.map_entries(F.col("n.left_early"))
     said = F.exists(texts, lambda e: contains_any(F.lower(F.concat_ws(" ", e["key"], e["value"])), AUTH_WORDS))
@@ -134,7 +142,7 @@ def canonical(df: DataFrame, kept: list[str], config: EngineConfig) -> DataFrame
     secure = F.col("p.format").isin("AUDITD", "CEF", "LEEF")
     category = F.when(secure, "security").when(run, "system").when(said, "authentication").when(met, "network").otherwise("unknown")
     kind = F.when(run, "process_activity").when(said, "login").when(met, "connection").otherwise("generic")
-    df = df.withColumn("category", category).withColumn("kind", kind).withColumn("tag", threat(F.col("n.low"), c("action"), F.col("direction"), c("dst_port")))
+    df = bind(df, category=category, kind=kind, tag=threat(F.col("n.low"), c("action"), F.col("direction"), c("dst_port")))
 
     whole = lambda name, value: x(name).isNotNull() & value.isNull() & x(name).try_cast("bigint").isNull()
     warnings = F.concat(
@@ -151,14 +159,13 @@ def canonical(df: DataFrame, kept: list[str], config: EngineConfig) -> DataFrame
         _note(F.col("n.src_raw").isNotNull() & c("src.ip").isNull(), F.lit("ERR_INVALID_SRC_IP")),
         _note(F.col("n.dst_raw").isNotNull() & c("dst.ip").isNull(), F.lit("ERR_INVALID_DST_IP")),
     )
-    df = df.withColumn("warnings", warnings).withColumn("errors", errors)
-    df = df.withColumn("scores", F.struct(
+    df = bind(df, warnings=warnings, errors=errors)
+    df = bind(df, scores=F.struct(
         format_score(F.col("p.format"), F.col("p.exact")).alias("format_confidence"),
         field_score(fields, kinds, F.col("g")).alias("field_extraction_confidence"),
         schema_score(F.col("n.time_text"), F.col("category"), c("action"), c("src.ip"), c("dst.ip"), F.coalesce(x("hostname"), x("vendor"), x("process"), x("user")), F.col("n.ambiguous")).alias("schema_mapping_confidence"),
     ))
     overall = 0.25 * F.col("scores.format_confidence") + 0.35 * F.col("scores.field_extraction_confidence") + 0.40 * F.col("scores.schema_mapping_confidence")
-    taken = F.flatten(F.array(*[F.col(f"x.{n}.taken") for n in ALIASES]))
     score_notes = F.concat(
         _field_notes(fields, kinds, F.col("g")),
         _note(F.col("n.ambiguous"), F.lit("Ambiguous network direction: source and destination inferred by heuristic")),
@@ -175,15 +182,14 @@ def canonical(df: DataFrame, kept: list[str], config: EngineConfig) -> DataFrame
         F.struct(x("pid").try_cast("int").alias("pid"), x("process").alias("name"), none().alias("executable_path"), none().alias("command_line"), none("int").alias("parent_pid")).alias("process"),
         F.struct(F.col("tag.id").alias("mitre_technique_id"), F.col("tag.name").alias("mitre_technique_name"), F.col("tag.tactic").alias("tactic"), F.coalesce(F.col("tag.risk"), F.lit(15)).alias("risk_score")).alias("threat_intel"),
         F.col("raw_log"),
-        F.map_filter(fields, lambda k, v: ~F.array_contains(taken, k)).alias("unmapped"),
+        left(ALIASES).alias("unmapped"),
         F.struct(
             F.col("p.format").alias("format_detected"), F.col("p.parser").alias("parser_used"), (F.col("p.parser") == "jit_inferred").alias("inference_used"),
             F.struct(overall.alias("overall_exact"), F.round(overall, 3).alias("overall_confidence"), *[F.round(f"scores.{k}", 3).alias(k) for k in ("format_confidence", "field_extraction_confidence", "schema_mapping_confidence")]).alias("confidence"),
             F.concat("warnings", score_notes).alias("warnings"), F.col("errors").alias("error_codes"), fields.alias("extracted"),
         ).alias("processing_metadata"),
     )
-    df = df.withColumn("event", F.when(F.coalesce(F.col("raw_log"), F.lit("")) != "", event))
-    return df.select(*kept, F.coalesce("event", empty_record()).alias("event"))
+    return bind(df, event=F.coalesce(F.when(F.coalesce(F.col("raw_log"), F.lit("")) != "", event), empty_record())).select(*kept, "event")
 
 
 def empty_record() -> Column:

@@ -10,11 +10,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import partial
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from logloom.functions.text import contains_any, group, last_wins, pairs, strip
+from logloom.functions.text import contains_any, group, last_wins, let, pairs, strip
 
 PARSED = "struct<format: string, parser: string, fields: map<string,string>, types: map<string,string>, ts_raw: string, exact: boolean, warnings: array<string>, errors: array<string>>"
 #: Nested objects are flattened to this depth; what lies deeper stays as JSON text.
@@ -64,27 +65,42 @@ def truthy_first(fields: Column, *keys: str) -> Column:
     return F.coalesce(*[F.when(fields[k] != "", fields[k]) for k in keys])
 
 
+def _ends_with(key: Column, e: Column) -> Column:
+    return F.lower(e["key"]).endswith(key)
+
+
 def json_lines(raw: Column) -> Column:
     """Root objects, flattened with dots; empty nested objects vanish, lists stay as JSON text."""
     s = strip(raw)
     looks = s.startswith("{") & s.endswith("}") & ~s.rlike(r"\}\s*\{")
     whole = F.try_variant_get(F.try_parse_json(F.when(looks, s)), "$", "map<string,variant>")
-    order = F.json_object_keys(s)
-    found = F.array_sort(F.map_entries(whole), lambda a, b: F.coalesce(F.array_position(order, a["key"]), F.lit(0)).cast("int") - F.coalesce(F.array_position(order, b["key"]), F.lit(0)).cast("int"))
+
+    def deeper(e: Column) -> Column:
+        inner = F.transform(F.map_entries(F.try_variant_get(e["value"], "$", "map<string,variant>")), lambda c: F.struct(F.concat(e["key"], F.lit("."), c["key"]).alias("key"), c["value"].alias("value")))
+        return F.coalesce(inner, F.array(F.struct(e["key"].alias("key"), e["value"].alias("value"))))
+
+    def leaf(e: Column) -> Column:
+        kind = F.schema_of_variant(e["value"])
+        nested = kind.startswith("ARRAY") | kind.startswith("OBJECT")
+        short = F.when(kind == "STRING", "str").when(kind == "BIGINT", "int").when(kind == "BOOLEAN", "bool").when(kind == "VOID", "null").when(nested, "list").otherwise("float")
+        text = F.when(nested, F.to_json(e["value"])).otherwise(F.try_variant_get(e["value"], "$", "string"))
+        return F.struct(e["key"].alias("key"), text.alias("value"), short.alias("kind"))
+
+    place = lambda order, e: F.coalesce(F.array_position(order, e["key"]), F.lit(0)).cast("int")
+    top = let(F.json_object_keys(s), lambda order: F.array_sort(F.map_entries(whole), lambda a, b: place(order, a) - place(order, b)))
     for _ in range(JSON_DEPTH - 1):
-        inner = lambda e: F.transform(F.map_entries(F.try_variant_get(e["value"], "$", "map<string,variant>")), lambda c: F.struct(F.concat(e["key"], F.lit("."), c["key"]).alias("key"), c["value"].alias("value")))
-        found = F.flatten(F.transform(found, lambda e: F.coalesce(inner(e), F.array(F.struct(e["key"].alias("key"), e["value"].alias("value"))))))
-    kind = lambda v: F.schema_of_variant(v)
-    short = lambda k: F.when(k == "STRING", "str").when(k.isin("BIGINT"), "int").when(k == "BOOLEAN", "bool").when(k == "VOID", "null").when(k.startswith("ARRAY"), "list").when(k.startswith("OBJECT"), "dict").otherwise("float")
-    text = lambda v: F.when(kind(v).startswith("ARRAY") | kind(v).startswith("OBJECT"), F.to_json(v)).otherwise(F.try_variant_get(v, "$", "string"))
-    flat = F.transform(found, lambda e: F.struct(e["key"].alias("key"), text(e["value"]).alias("value"), short(kind(e["value"])).alias("kind")))
-    fields = F.map_from_entries(F.transform(flat, lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value"))))
-    kinds = F.map_from_entries(F.transform(F.filter(flat, lambda e: e["kind"] != "str"), lambda e: F.struct(e["key"].alias("key"), e["kind"].alias("value"))))
-    hits = []
-    for key in JSON_TIME_KEYS:
-        hit = F.try_element_at(F.filter(flat, lambda e, key=key: F.lower(e["key"]).endswith(key)), F.lit(1))
-        hits.append(F.when(hit.isNotNull(), F.when(hit["kind"] == "null", "None").otherwise(F.when(hit["value"] != "", hit["value"]))))
-    return F.when(whole.isNotNull(), parsed("JSON", "json_fast_parser", fields, kinds, F.coalesce(*hits)))
+        top = F.flatten(F.transform(top, deeper))
+
+    def build(flat: Column) -> Column:
+        fields = F.map_from_entries(F.transform(flat, lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value"))))
+        kinds = F.map_from_entries(F.transform(F.filter(flat, lambda e: e["kind"] != "str"), lambda e: F.struct(e["key"].alias("key"), e["kind"].alias("value"))))
+        hits = []
+        for key in map(F.lit, JSON_TIME_KEYS):
+            hit = F.try_element_at(F.filter(flat, partial(_ends_with, key)), F.lit(1))
+            hits.append(F.when(hit.isNotNull(), F.when(hit["kind"] == "null", "None").otherwise(F.when(hit["value"] != "", hit["value"]))))
+        return parsed("JSON", "json_fast_parser", fields, kinds, F.coalesce(*hits))
+
+    return F.when(whole.isNotNull(), let(F.transform(top, leaf), build))
 
 
 def _cut(s: Column, mark: str) -> Column:
@@ -95,20 +111,26 @@ def _cut(s: Column, mark: str) -> Column:
 def cef_lines(raw: Column) -> Column:
     s = strip(raw)
     looks = s.startswith("CEF:") | s.contains(" CEF:")
-    parts = F.split(_cut(F.when(looks, s), "CEF:"), r"(?<!\\)\|")
+    return F.when(looks, let(F.split(_cut(s, "CEF:"), r"(?<!\\)\|"), _cef))
+
+
+def _cef(parts: Column) -> Column:
     head = lambda i: F.replace(F.get(parts, F.lit(i)), F.lit("\\|"), F.lit("|"))
     clean = lambda v: F.replace(F.replace(F.replace(F.replace(v, F.lit("\\="), F.lit("=")), F.lit("\\|"), F.lit("|")), F.lit("\\\\"), F.lit("\\")), F.lit("\\n"), F.lit("\n"))
     extension = F.array_join(F.slice(parts, 8, F.greatest(F.size(parts), F.lit(8))), "|")
     own = F.transform(pairs(extension, CEF_PAIR), lambda e: F.struct(e["key"].alias("key"), clean(e["value"]).alias("value")))
     header = entries(cef_version=F.replace(F.get(parts, F.lit(0)), F.lit("CEF:"), F.lit("")), device_vendor=head(1), device_product=head(2), device_version=head(3), signature_id=head(4), event_name=head(5), severity=head(6))
     fields = last_wins(F.concat(header, own))
-    return F.when(F.size(parts) >= 8, parsed("CEF", "cef_parser", fields, ts_raw=truthy_first(fields, "rt", "end", "start")))
+    return F.when(F.size(parts) >= 8, let(fields, lambda f: parsed("CEF", "cef_parser", f, ts_raw=truthy_first(f, "rt", "end", "start"))))
 
 
 def leef_lines(raw: Column) -> Column:
     s = strip(raw)
     looks = s.startswith("LEEF:") | s.contains(" LEEF:")
-    parts = F.split(_cut(F.when(looks, s), "LEEF:"), r"(?<!\\)\|")
+    return F.when(looks, let(F.split(_cut(s, "LEEF:"), r"(?<!\\)\|"), _leef))
+
+
+def _leef(parts: Column) -> Column:
     part = lambda i: F.get(parts, F.lit(i))
     version = F.replace(part(0), F.lit("LEEF:"), F.lit(""))
     own_mark = version.startswith("2.") & (F.size(parts) >= 7)
@@ -118,7 +140,7 @@ def leef_lines(raw: Column) -> Column:
     own = F.transform(tokens, lambda t: F.struct(strip(F.split_part(t, F.lit("="), F.lit(1))).alias("key"), strip(F.substring(t, F.instr(t, "=") + 1, F.length(t))).alias("value")))
     header = entries(leef_version=version, device_vendor=part(1), device_product=part(2), device_version=part(3), event_id=part(4))
     fields = last_wins(F.concat(header, own))
-    return F.when(F.size(parts) >= 6, parsed("LEEF", "leef_parser", fields, ts_raw=truthy_first(fields, "devTime", "calmTime")))
+    return F.when(F.size(parts) >= 6, let(fields, lambda f: parsed("LEEF", "leef_parser", f, ts_raw=truthy_first(f, "devTime", "calmTime"))))
 
 
 def syslog_lines(raw: Column) -> Column:
@@ -143,21 +165,27 @@ def syslog_lines(raw: Column) -> Column:
 
 def audit_lines(raw: Column) -> Column:
     s = strip(raw)
-    s = F.when(s.startswith("type=") & s.contains("msg=audit("), s)
+    looks = s.startswith("type=") & s.contains("msg=audit(")
     g = lambda i: F.regexp_extract(s, AUDIT_HEAD, i)
+
+    def build(base: Column) -> Column:
+        status = F.when(base["success"].isNotNull(), F.when(F.lower(base["success"]).isin("yes", "1"), "success").otherwise("failure"))
+        extra = F.filter(entries(process_name=base["comm"], executable_path=base["exe"], status=status), lambda e: e["value"].isNotNull())
+        kinds = F.when(base["pid"].rlike(r"^\d+$"), types_of(pid="int")).otherwise(F.create_map().cast("map<string,string>"))
+        return parsed("AUDITD", "auditd_parser", last_wins(F.concat(F.map_entries(base), extra)), kinds, base["event_time_epoch"])
+
     base = last_wins(F.concat(entries(audit_type=g(1), audit_id=g(3), event_time_epoch=g(2)), pairs(g(4), AUDIT_PAIR)))
-    extra = F.filter(entries(process_name=base["comm"], executable_path=base["exe"], status=F.when(base["success"].isNotNull(), F.when(F.lower(base["success"]).isin("yes", "1"), "success").otherwise("failure"))), lambda e: e["value"].isNotNull())
-    fields = last_wins(F.concat(F.map_entries(base), extra))
-    kinds = F.when(base["pid"].rlike(r"^\d+$"), types_of(pid="int")).otherwise(F.create_map().cast("map<string,string>"))
-    return F.when(s.rlike(AUDIT_HEAD), parsed("AUDITD", "auditd_parser", fields, kinds, g(2)))
+    return F.when(looks & s.rlike(AUDIT_HEAD), let(base, build))
 
 
 def kv_lines(raw: Column) -> Column:
     """Three pairs or more."""
-    s = strip(raw)
-    own = pairs(s, KV_PAIR, (2, 3, 4))
-    fields = last_wins(F.transform(own, lambda e: F.struct(e["key"].alias("key"), strip(e["value"]).alias("value"))))
-    return F.when(F.size(own) >= 3, parsed("KEY_VALUE", "keyvalue_parser", fields, ts_raw=F.coalesce(*[fields[k] for k in KV_TIME_KEYS])))
+
+    def build(own: Column) -> Column:
+        fields = last_wins(F.transform(own, lambda e: F.struct(e["key"].alias("key"), strip(e["value"]).alias("value"))))
+        return F.when(F.size(own) >= 3, let(fields, lambda f: parsed("KEY_VALUE", "keyvalue_parser", f, ts_raw=F.coalesce(*[f[k] for k in KV_TIME_KEYS]))))
+
+    return let(pairs(strip(raw), KV_PAIR, (2, 3, 4)), build)
 
 
 def fallback_lines(raw: Column) -> Column:
