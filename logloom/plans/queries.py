@@ -442,7 +442,8 @@ def stream_window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
     name = f"counts_{abs(hash(path))}"
     folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-")
+    read = read.withColumn("ts", F.convert_timezone(F.lit("UTC"), F.current_timezone(), F.col("ts")).cast("timestamp"))
     counted = streams.counts(read, "ts", "1 day", by=("event_type",))
     run = counted.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{folder}/{name}-{spark.sparkContext.applicationId}-{spark._jvm.System.nanoTime()}").trigger(availableNow=True).start()
     run.awaitTermination()
-    return spark.table(name)
+    return spark.table(name).select(N.utc(F.col("start")).alias("start"), N.utc(F.col("end")).alias("end"), "event_type", "count")

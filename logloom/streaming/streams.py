@@ -15,7 +15,7 @@ from logloom.operators.multiline import CAP, starts_entry
 from logloom.sources import sinks
 
 
-def assemble(lines: DataFrame, cap: int = CAP, idle: str = "30 seconds") -> DataFrame:
+def assemble(lines: DataFrame, cap: int = CAP, idle_ms: int = 30_000) -> DataFrame:
     """As multiline.assemble(), on a stream of (source, line_no, line): a record is given out when the next one
     starts, or when its source has been idle. State is one open record a source, at most `cap` characters."""
     marked = lines.where("line is not null and line <> ''").withColumn("line", F.regexp_replace("line", r"[\r\n]+$", "")).withColumn("starts", starts_entry(F.col("line")))
@@ -38,7 +38,7 @@ def assemble(lines: DataFrame, cap: int = CAP, idle: str = "30 seconds") -> Data
                 if size + len(line) < cap:
                     text, size = f"{text}\n{line}", size + len(line) + 1
         state.update((no, n, size, text))
-        state.setTimeoutDuration(idle)
+        state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(out, columns=["source", "line_no", "n_lines", "raw"])
 
     return marked.groupBy("source").applyInPandasWithState(feed, "source string, line_no long, n_lines int, raw string", "no long, n int, size long, text string", "append", GroupStateTimeout.ProcessingTimeTimeout)
