@@ -34,6 +34,10 @@ _WORD = re.compile(r"\w+")
 STEMS, BITS, SAMPLE = (4, 5, 6), 20, 8_000
 #: Stems mined as voters at most, and the chance that a stem without meaning becomes one.
 MINED, CHANCE = 200, 0.05
+#: Features of the classifier besides the fixed voters, at most, and the least evidence of each.
+FEATURES, EVIDENCE = 2_000, 4.0
+#: Correlations within a class below this are taken for noise.
+NOISE = 0.25
 #: Words whose features a Python worker keeps.
 HELD_WORDS = 300_000
 
@@ -63,19 +67,23 @@ def _fixed_votes(text: str | None) -> list[bool]:
 _LEXICONS = [frozenset(x.split()) for x in LEXICONS.values()]
 
 
-def mine(rows: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
-    """Stems that stand in so many documents labelled toxic, and so few others, that chance explains less
-    than CHANCE of them in all; the MINED best by evidence. They become lexicon voters."""
+def evidence(rows: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
+    """For each hashed word or stem, how much better its own share of toxic documents explains their labels than
+    the overall share does (log likelihood); 0 for those that speak for clean documents."""
     flat = np.concatenate(rows) if rows else np.zeros(0, np.int32)
-    of = np.repeat(labels, [len(r) for r in rows]).astype(float)
+    of = np.repeat(labels.astype(np.float32), [len(r) for r in rows])
     n, bad = np.bincount(flat, minlength=1 << BITS), np.bincount(flat, of, 1 << BITS)
     base = np.clip(labels.mean() if len(labels) else 0.5, 1e-6, 0.999999)
     with np.errstate(divide="ignore", invalid="ignore"):
         share = bad / n
         gain = bad * np.log(share / base) + np.where(n > bad, (n - bad) * np.log((1 - share) / (1 - base)), 0)
-    gain = np.where((n > 0) & (share > 0.5 + base / 2), np.nan_to_num(gain), 0)
-    good = np.flatnonzero(gain > np.log(max(np.count_nonzero(n), 1) / CHANCE))
-    return np.sort(good[np.argsort(-gain[good], kind="stable")][:MINED]).astype(np.int32)
+    return np.where((n > 0) & (share > base), np.nan_to_num(gain), 0)
+
+
+def best(gain: np.ndarray, most: int, least: float) -> np.ndarray:
+    """The words and stems of the highest evidence above `least`, at most `most`, sorted; ties by hash."""
+    good = np.flatnonzero(gain > least)
+    return np.sort(good[np.argsort(-gain[good], kind="stable")][:most]).astype(np.int32)
 
 
 class LabelModel:
@@ -83,7 +91,7 @@ class LabelModel:
 
     Estimates how often each voter fires in either class (its accuracy), and how the voters correlate
     within a class; a voter's say is divided by the sum of its correlations, so that ten voters that
-    always fire together count as one.
+    always fire together count as one; correlations up to NOISE are left out.
     """
 
     def __init__(self, votes: np.ndarray, start: np.ndarray, rounds: int = 30) -> None:
@@ -105,7 +113,7 @@ class LabelModel:
             total += cov
         scale = np.sqrt(np.maximum(np.diag(total), 1e-9))
         self.correlations = np.clip(total / scale / scale[:, None], -1, 1)
-        return np.maximum(np.clip(self.correlations, 0, 1).sum(axis=1), 1)
+        return np.maximum(np.where(self.correlations > NOISE, self.correlations, 0).sum(axis=1), 1)
 
     def posterior(self, votes: np.ndarray) -> np.ndarray:
         on, off = np.log(self.fires[1] / self.fires[0]), np.log((1 - self.fires[1]) / (1 - self.fires[0]))
@@ -113,26 +121,19 @@ class LabelModel:
         return 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
 
 
-def fit_linear(rows: list[np.ndarray], target: np.ndarray, rounds: int = 60, decay: float = 2e-4, rate: float = 0.3) -> tuple[np.ndarray, float]:
-    """Logistic regression on soft targets over presence features seen in two documents or more, by Adagrad."""
-    flat = np.concatenate(rows) if rows else np.zeros(0, np.int32)
-    often = np.bincount(flat, minlength=1 << BITS) >= 2
-    keep = often[flat]
-    doc = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])[keep]
-    flat = flat[keep]
-    del keep
-    weights, bias = np.zeros(1 << BITS), float(np.log(np.clip(target.mean(), 1e-3, 0.999) / (1 - np.clip(target.mean(), 1e-3, 0.999))))
-    squares = np.full(1 << BITS, 1e-8)
-    balance = np.where(target >= 0.5, 0.5 / max(target.mean(), 1e-3), 0.5 / max(1 - target.mean(), 1e-3)) / max(len(rows), 1)
+def fit_linear(x: np.ndarray, target: np.ndarray, rounds: int = 300, decay: float = 1e-3, rate: float = 0.2) -> tuple[np.ndarray, float]:
+    """Logistic regression on soft targets over 0/1 features, by Adagrad; both classes weigh the same."""
+    balance = np.where(target >= 0.5, 0.5 / max(target.mean(), 1e-3), 0.5 / max(1 - target.mean(), 1e-3)) / max(len(x), 1)
+    weights, bias, squares, own = np.zeros(x.shape[1]), -1.0, np.full(x.shape[1], 1e-8), 1e-8
     for _ in range(rounds):
-        odds = bias + np.bincount(doc, weights[flat], len(rows))
+        odds = x @ weights + bias
         error = (1 / (1 + np.exp(-np.clip(odds, -30, 30))) - target) * balance
-        g = np.bincount(flat, error[doc], 1 << BITS) + decay * weights
+        g, b = error @ x + decay * weights, error.sum()
         squares += g * g
-        weights -= rate * g / np.sqrt(squares) * (often > 0)
-        bias -= rate * error.sum() / 2
-    weights[np.abs(weights) < 1e-3] = 0
-    return weights.astype(np.float32), float(bias)
+        own += b * b
+        weights -= rate * g / np.sqrt(squares)
+        bias -= rate * b / np.sqrt(own)
+    return weights, float(bias)
 
 
 class Classifier:
@@ -167,22 +168,20 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     got = met.select("__id", "label", seen("text").alias("seen")).select("__id", "label", "seen.own", "seen.votes").dropDuplicates(["__id"]).orderBy("__id").toArrow()
     rows = [x.values.to_numpy(zero_copy_only=False) for x in got["own"]]
     label = got["label"].to_numpy().astype(float)
-    fixed = np.array(got["votes"].to_pylist(), float).reshape(len(rows), len(LEXICONS) + len(PATTERNS))
+    fixed = np.array(got["votes"].to_pylist(), np.float32).reshape(len(rows), len(LEXICONS) + len(PATTERNS))
     if not len(rows) or label.min() == label.max():
         return Classifier(np.zeros(1 << BITS, np.float32), -3.0, np.array([4.0] * len(LEXICONS) + [2.0] * len(PATTERNS)))
-    mined = mine(rows, label)
-    fires = np.array([np.isin(mined, r, assume_unique=True) for r in rows], float).reshape(len(rows), len(mined))
-    votes = np.column_stack([fixed, fires, label])
+    gain = evidence(rows, label)
+    fires = lambda which: np.array([np.isin(which, r, assume_unique=True) for r in rows], np.float32).reshape(len(rows), len(which))
+    mined = best(gain, MINED, np.log(max(np.count_nonzero(gain), 1) / CHANCE))
+    votes = np.column_stack([fixed, fires(mined), label])
     votes = votes[:, votes.any(axis=0)]
     posterior = LabelModel(votes, label).posterior(votes)
-    width = fixed.shape[1]
-    top = (1 << BITS) - width  # the fixed voters' features stand last; a word whose hash falls there is left out
-    joined = [np.concatenate([r[r < top], (np.flatnonzero(f) + top).astype(np.int32)]) for r, f in zip(rows, fixed, strict=True)]
-    weights, bias = fit_linear(joined, posterior)
-    voters = weights[-width:].astype(float)
-    weights = weights.copy()
-    weights[-width:] = 0
-    return Classifier(weights, bias, voters)
+    used = best(gain, FEATURES, EVIDENCE)
+    own, bias = fit_linear(np.column_stack([fixed, fires(used)]), posterior)
+    weights = np.zeros(1 << BITS, np.float32)
+    weights[used] = own[fixed.shape[1] :]
+    return Classifier(weights, bias, own[: fixed.shape[1]])
 
 
 def score(spark: SparkSession, model: Classifier, text: Column) -> Column:
