@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from functools import cache
 from itertools import chain
 
@@ -15,9 +15,11 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: Words whose ids a Python worker keeps; beyond it the memory starts anew.
-HELD_WORDS = 500_000
+HELD_WORDS = 300_000
 #: Failed words whose merges run side by side.
 MERGED_AT_ONCE = 20_000
 #: Stands for the end-of-word suffix; no byte has it as its symbol.
@@ -51,14 +53,10 @@ class WordBpe:
         pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         self.left = np.full(len(self.ids), _LEAF, np.int32)
         self.right = np.full(len(self.ids), _LEAF, np.int32)
-        self.merge: dict[tuple[int, int], int] = {}
-        for a, b in pairs:
-            x, y, new = self.ids[a], self.ids[b], self.ids[a + b]
-            self.merge[x, y] = new
-            self.left[new], self.right[new] = x, y
-        keys = np.array([x << 32 | y for x, y in self.merge], np.int64)
-        order = np.argsort(keys)
-        self.keys, self.made = keys[order], np.array(list(self.merge.values()), np.int64)[order]
+        x, y, new = (np.array([self.ids[w] for w in words], np.int64) for words in ([a for a, _ in pairs], [b for _, b in pairs], [a + b for a, b in pairs]))
+        self.left[new], self.right[new] = x, y
+        order = np.argsort(x << 32 | y)
+        self.keys, self.made = (x << 32 | y)[order], new[order]
         self.symbols = _byte_symbols()
         close = lambda t: t[: -len(self.suffix)] + END if t.endswith(self.suffix) else t
         self.trie = ahocorasick.Automaton(ahocorasick.STORE_INTS)
@@ -237,6 +235,31 @@ def decode(ids: str | Column, path: str) -> Column:
 
 
 def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, ids, decoded) of every row, repeated rows included. Decoding gives the normalised tokens, not the text."""
-    encoded = docs.select(F.col(id_col), encode(F.col(text_col), path).alias("ids"))
-    return encoded.select(id_col, "ids", decode(F.col("ids"), path).alias("decoded"))
+    """(id_col, ids, decoded) of every row, repeated rows included; null texts have no ids and decode to ''.
+
+    Decoding gives the normalised tokens, not the text. Rows come and go in runs of about TOGETHER
+    characters, so a worker holds one Arrow batch of texts and one run, however long the documents are.
+    """
+
+    def run(bpe: WordBpe, keys: list, texts: list[str]) -> pa.RecordBatch:
+        ids = bpe.encode(texts)
+        offsets = pa.array(np.cumsum([0, *map(len, ids)]), pa.int32())
+        lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(ids)))
+        return pa.record_batch([pa.array(keys, kind), lists, pa.array([bpe.decode(i.tolist()) for i in ids], pa.string())], [id_col, "ids", "decoded"])
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe, keys, texts, size = tokenizer(path), [], [], 0
+        for batch in batches:
+            for key, text in zip(batch.column(0), batch.column(1), strict=True):
+                keys.append(key.as_py())
+                texts.append(text.as_py() or "")
+                size += len(texts[-1])
+                if size >= TOGETHER:
+                    yield run(bpe, keys, texts)
+                    keys, texts, size = [], [], 0
+        if keys:
+            yield run(bpe, keys, texts)
+
+    kind = to_arrow_type(docs.schema[id_col].dataType)
+    schema = T.StructType([docs.schema[id_col], T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
+    return docs.select(id_col, text_col).mapInArrow(of, schema)

@@ -80,7 +80,7 @@ def large_bucket_cells(members: DataFrame, sizes: DataFrame, keys: list[str], me
     """Members of large buckets, dealt to cells that together hold every pair of a bucket once.
 
     A bucket of n members is cut by hash into s = ceil(n / CHUNK) chunks; cell (i, j), i <= j, gets
-    chunks i and j. Adds `cell` and `chunk` columns. Each cell is bounded whatever the bucket's size.
+    chunks i and j. Adds `cell`, `chunk` and `mixed` (i < j) columns. Each cell is bounded whatever the bucket's size.
     """
     large = sizes.where(F.col("n") > SMALL_BUCKET).withColumn("s", F.ceil(F.col("n") / CHUNK).cast("int"))
     chunk = F.pmod(F.xxhash64(F.lit("chunk"), member), F.col("s")).cast("int")
@@ -88,7 +88,7 @@ def large_bucket_cells(members: DataFrame, sizes: DataFrame, keys: list[str], me
     other = F.explode(F.sequence(F.lit(0), F.col("s") - 1))
     dealt = dealt.withColumn("other", other)
     cell = F.struct(*keys, F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
-    return dealt.withColumn("cell", F.xxhash64(cell)).drop("other", "s", "n")
+    return dealt.withColumn("cell", F.xxhash64(cell)).withColumn("mixed", F.size(F.array_distinct(F.array("chunk", "other"))) > 1).drop("other", "s", "n")
 
 
 def per_group(df: DataFrame, by: list[str], work: Callable[[pd.DataFrame], Iterator[pd.DataFrame] | pd.DataFrame], schema: str | T.StructType) -> DataFrame:

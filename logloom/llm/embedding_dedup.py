@@ -101,7 +101,7 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "
     both = F.inline(F.array(F.struct(F.col("a").alias("node"), F.col("b_copies").alias("links"), F.least("a", "b").alias("to")), F.struct(F.col("b").alias("node"), F.col("a_copies").alias("links"), F.least("a", "b").alias("to"))))
     found = linked.select(both)
 
-    cells = common.large_bucket_cells(members, sizes, ["t", "code"], "node").select("cell", "chunk", "t", "node")
+    cells = common.large_bucket_cells(members, sizes, ["t", "code"], "node").select("cell", "chunk", "mixed", "t", "node")
     dealt = cells.join(sketched.select("node", "v", "codes", "big", "copies"), "node")
     compared = common.per_group(dealt, ["cell"], lambda cell: _compare(cell, cosine), "node long, links long, to long")
     found = common.checkpointed(found.unionByName(compared))
@@ -125,8 +125,8 @@ def _compare(cell: pd.DataFrame, cosine: float) -> pd.DataFrame:
     out, t = [], int(cell["t"].iloc[0])
     for _, same in cell.groupby(cell["v"].map(len)):
         low, high = same["chunk"].min(), same["chunk"].max()
-        if low == high and cell["chunk"].nunique() > 1:
-            continue  # lengths that only one of the cell's chunks has are compared in that chunk's own cell
+        if low == high and bool(cell["mixed"].iloc[0]):
+            continue  # only one of the cell's chunks has such vectors: that chunk's own cell compares them
         left, right = same[same["chunk"] == low], same[same["chunk"] == high]
         lv, rv = _unit(np.stack(left["v"].to_numpy())), _unit(np.stack(right["v"].to_numpy()))
         lc, rc = np.stack(left["codes"].to_numpy()), np.stack(right["codes"].to_numpy())

@@ -55,13 +55,27 @@ def block_masks(distance: int, blocks: int) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
-def links(prints: DataFrame, distance: int = 2, blocks: int = 5) -> DataFrame:
+#: Fingerprints of one block bucket that chance alone is let to bring together, on average.
+BY_CHANCE = 4
+
+
+def plan_blocks(n: int, distance: int) -> int:
+    """Blocks for n fingerprints: the fewest whose keys leave BY_CHANCE unrelated fingerprints a bucket.
+
+    More blocks mean longer keys and more of them: 3 keys for 2 bits up to some millions of fingerprints,
+    6 up to some billions. The links found are the same for any number of blocks.
+    """
+    return next(b for b in range(distance + 1, 65) if n / 2 ** (64 * (b - distance) / b) <= BY_CHANCE or b == 64)
+
+
+def links(prints: DataFrame, distance: int = 2, blocks: int | None = None) -> DataFrame:
     """Edges (a, b) that connect what pairs within `distance` bits connect, over distinct longs `fp`.
 
     Buckets of up to SMALL_BUCKET fingerprints: every close pair. Larger ones are cut into cells
     (common.large_bucket_cells) in which all pairs are checked but only a spanning forest is
     returned, so the edges stay linear in the bucket. No pair is lost.
     """
+    blocks = blocks or plan_blocks(prints.count(), distance)
     masks = F.array(*[F.struct(F.lit(i).alias("block"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(block_masks(distance, blocks))])
     members = prints.select("fp", F.inline(masks))
     sizes = members.groupBy("block", "key").agg(F.count("*").alias("n")).where("n > 1")
@@ -91,7 +105,7 @@ def _forest(prints: np.ndarray, distance: int) -> pd.DataFrame:
     return pd.DataFrame(edges, columns=["a", "b"], dtype=np.int64)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, distance: int = 2, blocks: int = 5) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, distance: int = 2, blocks: int | None = None) -> DataFrame:
     """(id_col, fp long, fingerprint hex, component_id) for every row of docs.
 
     Texts with one fingerprint form a class, which enters the block join once however many copies it
@@ -100,7 +114,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Repeated rows give repeated rows; an empty table gives none; other columns are not looked at.
     """
     rows = common.checkpointed(docs.select(F.col(id_col).alias("id"), fingerprint(F.col(text_col), shingle).alias("fp")))
-    classes = rows.groupBy("fp").agg(F.min("id").alias("least"))
+    classes = common.checkpointed(rows.groupBy("fp").agg(F.min("id").alias("least")))
     roots = common.components(links(classes.select("fp"), distance, blocks)).withColumnRenamed("node", "fp")
     rooted = classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")

@@ -35,11 +35,11 @@ STEMS, BITS, SAMPLE = (4, 5, 6), 20, 8_000
 #: Stems mined as voters at most, and the chance that a stem without meaning becomes one.
 MINED, CHANCE = 200, 0.05
 #: Features of the classifier besides the fixed voters, at most, and the least evidence of each.
-FEATURES, EVIDENCE = 2_000, 4.0
+FEATURES, EVIDENCE = 1_000, 4.0
 #: Correlations within a class below this are taken for noise.
 NOISE = 0.25
 #: Words whose features a Python worker keeps.
-HELD_WORDS = 300_000
+HELD_WORDS = 100_000
 
 
 def _of_word(word: str) -> tuple[int, ...]:
