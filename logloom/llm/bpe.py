@@ -89,10 +89,10 @@ class WordBpe:
 
     def learn(self, words: set[str]) -> None:
         """Puts the ids of new words, packed as int32, in self.known: all are proposed, then all pairs are checked, then the failed are merged."""
-        new = sorted(words - self.known.keys())
+        new = sorted([w for w in words if w not in self.known])
         if len(self.known) + len(new) > HELD_WORDS:
             self.known = {t: _packed([i]) for t, i in self.added.items()}
-            new = sorted(words - self.known.keys())
+            new = sorted([w for w in words if w not in self.known])
         if not new:
             return
         # one string of all words; END stands for the suffix, which ends every word

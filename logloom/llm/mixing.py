@@ -72,12 +72,14 @@ def mix(docs: DataFrame, weights: dict[str, dict[str, int]] | None = None, share
     id) as long as their tokens, summed from the first, fit. A document may so come back max_epochs
     times. Documents without words cost nothing. Null lang, source or domain count as ''. Rows that
     repeat an id stand in one place of the order and are taken or left together when their joint
-    tokens fit. An empty table gives an empty result.
+    tokens fit. An empty table gives an empty result. Columns of docs
+    whose names start with mix_ are dropped.
 
     Scale: a leaf may hold any part of the rows. Its order is cut into RANGES ranges of the hash, which
     are summed first; only the range in which the budget ends is sorted, the rest is a comparison.
     """
     domain = F.col("source") if domain is None else domain
+    docs = docs.select(*[c for c in docs.columns if not c.startswith("mix_")])
     leaf = F.struct(F.coalesce(domain, F.lit("")).alias("domain"), F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"))
     slim = common.checkpointed(docs.select(leaf.alias("leaf"), F.col(id_col).alias("id"), n_words(text_col).alias("tokens")))
     leaves = slim.groupBy("leaf").agg(F.sum("tokens").alias("tokens")).select("leaf.*", "tokens")
@@ -105,10 +107,10 @@ def mix(docs: DataFrame, weights: dict[str, dict[str, int]] | None = None, share
     times = F.col("mix_full") + F.when((F.col("mix_full") < max_epochs) & F.coalesce(under, F.lit(False)), 1).otherwise(0)
     taken = docs.withColumn("mix_leaf", leaf).join(plan, "mix_leaf").withColumn("mix_times", times).where("mix_times > 0")
     taken = taken.withColumn("mix_tokens", n_words(text_col)).withColumn("mix_epoch", F.explode(F.sequence(F.lit(0), F.col("mix_times") - 1)))
-    return taken.select(*[c for c in docs.columns if c not in MIX], *MIX)
+    return taken.select(*docs.columns, *MIX)
 
 
-#: Columns that mix() adds; columns of docs with these names are replaced.
+#: Columns that mix() adds.
 MIX = ["mix_tokens", "mix_epoch", "mix_budget"]
 
 

@@ -92,6 +92,7 @@ class LabelModel:
     Estimates how often each voter fires in either class (its accuracy), and how the voters correlate
     within a class; a voter's say is divided by the sum of its correlations, so that ten voters that
     always fire together count as one; correlations up to NOISE are left out.
+    The last voter is the given label; what it says is not discounted.
     """
 
     def __init__(self, votes: np.ndarray, start: np.ndarray, rounds: int = 30) -> None:
@@ -101,8 +102,9 @@ class LabelModel:
             self.prior = np.clip(q.mean(), 1e-4, 1 - 1e-4)
             mass = np.stack([1 - q, q])
             self.fires = (mass @ votes + 0.5 * votes.mean(axis=0) + 0.01) / (mass.sum(axis=1)[:, None] + 0.5 + 0.02)
-            if at == rounds // 2:
+            if at % 5 == 0:
                 self.say = 1 / self._shared(votes, mass)
+                self.say[-1] = 1.0
             q = self.posterior(votes)
 
     def _shared(self, votes: np.ndarray, mass: np.ndarray) -> np.ndarray:
