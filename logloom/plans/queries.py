@@ -17,8 +17,9 @@ from logloom.operators import canonical as C
 from logloom.operators import learn as L
 from logloom.operators import multiline as M
 from logloom.operators import parsers as P
+from logloom.operators import review as R
 from logloom.sources import sinks
-from logloom.sources.tables import table
+from logloom.sources.tables import synthetic, table
 from logloom.streaming import streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -439,7 +440,7 @@ def window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same over a stream of the file, run to its end; the state is written below the checkpoint folder."""
     path = f"{sf_dir}/events.parquet"
-    read = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    read = spark.readStream.schema(spark.read.parquet(path).schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     name = f"counts_{abs(hash(path))}"
     folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-")
     read = read.withColumn("ts", F.convert_timezone(F.lit("UTC"), F.current_timezone(), F.col("ts")).cast("timestamp"))
@@ -447,3 +448,42 @@ def stream_window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     run = counted.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{folder}/{name}-{spark.sparkContext.applicationId}-{spark._jvm.System.nanoTime()}").trigger(availableNow=True).start()
     run.awaitTermination()
     return spark.table(name).select(N.utc(F.col("start")).alias("start"), N.utc(F.col("end")).alias("end"), "event_type", "count")
+
+
+@query("review_status", "select user_id as event_id, arg_max(case when event_type = 'error' then 'PENDING' else 'APPROVED' end, event_id) as status from events group by 1")
+def review_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = table(spark, sf_dir, "events").selectExpr("user_id as event_id", "case event_type when 'error' then 'PENDING' else 'APPROVED' end as status", "event_id as created_at")
+    return R.state(log).select("event_id", "status")
+
+
+@query("approved_rule", f"{E} select event_id, 'JIT_INFERRED' as format, src as src_ip, cast(spt as int) as dst_port from e")
+def approved_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rule = R.approve("sig_rare", "rare", r"^\w+ request from (\S+) port (\d+) state \w+$", ("src_endpoint.ip", "dst_endpoint.port"), 1)
+    registry = P.Registry()
+    registry.register(L.learned_parser(R.rules(R.rule_log(spark, [rule])), R.APPROVED_PRIORITY))
+    e = C.normalize(lines(spark, sf_dir, "rare"), registry, CONFIG)
+    return e.select("event_id", F.col("event.processing_metadata.format_detected").alias("format"), F.col("event.src_endpoint.ip").alias("src_ip"), F.col("event.dst_endpoint.port").alias("dst_port"))
+
+
+@query("rule_usage", "select 'sig_' || event_type as signature, count(*) as n from events where event_type in ('click', 'view') group by all")
+def rule_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = [R.approve(f"sig_{k}", k, rf"^{k} request", (), 1) for k in ("click", "view")]
+    return R.times_used(lines(spark, sf_dir, "rare"), R.rule_log(spark, rules))
+
+
+@query("file_preview", f"{_CEF_TABLE}, r as (select *, md5(event_id || chr(31) || 'CEF:0|Acme|Wall|1.0|' || event_id || '|' || event_type || '|' || sev || '|src=' || src || ' dst=' || dst || ' spt=' || spt || ' dpt=' || dpt || ' act=' || act || ' rt=' || (epoch_us(ts) // 1000) || ' suser=' || usr) as id from t) select id, case when x_action = 'unknown' then '93.5%' else '99.5%' end as confidence, coalesce({_TAG}, 'N/A') as mitre from r order by id limit 15")
+def file_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.preview(flat(spark, sf_dir, "cef"))
+
+
+@query("html_fallback", f"select page_id, len(regexp_extract_all(html, '{_IP_DUCK}')) as n_ips from pages")
+def html_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = table(spark, sf_dir, "pages").select("page_id", P.fallback_lines(F.col("html"))["fields"]["detected_ips"].alias("ips"))
+    return found.select("page_id", F.coalesce(F.size(F.from_json("ips", "array<string>")), F.lit(0)).cast("long").alias("n_ips"))
+
+
+@query("synthetic_corpus")
+def synthetic_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """5,000 seeded lines, the size of the benchmark corpus, by the format that is found in them."""
+    found = synthetic(spark, 5000).select(P.Registry().dispatch(F.col("raw"))["format"].alias("format"))
+    return found.groupBy("format").agg(F.count("*").alias("n"))
