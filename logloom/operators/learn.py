@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import pandas as pd
@@ -154,15 +155,16 @@ def learned_parser(rules: list[Rule], priority: int = 65) -> Parser:
     return Parser("jit_inferred", priority, parse)
 
 
-def learn(lines: DataFrame, line: str = "raw", config: MinerConfig | None = None, at_least: int = 1, most: int = 200) -> list[Rule]:
+def learn(lines: DataFrame, line: str = "raw", config: MinerConfig | None = None, at_least: int = 1, most: int = 200, make: Callable[[str], tuple[str, tuple[str, ...]]] = synthesize) -> list[Rule]:
     """Rules of the `most` frequent templates of the lines that pass the sandbox on their own sample.
 
-    The number of rules is a parameter, because each is an expression of the parse stage.
+    The number of rules is a parameter, because each is an expression of the parse stage. make turns a template
+    into a pattern and its fields.
     """
     mined = mine(lines, line, config).where(F.col("n") >= at_least).orderBy(F.desc("n"), "template").limit(most).collect()
     rules = []
     for r in mined:
-        pattern, fields = synthesize(r["template"])
+        pattern, fields = make(r["template"])
         m = re.search(pattern, r["sample"])
         if m:
             filled = sum(bool(g and g.strip()) for g in m.groups())

@@ -8,9 +8,11 @@ values of those count as missing further on.
 
 from __future__ import annotations
 
+import importlib.util
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import partial
+from pathlib import Path
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -247,6 +249,23 @@ class Registry:
     def names(self) -> list[str]:
         return [p.name for p in self._parsers]
 
+    def load(self, folder: str) -> list[str]:
+        """Registers every Parser that a module of the folder defines (files with a leading __ left out); gives the
+        names of files that could not be imported."""
+        failed = []
+        for path in sorted(Path(folder).glob("[!_]*.py")):
+            spec = importlib.util.spec_from_file_location(f"plugin_{path.stem}", path)
+            module = importlib.util.module_from_spec(spec)
+            try:
+                spec.loader.exec_module(module)
+            except Exception:  # a broken plug-in must not keep the others out
+                failed.append(path.name)
+                continue
+            for value in vars(module).values():
+                if isinstance(value, Parser):
+                    self.register(value)
+        return failed
+
     def detect(self, raw: Column) -> Column:
         """The first parser that takes the line; null if none does."""
         return F.coalesce(*[p.parse(raw) for p in self._parsers])

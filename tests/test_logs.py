@@ -46,6 +46,14 @@ def test_registry_order():
     assert r.get("none") is None
 
 
+def test_plugins_from_a_folder(spark, tmp_path):
+    (tmp_path / "good.py").write_text("from logloom.operators.parsers import Parser, kv_lines\nP = Parser('mine', 99, kv_lines)\n")
+    (tmp_path / "bad.py").write_text("raise ValueError\n")
+    r = P.Registry()
+    assert r.load(str(tmp_path)) == ["bad.py"]
+    assert r.names()[0] == "mine"
+
+
 def one(spark, value, expression):
     return spark.createDataFrame([(value,)], "v string").select(expression(F.col("v")).alias("x")).first()["x"]
 
