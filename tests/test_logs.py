@@ -152,10 +152,10 @@ def test_multiline_cap_lets_shorter_lines_fit(spark):
 
 
 def test_learner(spark):
-    raw = [(f"link {'up' if i % 2 else 'down'} from 10.0.0.{i} port {i + 1000}",) for i in range(20)]
+    raw = [(f"link from 10.0.0.{i} port {i + 1000} state {'up' if i % 2 else 'down'}",) for i in range(20)]
     df = spark.createDataFrame(raw, "raw string")
     rules = L.learn(df)
-    assert [r.template for r in rules] == ["link <*> from <IP> port <NUM>"]
+    assert [r.template for r in rules] == ["link from <IP> port <NUM> state <*>"]
     registry = P.Registry()
     registry.register(L.learned_parser(rules))
     e = C.normalize(df, registry).first()["event"]
