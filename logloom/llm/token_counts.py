@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from logloom.llm import bpe
 
 #: Characters after which a leaf ends at the next blank; no pre-token and no special token holds a blank.
-LEAF = 512
+LEAF = 1024
 _BLANK = regex.compile(r"[ \t-\r]")
 _CUT = regex.compile(rf".{{{LEAF}}}[^ \t-\r]*[ \t-\r]?", regex.DOTALL)
 
@@ -58,17 +58,17 @@ def put(heap: list[int], leaf: int, value: int) -> None:
         i //= 2
 
 
-def edited(tokenizer: bpe.WordBpe, pieces: list[str], chars: list[int], tokens: list[int], at: int, cut: int, new: str) -> int:
-    """Applies one edit to the pieces and both trees; returns the characters that were encoded again.
+def edited(pieces: list[str], chars: list[int], dirty: set[int], at: int, cut: int, new: str) -> None:
+    """Applies one edit to the pieces and the tree of characters; leaves to be counted anew are added to dirty.
 
-    Leaves that the edit touches, and the one before if it no longer ends after a blank or the one
-    after if the edit's end has lost its blank, become one leaf; the others of them are left empty.
+    Leaves that the edit touches, and the ones before or after if a blank between them is lost, become one
+    leaf; the others of them are left empty.
     """
     at = max(0, min(at, chars[1]))
     cut = max(0, min(cut, chars[1] - at))
     first, start = find(chars, at)
-    last, last_start = find(chars, at + cut)
-    text = "".join(pieces[first:last]) + pieces[last]
+    last, _ = find(chars, at + cut)
+    text = "".join(pieces[first : last + 1])
     text = text[: at - start] + new + text[at - start + cut :]
     while last + 1 < len(pieces) and (not text or not _BLANK.fullmatch(text[-1])):
         last += 1
@@ -79,8 +79,7 @@ def edited(tokenizer: bpe.WordBpe, pieces: list[str], chars: list[int], tokens:
     for i in range(first, last + 1):
         pieces[i] = text if i == first else ""
         put(chars, i, len(pieces[i]))
-        put(tokens, i, count(tokenizer, [text])[0] if i == first else 0)
-    return len(text)
+        dirty.add(i)
 
 
 def _last_char(pieces: list[str], before: int) -> str:
@@ -106,6 +105,17 @@ def _runs(texts: list[str]) -> Iterator[list[str]]:
     yield run
 
 
+def _settled(tokenizer: bpe.WordBpe, run: list[tuple[list[str], dict, list[int]]]) -> list[dict]:
+    """Counts the dirty leaves of a run of documents together and brings their sums up to the roots."""
+    counts = iter(count(tokenizer, [pieces[i] for pieces, _, dirty in run for i in dirty]))
+    out = []
+    for pieces, t, dirty in run:
+        for i in dirty:
+            put(t["tokens"], i, next(counts))
+        out.append({"text": "".join(pieces), "tree": t, "encoded": sum(len(pieces[i]) for i in dirty)})
+    return out
+
+
 def build(text: str | Column, path: str) -> Column:
     """struct<chars, tokens>: the segment trees of a text as heaps, root at 1; a null or empty text is one empty leaf."""
 
@@ -133,17 +143,23 @@ def apply_edits(text: str | Column, trees: str | Column, edits: str | Column, pa
 
     @F.arrow_udf(f"struct<text: string, tree: {TREE}, encoded: int>")
     def of(texts: pa.Array, trees: pa.Array, edits: pa.Array) -> pa.Array:
-        tokenizer, out = bpe.tokenizer(path), []
+        tokenizer, out, run, size = bpe.tokenizer(path), [], [], 0
         for x, t, own in zip(texts, trees, edits, strict=True):
-            x, t, encoded = x.as_py() or "", t.as_py(), 0
-            chars, tokens, pieces, at = t["chars"], t["tokens"], [], 0
-            for n in chars[len(chars) // 2 :]:
+            x, t = x.as_py() or "", t.as_py()
+            pieces, at = [], 0
+            for n in t["chars"][len(t["chars"]) // 2 :]:
                 pieces.append(x[at : at + n])
                 at += n
+            dirty: set[int] = set()
             for e in own.as_py() or []:
                 if e is not None:
-                    encoded += edited(tokenizer, pieces, chars, tokens, e["at"] or 0, e["cut"] or 0, e["put"] or "")
-            out.append({"text": "".join(pieces), "tree": {"chars": chars, "tokens": tokens}, "encoded": encoded})
+                    edited(pieces, t["chars"], dirty, e["at"] or 0, e["cut"] or 0, e["put"] or "")
+            run.append((pieces, t, sorted(dirty)))
+            size += len(x)
+            if size >= bpe.TOGETHER:
+                out += _settled(tokenizer, run)
+                run, size = [], 0
+        out += _settled(tokenizer, run)
         kind = pa.struct([("text", pa.string()), ("tree", pa.struct([("chars", pa.list_(pa.int32())), ("tokens", pa.list_(pa.int32()))])), ("encoded", pa.int32())])
         return pa.array(out, kind)
 
