@@ -67,7 +67,8 @@ CONFIG = C.EngineConfig(today=TODAY)
 
 
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").selectExpr("*", *[f"{v} as {k}" for k, v in FACTS.items()])
+    # the table is one small file, hence one task; parsing is worth dealing its slim rows out first
+    return table(spark, sf_dir, "events").repartition(spark.sparkContext.defaultParallelism, "event_id").selectExpr("*", *[f"{v} as {k}" for k, v in FACTS.items()])
 
 
 def lines(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
