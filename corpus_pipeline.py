@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from logloom.llm import bpe, common, line_dedup, mixing, queries, simhash, toxicity
 
-#: Bits in which fingerprints of five-word shingles may differ: at 6, nine pairs in ten share 0.8 of their shingles,
-#: and chains of copies meet; exact copies always do.
-NEAR = 6
+#: Near copies share this much of their five-word shingles. Fingerprints within so many bits and texts with a common
+#: band of smallest hashes are compared; only the exact overlap decides.
+SIMILAR, NEAR = 0.8, 6
 #: Share of the tokens that mixing keeps at most; weights are those of the query.
 MIX_SHARE = 0.9
 
@@ -30,7 +30,7 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_one(docs, shingle=5, distance=NEAR)
+    return simhash.keep_one(docs, least=SIMILAR, shingle=5, distance=NEAR)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,7 +1,8 @@
-"""SimHash near-duplicates: pigeonhole blocks, a join on blocks, a check of the Hamming distance."""
+"""SimHash near-duplicates: pigeonhole blocks, a join on blocks, a check of the Hamming distance or of the shared shingles."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import accumulate, combinations
 
 import numpy as np
@@ -21,15 +22,21 @@ def _fingerprint(text: str | None, shingle: int) -> int:
     words = text.encode().lower().split() if text else []  # on bytes: A-Z, and exactly \x20 \x09-\x0D
     if not words:
         return 0
+    n, ones = 0, np.zeros(64, np.int64)
+    for hashes in _shingles(words, shingle):
+        n += len(hashes)
+        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int32)
+    return int.from_bytes(np.packbits(ones * 2 > n).tobytes(), "big", signed=True)
+
+
+def _shingles(words: list[bytes], shingle: int) -> Iterator[np.ndarray]:
+    """Hashes of a text's shingles (big-endian), in bounded parts."""
     joined, size = b" ".join(words), min(shingle, len(words))
     ends = [0, *accumulate(len(w) + 1 for w in words)]
     of, n = xxhash.xxh64_intdigest, len(words) - size + 1
-    ones = np.zeros(64, np.int64)
     for at in range(0, n, _PART):
         spans = zip(ends[at : min(at + _PART, n)], ends[at + size :], strict=False)
-        hashes = np.array([of(joined[s : e - 1], SEED) for s, e in spans], ">u8")
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int32)
-    return int.from_bytes(np.packbits(ones * 2 > n).tobytes(), "big", signed=True)
+        yield np.array([of(joined[s : e - 1], SEED) for s, e in spans], ">u8")
 
 
 def fingerprint(text: str | Column, shingle: int = 5) -> Column:
@@ -121,12 +128,149 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(named, "fp").select(F.col("id").alias(id_col), "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+#: Bands of smallest hashes and hashes a band: two texts that share 0.8 of their shingles share a band with
+#: probability 1 - (1 - 0.8 ** 5) ** 16 = 0.998, whatever their fingerprints; more similar ones with a higher one.
+BANDS, BAND = 16, 5
+#: Shingles of one side of a cell, besides common.CHUNK rows.
+CELL_SHINGLES = 1 << 19
+_rng = np.random.default_rng(SEED)
+_TIMES = _rng.integers(0, 1 << 63, (BANDS * BAND, 1), np.uint64) * np.uint64(2) + np.uint64(1)
+_PLUS = _rng.integers(0, 1 << 63, (BANDS * BAND, 1), np.uint64)
+_SKETCH = "struct<same: binary, fp: long, n: long, bands: array<long>>"
+
+
+def shingle_set(text: str | None, shingle: int) -> np.ndarray:
+    """Sorted distinct hashes of a text's shingles; none for a text without words."""
+    words = text.encode().lower().split() if text else []
+    if not words:
+        return np.zeros(0, np.uint64)
+    return np.unique(np.concatenate(list(_shingles(words, shingle))).astype(np.uint64))
+
+
+def _bands(own: np.ndarray) -> list[int]:
+    if not len(own):
+        return []
+    least = np.full(BANDS * BAND, np.iinfo(np.uint64).max)
+    for at in range(0, len(own), 4096):
+        least = np.minimum(least, (own[at : at + 4096] * _TIMES + _PLUS).min(axis=1))
+    return [xxhash.xxh64_intdigest(x.tobytes(), SEED) - (1 << 63) for x in least.reshape(BANDS, BAND)]
+
+
+def _sketch(text: Column, shingle: int) -> Column:
+    """same: a 128-bit hash of the shingle set; its size, the fingerprint and the bands."""
+
+    @F.arrow_udf(_SKETCH)
+    def of(texts: pa.Array) -> pa.Array:
+        rows = []
+        for x in texts:
+            own = shingle_set(x.as_py(), shingle)
+            rows.append((xxhash.xxh3_128_digest(own.tobytes()), _fingerprint(x.as_py(), shingle), len(own), _bands(own)))
+        same, prints, sizes, bands = zip(*rows, strict=True) if rows else ((), (), (), ())
+        columns = [pa.array(same, pa.binary()), pa.array(prints, pa.int64()), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
+        return pa.StructArray.from_arrays(columns, ["same", "fp", "n", "bands"])
+
+    return of(text)
+
+
+def _set(text: Column, shingle: int) -> Column:
+    @F.arrow_udf("struct<same: binary, shingles: binary>")
+    def of(texts: pa.Array) -> pa.Array:
+        sets = [shingle_set(x.as_py(), shingle).tobytes() for x in texts]
+        return pa.StructArray.from_arrays([pa.array([xxhash.xxh3_128_digest(x) for x in sets], pa.binary()), pa.array(sets, pa.binary())], ["same", "shingles"])
+
+    return of(text)
+
+
+def _shared(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two sorted sets."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / max(len(a) + len(b) - both, 1)
+
+
+def _confirmed(pairs: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) whose sets x and y share `least`."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of_bytes = lambda x: np.frombuffer(x.as_py(), np.uint64)
+        for batch in batches:
+            near = [_shared(of_bytes(x), of_bytes(y)) >= least for x, y in zip(batch["x"], batch["y"], strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+    return pairs.select("a", "b", "x", "y").mapInArrow(of, "a long, b long")
+
+
+def _similar_forest(cell: pd.DataFrame, distance: int, least: float) -> pd.DataFrame:
+    """Breadth-first spanning forest of the pairs of a cell that share `least` of their shingles; in a cell of fingerprints, of those within `distance` bits."""
+    cell = cell.drop_duplicates("c")
+    sets = [np.frombuffer(x, np.uint64) for x in cell["shingles"]]
+    sizes, bits, nodes = np.array([len(x) for x in sets]), cell["fp"].to_numpy(np.int64).view(np.uint64), cell["c"].to_numpy(np.int64)
+    hashed, left, edges = cell["block"].iloc[0] >= 0, np.arange(len(nodes)), []
+    while len(left):
+        queue, left = [left[0]], left[1:]
+        while queue and len(left):
+            at = queue.pop()
+            may = np.minimum(sizes[left], sizes[at]) >= least * np.maximum(sizes[left], sizes[at])
+            if hashed:
+                may &= np.bitwise_count(bits[left] ^ bits[at]) <= distance
+            near = np.zeros(len(left), bool)
+            near[may] = [_shared(sets[x], sets[at]) >= least for x in left[may]]
+            edges += [(nodes[at], nodes[x]) for x in left[near]]
+            queue += left[near].tolist()
+            left = left[~near]
+    return pd.DataFrame(edges, columns=["a", "b"], dtype=np.int64)
+
+
+def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, distance: int = 6, least: float = 0.8) -> DataFrame:
+    """(id_col, component_id) of every row, over links of texts that share `least` of their distinct shingles (Jaccard).
+
+    Candidates are the fingerprints within `distance` bits and the texts that share a band of smallest
+    hashes, which finds those whose fingerprints lie further apart. Each is confirmed by the exact overlap
+    before it links: no chance of a fingerprint drops a row. Texts with one set of shingles form a class;
+    buckets of more than SMALL_BUCKET classes go through cells, bounded in rows and shingles, that return
+    a spanning forest of confirmed pairs. Nulls, repeats and empty tables as in near_duplicates.
+    """
+    rows = common.checkpointed(docs.select(F.col(id_col).alias("id"), _sketch(F.col(text_col), shingle).alias("s")).select("id", "s.*"))
+    classes = rows.groupBy("same").agg(F.min("id").alias("least"), F.min("fp").alias("fp"), F.min("n").alias("n"), F.min("bands").alias("bands"))
+    classes = common.checkpointed(classes.withColumn("c", F.monotonically_increasing_id()))
+    masks = block_masks(distance, plan_blocks(classes.count(), distance))
+    keys = [F.struct(F.lit(i).alias("block"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(masks)]
+    keys += [F.struct(F.lit(-1 - i).alias("block"), F.get("bands", F.lit(i)).alias("key")) for i in range(BANDS)]
+    members = classes.where("n > 0").select("c", "fp", "n", F.inline(F.array(*keys)))
+    sizes = members.groupBy("block", "key").agg(F.count("*").alias("n"), F.sum("n").alias("shingles")).where("n > 1")
+    sizes = common.checkpointed(sizes)
+    small = members.join(sizes.where(F.col("n") <= common.SMALL_BUCKET).select("block", "key"), ["block", "key"])
+    a, b = (small.select("block", "key", F.col("c").alias(x), F.col("fp").alias(f"fp_{x}"), F.col("n").alias(f"n_{x}")) for x in "ab")
+    close = (F.col("block") < 0) | (F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b"))) <= distance)
+    sized = F.least("n_a", "n_b") >= least * F.greatest("n_a", "n_b")
+    pairs = common.checkpointed(a.join(b, ["block", "key"]).where((F.col("a") < F.col("b")) & close & sized).select("a", "b").distinct())
+    large = sizes.where(F.col("n") > common.SMALL_BUCKET).withColumn("s", F.ceil(F.greatest(F.col("n") / common.CHUNK, F.col("shingles") / CELL_SHINGLES)).cast("int"))
+    crowded = common.checkpointed(members.select("block", "key", "c", "fp").join(common.small(large.select("block", "key", "s")), ["block", "key"]))
+    needed = pairs.select(F.col("a").alias("c")).unionByName(pairs.select(F.col("b").alias("c"))).unionByName(crowded.select("c")).distinct()
+    needed = common.checkpointed(classes.select("c", "same", "least").join(needed, "c"))
+    ids = common.small(needed.select(F.col("least").alias("__id")).where("__id is not null").distinct())
+    of_ids = docs.join(ids, docs[id_col] == ids["__id"], "left_semi").unionByName(docs.where(F.col(id_col).isNull()))
+    sets = of_ids.select(_set(F.col(text_col), shingle).alias("s")).select("s.*").dropDuplicates(["same"])
+    sets = common.checkpointed(sets.join(needed.select("c", "same"), "same").select("c", "shingles"))
+    met = pairs.join(sets.select(F.col("c").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("c").alias("b"), F.col("shingles").alias("y")), "b")
+    links = _confirmed(met, least)
+    chunk = F.pmod(F.xxhash64(F.lit("chunk"), "c"), F.col("s")).cast("int")
+    dealt = crowded.withColumn("chunk", chunk).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("s") - 1)))
+    dealt = dealt.select("block", "key", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "c", "fp").join(sets, "c")
+    forest = lambda cell: _similar_forest(cell, distance, least)
+    links = links.unionByName(common.per_group(dealt, ["block", "key", "i", "j"], forest, "a long, b long"))
+    roots = common.components(links).withColumnRenamed("node", "c")
+    rooted = classes.select("c", "same", "least").join(roots, "c", "left").withColumn("root", F.coalesce("root", "c"))
+    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("same", "component_id")
+    return rows.select("id", "same").join(named, "same").select(F.col("id").alias(id_col), "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float | None = None, **how) -> DataFrame:
     """docs without all but one row of each near-duplicate group: the row of the smallest id stays.
 
-    Rows with a null id stay. Of rows that repeat that id, one stays (smallest by hash of the whole row).
+    Groups are those of similar() if `least` is given, else of near_duplicates(). Rows with a null id stay. Of rows that repeat that id, one stays (smallest by hash of the whole row).
     """
-    found = common.checkpointed(near_duplicates(docs, id_col, text_col, **how).select(F.col(id_col).alias("__id"), "component_id"))
+    groups = near_duplicates(docs, id_col, text_col, **how) if least is None else similar(docs, id_col, text_col, least=least, **how)
+    found = common.checkpointed(groups.select(F.col(id_col).alias("__id"), "component_id"))
     gone = common.small(found.where("__id <> component_id").select("__id").distinct())
     kept = docs.join(gone, docs[id_col] == gone["__id"], "left_anti")
     again = common.small(found.where("__id is not null").groupBy("__id").agg(F.count("*").alias("n")).where("n > 1").select("__id"))

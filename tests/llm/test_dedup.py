@@ -76,6 +76,30 @@ def test_keep_one(spark):
     assert simhash.keep_one(spark.createDataFrame([], DOCS)).count() == 0
 
 
+@pytest.mark.parametrize("small", [32, 1])
+def test_pipeline_keeps_one_of_similar_texts(spark, monkeypatch, small):
+    """Pairs about 0.8 alike, whose fingerprints mostly differ in more than 6 bits, and pairs below it."""
+    import corpus_pipeline
+
+    monkeypatch.setattr(common, "SMALL_BUCKET", small)
+    random.seed(6)
+    word = lambda: "w%d" % random.randrange(5000)
+    texts = [None, "", "a b", "a b"]
+    for i in range(90):
+        words = [word() for _ in range(random.randint(40, 120))]
+        texts.append(" ".join(words))
+        for _ in range(i % 4):
+            words[random.randrange(10, 30)] = word()
+        texts.append(" ".join(words))
+    rows = [(i, t, "x", "y") for i, t in enumerate(texts)]
+    cut = lambda t: {tuple(w[i : i + 5]) for w in [(t or "").split()] for i in range(max(1, len(w) - 4))}
+    sets = [cut(t) for t in texts]
+    want = brute_components(range(len(rows)), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    kept = corpus_pipeline.keep_one(spark, spark.createDataFrame(rows, DOCS), "").collect()
+    assert sorted(r["doc_id"] for r in kept) == sorted(set(want.values()))
+    assert 100 < len(kept) < 180
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(50)] + [(1000, i) for i in range(1001, 1100)] + [(5, 5), (None, 3)]
     got = {r["node"]: r["root"] for r in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}
