@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 #: Fixed values of the HTML standard: elements by how they are parsed and shown.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-HIDDEN = frozenset("head script style template noscript title meta link datalist area param source track iframe noembed noframes object audio video canvas svg math select".split())
+HIDDEN = frozenset("head script style template noscript title meta link datalist area param source track iframe noembed noframes object audio video canvas".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre table figure hr".split())
-BLOCK = SPACED | frozenset("html body div section article header footer nav aside main address form fieldset legend li dt dd tr caption thead tbody tfoot figcaption details summary center dir menu hgroup search dialog".split())
+BLOCK = SPACED | frozenset("html body div section article header footer nav aside main address form fieldset legend li dt dd tr caption thead tbody tfoot figcaption details summary center dir menu hgroup search dialog select option optgroup text".split())
 CLOSES_P = SPACED | frozenset("div section article header footer nav aside main address form fieldset details center dir menu hgroup search dialog".split())
 #: A start tag closes an open element of these names, unless an element of the second set stands between.
 IMPLIED = {
@@ -23,11 +23,18 @@ IMPLIED = {
     "thead": ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption"}, {"table"}), "tbody": ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption"}, {"table"}), "tfoot": ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption"}, {"table"}),
     "option": ({"option"}, {"select"}), "optgroup": ({"option", "optgroup"}, {"select"}), "body": ({"head"}, {"html"}),
 }
+#: What a head may hold; any other start tag or text ends one that was left open.
+HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
+#: Elements of SVG and MathML end at "/>" (below INSIDE, which holds HTML again, they do not); UNSHOWN of them show no text.
+FOREIGN = frozenset("svg math".split())
+INSIDE = frozenset("foreignobject desc annotation-xml".split())
+UNSHOWN = frozenset("defs desc metadata symbol annotation annotation-xml".split())
 SCOPE = frozenset("table td th caption button html template".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)", re.DOTALL)
 _ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.IGNORECASE)
+_UNQUOTED = re.compile(r"=\s*[^\s\"'>]+$")
 _SPACES = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -45,13 +52,18 @@ def parse(page: str) -> Node:
     while at < len(page):
         m = _TOKEN.match(page, at)
         if m is None:  # a tag that never ends is text
+            if stack[-1].name == "head":
+                stack.pop()
             m = re.compile("<").match(page, at)
             stack[-1].children.append("<")
             at = m.end()
             continue
         at = m.end()
         if m[4] is not None:
-            stack[-1].children.append(html.unescape(m[4]))
+            shown = html.unescape(m[4])
+            if stack[-1].name == "head" and shown.strip(" \t\n\r\f"):
+                stack.pop()
+            stack[-1].children.append(shown)
         elif m[2] is None:
             continue
         elif m[1]:
@@ -60,18 +72,26 @@ def parse(page: str) -> Node:
             name = m[2].lower()
             _start(stack, name)
             attrs = {k.lower(): html.unescape(a or b or c or "") for k, a, b, c in _ATTR.findall(m[3])} if m[3].strip(" \t\n\r\f/") else {}
+            if name in UNSHOWN and _foreign(stack):
+                attrs["hidden"] = ""
             node = Node(name, attrs)
             stack[-1].children.append(node)
             if name in RAW:
                 close = re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.IGNORECASE).search(page, at)
                 node.children.append(page[at : close.start() if close else len(page)])
                 at = close.end() if close else len(page)
-            elif name not in VOID:
+            elif name not in VOID and not (m[3].endswith("/") and not _UNQUOTED.search(m[3]) and (name in FOREIGN or _foreign(stack))):
                 stack.append(node)
     return root
 
 
+def _foreign(stack: list[Node]) -> bool:
+    return next((x.name for x in reversed(stack) if x.name in FOREIGN or x.name in INSIDE), "") in FOREIGN
+
+
 def _start(stack: list[Node], name: str) -> None:
+    if stack[-1].name == "head" and name not in HEAD:
+        stack.pop()
     if name in CLOSES_P:
         _close(stack, {"p"}, SCOPE)
     elif name in IMPLIED:
@@ -102,7 +122,7 @@ def _end(stack: list[Node], name: str) -> None:
 
 def hidden(node: Node) -> bool:
     a = node.attrs
-    return node.name in HIDDEN or "hidden" in a or _UNSEEN.search(a.get("style", "")) is not None or a.get("aria-hidden", "").lower() == "true" or (node.name == "dialog" and "open" not in a)
+    return node.name in HIDDEN or "hidden" in a or _UNSEEN.search(a.get("style", "")) is not None or (node.name == "dialog" and "open" not in a)
 
 
 class Page:

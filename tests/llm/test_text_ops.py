@@ -265,6 +265,24 @@ def test_html(spark):
     assert "deep" in got[len(PAGES) - 1] and "in" in got[len(PAGES) - 1]
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<head><title>T</title><p>Hello", "Hello"),
+        ("<html><head><meta charset=x> Hello <b>you</b>", "Hello you"),
+        ("<head><style>a</style><script>b</script></head><body>c", "c"),
+        ("<p>a <span aria-hidden=true>b</span> c", "a b c"),
+        ("<p>Pick<select><option>one<option>two</select>", "Pick\none\ntwo"),
+        ("<p>See <svg width='9'><title>t</title><text>drawn</text><path d='x'/></svg>", "See\ndrawn"),
+        ("<p>It is <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>tex</annotation></math>.", "It is x=2."),
+        ("<div>a <svg/>b <math />c</div>d", "a b c\nd"),
+        ("<div>a <svg><a href=x/>b</a></svg>c</div>", "a bc"),
+    ],
+)
+def test_html_shows_what_browsers_show(page, want):
+    assert html_text.page_text(page) == want
+
+
 SF = "/root/testdata/sf0.001"
 
 
