@@ -17,11 +17,13 @@ CHUNK = 4096
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; only where it is unset, as in tests on one machine, a temporary folder becomes it."""
+    """spark.checkpoint.dir; only where it is unset and all runs in one process a temporary folder becomes it."""
     sc = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if folder is None:
-        folder = sc.getCheckpointDir() or tempfile.mkdtemp(prefix="checkpoint-")
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="checkpoint-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(folder)
     return folder
@@ -80,15 +82,24 @@ def large_bucket_cells(members: DataFrame, sizes: DataFrame, keys: list[str], me
     """Members of large buckets, dealt to cells that together hold every pair of a bucket once.
 
     A bucket of n members is cut by hash into s = ceil(n / CHUNK) chunks; cell (i, j), i <= j, gets
-    chunks i and j. Adds `cell`, `chunk` and `mixed` (i < j) columns. Each cell is bounded whatever the bucket's size.
+    chunks i and j. Adds `i`, `j` (a cell is keys, i and j) and `chunk`. Each cell is bounded whatever the bucket's size.
     """
     large = sizes.where(F.col("n") > SMALL_BUCKET).withColumn("s", F.ceil(F.col("n") / CHUNK).cast("int"))
     chunk = F.pmod(F.xxhash64(F.lit("chunk"), member), F.col("s")).cast("int")
-    dealt = members.join(large, keys).withColumn("chunk", chunk)
-    other = F.explode(F.sequence(F.lit(0), F.col("s") - 1))
-    dealt = dealt.withColumn("other", other)
-    cell = F.struct(*keys, F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
-    return dealt.withColumn("cell", F.xxhash64(cell)).withColumn("mixed", F.size(F.array_distinct(F.array("chunk", "other"))) > 1).drop("other", "s", "n")
+    dealt = members.join(large, keys).withColumn("chunk", chunk).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("s") - 1)))
+    return dealt.withColumn("i", F.least("chunk", "other")).withColumn("j", F.greatest("chunk", "other")).drop("other", "s", "n")
+
+
+def free(df: DataFrame, *names: str) -> list[str]:
+    """Names like the given ones that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def per_group(df: DataFrame, by: list[str], work: Callable[[pd.DataFrame], Iterator[pd.DataFrame] | pd.DataFrame], schema: str | T.StructType) -> DataFrame:

@@ -15,8 +15,8 @@ from logloom.llm import common
 
 #: Width of a quantisation step; unit vectors at cosine 0.9 are 0.447 apart, unrelated ones about 1.414.
 WIDTH = 2.0
-#: Pairs whose 64 sign bits differ in more are not compared: at cosine 0.9 the mean is 9.2, deviation 2.8.
-MOST_SIGNS = 26
+#: Chance that the check of sign bits passes over a pair at the threshold; what hashing misses is far more.
+MISSED = 1e-9
 _BLOCK = 512
 
 
@@ -34,6 +34,17 @@ def plan(n: int, cosine: float, recall: float, width: float = WIDTH) -> tuple[in
     return k, max(1, math.ceil(math.log(1 - recall) / math.log1p(-p)))
 
 
+def most_signs(cosine: float, missed: float = MISSED) -> int:
+    """Of 64 random planes, so many lie between two vectors of that cosine but with a chance of `missed` at most."""
+    p = math.acos(cosine) / math.pi
+    above = 1.0
+    for k in range(65):
+        above -= math.comb(64, k) * p**k * (1 - p) ** (64 - k)
+        if above <= missed:
+            return k
+    return 64
+
+
 def _sketches(vectors: list, k: int, tables: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     codes, signs = np.zeros((len(vectors), tables), np.int64), np.zeros(len(vectors), np.int64)
     by_size: dict[int, list[int]] = {}
@@ -61,20 +72,24 @@ def _unit(v: np.ndarray) -> np.ndarray:
 def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = 0.9, recall: float = 0.98, seed: int = 17) -> DataFrame:
     """(id_col, n_links, component_id, kept) for every row: cosine >= `cosine` links, in double precision.
 
-    Equal vectors form a class that is hashed once and counts with its rows. Buckets of up to
-    common.SMALL_BUCKET classes pair by a join of ids and sign bits, and the few pairs left fetch their
+    Equal vectors, compared whole, form a class that is hashed once and counts with its rows. Buckets of up to
+    common.SMALL_BUCKET classes pair by a join of class ids and sign bits (most_signs), and the few pairs left fetch their
     vectors; larger ones are compared in cells of two bounded chunks, which return link counts and a
     spanning forest, never all pairs. A pair that meets in large buckets counts in the first of its
     tables only, and then not among the small ones.
 
     Vectors that are null, empty, zero, or hold a null or non-finite component link with nothing, nor do
-    rows with a null id (component_id and kept are then null); vectors of unequal lengths never link.
+    rows with a null id (component_id and kept are then null); vectors of unequal lengths never link. Repeated rows give
+    repeated rows, each a link of the other; an empty table gives none; other columns are not looked at.
     """
     fine = F.col("v").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     given = rows.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
     given = given.select("id", "v", F.coalesce(fine, F.lit(False)) & F.col("id").isNotNull() & F.forall(F.coalesce("v", F.array()), lambda x: ~F.isnan(F.coalesce(x, F.lit(0.0)))))
-    given = given.toDF("id", "v", "fine").withColumn("node", F.when(F.col("fine"), F.xxhash64("v")))
-    classes = common.checkpointed(given.where("fine").groupBy("node").agg(F.first("v").alias("v"), F.count("*").alias("copies"), F.min("id").alias("least")))
+    # two hashes deal out and order the vectors; the vector itself decides which are equal
+    same = ["h1", "h2", "v"]
+    given = given.toDF("id", "v", "fine").withColumn("h1", F.xxhash64("v")).withColumn("h2", F.xxhash64(F.lit("second"), "v"))
+    classes = given.where("fine").groupBy(*same).agg(F.count("*").alias("copies"), F.min("id").alias("least"))
+    classes = common.checkpointed(classes.withColumn("node", F.monotonically_increasing_id()))
     k, tables = plan(classes.count(), cosine, recall)
 
     @F.arrow_udf("struct<codes: array<long>, signs: long>")
@@ -82,7 +97,7 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "
         codes, signs = _sketches(vs.to_pylist(), k, tables, seed)
         return pa.StructArray.from_arrays([pa.array(list(codes), pa.list_(pa.int64())), pa.array(signs)], ["codes", "signs"])
 
-    sketched = common.checkpointed(classes.withColumn("sketch", sketch("v")).select("node", "v", "copies", "least", "sketch.codes", "sketch.signs"))
+    sketched = common.checkpointed(classes.withColumn("sketch", sketch("v")).select("node", *same, "copies", "least", "sketch.codes", "sketch.signs"))
     members = sketched.select("node", "signs", F.posexplode("codes").alias("t", "code"))
     sizes = members.groupBy("t", "code").agg(F.count("*").alias("n")).where("n > 1")
     large = members.join(sizes.where(F.col("n") > common.SMALL_BUCKET), ["t", "code"])
@@ -92,7 +107,7 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "
     small = members.join(sizes.where(F.col("n") <= common.SMALL_BUCKET), ["t", "code"])
     a = small.select("t", "code", F.col("node").alias("a"), F.col("signs").alias("sa"))
     b = small.select("t", "code", F.col("node").alias("b"), F.col("signs").alias("sb"))
-    near = F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))) <= MOST_SIGNS
+    near = F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))) <= most_signs(cosine)
     pairs = a.join(b, ["t", "code"]).where((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
     side = lambda s: sketched.select(*[F.col(c).alias(s + c) for c in ("node", "v", "codes", "big", "copies")])
     met = pairs.join(side("a_"), F.col("a") == F.col("a_node")).join(side("b_"), F.col("b") == F.col("b_node"))
@@ -101,16 +116,16 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "
     both = F.inline(F.array(F.struct(F.col("a").alias("node"), F.col("b_copies").alias("links"), F.least("a", "b").alias("to")), F.struct(F.col("b").alias("node"), F.col("a_copies").alias("links"), F.least("a", "b").alias("to"))))
     found = linked.select(both)
 
-    cells = common.large_bucket_cells(members, sizes, ["t", "code"], "node").select("cell", "chunk", "mixed", "t", "node")
+    cells = common.large_bucket_cells(members, sizes, ["t", "code"], "node").select("t", "code", "i", "j", "chunk", "node")
     dealt = cells.join(sketched.select("node", "v", "codes", "big", "copies"), "node")
-    compared = common.per_group(dealt, ["cell"], lambda cell: _compare(cell, cosine), "node long, links long, to long")
+    compared = common.per_group(dealt, ["t", "code", "i", "j"], lambda cell: _compare(cell, cosine), "node long, links long, to long")
     found = common.checkpointed(found.unionByName(compared))
 
     roots = common.components(found.select(F.col("node").alias("a"), F.col("to").alias("b")))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
-    named = sketched.select("node", "copies", "least").join(links, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    named = named.join(named.groupBy("root").agg(F.min("least").alias("component")), "root").select("node", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), "component")
-    out = given.select("id", "node").join(named, "node", "left")
+    named = sketched.select("node", *same, "copies", "least").join(links, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = named.join(named.groupBy("root").agg(F.min("least").alias("component")), "root").select(*same, F.lit(True).alias("fine"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), "component")
+    out = given.join(named, [*same, "fine"], "left")
     component = F.coalesce("component", "id")
     return out.select(F.col("id").alias(id_col), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("id") == component).alias("kept"))
 
@@ -125,7 +140,7 @@ def _compare(cell: pd.DataFrame, cosine: float) -> pd.DataFrame:
     out, t = [], int(cell["t"].iloc[0])
     for _, same in cell.groupby(cell["v"].map(len)):
         low, high = same["chunk"].min(), same["chunk"].max()
-        if low == high and bool(cell["mixed"].iloc[0]):
+        if low == high and cell["i"].iloc[0] != cell["j"].iloc[0]:
             continue  # only one of the cell's chunks has such vectors: that chunk's own cell compares them
         left, right = same[same["chunk"] == low], same[same["chunk"] == high]
         lv, rv = _unit(np.stack(left["v"].to_numpy())), _unit(np.stack(right["v"].to_numpy()))

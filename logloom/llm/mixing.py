@@ -32,11 +32,12 @@ def share_out(nodes: DataFrame, parent: list[str]) -> DataFrame:
     fits = (F.col("weight") > 0) & (F.col("capacity").cast("decimal(38,0)") * F.col("open") <= F.col("weight").cast("decimal(38,0)") * (F.col("budget") - F.col("full")))
     spread = spread.withColumn("fits", fits)
     # the fits come first in this order; what is left after them is shared by weight
-    ends = spread.groupBy(*parent).agg(F.sum(F.when(F.col("fits"), F.col("capacity")).otherwise(0)).alias("used"), F.sum(F.when(~F.col("fits"), F.col("weight")).otherwise(0)).alias("others"))
+    siblings = Window.partitionBy(*parent)
+    ends = spread.withColumn("used", F.sum(F.when(F.col("fits"), F.col("capacity")).otherwise(0)).over(siblings)).withColumn("others", F.sum(F.when(~F.col("fits"), F.col("weight")).otherwise(0)).over(siblings))
     left = F.greatest(F.col("budget") - F.col("used"), F.lit(0))
     part = F.expr("cast(cast(greatest(budget - used, 0) as decimal(28,0)) * weight div greatest(others, 1) as bigint)")
     share = F.when(F.col("fits"), F.col("capacity")).otherwise(F.when(left > 0, part).otherwise(0)).cast("long")
-    return spread.join(ends, parent).withColumn("share", share).drop("fill", "full", "open", "fits", "used", "others")
+    return ends.withColumn("share", share).drop("fill", "full", "open", "fits", "used", "others")
 
 
 def leaf_budgets(leaves: DataFrame, weights: dict[str, dict[str, int]], share: float, max_epochs: int) -> DataFrame:
@@ -54,14 +55,15 @@ def leaf_budgets(leaves: DataFrame, weights: dict[str, dict[str, int]], share: f
             out = F.when(F.col(level) == value, F.lit(w)).otherwise(out)
         return out.cast("long")
 
-    leaves = leaves.withColumn("capacity", F.col("tokens") * max_epochs).withColumn("root", F.lit(""))
-    now = leaves.groupBy("root").agg(F.least(F.floor(F.sum("tokens") * F.lit(share)).cast("long"), F.sum("capacity")).alias("budget"))
-    path = ["root", "domain", "lang", "source"]
-    for depth in range(1, len(path)):
-        parent, own = path[:depth], path[: depth + 1]
-        nodes = leaves.groupBy(*own).agg(F.sum("capacity").alias("capacity")).withColumn("weight", weight(path[depth])).withColumn("node", F.col(path[depth]))
-        now = share_out(nodes.join(now, parent), parent).select(*own, F.col("share").alias("budget"))
-    return now.drop("root")
+    leaves = common.checkpointed(leaves.withColumn("capacity", F.col("tokens") * max_epochs))
+    root = leaves.agg(F.least(F.floor(F.sum("tokens") * F.lit(share)).cast("long"), F.sum("capacity")).alias("budget")).first()["budget"] or 0
+    path, now = ["domain", "lang", "source"], None
+    for depth in range(1, len(path) + 1):
+        parent, own = path[: depth - 1], path[:depth]
+        nodes = leaves.groupBy(*own).agg(F.sum("capacity").alias("capacity")).withColumn("weight", weight(path[depth - 1])).withColumn("node", F.col(path[depth - 1]))
+        nodes = nodes.withColumn("budget", F.lit(root).cast("long")) if now is None else nodes.join(now, parent)
+        now = common.checkpointed(share_out(nodes, parent).select(*own, F.col("share").alias("budget")))
+    return now
 
 
 def mix(docs: DataFrame, weights: dict[str, dict[str, int]] | None = None, share: float = 0.5, max_epochs: int = 2, seed: int = 11, domain: Column | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -73,13 +75,13 @@ def mix(docs: DataFrame, weights: dict[str, dict[str, int]] | None = None, share
     times. Documents without words cost nothing. Null lang, source or domain count as ''. Rows that
     repeat an id stand in one place of the order and are taken or left together when their joint
     tokens fit. An empty table gives an empty result. Columns of docs
-    whose names start with mix_ are dropped.
+    called mix_tokens, mix_epoch or mix_budget are replaced, all others pass through.
 
     Scale: a leaf may hold any part of the rows. Its order is cut into RANGES ranges of the hash, which
     are summed first; only the range in which the budget ends is sorted, the rest is a comparison.
     """
     domain = F.col("source") if domain is None else domain
-    docs = docs.select(*[c for c in docs.columns if not c.startswith("mix_")])
+    docs = docs.select(*[c for c in docs.columns if c.lower() not in MIX])
     leaf = F.struct(F.coalesce(domain, F.lit("")).alias("domain"), F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"))
     slim = common.checkpointed(docs.select(leaf.alias("leaf"), F.col(id_col).alias("id"), n_words(text_col).alias("tokens")))
     leaves = slim.groupBy("leaf").agg(F.sum("tokens").alias("tokens")).select("leaf.*", "tokens")
@@ -99,15 +101,17 @@ def mix(docs: DataFrame, weights: dict[str, dict[str, int]] | None = None, share
     cuts = at_end.withColumn("upto", upto).where("upto <= rest").groupBy("leaf").agg(F.max(F.struct("order", "id")).alias("cut"))
     # a range whose first document is too long: the cut is before it, at the end of the ranges that fit
     cuts = ends.join(cuts, "leaf", "left").select("leaf", "range", "cut")
-    plan = common.small(plan.join(cuts, "leaf", "left").select(F.col("leaf").alias("mix_leaf"), F.col("full").alias("mix_full"), F.col("budget").alias("mix_budget"), F.col("range").alias("mix_range"), F.col("cut").alias("mix_cut")))
+    names = dict(zip(("leaf", "full", "budget", "range", "cut"), common.free(docs, "leaf", "full", "budget", "range", "cut"), strict=True))
+    plan = common.small(plan.join(cuts, "leaf", "left").select(*[F.col(k).alias(v) for k, v in names.items()]))
 
-    order = _order(seed, F.col("mix_full"), F.col(id_col))
+    c = lambda k: F.col(names[k])
+    order = _order(seed, c("full"), F.col(id_col))
     at = (F.conv(F.substring(order, 1, 4), 16, 10).cast("int") * RANGES / (1 << 16)).cast("int")
-    under = (at < F.col("mix_range")) | ((at == F.col("mix_range")) & (F.struct(order.alias("order"), F.col(id_col).alias("id")) <= F.col("mix_cut")))
-    times = F.col("mix_full") + F.when((F.col("mix_full") < max_epochs) & F.coalesce(under, F.lit(False)), 1).otherwise(0)
-    taken = docs.withColumn("mix_leaf", leaf).join(plan, "mix_leaf").withColumn("mix_times", times).where("mix_times > 0")
-    taken = taken.withColumn("mix_tokens", n_words(text_col)).withColumn("mix_epoch", F.explode(F.sequence(F.lit(0), F.col("mix_times") - 1)))
-    return taken.select(*docs.columns, *MIX)
+    under = (at < c("range")) | ((at == c("range")) & (F.struct(order.alias("order"), F.col(id_col).alias("id")) <= c("cut")))
+    times = c("full") + F.when((c("full") < max_epochs) & F.coalesce(under, F.lit(False)), 1).otherwise(0)
+    taken = docs.withColumn(names["leaf"], leaf).join(plan, names["leaf"])
+    taken = taken.select(*docs.columns, n_words(text_col).alias("mix_tokens"), c("budget").alias("mix_budget"), times.alias("mix_epoch")).where("mix_epoch > 0")
+    return taken.withColumn("mix_epoch", F.explode(F.sequence(F.lit(0), F.col("mix_epoch") - 1))).select(*docs.columns, *MIX)
 
 
 #: Columns that mix() adds.

@@ -4,26 +4,29 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Callable, Iterator
-from functools import cache
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import regex
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from logloom.llm import common, ngrams
 
-#: Symbols of an n-gram and bits of a symbol: a language has at most 2 ** (N * BITS) n-grams, whatever the input.
-N, BITS = 4, 6
+#: Characters of an n-gram: true code points, as the text has them. What is counted grows with the input.
+N = 5
 UNKNOWN = "und"
-#: A band reaches from the median by so many spreads (of the middle 80 %, in standard deviations of a normal
-#: distribution), each side at least LEAST in log perplexity.
-SPREADS, LEAST = 5.0, 0.1
-#: A text this much above its model's mean may be of several languages: its segments are scored by the best model each.
-MIXED, SEGMENT = 0.06, 64
+#: A band reaches from the median by so many spreads down and up (of the middle 80 %, in standard deviations of a
+#: normal distribution), each side at least LEAST in log perplexity.
+SPREADS, LEAST = (6.0, 4.0), 0.05
+#: Entries (12 bytes each) of the models that workers hold at once; more are scored in several passes.
+PACK = 1 << 23
 SYMBOLS = frozenset("#*$%&|<>")
-#: Symbols from MARKS up to before CAPITAL are marks.
-MARKS, CAPITAL = 28, 50
+#: Hash of no symbols.
+START = 0x632BE59BD9B4E019
 _DROP_SYMBOLS = str.maketrans("", "", "".join(SYMBOLS))
 
 
@@ -51,217 +54,307 @@ def base_counts(text: str | None) -> tuple[int, int, int, int, int]:
     return len(words), chars, symbols, len(lines) - len(set(lines)), repeated
 
 
-@cache
-def _classes() -> np.ndarray:
-    """Symbol of each code point: a-z, digits, blanks, line ends, common marks apart; capitals as one; other letters in 12 groups. 0 is the start of a text."""
-    of = np.full(0x110000, 63, np.uint8)
-    for i in range(128, 0x110000):
-        if (c := chr(i)).isalpha():
-            of[i] = 50 if c.isupper() else 51 + i % 12
-        elif c.isspace():
-            of[i] = 28
-    of[33:127] = 49
-    of[ord("a") : ord("z") + 1] = np.arange(1, 27)
-    of[ord("A") : ord("Z") + 1] = 50
-    of[ord("0") : ord("9") + 1] = 27
-    for i, c in enumerate(".,;:!?'\"()-"):
-        of[ord(c)] = 30 + i
-    for i, c in enumerate(sorted(SYMBOLS)):
-        of[ord(c)] = 41 + i
-    of[[9, 11, 12, 13, 32]], of[10] = 28, 29
-    return of
+#: A mark right after the same mark; letters, digits and white space are no marks.
+_AGAIN = regex.compile(r"([^\p{L}\p{M}\p{N}\s])\1+")
+
+
+def _plain(text: str) -> str:
+    """The text that the models read: a run of one mark counts as one."""
+    return _AGAIN.sub(r"\1", text)
+
+
+def _pieces(text: str) -> Iterator[np.ndarray]:
+    """Code points of a text in pieces of about PART, each after the N - 1 before it (0 before the first)."""
+    codes = np.concatenate([np.zeros(N - 1, np.uint32), ngrams.code_points(_plain(text))])
+    return ngrams.parts(codes, N)
+
+
+def _mixed(h: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+    h = (h ^ symbol) * np.uint64(0x9E3779B97F4A7C15)
+    return h ^ h >> np.uint64(29)
+
 
+def hashes(symbols: np.ndarray) -> list[np.ndarray]:
+    """For each order from 1 to N the hashes of the n-grams that end at each position from N - 1 on.
 
-def grams(text: str) -> np.ndarray:
-    """Packed n-grams of a text after N - 1 start symbols, one for each character; a run of one mark or symbol counts once."""
-    s = _classes()[ngrams.code_points(text)]
-    if len(s) > 1:
-        s = s[np.concatenate([[True], (s[1:] != s[:-1]) | (s[1:] < MARKS) | (s[1:] >= CAPITAL)])]
-    s = np.concatenate([np.zeros(N - 1, np.uint8), s]).astype(np.int32)
-    out = s[: len(s) - N + 1].copy()
-    for i in range(1, N):
-        out = out << BITS | s[i : len(s) - N + 1 + i]
+    A hash takes in the last symbol first, so that each order's continues the one below.
+    """
+    wide, out, h = symbols.astype(np.uint64), [], np.uint64(START)
+    for k in range(N):
+        h = _mixed(h, wide[N - 1 - k : len(wide) - k])
+        out.append(h)
     return out
 
 
+def _part(symbol: np.ndarray, parts: int) -> np.ndarray:
+    return _mixed(np.uint64(7), symbol.astype(np.uint64)) % np.uint64(parts)
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts, waiting, held = ngrams.Counts(), {}, 0
+    """Distinct n-grams of order N and their counts, each task's in bounded parts that Spark adds up."""
+    waiting: dict[str, list[np.ndarray]] = {}
+    held = 0
+
+    def hand_on() -> Iterator[pa.RecordBatch]:
+        for lang, texts in waiting.items():
+            symbols = np.concatenate(texts)
+            ends = np.cumsum([len(x) for x in texts])[:-1]
+            inside = np.ones(len(symbols), bool)  # an n-gram must not reach into the text before
+            inside[: N - 1] = False
+            for k in range(N - 1):
+                inside[ends + k] = False
+            own = np.flatnonzero(inside[N - 1 :])
+            _, first, n = np.unique(hashes(symbols)[-1][own], return_index=True, return_counts=True)
+            rows = np.lib.stride_tricks.sliding_window_view(symbols, N)[own[first]].astype("<u4")
+            for at in range(0, len(rows), 1 << 16):
+                part = rows[at : at + (1 << 16)]
+                grams = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * N), len(part), [None, pa.py_buffer(part.tobytes())])
+                yield pa.record_batch({"lang": pa.array([lang] * len(part), pa.string()), "gram": grams.cast(pa.binary()), "n": pa.array(n[at : at + (1 << 16)], pa.int64())})
+        waiting.clear()
+
     for batch in batches:
         for lang, text in zip(batch["lang"], batch["text"], strict=True):
-            own = grams(text.as_py())
-            waiting.setdefault(lang.as_py(), []).append(own)
-            held += len(own)
-            if held >= ngrams.PART:
-                for k, arrays in waiting.items():
-                    counts.add(k, np.concatenate(arrays))
-                waiting, held = {}, 0
-                if counts.size() >= ngrams.HELD:
-                    yield from _handed(counts)
-    for k, arrays in waiting.items():
-        counts.add(k, np.concatenate(arrays))
-    yield from _handed(counts)
+            for piece in _pieces(text.as_py()):
+                waiting.setdefault(lang.as_py(), []).append(piece)
+                held += len(piece)
+                if held >= COUNTED:
+                    yield from hand_on()
+                    held = 0
+    yield from hand_on()
 
 
-def _handed(counts: ngrams.Counts) -> Iterator[pa.RecordBatch]:
-    for lang, keys, n in counts.take():
-        for at in range(0, len(keys), 1 << 16):
-            part = keys[at : at + (1 << 16)]
-            yield pa.record_batch({"lang": pa.array([lang] * len(part), pa.string()), "gram": pa.array(part, pa.int32()), "n": pa.array(n[at : at + (1 << 16)], pa.int64())})
+#: Characters whose n-grams a task counts before it hands them on.
+COUNTED = 1 << 22
 
 
-def _hash(order: int, keys: np.ndarray) -> np.ndarray:
-    h = (keys.astype(np.uint64) + np.uint64(order << 40)) * np.uint64(0x9E3779B97F4A7C15)
-    return h ^ h >> np.uint64(29)  # both steps can be undone: no two n-grams share a hash
+def _discounts(grams: DataFrame) -> DataFrame:
+    """(lang, d1, d2, d3): modified Kneser-Ney discounts of counts of 1, 2 and 3 or more, from the counts of
+    counts; halves of the counts where those are too few."""
+    of = [F.count_if(F.col("n") == i).alias(f"t{i}") for i in (1, 2, 3, 4)]
+    y = F.col("t1") / (F.col("t1") + 2 * F.col("t2"))
+    few = F.least("t1", "t2", "t3", "t4") == 0
+    d = [F.when(few, 0.5 * i).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(0.95 * i), i - (i + 1) * y * F.col(f"t{i + 1}") / F.col(f"t{i}")))).alias(f"d{i}") for i in (1, 2, 3)]
+    return grams.groupBy("lang").agg(*of).select("lang", *d)
 
 
-class Model:
-    """Modified Kneser-Ney, interpolated down to a uniform distribution, in sorted arrays of hashes.
-
-    For every seen n-gram of each order its probability, for every seen context its back-off weight.
+def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Hashes, as hashes() gives them, and symbols of n-grams (level above 0) and contexts."""
+    for batch in batches:
+        level, given = batch["level"].to_numpy(), batch["gram"].to_pylist()
+        sizes = np.where(level > 0, level, -level)
+        h, symbol = np.full(len(given), START, np.uint64), np.full(len(given), -1, np.int64)
+        for k in np.unique(level):
+            own = np.flatnonzero(level == k)
+            size = int(sizes[own[0]])
+            symbols = np.frombuffer(b"".join([given[i] for i in own]), "<u4").reshape(len(own), size)
+            at = h[own]
+            for i in range(size - 1, -1, -1):
+                at = _mixed(at, symbols[:, i].astype(np.uint64))
+            h[own] = at
+            if size > (k > 0):
+                symbol[own] = symbols[:, -2 if k > 0 else -1]
+        yield pa.record_batch({"lang": batch["lang"], "level": batch["level"], "symbol": pa.array(symbol), "hash": pa.array(h.view(np.int64)), "value": batch["value"]})
+
+
+def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """(lang, level, symbol, hash, value): modified Kneser-Ney models of all texts, interpolated down to single symbols
+    and there with a uniform share for unseen ones. Null languages share one model.
+
+    Everything is counted, discounted and interpolated by Spark. Level k of 1 to N holds the probability of each seen
+    n-gram of order k, level -k the back-off weight of each seen context of k symbols; symbol is the one before the
+    last of an n-gram, the last of a context (-1 where there is none).
     """
+    given = docs.select(F.coalesce(F.col(lang_col), F.lit(UNKNOWN)).alias("lang"), F.col(text_col).alias("text")).where("text is not null and text <> ''")
+    counted = given.mapInArrow(_count, "lang string, gram binary, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    grams = {N: common.checkpointed(counted)}
+    for k in range(N - 1, 0, -1):  # lower orders count the distinct symbols to the left
+        suffix = F.substring("gram", 5, 4 * k).alias("gram")
+        grams[k] = common.checkpointed(grams[k + 1].groupBy("lang", suffix).agg(F.count("*").alias("n")))
+    lower, out = None, []
+    for k in range(1, N + 1):
+        taken = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
+        context = F.substring("gram", 1, 4 * (k - 1))
+        own = grams[k].join(_discounts(grams[k]), "lang").select("lang", "gram", context.alias("context"), "n", taken.alias("taken"))
+        totals = own.groupBy("lang", "context").agg(F.sum("n").alias("total"), (F.sum("taken") / F.sum("n")).alias("weight"))
+        if k == 1:  # one of 2 ** 20 symbols, if none was seen
+            below = own.withColumn("below", F.lit(2.0**-20))
+        else:
+            below = own.withColumn("suffix", F.substring("gram", 5, 4 * (k - 1))).join(lower.select("lang", F.col("gram").alias("suffix"), F.col("value").alias("below")), ["lang", "suffix"])
+        value = (F.col("n") - F.col("taken")) / F.col("total") + F.col("weight") * F.col("below")
+        lower = common.checkpointed(below.join(totals, ["lang", "context"]).select("lang", "gram", value.alias("value")))
+        own = lower.select("lang", F.lit(k).alias("level"), "gram", F.col("value").cast("float").alias("value"))
+        weights = totals.select("lang", F.lit(1 - k).alias("level"), F.col("context").alias("gram"), F.col("weight").cast("float").alias("value"))
+        out = [*out, own, weights]
+    return common.checkpointed(reduce(DataFrame.unionByName, out).mapInArrow(_entries, "lang string, level int, symbol long, hash long, value float"))
+
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray) -> None:
-        grams: list[tuple[np.ndarray, np.ndarray]] = [(keys.astype(np.int64), counts.astype(float))]
-        for order in range(N - 1, 0, -1):  # lower orders count the distinct symbols to the left
-            suffix, n = np.unique(grams[0][0] & ((1 << BITS * order) - 1), return_counts=True)
-            grams.insert(0, (suffix, n.astype(float)))
-        hashes, values = [], []
-        lower_keys, lower = np.zeros(0, np.int64), np.zeros(0)
-        for order, (own, n) in enumerate(grams, 1):
-            context, at = np.unique(own >> BITS, return_inverse=True)
-            total = np.bincount(at, n, len(context))
-            d = _discounts(n)
-            kind = np.minimum(n, 3).astype(int)
-            weight = np.bincount(at, d[kind], len(context)) / total
-            below = lower[np.searchsorted(lower_keys, own & ((1 << BITS * (order - 1)) - 1))] if order > 1 else np.full(len(own), 2.0**-BITS)
-            p = (n - d[kind]) / total[at] + weight[at] * below
-            hashes += [_hash(order, own), _hash(order + N, context)]
-            values += [p, weight]
-            lower_keys, lower = own, p
-        hashes, values = np.concatenate(hashes), np.concatenate(values)
-        order = np.argsort(hashes)
-        self.hashes, self.values = hashes[order], values[order].astype(np.float32)
-        self.mean = float(-(np.log(self.probability(keys.astype(np.int64))) * counts).sum() / counts.sum())
-
-    def look_up(self, order: int, keys: np.ndarray, absent: float) -> np.ndarray:
-        h = _hash(order, keys)
-        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == h, self.values[at], absent).astype(float)
-
-    def probability(self, keys: np.ndarray, order: int = N) -> np.ndarray:
-        """Of the last symbol of each packed n-gram after the others; lower orders only where a gram is unseen."""
+class Model:
+    """One language's model in sorted arrays of hashes, or the part of it for what follows one group of symbols."""
+
+    def __init__(self, level: np.ndarray, hashes: np.ndarray, values: np.ndarray) -> None:
+        self.levels = {}
+        for k in range(1 - N, N + 1):
+            own = np.flatnonzero(level == k)
+            own = own[np.argsort(hashes[own])]
+            self.levels[k] = hashes[own], values[own]
+
+    def look_up(self, level: int, h: np.ndarray, absent: float) -> np.ndarray:
+        known, values = self.levels[level]
+        if not len(known):
+            return np.full(len(h), absent)
+        at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+        return np.where(known[at] == h, values[at], absent).astype(float)
+
+    def probability(self, grams: list[np.ndarray], contexts: list[np.ndarray], order: int = N) -> np.ndarray:
+        """Of last symbols after what stands before; grams and contexts: hashes by order, from 1."""
         if order == 0:
-            return np.full(len(keys), 2.0**-BITS)
-        own = keys & ((1 << BITS * order) - 1)
-        p = self.look_up(order, own, -1)
+            return np.full(len(grams[0]), 2.0**-20)
+        p = self.look_up(order, grams[order - 1], -1)
         new = np.flatnonzero(p < 0)
         if len(new):
-            p[new] = self.look_up(order + N, own[new] >> BITS, 1) * self.probability(own[new], order - 1)
+            weight = self.look_up(1 - order, contexts[order - 2][new] if order > 1 else np.full(len(new), START, np.uint64), 1)
+            p[new] = weight * self.probability([g[new] for g in grams], [c[new] for c in contexts], order - 1)
         return p
 
-    def surprise(self, keys: np.ndarray) -> np.ndarray:
-        """Negative log probability of each n-gram."""
-        unique, at = np.unique(keys, return_inverse=True)
-        return -np.log(self.probability(unique))[at]
-
-
-def _discounts(n: np.ndarray) -> np.ndarray:
-    """For counts of 0, 1, 2 and 3 or more, from the counts of counts; halves of the counts where those are too few."""
-    of = [np.count_nonzero(n == i) for i in range(1, 5)]
-    if min(of) == 0:
-        return np.array([0, 0.5, 1.0, 1.5])
-    y = of[0] / (of[0] + 2 * of[1])
-    return np.clip([0, *(i - (i + 1) * y * of[i] / of[i - 1] for i in (1, 2, 3))], 0, [0, 0.95, 1.9, 2.85])
-
-
-def log_perplexities(models: Callable[[str], Model | None], langs: list[str | None], texts: list[str | None], known: list[str]) -> list[float | None]:
-    """Mean surprise a symbol of each text under its language's model, texts of a language worked on together.
-
-    Texts more than MIXED above the model's mean are cut into segments of SEGMENT symbols, each scored by
-    the model of any language that likes it best, so that quotations in another language do not count
-    against a text. None for empty texts and languages without a model.
-    """
+    def surprise(self, symbols: np.ndarray, part: int = 0, parts: int = 1) -> np.ndarray:
+        """Negative log probability of each symbol after the first N - 1; 0 for those that other parts are to score."""
+        grams = hashes(symbols)
+        before = hashes(np.concatenate([[0], symbols[:-1]]).astype(np.uint32))
+        own = np.arange(len(grams[0])) if parts == 1 else np.flatnonzero(_part(symbols[N - 2 : -1], parts) == part)
+        _, first, at = np.unique(grams[-1][own], return_index=True, return_inverse=True)
+        pick = own[first]
+        out = np.zeros(len(grams[0]))
+        out[own] = -np.log(self.probability([g[pick] for g in grams], [b[pick] for b in before]))[at]
+        return out
+
+
+def surprises(models: dict[str, Model], langs: list[str], texts: list[str | None], part: int, parts: int) -> list[float | None]:
+    """Mean surprise a character of each text under its language's model, texts of a language worked on together (the
+    share of one part, if there are more); None for empty texts and languages that models lacks."""
     out: list[float | None] = [None] * len(texts)
+    sizes_of = [0] * len(texts)
     waiting: dict[str, list[tuple[int, np.ndarray]]] = {}
 
     def settle(lang: str) -> None:
-        model, own = models(lang), waiting.pop(lang)
-        sizes = [len(k) for _, k in own]
-        sums = np.add.reduceat(model.surprise(np.concatenate([k for _, k in own])), np.cumsum([0, *sizes[:-1]]))
-        for (i, keys), value in zip(own, sums / sizes, strict=True):
-            if value > model.mean + MIXED:
-                value = sum(_best(models, known, part).sum() for part in ngrams.parts(keys, 1)) / len(keys)
-            out[i] = float(value)
+        own = waiting.pop(lang)
+        sizes = [len(x) for _, x in own]
+        values = models[lang].surprise(np.concatenate([x for _, x in own]), part, parts)
+        values = np.concatenate([np.zeros(N - 1), values])
+        starts = np.cumsum([0, *sizes[:-1]])
+        for k in range(N - 1):  # start symbols of each text
+            values[starts + k] = 0
+        for (i, _), value in zip(own, np.add.reduceat(values, starts), strict=True):
+            out[i] = (out[i] or 0.0) + float(value)
 
     held: dict[str, int] = {}
     for i, (lang, text) in enumerate(zip(langs, texts, strict=True)):
-        if text and models(lang) is not None:
-            waiting.setdefault(lang, []).append((i, grams(text)))
-            held[lang] = held.get(lang, 0) + len(text)
+        if not text or lang not in models:
+            continue
+        for piece in _pieces(text):
+            sizes_of[i] += len(piece) - N + 1
+            waiting.setdefault(lang, []).append((i, piece))
+            held[lang] = held.get(lang, 0) + len(piece)
             if held[lang] >= ngrams.PART:
                 settle(lang)
                 held[lang] = 0
     for lang in list(waiting):
         settle(lang)
-    return out
+    return [x if x is None else x / n for x, n in zip(out, sizes_of, strict=True)]
+
+
+def packs(sizes: dict[str, int], most: int = PACK) -> list[tuple[list[str], int, int]]:
+    """(languages, part, parts) of each pass: small models together, one of more than `most` entries in parts."""
+    out, now, held = [], [], 0
+    for lang, n in sorted(sizes.items(), key=lambda x: (x[1], x[0])):
+        if n > most:
+            parts = -(-n // most)
+            out += [([lang], part, parts) for part in range(parts)]
+            continue
+        if now and held + n > most:
+            out.append((now, 0, 1))
+            now, held = [], 0
+        now.append(lang)
+        held += n
+    return [(now, 0, 1), *out] if now or not out else out
+
+
+def _inside(part: int, parts: int) -> Callable[..., Column]:
+    @F.arrow_udf("boolean")
+    def of(symbols: pa.Array) -> pa.Array:
+        return pa.array(_part(symbols.to_numpy(zero_copy_only=False), parts) == part)
 
+    return of
 
-def _best(models: Callable[[str], Model | None], known: list[str], keys: np.ndarray) -> np.ndarray:
-    cuts = np.arange(0, len(keys), SEGMENT)
-    return np.minimum.reduce([np.add.reduceat(models(k).surprise(keys), cuts) for k in known])
 
+def _models(entries: DataFrame, langs: list[str], part: int, parts: int) -> dict[str, Model]:
+    """The models of one pass: PACK entries or about so many, which is all that the driver holds at a time."""
+    own = entries.where(F.col("lang").isin(langs))
+    if parts > 1:
+        own = own.where((F.col("symbol") < 0) | _inside(part, parts)("symbol"))
+    got = own.select("lang", "level", "hash", "value").toArrow()
+    lang = got["lang"].combine_chunks().dictionary_encode() if got.num_rows else None
+    level, h, value = got["level"].to_numpy(), got["hash"].to_numpy().view(np.uint64), got["value"].to_numpy()
+    out = {}
+    for i, name in enumerate(lang.dictionary.to_pylist() if got.num_rows else []):
+        at = lang.indices.to_numpy(zero_copy_only=False) == i
+        out[name] = Model(level[at], h[at], value[at])
+    return out
 
-def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict[str, Model]:
-    """A model for each language, from all texts; null languages share one. Spark counts, the driver gets at
-    most 2 ** (N * BITS) n-grams of one language at a time."""
-    given = docs.select(F.coalesce(F.col(lang_col), F.lit(UNKNOWN)).alias("lang"), F.col(text_col).alias("text")).where("text is not null and text <> ''")
-    counted = common.checkpointed(given.mapInArrow(_count, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
-    langs = [r["lang"] for r in counted.select("lang").distinct().collect()]
-    models = {}
-    for lang in sorted(langs):
-        own = counted.where(F.col("lang") == lang).select("gram", "n").orderBy("gram").toArrow()
-        models[lang] = Model(own["gram"].to_numpy(), own["n"].to_numpy())
-    return models
 
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
-MEASURES = "struct<n_words: long, word_chars: long, n_symbols: long, n_dup_lines: long, n_repeat_words: long, log_perplexity: double>"
 
+@F.arrow_udf(T.StructType([T.StructField(c, T.LongType()) for c in COUNTS]))
+def _base(texts: pa.Array) -> pa.Array:
+    given = texts.to_pylist()
+    columns = list(zip(*map(base_counts, given), strict=True)) or [()] * len(COUNTS)
+    return pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in columns], list(COUNTS))
 
-def measures(spark: SparkSession, models: dict[str, Model], text: Column, lang: Column) -> Column:
-    """The base counts and the log perplexity a character (null for empty texts and languages without a model)."""
-    shared = {k: spark.sparkContext.broadcast(m) for k, m in models.items()}  # a worker loads the languages that it meets
-    known = sorted(shared)
 
-    @F.arrow_udf(MEASURES)
+def _score(shared: Broadcast, part: int, parts: int) -> Callable[..., Column]:
+    @F.arrow_udf("double")
     def of(texts: pa.Array, langs: pa.Array) -> pa.Array:
-        given, of_lang = texts.to_pylist(), lambda k: shared[k].value if k in shared else None
-        scores = log_perplexities(of_lang, langs.to_pylist(), given, known)
-        rows = [(*base_counts(x), score) for x, score in zip(given, scores, strict=True)]
-        kinds = [pa.int64()] * 5 + [pa.float64()]
-        names = [part.split(":")[0].strip() for part in MEASURES[7:-1].split(",")]
-        columns = list(zip(*rows, strict=True)) or [()] * 6
-        return pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
+        return pa.array(surprises(shared.value, langs.to_pylist(), texts.to_pylist(), part, parts), pa.float64())
 
-    return of(text, lang)
+    return of
 
 
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", spreads: float = SPREADS, least: float = LEAST) -> DataFrame:
+def measured(docs: DataFrame, entries: DataFrame, id_col: str, text_col: str, lang_col: str, most: int = PACK) -> DataFrame:
+    """(id, lang, base counts, log_perplexity) of every row; log_perplexity is the mean surprise a character, null
+    for empty texts. One pass over the texts for each pack of models, each pass with its own, released broadcast."""
+    spark = docs.sparkSession
+    sizes = {r["lang"]: r["n"] for r in entries.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(lang_col), F.lit(UNKNOWN)).alias("lang"), F.col(text_col).alias("text"), F.lit(None).cast("double").alias("log_perplexity"))
+    passes = packs(sizes, most)
+    for i, (langs, part, parts) in enumerate(passes):
+        shared = spark.sparkContext.broadcast(_models(entries, langs, part, parts))
+
+        found = _score(shared, part, parts)("text", "lang")
+        upto = F.coalesce("log_perplexity", F.lit(0.0)) + F.coalesce(found, F.lit(0.0))
+        value = F.when(F.col("log_perplexity").isNotNull() | found.isNotNull(), upto) if i else found
+        rows = rows.withColumn("log_perplexity", value)
+        if i == len(passes) - 1:
+            rows = rows.select("id", "lang", _base("text").alias("m"), "log_perplexity").select("id", "lang", "m.*", "log_perplexity")
+        rows = common.checkpointed(rows)
+        shared.destroy()
+    return rows
+
+
+def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", spreads: tuple[float, float] = SPREADS, least: float = LEAST, pack: int = PACK) -> DataFrame:
     """(id_col, lang, counts, base_failed, log_perplexity, lower, upper, kept) of every row.
 
     base_failed: fewer than 50 words, or over half of the words repeated (base_counts). A document that
-    passes is kept if its log perplexity lies in its language's band: median -+ `spreads` spreads over the
-    documents of that language that pass, all of them. Null languages are one language. A document with
-    no perplexity is kept as the base rules say. Repeated rows give repeated rows.
+    passes is kept if its log perplexity under its own language's model, over the whole text, lies in that language's
+    band: median, less spreads[0] and more spreads[1] spreads, over the documents of that language that pass, all of them. Null languages are
+    one language. Empty and null texts fail the base rules. Repeated rows give repeated rows, an empty table none;
+    null ids are judged like any other; other columns are not looked at.
     """
-    lang = F.coalesce(F.col(lang_col), F.lit(UNKNOWN))
-    models = train(docs, text_col, lang_col)
-    rows = docs.select(F.col(id_col), lang.alias("lang"), measures(docs.sparkSession, models, F.col(text_col), lang).alias("m"))
-    rows = common.checkpointed(rows.select(id_col, "lang", "m.*"))
+    rows = measured(docs, train(docs, text_col, lang_col), id_col, text_col, lang_col, pack)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     rows = rows.withColumn("base_failed", failed)
     q = rows.where(~F.col("base_failed")).groupBy("lang").agg(F.percentile_approx("log_perplexity", [0.1, 0.5, 0.9], 10_000).alias("q"))
-    spread = lambda a, b: F.greatest((F.get("q", F.lit(b)) - F.get("q", F.lit(a))) / 1.2816 * spreads, F.lit(least))
-    bands = q.select("lang", (F.get("q", F.lit(1)) - spread(0, 1)).alias("lower"), (F.get("q", F.lit(1)) + spread(1, 2)).alias("upper"))
+    spread = lambda a: F.greatest((F.get("q", F.lit(a + 1)) - F.get("q", F.lit(a))) / 1.2816 * spreads[a], F.lit(least))
+    bands = q.select("lang", (F.get("q", F.lit(1)) - spread(0)).alias("lower"), (F.get("q", F.lit(1)) + spread(1)).alias("upper"))
     met = rows.join(common.small(bands), "lang", "left")
     inside = F.coalesce(F.col("log_perplexity").between(F.col("lower"), F.col("upper")), F.lit(True))
-    return met.withColumn("kept", ~F.col("base_failed") & inside).select(id_col, *[c for c in met.columns if c != id_col], "kept")
+    return met.select(F.col("id").alias(id_col), *[c for c in met.columns if c != "id"], (~F.col("base_failed") & inside).alias("kept"))

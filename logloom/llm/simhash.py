@@ -95,7 +95,7 @@ def links(prints: DataFrame, distance: int = 2, blocks: int | None = None) -> Da
     def forest(cell: pd.DataFrame) -> pd.DataFrame:
         return _forest(np.unique(cell["fp"].to_numpy(np.int64)), distance)
 
-    return pairs.unionByName(common.per_group(cells.select("cell", "fp"), ["cell"], forest, "a long, b long"))
+    return pairs.unionByName(common.per_group(cells.select("block", "key", "i", "j", "fp"), ["block", "key", "i", "j"], forest, "a long, b long"))
 
 
 def _forest(prints: np.ndarray, distance: int) -> pd.DataFrame:
@@ -247,9 +247,10 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     crowded = common.checkpointed(members.select("block", "key", "c", "fp").join(common.small(large.select("block", "key", "s")), ["block", "key"]))
     needed = pairs.select(F.col("a").alias("c")).unionByName(pairs.select(F.col("b").alias("c"))).unionByName(crowded.select("c")).distinct()
     needed = common.checkpointed(classes.select("c", "same", "least").join(needed, "c"))
-    ids = common.small(needed.select(F.col("least").alias("__id")).where("__id is not null").distinct())
-    of_ids = docs.join(ids, docs[id_col] == ids["__id"], "left_semi").unionByName(docs.where(F.col(id_col).isNull()))
-    sets = of_ids.select(_set(F.col(text_col), shingle).alias("s")).select("s.*").dropDuplicates(["same"])
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    ids = common.small(needed.select(F.col("least").alias("id")).where("id is not null").distinct())
+    of_ids = texts.join(ids, "id", "left_semi").unionByName(texts.where("id is null"))
+    sets = of_ids.select(_set(F.col("text"), shingle).alias("s")).select("s.*").dropDuplicates(["same"])
     sets = common.checkpointed(sets.join(needed.select("c", "same"), "same").select("c", "shingles"))
     met = pairs.join(sets.select(F.col("c").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("c").alias("b"), F.col("shingles").alias("y")), "b")
     links = _confirmed(met, least)
@@ -270,13 +271,14 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     Groups are those of similar() if `least` is given, else of near_duplicates(). Rows with a null id stay. Of rows that repeat that id, one stays (smallest by hash of the whole row).
     """
     groups = near_duplicates(docs, id_col, text_col, **how) if least is None else similar(docs, id_col, text_col, least=least, **how)
-    found = common.checkpointed(groups.select(F.col(id_col).alias("__id"), "component_id"))
-    gone = common.small(found.where("__id <> component_id").select("__id").distinct())
-    kept = docs.join(gone, docs[id_col] == gone["__id"], "left_anti")
-    again = common.small(found.where("__id is not null").groupBy("__id").agg(F.count("*").alias("n")).where("n > 1").select("__id"))
+    own, row, n = common.free(docs, "own_id", "row_hash", "row_n")
+    found = common.checkpointed(groups.select(F.col(id_col).alias(own), "component_id"))
+    gone = common.small(found.where(F.col(own) != F.col("component_id")).select(own).distinct())
+    kept = docs.join(gone, docs[id_col] == gone[own], "left_anti")
+    again = common.small(found.where(F.col(own).isNotNull()).groupBy(own).agg(F.count("*").alias("n")).where("n > 1").select(own))
     if again.isEmpty():
         return kept
-    once = kept.join(again, kept[id_col] == again["__id"], "left_anti")
-    repeated = kept.join(again, kept[id_col] == again["__id"], "left_semi").withColumn("__row", F.xxhash64(*kept.columns))
-    first = Window.partitionBy(id_col).orderBy("__row")
-    return once.unionByName(repeated.withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__row", "__n"))
+    once = kept.join(again, kept[id_col] == again[own], "left_anti")
+    repeated = kept.join(again, kept[id_col] == again[own], "left_semi").withColumn(row, F.xxhash64(*kept.columns))
+    first = Window.partitionBy(id_col).orderBy(row)
+    return once.unionByName(repeated.withColumn(n, F.row_number().over(first)).where(F.col(n) == 1).drop(row, n))
