@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
+from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,109 +30,135 @@ PATTERNS = {
     "shouted": r"\b[A-Z]{3,}\b[^.\n]{0,20}!!",
     "threat": r"\b(?:i will|i'll|going to) (?:kill|hurt|find|destroy) you\b",
 }
-_PATTERNS = [re.compile(p, re.IGNORECASE if name != "shouted" else 0) for name, p in PATTERNS.items()]
+_PATTERNS = {name: re.compile(p, re.IGNORECASE if name != "shouted" else 0) for name, p in PATTERNS.items()}
+#: A pattern is only looked for in lower-cased texts that hold one of these.
+_HINTS = {"address": ("idiot", "moron", "loser", "stupid", "pathetic", "worthless", "trash", "scum"), "masked": ("*", "#", "@"), "shouted": ("!!",), "threat": (" you",)}
 _WORD = re.compile(r"\w+")
-#: Stem lengths of features, bits of their hash, labelled rows that the models are fitted on at most.
-STEMS, BITS, SAMPLE = (4, 5, 6), 20, 8_000
-#: Stems mined as voters at most, and the chance that a stem without meaning becomes one.
-MINED, CHANCE = 200, 0.05
-#: Features of the classifier besides the fixed voters, at most, and the least evidence of each.
-FEATURES, EVIDENCE = 1_000, 4.0
-#: Correlations within a class below this are taken for noise.
-NOISE = 0.25
-#: Words whose features a Python worker keeps.
-HELD_WORDS = 100_000
-
-
-def _of_word(word: str) -> tuple[int, ...]:
-    parts = {f"{word}$", *(word[:n] for n in STEMS if len(word) >= n)}
-    return tuple(xxhash.xxh32_intdigest(p) >> (32 - BITS) for p in parts)
-
-
-def features(text: str | None, known: dict[str, tuple[int, ...]]) -> np.ndarray:
-    """Distinct hashed words and stems of the lower-cased text, sorted; empty for null."""
-    found: set[int] = set()
-    for w in set(_WORD.findall((text or "").lower())):
-        if (own := known.get(w)) is None:
-            if len(known) >= HELD_WORDS:
-                known.clear()
-            own = known[w] = _of_word(w)
-        found.update(own)
-    return np.array(sorted(found), np.int32)
-
-
-def _fixed_votes(text: str | None) -> list[bool]:
-    words = set(_WORD.findall((text or "").lower()))
-    return [not words.isdisjoint(x) for x in _LEXICONS] + [p.search(text or "") is not None for p in _PATTERNS]
-
-
-_LEXICONS = [frozenset(x.split()) for x in LEXICONS.values()]
-
-
-def evidence(rows: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
-    """For each hashed word or stem, how much better its own share of toxic documents explains their labels than
-    the overall share does (log likelihood); 0 for those that speak for clean documents."""
-    flat = np.concatenate(rows) if rows else np.zeros(0, np.int32)
-    of = np.repeat(labels.astype(np.float32), [len(r) for r in rows])
-    n, bad = np.bincount(flat, minlength=1 << BITS), np.bincount(flat, of, 1 << BITS)
-    base = np.clip(labels.mean() if len(labels) else 0.5, 1e-6, 0.999999)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        share = bad / n
-        gain = bad * np.log(share / base) + np.where(n > bad, (n - bad) * np.log((1 - share) / (1 - base)), 0)
-    return np.where((n > 0) & (share > base), np.nan_to_num(gain), 0)
-
-
-def best(gain: np.ndarray, most: int, least: float) -> np.ndarray:
-    """The words and stems of the highest evidence above `least`, at most `most`, sorted; ties by hash."""
-    good = np.flatnonzero(gain > least)
-    return np.sort(good[np.argsort(-gain[good], kind="stable")][:most]).astype(np.int32)
+_LEXICON_OF = {w: tuple(i for i, x in enumerate(LEXICONS.values()) if w in x.split()) for x in LEXICONS.values() for w in x.split()}
+FIXED = len(LEXICONS) + len(PATTERNS)
+#: Lengths of stems, and the labelled rows that the models are fitted on at most.
+STEMS, SAMPLE = (4, 5, 6), 20_000
+#: Words and stems that become voters without meaning, expected over all that are looked at.
+CHANCE = 10.0
+#: Words whose voters a Python worker keeps, and stems that a task counts before it hands them on.
+HELD_WORDS, COUNTED = 100_000, 1 << 19
+
+
+def stems_of(word: str) -> set[str]:
+    """The word, marked as whole, and its stems."""
+    return {f"{word}$", *(word[:n] for n in STEMS if len(word) >= n)}
+
+
+def _words(text: str | None) -> set[str]:
+    return set(_WORD.findall((text or "").lower()))
+
+
+class Voters:
+    """Fixed lexicons and patterns (0 to FIXED - 1), then mined words and stems, which may speak for either side."""
+
+    def __init__(self, mined: list[str]) -> None:
+        self.mined = {x: FIXED + i for i, x in enumerate(mined)}
+        self.known: dict[str, tuple[int, ...]] = {}
+
+    def __len__(self) -> int:
+        return FIXED + len(self.mined)
+
+    def fired(self, text: str | None) -> set[int]:
+        out: set[int] = set()
+        for w in _words(text):
+            own = self.known.get(w)
+            if own is None:
+                if len(self.known) >= HELD_WORDS:
+                    self.known.clear()
+                own = self.known[w] = (*_LEXICON_OF.get(w, ()), *(self.mined[x] for x in stems_of(w) if x in self.mined))
+            if own:
+                out.update(own)
+        low = (text or "").lower()
+        for i, (name, p) in enumerate(_PATTERNS.items()):
+            if any(h in low for h in _HINTS[name]) and p.search(text):
+                out.add(len(LEXICONS) + i)
+        return out
+
+
+class Sparse:
+    """Rows of the columns that are 1."""
+
+    def __init__(self, rows: list[np.ndarray], width: int) -> None:
+        self.n, self.width = len(rows), width
+        self.sizes = np.array([len(r) for r in rows], np.int64)
+        self.at = np.concatenate([np.zeros(0, np.int64), *rows]).astype(np.int64)
+        self.row = np.repeat(np.arange(self.n), self.sizes)
+
+    def times(self, weights: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, weights[self.at], self.n)
+
+    def sums(self, of_rows: np.ndarray) -> np.ndarray:
+        return np.bincount(self.at, of_rows[self.row], self.width)
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(a, b, row) of columns a < b that are 1 in one row."""
+        starts = np.cumsum(self.sizes) - self.sizes
+        out = [(np.zeros(0, np.int64),) * 3]
+        for i in np.flatnonzero(self.sizes > 1):
+            own = np.sort(self.at[starts[i] : starts[i] + self.sizes[i]])
+            x, y = np.triu_indices(len(own), 1)
+            out.append((own[x], own[y], np.full(len(x), i)))
+        a, b, row = zip(*out, strict=True)
+        return np.concatenate(a), np.concatenate(b), np.concatenate(row)
 
 
 class LabelModel:
-    """Two-class mixture over binary voters, the given label among them, fitted by EM.
+    """Two-class mixture over binary voters, fitted by EM: how often each voter fires in either class (its accuracy), and
+    how voters correlate within a class.
 
-    Estimates how often each voter fires in either class (its accuracy), and how the voters correlate
-    within a class; a voter's say is divided by the sum of its correlations, so that ten voters that
-    always fire together count as one; correlations up to NOISE are left out.
-    The last voter is the given label; what it says is not discounted.
+    The given labels are no voter. They calibrate: each accuracy has the voter's rate on the labelled rows
+    as its prior, worth `trust` times the rows, so that the classes stay toxic and clean; the posterior is of the
+    votes alone. A voter's say is divided by the sum of its squared correlations (the variance that it shares), so that
+    ten voters that always fire together count as one.
     """
 
-    def __init__(self, votes: np.ndarray, start: np.ndarray, rounds: int = 30) -> None:
-        q = np.clip(start.astype(float), 0.05, 0.95)
-        self.say = np.ones(votes.shape[1])
-        for at in range(rounds):
-            self.prior = np.clip(q.mean(), 1e-4, 1 - 1e-4)
-            mass = np.stack([1 - q, q])
-            self.fires = (mass @ votes + 0.5 * votes.mean(axis=0) + 0.01) / (mass.sum(axis=1)[:, None] + 0.5 + 0.02)
-            if at % 5 == 0:
-                self.say = 1 / self._shared(votes, mass)
-                self.say[-1] = 1.0
+    def __init__(self, votes: Sparse, labels: np.ndarray, trust: float = 1.0, rounds: int = 20) -> None:
+        gold = np.stack([1 - labels, labels]).astype(float)
+        self.say = np.ones(votes.width)
+        overall = (votes.sums(np.ones(votes.n)) + 0.1) / (votes.n + 0.2)
+        base = (np.stack([votes.sums(g) for g in gold]) + overall) / (gold.sum(axis=1)[:, None] + 1)
+        share = np.clip(labels.mean(), 1e-4, 1 - 1e-4)
+        self.prior, self.fires = share, base
+        self.say = 1 / self.shared(votes, gold)
+        for _ in range(rounds):
             q = self.posterior(votes)
-
-    def _shared(self, votes: np.ndarray, mass: np.ndarray) -> np.ndarray:
-        total = np.zeros((votes.shape[1],) * 2)
+            mass = np.stack([1 - q, q])
+            own, prior = mass.sum(axis=1)[:, None], trust * gold.sum(axis=1)[:, None]
+            self.prior = float((q.sum() + trust * votes.n * share) / (votes.n * (1 + trust)))
+            self.fires = np.clip((np.stack([votes.sums(m) for m in mass]) + prior * base) / (own + prior), 1e-6, 1 - 1e-6)
+        self.say = 1 / self.shared(votes, np.stack([1 - self.posterior(votes), self.posterior(votes)]))
+
+    def shared(self, votes: Sparse, mass: np.ndarray) -> np.ndarray:
+        """Sum of the squared correlations of each voter with all that fire beside it, itself included, within classes."""
+        a, b, row = votes.pairs()
+        code, at = np.unique(a * votes.width + b, return_inverse=True)
+        a, b = code // votes.width, code % votes.width
+        cov, var = np.zeros(len(code)), np.zeros(votes.width)
         for m, p in zip(mass, self.fires, strict=True):
-            rest = votes - p
-            cov = (rest * m[:, None]).T @ rest
-            total += cov
-        scale = np.sqrt(np.maximum(np.diag(total), 1e-9))
-        self.correlations = np.clip(total / scale / scale[:, None], -1, 1)
-        return np.maximum(np.where(self.correlations > NOISE, self.correlations, 0).sum(axis=1), 1)
-
-    def posterior(self, votes: np.ndarray) -> np.ndarray:
+            cov += np.bincount(at, m[row], len(code)) - m.sum() * p[a] * p[b]
+            var += m.sum() * p * (1 - p)
+        r2 = np.clip(cov / np.sqrt(np.maximum(var[a] * var[b], 1e-12)), 0, 1) ** 2
+        return 1 + np.bincount(a, r2, votes.width) + np.bincount(b, r2, votes.width)
+
+    def posterior(self, votes: Sparse) -> np.ndarray:
         on, off = np.log(self.fires[1] / self.fires[0]), np.log((1 - self.fires[1]) / (1 - self.fires[0]))
-        odds = np.log(self.prior / (1 - self.prior)) + votes @ (self.say * on) + (1 - votes) @ (self.say * off)
+        odds = np.log(self.prior / (1 - self.prior)) + float(self.say @ off) + votes.times(self.say * (on - off))
         return 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
 
 
-def fit_linear(x: np.ndarray, target: np.ndarray, rounds: int = 300, decay: float = 1e-3, rate: float = 0.2) -> tuple[np.ndarray, float]:
+def fit_linear(x: Sparse, target: np.ndarray, rounds: int = 300, decay: float = 1e-3, rate: float = 0.2) -> tuple[np.ndarray, float]:
     """Logistic regression on soft targets over 0/1 features, by Adagrad; both classes weigh the same."""
-    balance = np.where(target >= 0.5, 0.5 / max(target.mean(), 1e-3), 0.5 / max(1 - target.mean(), 1e-3)) / max(len(x), 1)
-    weights, bias, squares, own = np.zeros(x.shape[1]), -1.0, np.full(x.shape[1], 1e-8), 1e-8
+    balance = np.where(target >= 0.5, 0.5 / max((target >= 0.5).mean(), 1e-3), 0.5 / max((target < 0.5).mean(), 1e-3)) / max(x.n, 1)
+    weights, bias, squares, own = np.zeros(x.width), -1.0, np.full(x.width, 1e-8), 1e-8
     for _ in range(rounds):
-        odds = x @ weights + bias
+        odds = x.times(weights) + bias
         error = (1 / (1 + np.exp(-np.clip(odds, -30, 30))) - target) * balance
-        g, b = error @ x + decay * weights, error.sum()
+        g, b = x.sums(error) + decay * weights, error.sum()
         squares += g * g
         own += b * b
         weights -= rate * g / np.sqrt(squares)
@@ -139,51 +167,79 @@ def fit_linear(x: np.ndarray, target: np.ndarray, rounds: int = 300, decay: floa
 
 
 class Classifier:
-    """Weights of hashed words and stems and of the fixed voters."""
-
-    def __init__(self, weights: np.ndarray, bias: float, voters: np.ndarray) -> None:
-        self.weights, self.bias, self.voters = weights, bias, voters
+    """A weight of each voter."""
+
+    def __init__(self, voters: Voters, weights: np.ndarray, bias: float) -> None:
+        self.voters, self.weights, self.bias = voters, weights.tolist(), bias
+
+    def score(self, text: str | None) -> float:
+        odds = self.bias + sum(self.weights[i] for i in sorted(self.voters.fired(text)))
+        return float(1 / (1 + np.exp(-np.clip(odds, -30, 30))))
+
+
+def _count_stems(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    seen: Counter[str] = Counter()
+    bad: Counter[str] = Counter()
+
+    def hand_on() -> pa.RecordBatch:
+        keys = list(seen)
+        out = pa.record_batch({"stem": pa.array(keys, pa.string()), "n": pa.array([seen[k] for k in keys], pa.int64()), "bad": pa.array([bad[k] for k in keys], pa.int64())})
+        seen.clear()
+        bad.clear()
+        return out
+
+    for batch in batches:
+        for text, label in zip(batch["text"], batch["label"], strict=True):
+            own = set(chain.from_iterable(map(stems_of, _words(text.as_py()))))
+            seen.update(own)
+            if label.as_py():
+                bad.update(own)
+            if len(seen) >= COUNTED:
+                yield hand_on()
+    yield hand_on()
+
+
+def mine(rows: DataFrame, n: int, n_bad: int, chance: float = CHANCE) -> list[str]:
+    """Words and stems of rows (text, label) whose documents' labels differ from the overall share by more than `chance`
+    of them would without any meaning (log likelihood ratio against the number looked at). Counted by Spark; the
+    driver gets those that pass the test, for toxic or for clean, whatever their number."""
+    stems = common.checkpointed(rows.mapInArrow(_count_stems, "stem string, n long, bad long").groupBy("stem").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")))
+    base = n_bad / n
+    part = lambda k, share: F.when(k > 0, k * F.ln(k / F.col("n") / share)).otherwise(0.0)
+    gain = part(F.col("bad"), base) + part(F.col("n") - F.col("bad"), 1 - base)
+    looked_at = stems.where("n > 1").count()
+    return [r["stem"] for r in stems.where(gain > float(np.log(max(looked_at, 1) / chance))).select("stem").orderBy("stem").collect()]
+
+
+def _fired(voters: Voters, spark: SparkSession, text: str) -> Column:
+    shared = spark.sparkContext.broadcast(voters)
+
+    @F.arrow_udf("array<int>")
+    def of(texts: pa.Array) -> pa.Array:
+        return pa.array([sorted(shared.value.fired(x.as_py())) for x in texts], pa.list_(pa.int32()))
 
-    def score(self, own: np.ndarray, votes: list[bool]) -> float:
-        odds = self.bias + float(self.weights[own].sum()) + float(self.voters @ np.array(votes, float))
-        return 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
+    return of(text)
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Classifier:
     """Learned from rows of docs that have a label in labels (id_col, label_col) and are not held out.
 
-    At most `sample` labelled ids are used, those of the smallest hash; a bound of what comes to the
-    driver, not of what is scored. Labels that contradict each other for one id count as toxic. Without
-    any labelled row the fixed voters decide alone.
+    At most `sample` labelled ids are used, those of the smallest hash: a bound of what is fitted on, not
+    of what is scored. Labels that contradict each other for one id count as toxic. Without
+    any labelled row, or with labels of one kind, the fixed voters decide alone.
     """
-    given = labels.where(F.col(label_col).isNotNull() & ~common.is_held_out(id_col)).groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).alias("label"))
-    chosen = given.orderBy(F.xxhash64(F.lit("sample"), "__id"), "__id").limit(sample)
-
-    @F.arrow_udf("struct<own: array<int>, votes: array<boolean>>")
-    def seen(texts: pa.Array) -> pa.Array:
-        known: dict[str, tuple[int, ...]] = {}
-        given = texts.to_pylist()
-        own = pa.array([features(x, known) for x in given], pa.list_(pa.int32()))
-        return pa.StructArray.from_arrays([own, pa.array([_fixed_votes(x) for x in given], pa.list_(pa.bool_()))], ["own", "votes"])
-
-    met = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "__id")
-    got = met.select("__id", "label", seen("text").alias("seen")).select("__id", "label", "seen.own", "seen.votes").dropDuplicates(["__id"]).orderBy("__id").toArrow()
-    rows = [x.values.to_numpy(zero_copy_only=False) for x in got["own"]]
-    label = got["label"].to_numpy().astype(float)
-    fixed = np.array(got["votes"].to_pylist(), np.float32).reshape(len(rows), len(LEXICONS) + len(PATTERNS))
-    if not len(rows) or label.min() == label.max():
-        return Classifier(np.zeros(1 << BITS, np.float32), -3.0, np.array([4.0] * len(LEXICONS) + [2.0] * len(PATTERNS)))
-    gain = evidence(rows, label)
-    fires = lambda which: np.array([np.isin(which, r, assume_unique=True) for r in rows], np.float32).reshape(len(rows), len(which))
-    mined = best(gain, MINED, np.log(max(np.count_nonzero(gain), 1) / CHANCE))
-    votes = np.column_stack([fixed, fires(mined), label])
-    votes = votes[:, votes.any(axis=0)]
-    posterior = LabelModel(votes, label).posterior(votes)
-    used = best(gain, FEATURES, EVIDENCE)
-    own, bias = fit_linear(np.column_stack([fixed, fires(used)]), posterior)
-    weights = np.zeros(1 << BITS, np.float32)
-    weights[used] = own[fixed.shape[1] :]
-    return Classifier(weights, bias, own[: fixed.shape[1]])
+    given = labels.where(F.col(label_col).isNotNull() & ~common.is_held_out(id_col)).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("label"))
+    chosen = given.orderBy(F.xxhash64(F.lit("sample"), "id"), "id").limit(sample)
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = common.checkpointed(texts.join(F.broadcast(chosen), "id").dropDuplicates(["id"]))
+    n, n_bad = rows.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
+    if n_bad in (0, n):
+        return Classifier(Voters([]), np.array([4.0] * len(LEXICONS) + [2.0] * len(PATTERNS)), -3.0)
+    voters = Voters(mine(rows.select("text", "label"), n, n_bad))
+    got = rows.select("id", "label", _fired(voters, docs.sparkSession, "text").alias("fired")).orderBy("id").toArrow()
+    votes = Sparse([x.values.to_numpy(zero_copy_only=False) for x in got["fired"]], len(voters))
+    posterior = LabelModel(votes, got["label"].to_numpy().astype(float)).posterior(votes)
+    return Classifier(voters, *fit_linear(votes, posterior))
 
 
 def score(spark: SparkSession, model: Classifier, text: Column) -> Column:
@@ -192,28 +248,14 @@ def score(spark: SparkSession, model: Classifier, text: Column) -> Column:
 
     @F.arrow_udf("double")
     def of(texts: pa.Array) -> pa.Array:
-        model, known, out = shared.value, {}, []
-        heavy = model.weights != 0
-        for x in texts:
-            text, own = x.as_py() or "", set()
-            words = set(_WORD.findall(text.lower()))
-            for w in words:
-                ids = known.get(w)
-                if ids is None:
-                    if len(known) >= HELD_WORDS:
-                        known.clear()
-                    ids = known[w] = tuple(i for i in _of_word(w) if heavy[i])
-                if ids:
-                    own.update(ids)
-            votes = [not words.isdisjoint(v) for v in _LEXICONS] + [p.search(text) is not None for p in _PATTERNS]
-            out.append(model.score(np.fromiter(own, np.int64, len(own)), votes))
-        return pa.array(out, pa.float64())
+        return pa.array([shared.value.score(x.as_py()) for x in texts], pa.float64())
 
     return of(text)
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> DataFrame:
-    """(id_col, held_out, score, predicted) of every row, repeated rows included; predicted is 1 from 0.5 on."""
+    """(id_col, held_out, score, predicted) of every row, repeated rows and null ids (held out) included; predicted is 1
+    from 0.5 on. An empty table gives none; other columns are not looked at."""
     model = train(docs, labels, id_col, text_col, label_col, sample)
     scored = docs.select(F.col(id_col), common.is_held_out(id_col).alias("held_out"), score(docs.sparkSession, model, F.col(text_col)).alias("score"))
     return scored.withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))
