@@ -39,19 +39,23 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return queries.digests(bpe.encode_documents(docs, public_tokenizers.path(queries.TOKENIZER)))
+    encoded = bpe.encode_documents(docs, public_tokenizers.path(queries.TOKENIZER))
+    return queries.digests(encoded, "ids")
 
 
 STAGES = [("toxicity", drop_toxic), ("line dedup", drop_lines), ("SimHash near-dedup", keep_one), ("mixing", mix), ("BPE", encode)]
-#: Two stages cannot be expressed in SQL; each stage is tested against its own brute-force version.
+#: Three stages cannot be expressed in SQL; tests/llm holds each stage against a brute-force version of it.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows. Stages are kept below spark.checkpoint.dir, so a lost executor costs one stage."""
+    """The last stage's rows, tokens included. Each stage is written below spark.checkpoint.dir, so a lost executor costs
+    one stage; a stage's folder goes once the next one is written, the last stays for the reader."""
     docs = common.table(spark, sf_dir, "documents")
     shared = f"{common.shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for i, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{shared}/{i}")
         docs = spark.read.parquet(f"{shared}/{i}")
+        if i:
+            common.remove(spark, f"{shared}/{i - 1}")
     return docs

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -12,7 +14,7 @@ from pyspark.sql import functions as F
 #: Fixed values of the HTML standard: elements by how they are parsed and shown.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-HIDDEN = frozenset("head script style template noscript title meta link datalist area param source track iframe noembed noframes object audio video canvas".split())
+HIDDEN = frozenset("head script style template noscript title meta link datalist area param source track iframe noembed noframes audio video canvas".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre table figure hr".split())
 BLOCK = SPACED | frozenset("html body div section article header footer nav aside main address form fieldset legend li dt dd tr caption thead tbody tfoot figcaption details summary center dir menu hgroup search dialog select option optgroup text".split())
 CLOSES_P = SPACED | frozenset("div section article header footer nav aside main address form fieldset details center dir menu hgroup search dialog".split())
@@ -29,11 +31,15 @@ HEAD = frozenset("base basefont bgsound link meta noframes noscript script style
 FOREIGN = frozenset("svg math".split())
 INSIDE = frozenset("foreignobject desc annotation-xml".split())
 UNSHOWN = frozenset("defs desc metadata symbol annotation annotation-xml".split())
+LISTS = frozenset("ul ol menu dir".split())
 SCOPE = frozenset("table td th caption button html template".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)", re.DOTALL)
 _ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
-_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.IGNORECASE)
+_NONE = re.compile(r"display\s*:\s*none", re.IGNORECASE)
+_VISIBILITY = re.compile(r"visibility\s*:\s*(hidden|collapse|visible)", re.IGNORECASE)
+#: Raw elements in which character references stand for characters.
+REFERENCES = frozenset("textarea title".split())
 _UNQUOTED = re.compile(r"=\s*[^\s\"'>]+$")
 _SPACES = re.compile(r"[ \t\n\r\f]+")
 
@@ -48,15 +54,14 @@ class Node:
 def parse(page: str) -> Node:
     """Tree of a page: void and raw-text elements, implied ends, and end tags that match nothing are ignored."""
     root = Node("#root")
-    stack, at = [root], 0
+    stack, at = Stack(root), 0
     while at < len(page):
         m = _TOKEN.match(page, at)
         if m is None:  # a tag that never ends is text
             if stack[-1].name == "head":
                 stack.pop()
-            m = re.compile("<").match(page, at)
             stack[-1].children.append("<")
-            at = m.end()
+            at += 1
             continue
         at = m.end()
         if m[4] is not None:
@@ -78,22 +83,25 @@ def parse(page: str) -> Node:
             stack[-1].children.append(node)
             if name in RAW:
                 close = re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.IGNORECASE).search(page, at)
-                node.children.append(page[at : close.start() if close else len(page)])
+                held = page[at : close.start() if close else len(page)]
+                node.children.append(html.unescape(held) if name in REFERENCES else held)
                 at = close.end() if close else len(page)
             elif name not in VOID and not (m[3].endswith("/") and not _UNQUOTED.search(m[3]) and (name in FOREIGN or _foreign(stack))):
                 stack.append(node)
     return root
 
 
-def _foreign(stack: list[Node]) -> bool:
+def _foreign(stack: Stack) -> bool:
+    if not any(stack.of[n] for n in FOREIGN):
+        return False
     return next((x.name for x in reversed(stack) if x.name in FOREIGN or x.name in INSIDE), "") in FOREIGN
 
 
-def _start(stack: list[Node], name: str) -> None:
+def _start(stack: Stack, name: str) -> None:
     if stack[-1].name == "head" and name not in HEAD:
         stack.pop()
     if name in CLOSES_P:
-        _close(stack, {"p"}, SCOPE)
+        _close(stack, _P, SCOPE)
     elif name in IMPLIED:
         while _close(stack, *IMPLIED[name]):
             pass
@@ -102,17 +110,40 @@ def _start(stack: list[Node], name: str) -> None:
         stack.append(row)
 
 
-def _close(stack: list[Node], names: set[str], walls: set[str] | frozenset[str]) -> bool:
+class Stack(list):
+    """Open elements, counted by name, so that looking for one that is not open costs nothing."""
+
+    def __init__(self, root: Node) -> None:
+        super().__init__([root])
+        self.of: Counter[str] = Counter()
+
+    def append(self, node: Node) -> None:
+        super().append(node)
+        self.of[node.name] += 1
+
+    def pop(self) -> Node:
+        node = super().pop()
+        self.of[node.name] -= 1
+        return node
+
+
+_P = frozenset({"p"})
+
+
+def _close(stack: Stack, names: set[str] | frozenset[str], walls: set[str] | frozenset[str]) -> bool:
+    if not any(stack.of[n] for n in names):
+        return False
     for i in range(len(stack) - 1, 0, -1):
         if stack[i].name in names:
-            del stack[i:]
+            while len(stack) > i:
+                stack.pop()
             return True
         if stack[i].name in walls:
             return False
     return False
 
 
-def _end(stack: list[Node], name: str) -> None:
+def _end(stack: Stack, name: str) -> None:
     if name == "br":
         stack[-1].children.append(Node("br"))
         return
@@ -122,7 +153,13 @@ def _end(stack: list[Node], name: str) -> None:
 
 def hidden(node: Node) -> bool:
     a = node.attrs
-    return node.name in HIDDEN or "hidden" in a or _UNSEEN.search(a.get("style", "")) is not None or (node.name == "dialog" and "open" not in a)
+    return node.name in HIDDEN or "hidden" in a or ("style" in a and _NONE.search(a["style"]) is not None) or (node.name == "dialog" and "open" not in a)
+
+
+def visible(node: Node, inherited: bool) -> bool:
+    """Visibility is inherited, and may be given back to what stands inside."""
+    said = _VISIBILITY.findall(node.attrs["style"]) if "style" in node.attrs else ()
+    return said[-1].lower() == "visible" if said else inherited
 
 
 class Page:
@@ -174,17 +211,30 @@ class Page:
 
 
 def render(root: Node) -> str:
-    """All visible text under root. Works without recursion but for tables inside table cells."""
+    """All visible text under root. Tables in cells in tables are worked off on a list, not by recursion."""
+    open_, value = [_page(root, True)], None
+    while open_:
+        try:
+            open_.append(open_[-1].send(value))
+            value = None
+        except StopIteration as done:
+            open_.pop()
+            value = done.value
+    return value
+
+
+def _page(root: Node, seen: bool) -> Iterator:
+    """Renders what is under root; yields each table that it needs the lines of."""
     page = Page()
-    work: list[tuple[str, object]] = [("open", root)]
+    work: list[tuple[str, object, bool]] = [("open", root, seen)]
     pre, lists = 0, []
     while work:
-        what, node = work.pop()
+        what, node, seen = work.pop()
         if what == "leave":
             name = node.name
             if name == "pre":
                 pre -= 1
-            if name in ("ul", "ol", "menu", "dir"):
+            if name in LISTS:
                 lists.pop()
             if name in ("li", "dd", "blockquote"):
                 page.indent.pop()
@@ -196,11 +246,13 @@ def render(root: Node) -> str:
                 page.end()
             continue
         if isinstance(node, str):
-            page.text(node, pre > 0)
+            if seen:
+                page.text(node, pre > 0)
             continue
         name = node.name
         if hidden(node):
             continue
+        seen = visible(node, seen)
         if name == "br":
             page.end(forced=True)
             continue
@@ -209,7 +261,7 @@ def render(root: Node) -> str:
         elif name in BLOCK:
             page.end()
         if name == "table":
-            for line in table(node):
+            for line in (yield _table(node, seen)):
                 page.put(line)
                 page.end()
             page.space()
@@ -218,9 +270,9 @@ def render(root: Node) -> str:
             continue
         if name == "pre":
             pre += 1
-        elif name in ("ul", "ol", "menu", "dir"):
+        elif name in LISTS:
             start = node.attrs.get("start", "1")
-            lists.append(int(start) if name == "ol" and start.isdigit() else (1 if name == "ol" else None))
+            lists.append(int(start) if name == "ol" and start.isdecimal() else (1 if name == "ol" else None))
         elif name == "li":
             number = lists[-1] if lists else None
             if number is not None:
@@ -229,38 +281,60 @@ def render(root: Node) -> str:
             page.indent.append("  " if lists[1:] else "")
         elif name in ("dd", "blockquote"):
             page.indent.append("  ")
-        work.append(("leave", node))
-        work.extend(("open", c) for c in reversed(node.children))
+        work.append(("leave", node, seen))
+        work.extend(("open", c, seen) for c in reversed(node.children))
     return page.result()
 
 
-def table(node: Node) -> list[str]:
-    """Caption, then a line for each line of a row, cells padded to the columns' widths; a colspan leaves empty cells."""
-    rows, out, work = [], [], [*reversed(node.children)]
+def _inner(children: list, name: str = "#cell") -> Node:
+    node = Node(name)
+    node.children = children
+    return node
+
+
+def _span(cell: Node, name: str, most: int) -> int:
+    """A span of a cell; those of the standard's limits and more are cut to them."""
+    said = cell.attrs.get(name, "1")
+    return max(1, min(int(said), most)) if said.isdecimal() else 1
+
+
+def _table(node: Node, seen: bool) -> Iterator:
+    """Caption, then a line for each line of a row, cells padded to the columns' widths; a colspan leaves empty cells
+    beside it and a rowspan below it. Yields each cell that it needs the text of."""
+    rows, out, work = [], [], [(c, seen) for c in reversed(node.children)]
+    taken: dict[int, int] = {}  # columns that a cell above reaches into, and for how many rows more
     while work:
-        x = work.pop()
-        if isinstance(x, str) or hidden(x):
-            if isinstance(x, str) and x.strip():
+        x, seen = work.pop()
+        if isinstance(x, str):
+            if seen and x.strip():
                 out.append(" ".join(_SPACES.split(x.strip())))
             continue
+        if hidden(x):
+            continue
+        seen = visible(x, seen)
         if x.name == "tr":
-            row = []
+            row, below = [], {k: n - 1 for k, n in taken.items() if n > 1}
             for c in x.children:
                 if isinstance(c, str):
-                    if c.strip():
+                    if seen and c.strip():
                         row.append([" ".join(_SPACES.split(c.strip()))])
-                elif not hidden(c):
-                    span = c.attrs.get("colspan", "1")
-                    inner = Node("#cell")
-                    inner.children = c.children if c.name in ("td", "th") else [c]
-                    row += [render(inner).split("\n"), *[[""]] * (min(int(span), 1000) - 1 if span.isdigit() else 0)]
+                    continue
+                if hidden(c):
+                    continue
+                while len(row) in taken:
+                    row.append([""])
+                text = yield _page(_inner(c.children) if c.name in ("td", "th") else _inner([c]), visible(c, seen))
+                wide, high = _span(c, "colspan", 1000), _span(c, "rowspan", 65534)
+                if high > 1:
+                    below |= dict.fromkeys(range(len(row), len(row) + wide), high - 1)
+                row += [text.split("\n"), *[[""]] * (wide - 1)]
+            taken = below
             rows.append(row)
         elif x.name in ("thead", "tbody", "tfoot"):
-            work.extend(reversed(x.children))
-        elif x.name == "caption" or x.name not in ("colgroup", "col"):
-            inner = Node("#cell")
-            inner.children = x.children
-            out += render(inner).split("\n")
+            taken = {}
+            work.extend((c, seen) for c in reversed(x.children))
+        elif x.name not in ("colgroup", "col"):
+            out += (yield _page(_inner(x.children), seen)).split("\n")
     widths: list[int] = []
     for row in rows:
         for i, cell in enumerate(row):
@@ -275,25 +349,7 @@ def table(node: Node) -> list[str]:
 
 
 def page_text(page: str | None) -> str | None:
-    if page is None:
-        return None
-    try:
-        return render(parse(page))
-    except RecursionError:  # tables nested beyond Python's stack: their text without alignment
-        return _flat(parse(page))
-
-
-def _flat(root: Node) -> str:
-    page, work = Page(), [root]
-    while work:
-        x = work.pop()
-        if isinstance(x, str):
-            page.text(x, False)
-        elif not hidden(x):
-            if x.name in BLOCK or x.name == "br":
-                page.end()
-            work.extend(reversed(x.children))
-    return page.result()
+    return None if page is None else render(parse(page))
 
 
 def extract(markup: str | Column) -> Column:
@@ -307,5 +363,6 @@ def extract(markup: str | Column) -> Column:
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """(id_col, text) of every row, repeated rows included; other columns are not looked at."""
+    """(id_col, text) of every row, repeated rows and null ids included; null markup gives a null text, an empty table
+    nothing; other columns are not looked at."""
     return pages.select(F.col(id_col), extract(F.col(html_col)).alias("text"))

@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 from logloom.llm import common, ngrams
 
 N = 3
-#: An n-gram enters a language's filter at this share of the language's n-grams; a language so has 1 / MIN_SHARE entries at most.
-MIN_SHARE = 1e-5
+#: Bytes of filters that every worker may hold; larger ones stay in Spark and meet the texts in a join.
+MOST_BYTES = 1 << 27
+#: Shares that a frequent n-gram's rows are cut into in that join.
+SALTS = 16
 HASHES, BITS_PER_ENTRY = 4, 12
 UNKNOWN = "und"
 _TEXTS = 1 << 20
@@ -41,6 +43,11 @@ def grams(text: str | None) -> np.ndarray:
     return packed[codes[1:-1] != 32]
 
 
+def shorter(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Letter pairs and letters of trigrams: the last two symbols, and the one in the middle, which is a letter."""
+    return keys & np.uint64((1 << 42) - 1), keys >> np.uint64(21) & np.uint64((1 << 21) - 1)
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts, waiting, held = ngrams.Counts(), {}, 0
 
@@ -70,28 +77,24 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from hand_on()
 
 
+def width(entries: int) -> int:
+    """Bits of each language's filter for so many entries in the largest language."""
+    return 1 << max(10, math.ceil(math.log2(max(entries, 1) * BITS_PER_ENTRY)))
+
+
 class Filters:
-    """Bloom filters of up to 64 languages per word, sliced by position: one look-up answers for all languages."""
-
-    def __init__(self, langs: list[str], lang_of: np.ndarray, keys: np.ndarray) -> None:
-        self.langs = langs
-        entries = max(int(np.bincount(lang_of, minlength=max(len(langs), 1)).max(initial=1)), 1)
-        self.mask = np.uint64((1 << max(10, math.ceil(math.log2(entries * BITS_PER_ENTRY)))) - 1)
-        self.words = np.zeros((max(1, -(-len(langs) // 64)), int(self.mask) + 1), np.uint64)
-        for at in self.places(keys):
-            for w in range(len(self.words)):
-                own = lang_of // 64 == w
-                np.bitwise_or.at(self.words[w], at[own], np.uint64(1) << (lang_of[own] % 64).astype(np.uint64))
-        filled = np.array([np.count_nonzero(self.words[i // 64] >> np.uint64(i % 64) & np.uint64(1)) for i in range(len(langs))], float)
-        self.false = (filled / (int(self.mask) + 1)) ** HASHES
+    """Bloom filters of up to 64 languages per word, sliced by position: one look-up answers for all languages.
+
+    words: for every 64 languages an array of as many words as a filter has bits.
+    """
+
+    def __init__(self, langs: list[str], words: np.ndarray) -> None:
+        self.langs, self.words, self.mask = langs, words, np.uint64(words.shape[1] - 1)
+        filled = np.array([np.count_nonzero(words[i // 64] >> np.uint64(i % 64) & np.uint64(1)) for i in range(len(langs))], float)
+        self.false = (filled / words.shape[1]) ** HASHES
 
     def places(self, keys: np.ndarray) -> Iterator[np.ndarray]:
-        h = keys * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(32)
-        h *= np.uint64(0xD6E8FEB86659FD93)
-        step = h >> np.uint64(32) | np.uint64(1)
-        for i in range(HASHES):
-            yield (h + np.uint64(i) * step) & self.mask
+        return places(keys, self.mask)
 
     def rates(self, keys: np.ndarray) -> np.ndarray:
         """Share of the n-grams that each language holds, less its expected false positives."""
@@ -106,47 +109,119 @@ class Filters:
         return np.clip((hits / len(keys) - self.false) / (1 - self.false), 0, 1)
 
 
-def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", min_share: float = MIN_SHARE) -> Filters:
-    """Filters learned from all rows with a language and a letter.
+def places(keys: np.ndarray, mask: np.uint64) -> Iterator[np.ndarray]:
+    """The HASHES positions of keys in a filter."""
+    h = keys * np.uint64(0x9E3779B97F4A7C15)
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    step = h >> np.uint64(32) | np.uint64(1)
+    for i in range(HASHES):
+        yield (h + np.uint64(i) * step) & mask
 
-    N-grams are counted in sorted arrays in each task, then summed by Spark. What comes to the driver
-    is at most 1 / min_share n-grams a language, whatever the size of the input.
-    """
-    given = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null")
-    counted = given.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    counted = common.checkpointed(counted)
-    totals = counted.groupBy("lang").agg(F.sum("n").alias("total"))
-    kept = counted.join(totals, "lang").where(F.col("n") >= F.col("total") * min_share).select("lang", "gram").toPandas()
-    langs = sorted(kept["lang"].unique())
-    return Filters(langs, np.searchsorted(langs, kept["lang"].to_numpy(str)) if langs else np.zeros(0, int), kept["gram"].to_numpy(np.int64).view(np.uint64))
-
-
-def predict(spark: SparkSession, filters: Filters, text: Column) -> Column:
-    """struct<lang, score>: the language with the highest corrected share, ties to the first by name.
 
-    score is that share over the sum of all languages' shares. A null text, one without a letter, or
-    filters of no language give ('und', 0).
+def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], DataFrame]:
+    """The languages, most text first, and (gram, langs) of every letter trigram, pair and letter of all rows with a
+    language and a letter, langs being places in that list."""
+    given = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null")
+    counted = common.checkpointed(given.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
+    langs = [r["lang"] for r in counted.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").collect()]
+    if not langs:
+        return [], counted.select("gram", F.array(F.lit(0)).alias("langs"))
+    place = counted.sparkSession.createDataFrame(list(enumerate(langs)), "place int, lang string")
+    every = F.explode(F.array(F.col("gram"), F.col("gram").bitwiseAND(F.lit((1 << 42) - 1)), F.shiftright("gram", 21).bitwiseAND(F.lit((1 << 21) - 1))))
+    met = counted.join(place, "lang").select("place", every.alias("gram"))
+    return langs, common.checkpointed(met.groupBy("gram").agg(F.collect_set("place").alias("langs")))
+
+
+def filters(langs: list[str], known: DataFrame, bits: int) -> Filters:
+    """Filters of `bits` bits a language. Spark joins the languages of each position; the driver gets one word for each
+    position that is set, `bits` for every 64 languages at most."""
+
+    def set_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = batch["langs"]
+            keys = np.repeat(batch["gram"].to_numpy().view(np.uint64), np.diff(own.offsets.to_numpy()))
+            lang = own.flatten().to_numpy()
+            for at in places(keys, np.uint64(bits - 1)):
+                yield pa.record_batch({"word": pa.array(lang // 64, pa.int32()), "at": pa.array(at.view(np.int64)), "bits": pa.array((np.uint64(1) << (lang % 64).astype(np.uint64)).view(np.int64))})
+
+    got = known.mapInArrow(set_bits, "word int, at long, bits long").groupBy("word", "at").agg(F.bit_or("bits").alias("bits")).toArrow()
+    words = np.zeros((max(1, -(-len(langs) // 64)), bits), np.uint64)
+    words[got["word"].to_numpy(), got["at"].to_numpy()] = got["bits"].to_numpy().view(np.uint64)
+    return Filters(langs, words)
+
+
+def predict(spark: SparkSession, model: Filters, text: Column) -> Column:
+    """struct<lang, score>: the language with the highest corrected share of the text's trigrams.
+
+    Where no language has any, its letter pairs decide, then its letters, then the language of the most learned text; so
+    do ties go to the language of more learned text. score is the share over the sum of all languages' shares, 0 where
+    nothing was found. A null text, one without a letter, or filters of no language give ('und', 0).
     """
-    shared = spark.sparkContext.broadcast(filters)
+    shared = spark.sparkContext.broadcast(model)
 
     @F.arrow_udf("struct<lang: string, score: double>")
     def of(texts: pa.Array) -> pa.Array:
         model, langs, scores = shared.value, [], []
         for x in texts:
             keys = grams(x.as_py())
-            rates = model.rates(keys) if len(keys) and model.langs else np.zeros(1)
+            if not len(keys) or not model.langs:
+                langs.append(UNKNOWN)
+                scores.append(0.0)
+                continue
+            rates = model.rates(keys)
+            for less in shorter(keys) if not rates.any() else ():
+                rates = model.rates(less)
+                if rates.any():
+                    break
             best = int(rates.argmax())
-            known = len(keys) and model.langs
-            langs.append(model.langs[best] if known else UNKNOWN)
-            scores.append(float(rates[best] / rates.sum()) if known and rates[best] else 0.0)
+            langs.append(model.langs[best])
+            scores.append(float(rates[best] / rates.sum()) if rates[best] else 0.0)
         return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["lang", "score"])
 
     return of(text)
 
 
-def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """(id_col, held_out, lang_pred, score) of every row, learned from the rows that are not held out."""
+def _text_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distinct n-grams of each row by order, with their counts."""
+    for batch in batches:
+        for row, text in zip(batch["row"], batch["text"], strict=True):
+            keys = grams(text.as_py())
+            for order, own in zip((3, 2, 1), (keys, *shorter(keys)), strict=True):
+                k, n = np.unique(own, return_counts=True)
+                yield pa.record_batch({"row": pa.array([row.as_py()] * len(k), pa.int64()), "level": pa.array([order] * len(k), pa.int32()), "gram": pa.array(k.view(np.int64)), "n": pa.array(n.astype(np.int64))})
+
+
+def predict_by_join(rows: DataFrame, langs: list[str], known: DataFrame) -> DataFrame:
+    """(row, lang, score) of rows (row, text) that have a letter, as predict() decides, from the n-grams themselves: for
+    languages whose filters no worker can hold. Frequent n-grams are salted, so no n-gram's rows meet in one task."""
+    found = rows.select("row", "text").mapInArrow(_text_grams, "row long, level int, gram long, n long").withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int"))
+    salted = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    hits = found.join(salted, ["gram", "salt"]).select("row", "level", F.explode("langs").alias("place"), "n").groupBy("row", "level", "place").agg(F.sum("n").alias("n"))
+    best = hits.groupBy("row", "level").agg(F.max(F.struct("n", (-F.col("place")).alias("before"))).alias("best"), F.sum("n").alias("all"))
+    best = best.groupBy("row").agg(F.max(F.struct("level", "best", "all")).alias("b"))
+    every = found.select("row").distinct().join(best, "row", "left")
+    names = F.array(*[F.lit(x) for x in langs])
+    return every.select("row", F.get(names, F.coalesce(-F.col("b.best.before"), F.lit(0))).alias("lang"), F.coalesce(F.col("b.best.n") / F.col("b.all"), F.lit(0.0)).alias("score"))
+
+
+def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most_bytes: int = MOST_BYTES) -> DataFrame:
+    """(id_col, held_out, lang_pred, score) of every row, learned from all of the rows that are not held out.
+
+    Filters are as large as the n-grams that were learned need; where that is more than most_bytes, texts meet the
+    n-grams in a join instead (then without false positives). Repeated rows give repeated rows, null ids are held out, an
+    empty table gives none; other columns are not looked at.
+    """
     held = common.is_held_out(id_col)
-    filters = train(docs.where(~held), text_col, lang_col)
-    out = docs.select(F.col(id_col), held.alias("held_out"), predict(docs.sparkSession, filters, F.col(text_col)).alias("found"))
-    return out.select(id_col, "held_out", F.col("found.lang").alias("lang_pred"), F.col("found.score").alias("score"))
+    langs, known = learn(docs.where(~held), text_col, lang_col)
+    entries = known.select(F.explode("langs").alias("place")).groupBy("place").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    bits = width(entries)
+    texts = docs.select(F.col(id_col).alias("id"), held.alias("held_out"), F.col(text_col).alias("text"))
+    if not langs or bits * 8 * -(-len(langs) // 64) <= most_bytes:
+        out = texts.select("id", "held_out", predict(docs.sparkSession, filters(langs, known, bits), F.col("text")).alias("found"))
+        lang, score = F.col("found.lang"), F.col("found.score")
+    else:
+        rows = common.checkpointed(texts.withColumn("row", F.monotonically_increasing_id()))
+        out = rows.drop("text").join(predict_by_join(rows, langs, known), "row", "left")
+        lang, score = F.coalesce("lang", F.lit(UNKNOWN)), F.coalesce("score", F.lit(0.0))
+    return out.select(F.col("id").alias(id_col), "held_out", lang.alias("lang_pred"), score.alias("score"))

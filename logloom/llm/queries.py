@@ -72,9 +72,9 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER)))
 
 
-def digests(encoded: DataFrame) -> DataFrame:
+def digests(encoded: DataFrame, *more: str) -> DataFrame:
     ids = F.array_join("ids", " ")
-    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), sha256(ids).alias("ids_sha256"), sha256(F.col("decoded")).alias("decoded_sha256"))
+    return encoded.select("doc_id", *more, F.size("ids").cast("long").alias("n_tokens"), sha256(ids).alias("ids_sha256"), sha256(F.col("decoded")).alias("decoded_sha256"))
 
 
 def edits(text: str = "text") -> Column:

@@ -1,140 +1,170 @@
-"""Edit-aware token counts: segment trees of whitespace-closed leaves, re-encoded only where edits touch."""
+"""Edit-aware token counts: segment trees over pre-tokens, re-encoded only where edits touch."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from functools import cache
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logloom.llm import bpe
 
-#: Characters after which a leaf ends at the next blank; no pre-token and no special token holds a blank.
-LEAF = 1024
-_BLANK = regex.compile(r"[ \t-\r]")
-_CUT = regex.compile(rf".{{{LEAF}}}[^ \t-\r]*[ \t-\r]?", regex.DOTALL)
+#: A leaf: what stands between blanks, with the blanks behind it. No pre-token and no special token holds a blank, so
+#: the token counts of leaves add up.
+_LEAF = re.compile(r"[^ \t-\r]*[ \t-\r]+|[^ \t-\r]+")
+_BLANK = frozenset(" \t\n\x0b\x0c\r")
+#: Children of a node.
+FAN = 16
+#: Leaves whose counts a Python worker keeps.
+HELD = 100_000
 
-TREE = "struct<chars: array<int>, tokens: array<int>>"
+TREE = "struct<leaves: int, chars: array<int>, tokens: array<int>>"
 EDIT = "struct<at: int, cut: int, put: string>"
 
 
 def leaves(text: str) -> list[str]:
-    """text in pieces that each end after a blank (but the last), so that their token counts add up."""
-    out, at = [], 0
-    while m := _CUT.match(text, at):
-        out.append(m[0])
-        at = m.end()
-    return [*out, text[at:]] if at < len(text) or not out else out
-
-
-def tree(sums: list[int]) -> list[int]:
-    """Heap of sums: node i has children 2i and 2i + 1, leaves stand from the middle on."""
-    half = 1 << max(0, (len(sums) - 1).bit_length())
-    heap = [0] * half + sums + [0] * (half - len(sums))
-    for i in range(half - 1, 0, -1):
-        heap[i] = heap[2 * i] + heap[2 * i + 1]
-    return heap
-
-
-def find(heap: list[int], at: int) -> tuple[int, int]:
-    """Leaf that holds position at (the last one with text, if at is the end), and where that leaf starts."""
-    i, start, half = 1, 0, len(heap) // 2
-    at = min(at, heap[1] - 1) if heap[1] else 0
-    while i < half:
-        i *= 2
-        if at >= start + heap[i]:
-            start += heap[i]
-            i += 1
-    return i - half, start
-
-
-def put(heap: list[int], leaf: int, value: int) -> None:
-    i = leaf + len(heap) // 2
-    change = value - heap[i]
-    while i:
-        heap[i] += change
-        i //= 2
-
-
-def edited(pieces: list[str], chars: list[int], dirty: set[int], at: int, cut: int, new: str) -> None:
-    """Applies one edit to the pieces and the tree of characters; leaves to be counted anew are added to dirty.
-
-    Leaves that the edit touches, and the ones before or after if a blank between them is lost, become one
-    leaf; the others of them are left empty.
+    """The leaves of a text, one for each blank-closed word; an empty text has one empty leaf."""
+    return _LEAF.findall(text) or [""]
+
+
+def tree(sums: np.ndarray) -> list[np.ndarray]:
+    """Levels of a segment tree: the leaves' values, then the sums of FAN nodes each, up to the root alone."""
+    levels = [sums]
+    while len(levels[-1]) > 1:
+        levels.append(np.add.reduceat(levels[-1], np.arange(0, len(levels[-1]), FAN)))
+    return levels
+
+
+def unpacked(flat: np.ndarray, n: int) -> list[np.ndarray]:
+    """Levels of a tree of n leaves from their concatenation."""
+    levels, at = [], 0
+    while True:
+        levels.append(flat[at : at + n])
+        if n <= 1:
+            return levels
+        at, n = at + n, -(-n // FAN)
+
+
+def find(levels: list[np.ndarray], at: int) -> tuple[int, int]:
+    """Leaf that holds position at (the last one, if at is the end), and where that leaf starts."""
+    i, start = 0, 0
+    for level in reversed(levels[:-1]):
+        upto = np.cumsum(level[i * FAN : i * FAN + FAN])
+        j = min(int(np.searchsorted(upto, at - start, "right")), len(upto) - 1)
+        start += int(upto[j - 1]) if j else 0
+        i = i * FAN + j
+    return i, start
+
+
+def splice(levels: list[np.ndarray], first: int, last: int, new: np.ndarray) -> list[np.ndarray]:
+    """The tree with leaves first to last replaced; sums above them are brought up to date, and those of later
+    nodes only if their number changes."""
+    same = len(new) == last + 1 - first
+    out = [np.concatenate([levels[0][:first], new, levels[0][last + 1 :]])]
+    for level in levels[1:]:
+        if len(out[-1]) == 1:
+            return out
+        first, last = first // FAN, last // FAN
+        below = out[-1]
+        to = (last + 1) * FAN if same else len(below)
+        part = below[first * FAN : to]
+        sums = np.add.reduceat(part, np.arange(0, len(part), FAN)) if len(part) else part
+        out.append(np.concatenate([level[:first], sums, level[last + 1 :]]) if same else np.concatenate([level[:first], sums]))
+    return [*out[:-1], *tree(out[-1])]
+
+
+def edited(text: str, chars: list[np.ndarray], at: int, cut: int, new: str) -> tuple[str, list[np.ndarray], int, int, list[str]]:
+    """One edit: the text and the tree of characters after it, and the leaves (first, last, new ones) that changed.
+
+    Those are the leaves that the edit touches, and the next one if the blank before it is lost.
     """
-    at = max(0, min(at, chars[1]))
-    cut = max(0, min(cut, chars[1] - at))
+    total = int(chars[-1][0])
+    at = max(0, min(at, total))
+    cut = max(0, min(cut, total - at))
     first, start = find(chars, at)
-    last, _ = find(chars, at + cut)
-    text = "".join(pieces[first : last + 1])
-    text = text[: at - start] + new + text[at - start + cut :]
-    while last + 1 < len(pieces) and (not text or not _BLANK.fullmatch(text[-1])):
+    last, end = find(chars, at + cut)
+    end += int(chars[0][last])
+    region = text[start:at] + new + text[at + cut : end]
+    while last + 1 < len(chars[0]) and (not region or region[-1] not in _BLANK):
         last += 1
-        text += pieces[last]
-    while first and text and not _BLANK.fullmatch(_last_char(pieces, first)):
-        first -= 1
-        text = pieces[first] + text
-    for i in range(first, last + 1):
-        pieces[i] = text if i == first else ""
-        put(chars, i, len(pieces[i]))
-        dirty.add(i)
-
-
-def _last_char(pieces: list[str], before: int) -> str:
-    """The character before a leaf; a blank at the start of the text."""
-    return next((p[-1] for p in reversed(pieces[:before]) if p), " ")
-
-
-def count(tokenizer: bpe.WordBpe, texts: list[str]) -> list[int]:
-    split = [tokenizer.pieces(t) for t in texts]
-    tokenizer.learn(set().union(*split))
-    of = tokenizer.known.__getitem__
-    return [sum(map(len, map(of, words))) // 4 for words in split]
-
-
-def _runs(texts: list[str]) -> Iterator[list[str]]:
-    run, size = [], 0
-    for t in texts:
-        run.append(t)
-        size += len(t)
-        if size >= bpe.TOGETHER:
-            yield run
-            run, size = [], 0
-    yield run
-
-
-def _settled(tokenizer: bpe.WordBpe, run: list[tuple[list[str], dict, list[int]]]) -> list[dict]:
-    """Counts the dirty leaves of a run of documents together and brings their sums up to the roots."""
-    counts = iter(count(tokenizer, [pieces[i] for pieces, _, dirty in run for i in dirty]))
-    out = []
-    for pieces, t, dirty in run:
-        for i in dirty:
-            put(t["tokens"], i, next(counts))
-        out.append({"text": "".join(pieces), "tree": t, "encoded": sum(len(pieces[i]) for i in dirty)})
-    return out
+        region += text[end : end + int(chars[0][last])]
+        end += int(chars[0][last])
+    own = leaves(region)
+    return text[:start] + region + text[end:], splice(chars, first, last, np.array([len(x) for x in own], np.int32)), first, last, own
+
+
+class Counts:
+    """Tokens of leaves; new ones are encoded together."""
+
+    def __init__(self, path: str) -> None:
+        self.tokenizer, self.known = bpe.tokenizer(path), {}
+
+    def of(self, groups: list[list[str]]) -> Iterator[np.ndarray]:
+        """The token counts of each group's leaves."""
+        new = set(chain.from_iterable(groups))
+        if len(self.known) + len(new) > HELD:
+            self.known.clear()
+        new = [x for x in new if x not in self.known]
+        if new:
+            split = [self.tokenizer.pieces(x) for x in new]
+            self.tokenizer.learn(set(chain.from_iterable(split)))
+            ids = self.tokenizer.known
+            self.known.update(zip(new, [sum([len(ids[w]) for w in words]) // 4 for words in split], strict=True))
+        known = self.known.__getitem__
+        for own in groups:
+            yield np.fromiter(map(known, own), np.int32, len(own))
+
+
+@cache
+def counts(path: str) -> Counts:
+    """One per Python worker and path."""
+    return Counts(path)
+
+
+def _runs(sizes: list[int]) -> Iterator[range]:
+    """Neighbouring rows of about bpe.TOGETHER characters."""
+    first, size = 0, 0
+    for i, n in enumerate(sizes):
+        size += n
+        if size >= bpe.TOGETHER or i == len(sizes) - 1:
+            yield range(first, i + 1)
+            first, size = i + 1, 0
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, arrays)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *arrays]), pa.int32()))
+
+
+def _trees(chars: list[list[np.ndarray]], tokens: list[list[np.ndarray]]) -> pa.StructArray:
+    flat = lambda trees: _lists([np.concatenate(t) for t in trees])
+    return pa.StructArray.from_arrays([pa.array([len(t[0]) for t in chars], pa.int32()), flat(chars), flat(tokens)], ["leaves", "chars", "tokens"])
 
 
 def build(text: str | Column, path: str) -> Column:
-    """struct<chars, tokens>: the segment trees of a text as heaps, root at 1; a null or empty text is one empty leaf."""
+    """struct<leaves, chars, tokens>: the segment trees of a text, level by level from the leaves, the root last; a null
+    or empty text is one empty leaf."""
 
     @F.arrow_udf(TREE)
     def of(texts: pa.Array) -> pa.Array:
-        tokenizer, chars, tokens = bpe.tokenizer(path), [], []
-        for run in _runs([x or "" for x in texts.to_pylist()]):
-            cut = [leaves(t) for t in run]
-            counts = iter(count(tokenizer, [p for pieces in cut for p in pieces]) if run else [])
-            for pieces in cut:
-                chars.append(tree([len(p) for p in pieces]))
-                tokens.append(tree([next(counts) for _ in pieces]))
-        return pa.StructArray.from_arrays([pa.array(chars, pa.list_(pa.int32())), pa.array(tokens, pa.list_(pa.int32()))], ["chars", "tokens"])
+        chars, tokens = [], []
+        given = [x or "" for x in texts.to_pylist()]
+        for run in _runs([len(x) for x in given]):
+            cut = [leaves(given[i]) for i in run]
+            chars += [tree(np.fromiter(map(len, own), np.int32, len(own))) for own in cut]
+            tokens += [tree(n) for n in counts(path).of(cut)]
+        return _trees(chars, tokens)
 
     return of(text)
 
 
 def apply_edits(text: str | Column, trees: str | Column, edits: str | Column, path: str) -> Column:
-    """struct<text, tree, encoded>: the text and its trees after the edits, and the characters encoded again.
+    """struct<text, tree, encoded>: the text and its trees after the edits, and the characters encoded again: those of the
+    leaves that edits touch.
 
     edits: array of struct<at, cut, put>, in order, each on the text that the ones before it left: at
     `at` (code points from 0) `cut` are taken out and `put` comes in. Positions outside the text are
@@ -143,31 +173,35 @@ def apply_edits(text: str | Column, trees: str | Column, edits: str | Column, pa
 
     @F.arrow_udf(f"struct<text: string, tree: {TREE}, encoded: int>")
     def of(texts: pa.Array, trees: pa.Array, edits: pa.Array) -> pa.Array:
-        tokenizer, out, run, size = bpe.tokenizer(path), [], [], 0
-        for x, t, own in zip(texts, trees, edits, strict=True):
-            x, t = x.as_py() or "", t.as_py()
-            pieces, at = [], 0
-            for n in t["chars"][len(t["chars"]) // 2 :]:
-                pieces.append(x[at : at + n])
-                at += n
-            dirty: set[int] = set()
-            for e in own.as_py() or []:
-                if e is not None:
-                    edited(pieces, t["chars"], dirty, e["at"] or 0, e["cut"] or 0, e["put"] or "")
-            run.append((pieces, t, sorted(dirty)))
-            size += len(x)
-            if size >= bpe.TOGETHER:
-                out += _settled(tokenizer, run)
-                run, size = [], 0
-        out += _settled(tokenizer, run)
-        kind = pa.struct([("text", pa.string()), ("tree", pa.struct([("chars", pa.list_(pa.int32())), ("tokens", pa.list_(pa.int32()))])), ("encoded", pa.int32())])
-        return pa.array(out, kind)
+        given = [x or "" for x in texts.to_pylist()]
+        n = trees.field("leaves").to_pylist()
+        arrays = {k: [x.values.to_numpy() for x in trees.field(k)] for k in ("chars", "tokens")}
+        texts_after, chars, tokens, encoded = [], [], [], []
+        for run in _runs([len(x) for x in given]):
+            changed = []
+            for i in run:
+                x, own, size = given[i], unpacked(arrays["chars"][i], n[i]), 0
+                for e in edits[i].as_py() or []:
+                    if e is not None:
+                        x, own, first, last, new = edited(x, own, e["at"] or 0, e["cut"] or 0, e["put"] or "")
+                        changed.append((i, first, last, new))
+                        size += sum(map(len, new))
+                texts_after.append(x)
+                chars.append(own)
+                encoded.append(size)
+            of_run = {i: unpacked(arrays["tokens"][i], n[i]) for i in run}
+            for (i, first, last, _), values in zip(changed, counts(path).of([new for *_, new in changed]), strict=True):
+                of_run[i] = splice(of_run[i], first, last, values)
+            tokens += of_run.values()
+        return pa.StructArray.from_arrays([pa.array(texts_after, pa.string()), _trees(chars, tokens), pa.array(encoded, pa.int32())], ["text", "tree", "encoded"])
 
     return of(text, trees, edits)
 
 
 def recount(docs: DataFrame, edits: str | Column, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, text, tree, n_before, n_after, encoded) of every row, repeated rows included; `edits` is an array column of docs."""
+    """(id_col, text, tree, n_before, n_after, encoded) of every row, repeated rows and null ids included; `edits` is an
+    array column of docs. An empty table gives none; other columns are not looked at."""
     built = docs.select(F.col(id_col), F.col(text_col).alias("before"), (F.col(edits) if isinstance(edits, str) else edits).alias("edits"), build(F.col(text_col), path).alias("trees"))
     done = built.withColumn("done", apply_edits(F.col("before"), F.col("trees"), F.col("edits"), path))
-    return done.select(id_col, F.col("done.text").alias("text"), F.col("done.tree").alias("tree"), F.get("trees.tokens", F.lit(1)).alias("n_before"), F.get("done.tree.tokens", F.lit(1)).alias("n_after"), F.col("done.encoded").alias("encoded"))
+    root = lambda t: F.element_at(f"{t}.tokens", -1)
+    return done.select(id_col, F.col("done.text").alias("text"), F.col("done.tree").alias("tree"), root("trees").alias("n_before"), root("done.tree").alias("n_after"), F.col("done.encoded").alias("encoded"))

@@ -1,10 +1,12 @@
 """SimHash, line and embedding dedup against brute force, with nulls, ties, repeats and clashing columns."""
 
+import math
 import random
 
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from logloom.llm import common, embedding_dedup, line_dedup, simhash
 
@@ -132,6 +134,31 @@ def test_line_dedup(spark):
     assert line_dedup.drop_repeated_lines(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_line_dedup_without_broadcast_and_with_clashing_names(spark, monkeypatch):
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    rows = [(i, f"This line is long enough to be looked at, {i % 3}.\nown", "kept", i) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, whole_text string, salt int").withColumns({"lost": F.lit("l"), "own_id": F.lit("o"), "N_Dropped": F.lit("n")})
+    done = line_dedup.drop_repeated_lines(df)
+    assert done.columns == ["doc_id", "text", "whole_text", "salt", "lost", "own_id", "n_lines", "n_dropped"]
+    got = done.collect()
+    assert sorted([(r["doc_id"], r["text"], r["n_lines"], r["n_dropped"]) for r in got], key=str) == brute_lines(rows)
+    assert all((r["whole_text"], r["lost"], r["own_id"]) == ("kept", "l", "o") for r in got)
+
+
+def test_line_dedup_is_linear_in_the_lines(spark):
+    """A document of 200,000 lines that loses half of them; rebuilding line by line would take hours."""
+    import time
+
+    line = lambda i: f"a repeated line of forty characters, no. {i}"
+    long = "\n".join(line(i % 100) if i % 2 else f"own {i}" for i in range(200_000))
+    rows = [(0, long)] + [(i, "\n".join(map(line, range(100)))) for i in range(1, 6)]
+    start = time.time()
+    done = {r["doc_id"]: r for r in line_dedup.drop_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert time.time() - start < 60
+    assert (done[0]["n_lines"], done[0]["n_dropped"]) == (200_000, 100_000)
+    assert done[0]["text"] == "\n".join(f"own {i}" for i in range(0, 200_000, 2))
+
+
 @pytest.mark.parametrize(("small", "chunk"), [(32, 4096), (3, 4)])
 def test_embeddings(spark, monkeypatch, small, chunk):
     monkeypatch.setattr(common, "SMALL_BUCKET", small)
@@ -153,11 +180,40 @@ def test_embeddings(spark, monkeypatch, small, chunk):
 
 
 def test_embedding_recall_at_the_threshold():
+    for cosine in (0.5, 0.9, 0.99):
+        p, most = math.acos(cosine) / math.pi, embedding_dedup.most_signs(cosine)
+        assert sum(math.comb(64, k) * p**k * (1 - p) ** (64 - k) for k in range(most + 1, 65)) <= 1e-9
     k, tables = embedding_dedup.plan(50_000, 0.9, 0.98)
     p = embedding_dedup.same_bucket(np.sqrt(0.2)) ** k
     assert 1 - (1 - p) ** tables >= 0.98
 
 
+def test_embedding_recall_by_measurement(spark):
+    """Production parameters, 1,000 pairs planted at cosines of 0.90 to 0.92 among unrelated vectors."""
+    rng = np.random.default_rng(21)
+    a = rng.standard_normal((1000, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    side = rng.standard_normal((1000, 64))
+    side -= (side * a).sum(axis=1, keepdims=True) * a
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    cos = rng.uniform(0.9001, 0.92, (1000, 1))
+    b = cos * a + np.sqrt(1 - cos**2) * side
+    rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate([a, b, rng.standard_normal((500, 64))]))] + [(None, a[0].tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({"v": F.lit("clash"), "node": F.lit(1)})
+    got = {r["vec_id"]: r for r in embedding_dedup.near_duplicates(df).collect()}
+    assert (got[None]["n_links"], got[None]["component_id"], got[None]["kept"]) == (0, None, None)
+    found = sum(got[1000 + i]["component_id"] == i for i in range(1000))
+    assert found >= 960
+    assert sum(r["n_links"] for r in got.values()) == 2 * found
+    assert all(got[i]["n_links"] == 0 for i in range(2000, 2500))
+
+
+def test_null_ids_and_repeats(spark):
+    rows = [(None, "a b c d", "x", "y"), (None, "a b c d", "x", "y"), (4, "a b c d", "x", "y"), (4, "a b c d", "x", "y"), (None, "q r s t u", "x", "y")]
+    got = sorted([(r["doc_id"] or 0, r["component_id"]) for r in simhash.near_duplicates(spark.createDataFrame(rows, DOCS), distance=2).collect()], key=str)
+    assert got == sorted([(0, 4), (0, 4), (4, 4), (4, 4), (0, None)], key=str)
+
+
 def test_held_out(spark):
     import zlib
 
