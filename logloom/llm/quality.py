@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections import Counter
 from collections.abc import Callable, Iterator
-from functools import reduce
+from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -54,19 +54,21 @@ def base_counts(text: str | None) -> tuple[int, int, int, int, int]:
     return len(words), chars, symbols, len(lines) - len(set(lines)), repeated
 
 
-#: A mark right after the same mark; letters, digits and white space are no marks.
-_AGAIN = regex.compile(r"([^\p{L}\p{M}\p{N}\s])\1+")
-
-
-def _plain(text: str) -> str:
-    """The text that the models read: a run of one mark counts as one."""
-    return _AGAIN.sub(r"\1", text)
+@cache
+def _marks() -> np.ndarray:
+    """True for each code point that is neither letter, combining mark, digit nor white space."""
+    return np.array([not (chr(i).isalnum() or chr(i).isspace() or unicodedata.category(chr(i))[0] == "M") for i in range(0x110000)])
 
 
 def _pieces(text: str) -> Iterator[np.ndarray]:
-    """Code points of a text in pieces of about PART, each after the N - 1 before it (0 before the first)."""
-    codes = np.concatenate([np.zeros(N - 1, np.uint32), ngrams.code_points(_plain(text))])
-    return ngrams.parts(codes, N)
+    """Code points of a text in pieces of about PART, each after the N - 1 before it (0 before the first). A run of one
+    mark counts as one."""
+    codes = ngrams.code_points(text)
+    again = codes[1:] == codes[:-1]
+    if again.any():
+        again &= _marks()[codes[1:]]
+        codes = codes[np.concatenate([[True], ~again])]
+    return ngrams.parts(np.concatenate([np.zeros(N - 1, np.uint32), codes]), N)
 
 
 def _mixed(h: np.ndarray, symbol: np.ndarray) -> np.ndarray:
@@ -74,57 +76,79 @@ def _mixed(h: np.ndarray, symbol: np.ndarray) -> np.ndarray:
     return h ^ h >> np.uint64(29)
 
 
-def hashes(symbols: np.ndarray) -> list[np.ndarray]:
-    """For each order from 1 to N the hashes of the n-grams that end at each position from N - 1 on.
-
-    A hash takes in the last symbol first, so that each order's continues the one below.
-    """
-    wide, out, h = symbols.astype(np.uint64), [], np.uint64(START)
+def hashes(symbols: np.ndarray) -> np.ndarray:
+    """Hashes of the n-grams of order N. The last symbol goes in first, so that each order's hash continues the one below."""
+    wide, h = symbols.astype(np.uint64), np.uint64(START)
     for k in range(N):
         h = _mixed(h, wide[N - 1 - k : len(wide) - k])
-        out.append(h)
-    return out
+    return h
 
 
 def _part(symbol: np.ndarray, parts: int) -> np.ndarray:
     return _mixed(np.uint64(7), symbol.astype(np.uint64)) % np.uint64(parts)
 
 
+#: Bits of a symbol within a task, and characters whose n-grams are sorted together.
+BITS, SORTED = 60 // N, 1 << 22
+
+
+def _distinct(symbols: np.ndarray, fresh: np.ndarray) -> Iterator[tuple[list[str], np.ndarray]]:
+    """The distinct n-grams of a run of symbols and their counts, those left out that reach from a fresh symbol's text into
+    the one before. Symbols are numbered within the run, which is halved while it has more than BITS can tell."""
+    own = np.zeros(0x110000, np.int64)
+    own[symbols] = 1
+    alphabet = np.flatnonzero(own)
+    if len(alphabet) > 1 << BITS:
+        half = len(symbols) // 2
+        yield from _distinct(symbols[: half + N - 1], fresh[: half + N - 1])
+        yield from _distinct(symbols[half:], fresh[half:])
+        return
+    own[alphabet] = np.arange(len(alphabet))
+    ids = own[symbols]
+    keys = ids[: len(ids) - N + 1].copy()
+    for k in range(1, N):
+        keys = keys << BITS | ids[k : len(ids) - N + 1 + k]
+    keys, n = np.unique(keys[~fresh[N - 1 :]], return_counts=True)
+    rows = np.stack([alphabet[keys >> BITS * (N - 1 - k) & (1 << BITS) - 1] for k in range(N)], axis=1).astype("<u4")
+    text = rows.tobytes().decode("utf-32-le")
+    yield [text[at : at + N] for at in range(0, len(text), N)], n
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct n-grams of order N and their counts, each task's in bounded parts that Spark adds up."""
+    """N-grams of order N and their counts; each task adds up its own as far as HELD allows, Spark the rest."""
     waiting: dict[str, list[np.ndarray]] = {}
+    counts: dict[str, Counter[str]] = {}
     held = 0
 
-    def hand_on() -> Iterator[pa.RecordBatch]:
+    def settle() -> None:
         for lang, texts in waiting.items():
-            symbols = np.concatenate(texts)
-            ends = np.cumsum([len(x) for x in texts])[:-1]
-            inside = np.ones(len(symbols), bool)  # an n-gram must not reach into the text before
-            inside[: N - 1] = False
-            for k in range(N - 1):
-                inside[ends + k] = False
-            own = np.flatnonzero(inside[N - 1 :])
-            _, first, n = np.unique(hashes(symbols)[-1][own], return_index=True, return_counts=True)
-            rows = np.lib.stride_tricks.sliding_window_view(symbols, N)[own[first]].astype("<u4")
-            for at in range(0, len(rows), 1 << 16):
-                part = rows[at : at + (1 << 16)]
-                grams = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * N), len(part), [None, pa.py_buffer(part.tobytes())])
-                yield pa.record_batch({"lang": pa.array([lang] * len(part), pa.string()), "gram": grams.cast(pa.binary()), "n": pa.array(n[at : at + (1 << 16)], pa.int64())})
+            symbols, fresh = np.concatenate(texts), np.concatenate([np.arange(len(x)) < N - 1 for x in texts])
+            own = counts.setdefault(lang, Counter())
+            for grams, n in _distinct(symbols, fresh):
+                own.update(dict(zip(grams, n.tolist(), strict=True)))
         waiting.clear()
 
+    def hand_on() -> Iterator[pa.RecordBatch]:
+        for lang, own in counts.items():
+            yield pa.record_batch({"lang": pa.array([lang] * len(own), pa.string()), "gram": pa.array(list(own), pa.string()), "n": pa.array(list(own.values()), pa.int64())})
+        counts.clear()
+
     for batch in batches:
         for lang, text in zip(batch["lang"], batch["text"], strict=True):
             for piece in _pieces(text.as_py()):
                 waiting.setdefault(lang.as_py(), []).append(piece)
                 held += len(piece)
-                if held >= COUNTED:
-                    yield from hand_on()
+                if held >= SORTED:
+                    settle()
                     held = 0
+                    if sum(map(len, counts.values())) >= HELD:
+                        yield from hand_on()
+    settle()
     yield from hand_on()
 
 
-#: Characters whose n-grams a task counts before it hands them on.
-COUNTED = 1 << 22
+#: Distinct n-grams that a task holds before it hands their counts on.
+HELD = 1 << 20
 
 
 def _discounts(grams: DataFrame) -> DataFrame:
@@ -146,7 +170,7 @@ def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k in np.unique(level):
             own = np.flatnonzero(level == k)
             size = int(sizes[own[0]])
-            symbols = np.frombuffer(b"".join([given[i] for i in own]), "<u4").reshape(len(own), size)
+            symbols = np.frombuffer("".join([given[i] for i in own]).encode("utf-32-le"), "<u4").reshape(len(own), size)
             at = h[own]
             for i in range(size - 1, -1, -1):
                 at = _mixed(at, symbols[:, i].astype(np.uint64))
@@ -165,21 +189,23 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Da
     last of an n-gram, the last of a context (-1 where there is none).
     """
     given = docs.select(F.coalesce(F.col(lang_col), F.lit(UNKNOWN)).alias("lang"), F.col(text_col).alias("text")).where("text is not null and text <> ''")
-    counted = given.mapInArrow(_count, "lang string, gram binary, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    # few tasks of many texts add up more n-grams before they are shuffled than many tasks of few
+    given = given.coalesce(8 * docs.sparkSession.sparkContext.defaultParallelism)
+    counted = given.mapInArrow(_count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     grams = {N: common.checkpointed(counted)}
     for k in range(N - 1, 0, -1):  # lower orders count the distinct symbols to the left
-        suffix = F.substring("gram", 5, 4 * k).alias("gram")
+        suffix = F.substring("gram", 2, k).alias("gram")
         grams[k] = common.checkpointed(grams[k + 1].groupBy("lang", suffix).agg(F.count("*").alias("n")))
     lower, out = None, []
     for k in range(1, N + 1):
         taken = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
-        context = F.substring("gram", 1, 4 * (k - 1))
-        own = grams[k].join(_discounts(grams[k]), "lang").select("lang", "gram", context.alias("context"), "n", taken.alias("taken"))
+        context = F.substring("gram", 1, k - 1)
+        own = grams[k].join(common.small(_discounts(grams[k])), "lang").select("lang", "gram", context.alias("context"), "n", taken.alias("taken"))
         totals = own.groupBy("lang", "context").agg(F.sum("n").alias("total"), (F.sum("taken") / F.sum("n")).alias("weight"))
         if k == 1:  # one of 2 ** 20 symbols, if none was seen
             below = own.withColumn("below", F.lit(2.0**-20))
         else:
-            below = own.withColumn("suffix", F.substring("gram", 5, 4 * (k - 1))).join(lower.select("lang", F.col("gram").alias("suffix"), F.col("value").alias("below")), ["lang", "suffix"])
+            below = own.withColumn("suffix", F.substring("gram", 2, k - 1)).join(lower.select("lang", F.col("gram").alias("suffix"), F.col("value").alias("below")), ["lang", "suffix"])
         value = (F.col("n") - F.col("taken")) / F.col("total") + F.col("weight") * F.col("below")
         lower = common.checkpointed(below.join(totals, ["lang", "context"]).select("lang", "gram", value.alias("value")))
         own = lower.select("lang", F.lit(k).alias("level"), "gram", F.col("value").cast("float").alias("value"))
@@ -218,14 +244,20 @@ class Model:
 
     def surprise(self, symbols: np.ndarray, part: int = 0, parts: int = 1) -> np.ndarray:
         """Negative log probability of each symbol after the first N - 1; 0 for those that other parts are to score."""
-        grams = hashes(symbols)
-        before = hashes(np.concatenate([[0], symbols[:-1]]).astype(np.uint32))
-        own = np.arange(len(grams[0])) if parts == 1 else np.flatnonzero(_part(symbols[N - 2 : -1], parts) == part)
-        _, first, at = np.unique(grams[-1][own], return_index=True, return_inverse=True)
-        pick = own[first]
-        out = np.zeros(len(grams[0]))
-        out[own] = -np.log(self.probability([g[pick] for g in grams], [b[pick] for b in before]))[at]
-        return out
+        windows = np.lib.stride_tricks.sliding_window_view(symbols, N)
+        own = np.arange(len(windows)) if parts == 1 else np.flatnonzero(_part(symbols[N - 2 : -1], parts) == part)
+        _, at = np.unique(hashes(symbols)[own], return_inverse=True)
+        one = np.zeros(int(at.max()) + 1 if len(at) else 0, np.int64)
+        one[at] = own
+        grams, contexts = [], []
+        for last, out in ((N - 1, grams), (N - 2, contexts)):
+            h = np.full(len(one), START, np.uint64)
+            for k in range(last, -1, -1):
+                h = _mixed(h, windows[one, k].astype(np.uint64))
+                out.append(h)
+        values = np.zeros(len(windows))
+        values[own] = -np.log(self.probability(grams, contexts))[at]
+        return values
 
 
 def surprises(models: dict[str, Model], langs: list[str], texts: list[str | None], part: int, parts: int) -> list[float | None]:

@@ -85,8 +85,9 @@ def edits(text: str = "text") -> Column:
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counted = token_counts.recount(table(spark, sf_dir, "documents"), edits(), public_tokenizers.path(TOKENIZER))
-    return counted.select("doc_id", F.col("n_before").cast("long").alias("n_before"), F.col("n_after").cast("long").alias("n_after"), F.col("encoded").cast("long").alias("n_chars_encoded"), F.length("text").cast("long").alias("n_chars_after"))
+    counted = token_counts.recount(table(spark, sf_dir, "documents"), edits(), public_tokenizers.path(TOKENIZER), keep=())
+    counts = {"n_before": "n_before", "n_after": "n_after", "encoded": "n_chars_encoded", "n_chars": "n_chars_after"}
+    return counted.select("doc_id", *[F.col(k).cast("long").alias(v) for k, v in counts.items()])
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,6 +11,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from logloom.llm import bpe
 
@@ -21,12 +23,15 @@ _BLANK = frozenset(" \t\n\x0b\x0c\r")
 #: Children of a node.
 FAN = 16
 #: Leaves whose counts a Python worker keeps.
-HELD = 100_000
+HELD = 250_000
 
 TREE = "struct<leaves: int, chars: array<int>, tokens: array<int>>"
 EDIT = "struct<at: int, cut: int, put: string>"
 
 
+Levels = list[np.ndarray]
+
+
 def leaves(text: str) -> list[str]:
     """The leaves of a text, one for each blank-closed word; an empty text has one empty leaf."""
     return _LEAF.findall(text) or [""]
@@ -140,7 +145,7 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, arrays)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *arrays]), pa.int32()))
 
 
-def _trees(chars: list[list[np.ndarray]], tokens: list[list[np.ndarray]]) -> pa.StructArray:
+def _trees(chars: list[Levels], tokens: list[Levels]) -> pa.StructArray:
     flat = lambda trees: _lists([np.concatenate(t) for t in trees])
     return pa.StructArray.from_arrays([pa.array([len(t[0]) for t in chars], pa.int32()), flat(chars), flat(tokens)], ["leaves", "chars", "tokens"])
 
@@ -154,14 +159,36 @@ def build(text: str | Column, path: str) -> Column:
         chars, tokens = [], []
         given = [x or "" for x in texts.to_pylist()]
         for run in _runs([len(x) for x in given]):
-            cut = [leaves(given[i]) for i in run]
-            chars += [tree(np.fromiter(map(len, own), np.int32, len(own))) for own in cut]
-            tokens += [tree(n) for n in counts(path).of(cut)]
+            own = _built([given[i] for i in run], counts(path))
+            chars += [c for c, _ in own]
+            tokens += [t for _, t in own]
         return _trees(chars, tokens)
 
     return of(text)
 
 
+def _built(texts: list[str], of: Counts) -> list[tuple[Levels, Levels]]:
+    cut = [leaves(x) for x in texts]
+    return [(tree(np.fromiter(map(len, own), np.int32, len(own))), tree(n)) for own, n in zip(cut, of.of(cut), strict=True)]
+
+
+def _applied(texts: list[str], trees: list[tuple[Levels, Levels]], edits: list[list | None], of: Counts) -> list[tuple[str, Levels, Levels, int]]:
+    """(text, trees, characters encoded again) of each document after its edits; the leaves that changed in any of them are counted together."""
+    out, changed = [], []
+    for i, (x, (chars, tokens), own) in enumerate(zip(texts, trees, edits, strict=True)):
+        size = 0
+        for e in own or []:
+            if e is not None:
+                x, chars, first, last, new = edited(x, chars, e["at"] or 0, e["cut"] or 0, e["put"] or "")
+                changed.append((i, first, last, new))
+                size += sum(map(len, new))
+        out.append((x, chars, tokens, size))
+    for (i, first, last, _), values in zip(changed, of.of([new for *_, new in changed]), strict=True):
+        x, chars, tokens, size = out[i]
+        out[i] = (x, chars, splice(tokens, first, last, values), size)
+    return out
+
+
 def apply_edits(text: str | Column, trees: str | Column, edits: str | Column, path: str) -> Column:
     """struct<text, tree, encoded>: the text and its trees after the edits, and the characters encoded again: those of the
     leaves that edits touch.
@@ -173,35 +200,52 @@ def apply_edits(text: str | Column, trees: str | Column, edits: str | Column, pa
 
     @F.arrow_udf(f"struct<text: string, tree: {TREE}, encoded: int>")
     def of(texts: pa.Array, trees: pa.Array, edits: pa.Array) -> pa.Array:
-        given = [x or "" for x in texts.to_pylist()]
-        n = trees.field("leaves").to_pylist()
-        arrays = {k: [x.values.to_numpy() for x in trees.field(k)] for k in ("chars", "tokens")}
-        texts_after, chars, tokens, encoded = [], [], [], []
+        given, n = [x or "" for x in texts.to_pylist()], trees.field("leaves").to_pylist()
+        chars, tokens = ([x.values.to_numpy() for x in trees.field(k)] for k in ("chars", "tokens"))
+        out = []
         for run in _runs([len(x) for x in given]):
-            changed = []
-            for i in run:
-                x, own, size = given[i], unpacked(arrays["chars"][i], n[i]), 0
-                for e in edits[i].as_py() or []:
-                    if e is not None:
-                        x, own, first, last, new = edited(x, own, e["at"] or 0, e["cut"] or 0, e["put"] or "")
-                        changed.append((i, first, last, new))
-                        size += sum(map(len, new))
-                texts_after.append(x)
-                chars.append(own)
-                encoded.append(size)
-            of_run = {i: unpacked(arrays["tokens"][i], n[i]) for i in run}
-            for (i, first, last, _), values in zip(changed, counts(path).of([new for *_, new in changed]), strict=True):
-                of_run[i] = splice(of_run[i], first, last, values)
-            tokens += of_run.values()
+            own = [(unpacked(chars[i], n[i]), unpacked(tokens[i], n[i])) for i in run]
+            out += _applied([given[i] for i in run], own, [edits[i].as_py() for i in run], counts(path))
+        texts_after, chars, tokens, encoded = zip(*out, strict=True) if out else ((),) * 4
         return pa.StructArray.from_arrays([pa.array(texts_after, pa.string()), _trees(chars, tokens), pa.array(encoded, pa.int32())], ["text", "tree", "encoded"])
 
     return of(text, trees, edits)
 
 
-def recount(docs: DataFrame, edits: str | Column, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, text, tree, n_before, n_after, encoded) of every row, repeated rows and null ids included; `edits` is an
-    array column of docs. An empty table gives none; other columns are not looked at."""
-    built = docs.select(F.col(id_col), F.col(text_col).alias("before"), (F.col(edits) if isinstance(edits, str) else edits).alias("edits"), build(F.col(text_col), path).alias("trees"))
-    done = built.withColumn("done", apply_edits(F.col("before"), F.col("trees"), F.col("edits"), path))
-    root = lambda t: F.element_at(f"{t}.tokens", -1)
-    return done.select(id_col, F.col("done.text").alias("text"), F.col("done.tree").alias("tree"), root("trees").alias("n_before"), root("done.tree").alias("n_after"), F.col("done.encoded").alias("encoded"))
+def recount(docs: DataFrame, edits: str | Column, path: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ("text", "tree")) -> DataFrame:
+    """(id_col, text, tree, n_before, n_after, n_chars, encoded) of every row, repeated rows and null ids included; `edits`
+    is an array column of docs, as in apply_edits(), n_chars the length after them. An empty table gives none; other
+    columns are not looked at.
+
+    Trees are built and edits applied in one pass, in runs of about bpe.TOGETHER characters, which is what a
+    worker holds; what `keep` does not name (the text, the tree) is not given out.
+    """
+
+    def run(keys: list, texts: list[str], own: list) -> pa.RecordBatch:
+        built = _built(texts, counts(path))
+        done = _applied(texts, built, own, counts(path))
+        after, chars, tokens, encoded = zip(*done, strict=True)
+        root = lambda trees: pa.array([int(t[-1][0]) for t in trees], pa.int32())
+        columns = {id_col: pa.array(keys, kind), "text": pa.array(after, pa.string()) if "text" in keep else None, "tree": _trees(chars, tokens) if "tree" in keep else None}
+        columns |= {"n_before": root([t for _, t in built]), "n_after": root(tokens), "n_chars": root(chars), "encoded": pa.array(encoded, pa.int32())}
+        return pa.record_batch({k: v for k, v in columns.items() if v is not None})
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, texts, own, size = [], [], [], 0
+        for batch in batches:
+            for key, text, e in zip(*batch.columns, strict=True):
+                keys.append(key.as_py())
+                texts.append(text.as_py() or "")
+                own.append(e.as_py())
+                size += len(texts[-1])
+                if size >= bpe.TOGETHER:
+                    yield run(keys, texts, own)
+                    keys, texts, own, size = [], [], [], 0
+        if keys:
+            yield run(keys, texts, own)
+
+    kind = to_arrow_type(docs.schema[id_col].dataType)
+    given = docs.select(F.col(id_col), F.col(text_col), (F.col(edits) if isinstance(edits, str) else edits).alias("edits"))
+    more = [f"{k}: {t}" for k, t in {"text": "string", "tree": TREE}.items() if k in keep]
+    schema = T.StructType.fromDDL(", ".join([*more, "n_before: int, n_after: int, n_chars: int, encoded: int"]))
+    return given.mapInArrow(of, T.StructType([docs.schema[id_col], *schema.fields]))

@@ -176,6 +176,17 @@ def test_token_counts(spark):
         assert r["tree"]["tokens"] == [int(x) for t in token_counts.tree(np.array([len(x) for x in tok.encode(cut)])) for x in t]
 
 
+def test_stored_trees_are_edited_as_whole_documents_are(spark):
+    rng = random.Random(15)
+    texts = [*ODD, *[" ".join(rng.choices(["a", "bc", "Don't", "é"], k=rng.randint(0, 700))) for _ in range(20)]]
+    df = docs(spark, texts).withColumn("edits", queries.edits())
+    whole = {r["doc_id"]: r for r in token_counts.recount(df, "edits", PATH).collect()}
+    apart = df.withColumn("t", token_counts.build("text", PATH)).withColumn("d", token_counts.apply_edits("text", "t", "edits", PATH))
+    for r in apart.collect():
+        w = whole[r["doc_id"]]
+        assert (r["d"]["text"], r["d"]["tree"], r["d"]["encoded"], r["t"]["tokens"][-1]) == (w["text"], w["tree"], w["encoded"], w["n_before"])
+
+
 def test_only_touched_leaves_are_encoded(spark):
     """Whatever the text's length: what an edit puts in, the words at its two ends, and the next word where a blank is lost."""
     words = [f"word{i}" for i in range(40_000)]
