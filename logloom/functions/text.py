@@ -8,11 +8,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: White space of str.strip(): Unicode blanks and the separators \x1c-\x1f.
-EDGES = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
+BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def strip(s: Column) -> Column:
-    return F.regexp_replace(s, EDGES, "")
+    return F.btrim(s, F.lit(BLANKS))
 
 
 def contains_any(s: Column, words: tuple[str, ...] | list[str]) -> Column:
@@ -35,25 +35,34 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def last_wins(entries: Column) -> Column:
-    """Map of an array of struct<key, value>; of equal keys the last stays."""
+    """Map of an array of struct<key, value>; of equal keys the last stays. Time n log n in the entries, n if no key
+    comes twice."""
 
     def build(e: Column) -> Column:
-        keys = F.reverse(F.transform(e, lambda x: x["key"]))
-        return let(keys, lambda k: F.map_from_entries(F.filter(e, lambda x, i: F.array_position(k, x["key"]) == F.size(e) - i)))
+        keys = F.transform(e, lambda x: x["key"])
+        placed = F.array_sort(F.transform(e, lambda x, i: F.struct(x["key"].alias("key"), i.alias("i"), x["value"].alias("value"))))
+        lasts = let(placed, lambda p: F.filter(p, lambda x, i: (i == F.size(p) - 1) | (F.get(p, i + 1)["key"] != x["key"])))
+        ordered = F.array_sort(F.transform(lasts, lambda x: F.struct(x["i"].alias("i"), x["key"].alias("key"), x["value"].alias("value"))))
+        once = F.transform(ordered, lambda x: F.struct(x["key"].alias("key"), x["value"].alias("value")))
+        return F.map_from_entries(F.when(F.size(F.array_distinct(keys)) == F.size(e), e).otherwise(once))
 
     return let(entries, build)
 
 
 def pairs(s: Column, pattern: str, groups: tuple[int, ...] = (2, 3)) -> Column:
-    """Array of struct<key, value> of all matches: key is group 1, value the first of `groups` that isn't empty."""
-    keys = F.regexp_extract_all(s, F.lit(pattern), F.lit(1))
-    values = [F.regexp_extract_all(s, F.lit(pattern), F.lit(g)) for g in groups]
-    zipped = F.arrays_zip(keys.alias("key"), *[v.alias(f"v{i}") for i, v in enumerate(values)])
-
-    def entry(z: Column) -> Column:
-        value = z[f"v{len(values) - 1}"]
-        for i in reversed(range(len(values) - 1)):
-            value = F.when(z[f"v{i}"] != "", z[f"v{i}"]).otherwise(value)
-        return F.struct(z["key"].alias("key"), value.alias("value"))
-
-    return F.transform(zipped, entry)
+    """Array of struct<key, value> of all matches: key is group 1, value that of `groups` which took part (one does, keys
+    hold no '='). One pass over the text; its matches are taken apart one by one."""
+    taken = "$1=" + "".join(f"${g}" for g in groups)
+
+    def entry(match: Column) -> Column:
+        flat = F.regexp_replace(match, pattern, taken)
+        return F.struct(F.substring_index(flat, "=", 1).alias("key"), F.substring(flat, F.instr(flat, "=") + 1, F.length(flat)).alias("value"))
+
+    return F.transform(F.regexp_extract_all(s, F.lit(pattern), F.lit(0)), entry)
+
+
+def fields_of(s: Column, pattern: str, n: int) -> Column:
+    """Array of the n groups of a pattern that fits the whole of a stripped line, else null. The groups must not take
+    in a line end: it parts them, so that the pattern runs once."""
+    cut = F.regexp_replace(s, pattern, "".join(f"\n${i}" for i in range(1, n + 1)))
+    return F.when(cut.startswith("\n"), F.slice(F.split(cut, "\n"), 2, n))

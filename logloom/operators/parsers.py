@@ -17,17 +17,19 @@ from pathlib import Path
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from logloom.functions.text import contains_any, group, last_wins, let, pairs, strip
+from logloom.functions.text import contains_any, fields_of, group, last_wins, let, pairs, strip
 
 PARSED = "struct<format: string, parser: string, fields: map<string,string>, types: map<string,string>, ts_raw: string, exact: boolean, warnings: array<string>, errors: array<string>>"
 #: Nested objects are flattened to this depth; what lies deeper stays as JSON text.
 JSON_DEPTH = 6
 
 #: Patterns of the formats.
-CEF_PAIR = r'([a-zA-Z0-9_\-\.]+)=(?:"([^"\\]*(?:\\.[^"\\]*)*)"|(\S+))'
+# A key starts where no key character stands before and is never given back, so a long run of them is read once.
+KEY = r"(?<![a-zA-Z0-9_\-\.])([a-zA-Z0-9_\-\.]++)"
+CEF_PAIR = KEY + r'=(?:"((?:[^"\\]++|\\.)*+)"|(\S+))'
 AUDIT_HEAD = r"^type=([A-Z0-9_]+)\s+msg=audit\((\d+\.\d+):(\d+)\):\s*(.*)$"
-AUDIT_PAIR = r'([a-zA-Z0-9_\-\.]+)=(?:"([^"]*)"|(\S+))'
-KV_PAIR = r"""([a-zA-Z0-9_\-\.]+)(?:=|\s*:\s*)(?:"([^"]*)"|'([^']*)'|(\S+))"""
+AUDIT_PAIR = KEY + r'=(?:"([^"]*)"|(\S+))'
+KV_PAIR = KEY + r"""(?:=|\s*+:\s*+)(?:"([^"]*)"|'([^']*)'|(\S+))"""
 RFC5424 = r"(?d)^<(\d{1,3})>(\d+)\s+(\S+)\s+(\S+)\s+(\S+)\s+(\S+)\s+(\S+)\s*(.*)$"
 RFC3164 = r"(?d)^<(\d{1,3})>([A-Za-z]{3}\s+\d{1,2}\s+\d{2}:\d{2}:\d{2})\s+(\S+)\s+([a-zA-Z0-9_\-\./]+)(?:\[(\d+)\])?:\s*(.*)$"
 CISCO = r"(?d)^(?:<(\d{1,3})>)?%([A-Z0-9_]+)-(\d)-([A-Z0-9_]+):\s*(.*)$"
@@ -150,25 +152,34 @@ def syslog_lines(raw: Column) -> Column:
     s = strip(raw)
     looks = (s.startswith("<") & F.substring(s, 1, 5).contains(">")) | (s.startswith("%") & s.contains(":")) | s.rlike(r"^[A-Za-z]{3}\s+\d{1,2}\s+\d{2}:\d{2}:\d{2}\s+\S+\s+.*:")
     s = F.when(looks, s)
-    pri = lambda p: (F.regexp_extract(s, p, 1).try_cast("int"))
-    g = lambda p, i: F.regexp_extract(s, p, i)
-    ranks = lambda p: {"syslog_pri": pri(p), "syslog_facility": F.floor(pri(p) / 8), "syslog_severity": pri(p) % 8}
     ints = types_of(syslog_pri="int", syslog_facility="int", syslog_severity="int")
-    new = F.when(s.rlike(RFC5424), parsed("SYSLOG_RFC5424", "syslog_parser", F.map_from_entries(entries(**ranks(RFC5424), syslog_version=g(RFC5424, 2), hostname=g(RFC5424, 4), app_name=g(RFC5424, 5), procid=g(RFC5424, 6), msgid=g(RFC5424, 7), message=g(RFC5424, 8))), ints, g(RFC5424, 3)))
-    pid = F.when(g(RFC3164, 5) != "", g(RFC3164, 5))
-    old = F.when(s.rlike(RFC3164), parsed("SYSLOG_RFC3164", "syslog_parser", F.map_from_entries(entries(**ranks(RFC3164), hostname=g(RFC3164, 3), app_name=g(RFC3164, 4), pid=pid, message=g(RFC3164, 6))), ints, g(RFC3164, 2)))
-    message = g(CISCO, 5)
-    has_pri = g(CISCO, 1) != ""
-    flow = F.filter(entries(**{k: F.regexp_extract(message, CISCO_FLOW, i + 1) for i, k in enumerate(CISCO_NAMES)}), lambda e: e["value"] != "")
-    head = F.concat(F.when(has_pri, entries(**ranks(CISCO))).otherwise(entries(syslog_severity=g(CISCO, 3))), entries(facility=g(CISCO, 2), mnemonic=g(CISCO, 4), message=message))
-    cisco = F.when(s.rlike(CISCO), parsed("SYSLOG_CISCO", "syslog_parser", F.map_from_entries(F.concat(head, flow)), ints))
-    return F.coalesce(new, old, cisco)
+
+    def ranks(pri: Column) -> dict[str, Column]:
+        n = pri.try_cast("int")
+        return {"syslog_pri": n, "syslog_facility": F.floor(n / 8), "syslog_severity": n % 8}
+
+    def new(g: Callable[[int], Column]) -> Column:
+        fields = entries(**ranks(g(1)), syslog_version=g(2), hostname=g(4), app_name=g(5), procid=g(6), msgid=g(7), message=g(8))
+        return parsed("SYSLOG_RFC5424", "syslog_parser", F.map_from_entries(fields), ints, g(3))
+
+    def old(g: Callable[[int], Column]) -> Column:
+        fields = entries(**ranks(g(1)), hostname=g(3), app_name=g(4), pid=F.when(g(5) != "", g(5)), message=g(6))
+        return parsed("SYSLOG_RFC3164", "syslog_parser", F.map_from_entries(fields), ints, g(2))
+
+    def cisco(g: Callable[[int], Column]) -> Column:
+        flow = F.filter(entries(**{k: F.regexp_extract(g(5), CISCO_FLOW, i + 1) for i, k in enumerate(CISCO_NAMES)}), lambda e: e["value"] != "")
+        head = F.concat(F.when(g(1) != "", entries(**ranks(g(1)))).otherwise(entries(syslog_severity=g(3))), entries(facility=g(2), mnemonic=g(4), message=g(5)))
+        return parsed("SYSLOG_CISCO", "syslog_parser", F.map_from_entries(F.concat(head, flow)), ints)
+
+    def of(pattern: str, n: int, build: Callable[[Callable[[int], Column]], Column]) -> Column:
+        return let(fields_of(s, pattern, n), lambda a: F.when(a.isNotNull(), build(lambda i: F.get(a, F.lit(i - 1)))))
+
+    return F.when(looks, F.coalesce(of(RFC5424, 8, new), of(RFC3164, 6, old), of(CISCO, 5, cisco)))
 
 
 def audit_lines(raw: Column) -> Column:
     s = strip(raw)
     looks = s.startswith("type=") & s.contains("msg=audit(")
-    g = lambda i: F.regexp_extract(s, AUDIT_HEAD, i)
 
     def build(base: Column) -> Column:
         status = F.when(base["success"].isNotNull(), F.when(F.lower(base["success"]).isin("yes", "1"), "success").otherwise("failure"))
@@ -176,8 +187,12 @@ def audit_lines(raw: Column) -> Column:
         kinds = F.when(base["pid"].rlike(r"^\d+$"), types_of(pid="int")).otherwise(F.create_map().cast("map<string,string>"))
         return parsed("AUDITD", "auditd_parser", last_wins(F.concat(F.map_entries(base), extra)), kinds, base["event_time_epoch"])
 
-    base = last_wins(F.concat(entries(audit_type=g(1), audit_id=g(3), event_time_epoch=g(2)), pairs(g(4), AUDIT_PAIR)))
-    return F.when(looks & s.rlike(AUDIT_HEAD), let(base, build))
+    def of(a: Column) -> Column:
+        g = lambda i: F.get(a, F.lit(i - 1))
+        base = last_wins(F.concat(entries(audit_type=g(1), audit_id=g(3), event_time_epoch=g(2)), pairs(g(4), AUDIT_PAIR)))
+        return F.when(a.isNotNull(), let(base, build))
+
+    return F.when(looks, let(fields_of(s, AUDIT_HEAD, 4), of))
 
 
 def kv_lines(raw: Column) -> Column:
@@ -187,7 +202,8 @@ def kv_lines(raw: Column) -> Column:
         fields = last_wins(F.transform(own, lambda e: F.struct(e["key"].alias("key"), strip(e["value"]).alias("value"))))
         return F.when(F.size(own) >= 3, let(fields, lambda f: parsed("KEY_VALUE", "keyvalue_parser", f, ts_raw=F.coalesce(*[f[k] for k in KV_TIME_KEYS]))))
 
-    return let(pairs(strip(raw), KV_PAIR, (2, 3, 4)), build)
+    s = strip(raw)
+    return F.when(s.contains("=") | s.contains(":"), let(pairs(s, KV_PAIR, (2, 3, 4)), build))
 
 
 def fallback_lines(raw: Column) -> Column:
