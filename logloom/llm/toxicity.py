@@ -40,6 +40,9 @@ FIXED = len(LEXICONS) + len(PATTERNS)
 STEMS, SAMPLE = (4, 5, 6), 20_000
 #: Words and stems that become voters without meaning, expected over all that are looked at.
 CHANCE = 10.0
+#: Share of the texts of a mined voter that are of the class it speaks for, at least (or so many times the odds of the
+#: whole, if that class is the larger one): a voter is right more often than wrong.
+RIGHT = 0.6
 #: Words whose voters a Python worker keeps, and stems that a task counts before it hands them on.
 HELD_WORDS, COUNTED = 100_000, 1 << 19
 
@@ -95,16 +98,16 @@ class Sparse:
     def sums(self, of_rows: np.ndarray) -> np.ndarray:
         return np.bincount(self.at, of_rows[self.row], self.width)
 
-    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(a, b, row) of columns a < b that are 1 in one row."""
-        starts = np.cumsum(self.sizes) - self.sizes
-        out = [(np.zeros(0, np.int64),) * 3]
-        for i in np.flatnonzero(self.sizes > 1):
-            own = np.sort(self.at[starts[i] : starts[i] + self.sizes[i]])
-            x, y = np.triu_indices(len(own), 1)
-            out.append((own[x], own[y], np.full(len(x), i)))
-        a, b, row = zip(*out, strict=True)
-        return np.concatenate(a), np.concatenate(b), np.concatenate(row)
+    def block(self, first: int, n: int) -> np.ndarray:
+        """Rows first to first + n - 1 in full."""
+        a, b = np.searchsorted(self.row, [first, first + n])
+        out = np.zeros((min(n, self.n - first), self.width), np.float32)
+        out[self.row[a:b] - first, self.at[a:b]] = 1
+        return out
+
+
+#: Rows and voters whose correlations are worked on at once.
+BLOCK = 1024
 
 
 class LabelModel:
@@ -113,8 +116,9 @@ class LabelModel:
 
     The given labels are no voter. They calibrate: each accuracy has the voter's rate on the labelled rows
     as its prior, worth `trust` times the rows, so that the classes stay toxic and clean; the posterior is of the
-    votes alone. A voter's say is divided by the sum of its squared correlations (the variance that it shares), so that
-    ten voters that always fire together count as one.
+    votes alone, voters that do not fire abstaining (a word of one language says nothing about texts without it). A
+    voter's say is divided by the sum of its squared correlations (the variance that it shares), so that ten voters that
+    always fire together count as one.
     """
 
     def __init__(self, votes: Sparse, labels: np.ndarray, trust: float = 1.0, rounds: int = 20) -> None:
@@ -131,23 +135,26 @@ class LabelModel:
             own, prior = mass.sum(axis=1)[:, None], trust * gold.sum(axis=1)[:, None]
             self.prior = float((q.sum() + trust * votes.n * share) / (votes.n * (1 + trust)))
             self.fires = np.clip((np.stack([votes.sums(m) for m in mass]) + prior * base) / (own + prior), 1e-6, 1 - 1e-6)
-        self.say = 1 / self.shared(votes, np.stack([1 - self.posterior(votes), self.posterior(votes)]))
 
     def shared(self, votes: Sparse, mass: np.ndarray) -> np.ndarray:
         """Sum of the squared correlations of each voter with all that fire beside it, itself included, within classes."""
-        a, b, row = votes.pairs()
-        code, at = np.unique(a * votes.width + b, return_inverse=True)
-        a, b = code // votes.width, code % votes.width
-        cov, var = np.zeros(len(code)), np.zeros(votes.width)
-        for m, p in zip(mass, self.fires, strict=True):
-            cov += np.bincount(at, m[row], len(code)) - m.sum() * p[a] * p[b]
-            var += m.sum() * p * (1 - p)
-        r2 = np.clip(cov / np.sqrt(np.maximum(var[a] * var[b], 1e-12)), 0, 1) ** 2
-        return 1 + np.bincount(a, r2, votes.width) + np.bincount(b, r2, votes.width)
+        of_class = list(zip(mass, self.fires, strict=True))
+        var = sum(m.sum() * p * (1 - p) for m, p in of_class)
+        out = np.ones(votes.width)
+        for at in range(0, votes.width, BLOCK):
+            own = np.arange(at, min(at + BLOCK, votes.width))
+            cov = -sum(m.sum() * np.outer(p[own], p) for m, p in of_class)
+            for first in range(0, votes.n, BLOCK):
+                x = votes.block(first, BLOCK)
+                for m, _ in of_class:
+                    cov += (x[:, own] * m[first : first + BLOCK, None].astype(np.float32)).T @ x
+            r2 = np.clip(cov / np.sqrt(np.maximum(np.outer(var[own], var), 1e-12)), 0, 1) ** 2
+            r2[np.arange(len(own)), own] = 0
+            out[own] += r2.sum(axis=1)
+        return out
 
     def posterior(self, votes: Sparse) -> np.ndarray:
-        on, off = np.log(self.fires[1] / self.fires[0]), np.log((1 - self.fires[1]) / (1 - self.fires[0]))
-        odds = np.log(self.prior / (1 - self.prior)) + float(self.say @ off) + votes.times(self.say * (on - off))
+        odds = np.log(self.prior / (1 - self.prior)) + votes.times(self.say * np.log(self.fires[1] / self.fires[0]))
         return 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
 
 
@@ -199,16 +206,21 @@ def _count_stems(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield hand_on()
 
 
-def mine(rows: DataFrame, n: int, n_bad: int, chance: float = CHANCE) -> list[str]:
+def mine(rows: DataFrame, n: int, n_bad: int, chance: float = CHANCE, right: float = RIGHT) -> list[str]:
     """Words and stems of rows (text, label) whose documents' labels differ from the overall share by more than `chance`
-    of them would without any meaning (log likelihood ratio against the number looked at). Counted by Spark; the
-    driver gets those that pass the test, for toxic or for clean, whatever their number."""
+    of them would without any meaning (log likelihood ratio against the number looked at), and that are right in `right`
+    of their texts. Counted by Spark; the driver gets those that pass both tests, for toxic or for
+    clean, whatever their number."""
     stems = common.checkpointed(rows.mapInArrow(_count_stems, "stem string, n long, bad long").groupBy("stem").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")))
     base = n_bad / n
     part = lambda k, share: F.when(k > 0, k * F.ln(k / F.col("n") / share)).otherwise(0.0)
     gain = part(F.col("bad"), base) + part(F.col("n") - F.col("bad"), 1 - base)
     looked_at = stems.where("n > 1").count()
-    return [r["stem"] for r in stems.where(gain > float(np.log(max(looked_at, 1) / chance))).select("stem").orderBy("stem").collect()]
+    odds = lambda k, of: (k / of) / ((F.col("n") - k + 0.5) / (n - of + 0.5))
+    asked = right / (1 - right)
+    toxic = odds(F.col("bad"), n_bad) >= asked * max(1.0, (n - n_bad) / n_bad)
+    clean = odds(F.col("n") - F.col("bad"), n - n_bad) >= asked * max(1.0, n_bad / (n - n_bad))
+    return [r["stem"] for r in stems.where((toxic | clean) & (gain > float(np.log(max(looked_at, 1) / chance)))).select("stem").orderBy("stem").collect()]
 
 
 def _fired(voters: Voters, spark: SparkSession, text: str) -> Column:
