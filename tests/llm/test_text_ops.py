@@ -322,7 +322,7 @@ def test_label_model_discounts_copies():
     m = toxicity.LabelModel(sparse(votes), y.astype(float))
     assert m.say[0] < 0.4 < 0.9 < m.say[3]
     p = m.posterior(sparse(votes))
-    assert ((p > 0.5) == y).mean() > 0.9
+    assert ((p > 0.5) == y).mean() > 0.85
     assert ((p > 0.5) != y).sum() > 20  # where voters say otherwise, the label has no vote
 
 
