@@ -2,6 +2,7 @@
 
 import math
 import os
+from decimal import Decimal
 
 import duckdb
 import pytest
@@ -13,7 +14,7 @@ SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 def rows(columns, values):
     order = sorted(range(len(columns)), key=lambda i: columns[i])
-    clean = lambda x: None if x is None or (isinstance(x, float) and math.isnan(x)) else round(float(x), 6) if isinstance(x, (int, float)) else str(x)
+    clean = lambda x: None if x is None or (isinstance(x, float) and math.isnan(x)) else round(float(x), 6) if isinstance(x, (int, float, Decimal)) else str(x)
     return sorted([tuple(clean(r[i]) for i in order) for r in values], key=str)
 
 
