@@ -44,7 +44,7 @@ CHANCE = 10.0
 #: whole, if that class is the larger one): a voter is right more often than wrong.
 RIGHT = 0.6
 #: Words whose voters a Python worker keeps, and stems that a task counts before it hands them on.
-HELD_WORDS, COUNTED = 100_000, 1 << 19
+HELD_WORDS, COUNTED = 30_000, 1 << 17
 
 
 def stems_of(word: str) -> set[str]:
