@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from logloom.operators.canonical import EngineConfig, route_badge
 
 
+#: Values around a place that are put in order at last, and the accuracy of the sketches that narrow the range down to them.
+SORTED, ACCURACY = 50_000, 10_000
+
+
 def _n(condition: Column, name: str) -> Column:
     return F.sum(F.when(condition, 1).otherwise(0)).alias(name)
 
@@ -76,13 +80,39 @@ def accuracy(table: DataFrame, config: EngineConfig | None = None) -> DataFrame:
 def latency_percentiles(values: DataFrame, column: str, shares: tuple[float, ...] = (0.5, 0.9, 0.99)) -> DataFrame:
     """min, avg, max and, for each share p, the value at place floor(n * p) of the sorted values, counted from 0.
 
-    Values are counted first, so that what is put in one order are distinct values, not rows.
+    Nothing is put in one order as a whole: sketches give a narrow range around each place, exact counts confirm it, and
+    again inside that range, until it holds one value or SORTED rows at most. A table without values gives nulls.
     """
-    n = values.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count("*").alias("c"))
-    upto = Window.orderBy("v")
-    placed = n.withColumn("upto", F.sum("c").over(upto)).withColumn("n", F.sum("c").over(Window.partitionBy()))
-    at = [F.min(F.when(F.col("upto") > F.floor(F.col("n") * p), F.col("v"))).alias(f"p{round(p * 100)}") for p in shares]
-    return placed.agg(F.min("v").alias("min"), (F.sum(F.col("v") * F.col("c")) / F.sum("c")).alias("avg"), F.max("v").alias("max"), *at)
+    v = F.col("v")
+    given = values.select(F.col(column).alias("v")).where("v is not null")
+    n, least, most = given.agg(F.count("*"), F.min("v"), F.max("v")).first()
+    place = [min(int(n * p), n - 1) for p in shares]
+    #: first and last value of each place's range, values before it, values in it (0: the value is found)
+    ranges = [(least, most, 0, n) for _ in shares]
+    while wide := [i for i, r in enumerate(ranges) if r[3] > SORTED]:
+        asked = []
+        for i in wide:
+            first, last, before, inside = ranges[i]
+            at = (place[i] - before + 0.5) / inside
+            asked.append(F.percentile_approx(F.when(v.between(first, last), v), [max(0.0, at - 2 / ACCURACY), min(1.0, at + 2 / ACCURACY)], ACCURACY))
+        cuts = given.agg(*asked).first()
+        count = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))
+        exact = given.agg(*[F.struct(count(v < a), count(v <= a), count(v < b), count(v <= b), F.min(F.when((v > a) & (v < b), v)), F.max(F.when((v > a) & (v < b), v))) for a, b in cuts]).first()
+        for i, (a, b), (below_a, upto_a, below_b, upto_b, after_a, before_b) in zip(wide, cuts, exact, strict=True):
+            first, last, before, inside = ranges[i]
+            if place[i] < below_a:
+                ranges[i] = (first, a, before, upto_a - before)
+            elif place[i] >= upto_b:
+                ranges[i] = (b, last, below_b, before + inside - below_b)
+            elif place[i] < upto_a:
+                ranges[i] = (a, a, below_a, 0)
+            elif place[i] >= below_b:
+                ranges[i] = (b, b, below_b, 0)
+            else:
+                ranges[i] = (after_a, before_b, upto_a, below_b - upto_a)
+    found = [given.where(v.between(a, b)).orderBy("v").offset(k - before).first()["v"] if inside else a for k, (a, b, before, inside) in zip(place, ranges, strict=True)]
+    at = [F.lit(x).cast(given.schema["v"].dataType).alias(f"p{round(p * 100)}") for p, x in zip(shares, found, strict=True)]
+    return given.agg(F.min("v").alias("min"), F.avg("v").alias("avg"), F.max("v").alias("max")).select("*", *at)
 
 
 def pending(queue: DataFrame, limit: int = 50) -> DataFrame:

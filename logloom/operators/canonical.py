@@ -93,17 +93,18 @@ def normalize(lines: DataFrame, registry: Registry | None = None, config: Engine
     """lines with `event`, the canonical record, added; blank lines give a record with ERR_EMPTY_LOG alone.
 
     One narrow stage without a shuffle: parse, pick aliases, normalise, tag, score. Every step is a column
-    of its own, so that no expression is repeated where it is used twice.
+    of its own, so that no expression is repeated where it is used twice. All columns of lines are kept, whatever their
+    names (they are called otherwise on the way); only one called `event` is replaced.
     """
     registry, config = registry or Registry(), config or EngineConfig()
-    kept = [c for c in lines.columns if c not in ("p", "x", "n", "c", "event")]
-    df = lines.select(*kept).withColumn("raw_log", strip(F.col(raw_col)))
+    kept = {f"__kept_{i}": c for i, c in enumerate(lines.columns) if c.lower() != "event"}
+    df = lines.select(*[F.col(f"`{c}`").alias(k) for k, c in kept.items()], strip(F.col(raw_col)).alias("raw_log"))
     df = bind(df, p=registry.dispatch(F.col("raw_log")))
     return canonical(df, kept, config)
 
 
-def canonical(df: DataFrame, kept: list[str], config: EngineConfig) -> DataFrame:
-    """As normalize(), for rows with raw_log and a parsed struct p."""
+def canonical(df: DataFrame, kept: dict[str, str], config: EngineConfig) -> DataFrame:
+    """As normalize(), for rows with raw_log and a parsed struct p; kept: columns that stay, and what they are called at last."""
     fields, kinds = F.col("p.fields"), F.col("p.types")
     df = bind(df, g=given(fields, kinds))
     df = bind(df, x=F.struct(*[_pick(k).alias(k) for k in ALIASES]))
@@ -189,7 +190,7 @@ def canonical(df: DataFrame, kept: list[str], config: EngineConfig) -> DataFrame
             F.concat("warnings", score_notes).alias("warnings"), F.col("errors").alias("error_codes"), fields.alias("extracted"),
         ).alias("processing_metadata"),
     )
-    return bind(df, event=F.coalesce(F.when(F.coalesce(F.col("raw_log"), F.lit("")) != "", event), empty_record())).select(*kept, "event")
+    return bind(df, event=F.coalesce(F.when(F.coalesce(F.col("raw_log"), F.lit("")) != "", event), empty_record())).select(*[F.col(k).alias(c) for k, c in kept.items()], "event")
 
 
 def empty_record() -> Column:

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from logloom.functions.text import strip
 
 CAP = 65536
+#: Line numbers of a source that one task puts in order.
+BLOCK = 65536
 #: Starts of a record (on the stripped line), and continuations (on the raw line).
 HEADERS = (
     r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}",
@@ -58,11 +60,16 @@ def joined(lines: Column, cap: int = CAP) -> Column:
 def assemble(lines: DataFrame, source: str = "source", order: str = "line_no", line: str = "line", cap: int = CAP) -> DataFrame:
     """(source, line_no of the first line, n_lines, raw) of each record; lines before a first start make a record too.
 
-    Empty and null lines are skipped, line ends cut off. One shuffle by source, which must fit one source's
-    order; a single source larger than an executor is to be split at record starts upstream.
+    Empty and null lines are skipped, line ends cut off. `order` is a whole number. A source is cut into blocks of BLOCK
+    such numbers: starts are counted inside each block, a block's total is carried to the next ones, so that no task gets
+    a whole source; the lines of one record meet in one task.
     """
     given = lines.where(F.col(line).isNotNull() & (F.col(line) != "")).withColumn(line, F.regexp_replace(line, r"[\r\n]+$", ""))
-    within = Window.partitionBy(source).orderBy(order)
-    numbered = given.withColumn("record", F.sum(starts_entry(F.col(line)).cast("int")).over(within))
-    grouped = numbered.groupBy(source, "record").agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("no"), F.col(line).alias("line")))).alias("all"))
-    return grouped.select(source, F.get("all", F.lit(0))["no"].alias(order), F.size("all").alias("n_lines"), joined(F.transform("all", lambda x: x["line"]), cap).alias("raw"))
+    given = given.select(F.col(source).alias("source"), F.col(order).alias("no"), F.col(line).alias("line"), F.floor(F.col(order) / BLOCK).alias("block"), starts_entry(F.col(line)).cast("long").alias("start"))
+    here = given.withColumn("own", F.sum("start").over(Window.partitionBy("source", "block").orderBy("no")))
+    totals = given.groupBy("source", "block").agg(F.sum("start").alias("starts"))
+    before = F.sum("starts").over(Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    carried = totals.select(F.col("source").alias("of"), F.col("block").alias("at"), F.coalesce(before, F.lit(0)).alias("before"))
+    numbered = here.join(carried, F.col("source").eqNullSafe(F.col("of")) & (F.col("block") == F.col("at")))
+    grouped = numbered.groupBy("source", (F.col("own") + F.col("before")).alias("record")).agg(F.array_sort(F.collect_list(F.struct("no", "line"))).alias("all"))
+    return grouped.select(F.col("source").alias(source), F.get("all", F.lit(0))["no"].alias(order), F.size("all").alias("n_lines"), joined(F.transform("all", lambda x: x["line"]), cap).alias("raw"))

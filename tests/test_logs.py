@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from logloom.functions import normalize as N
+from logloom.operators import analytics as A
 from logloom.operators import canonical as C
 from logloom.operators import learn as L
 from logloom.operators import multiline as M
@@ -203,3 +204,31 @@ def test_stream_multiline(spark, tmp_path):
     run = streams.assemble(read).writeStream.format("memory").queryName("assembled").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     run.awaitTermination()
     assert [r["raw"] for r in spark.table("assembled").collect()] == ["2026-09-16T10:00:00 a\n    at x.Y(z)"]
+
+
+@pytest.mark.parametrize("kind", ["double", "bigint"])
+def test_percentiles_sort_no_whole_table(spark, kind, monkeypatch):
+    monkeypatch.setattr(A, "SORTED", 10)
+    df = spark.range(20_000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.pmod(F.xxhash64("id"), F.lit(5000))).cast(kind).alias("v"))
+    values = sorted(r["v"] for r in df.collect())
+    got = A.latency_percentiles(df.unionByName(spark.sql(f"select cast(null as {kind}) as v")), "v").first()
+    assert [got[k] for k in ("min", "p50", "p90", "p99", "max")] == [values[0], *(values[int(len(values) * p)] for p in (0.5, 0.9, 0.99)), values[-1]]
+    assert A.latency_percentiles(df.limit(0), "v").first()["p50"] is None
+
+
+def test_multiline_carries_records_over_blocks(spark, monkeypatch):
+    text = ["lost", *[f"2026-09-16T10:00:{i:02d} a" if i % 7 == 0 else f"    at x.Y({i})" for i in range(60)]]
+    rows = [(s, i * 3, x) for s in ("a", "b", None) for i, x in enumerate(text)]
+    df = spark.createDataFrame(rows, "source string, line_no bigint, line string")
+    whole = sorted(map(str, M.assemble(df).collect()))
+    monkeypatch.setattr(M, "BLOCK", 10)
+    assert sorted(map(str, M.assemble(df).collect())) == whole
+    assert len(whole) == 3 * 10
+
+
+def test_normalize_keeps_columns_of_any_name(spark):
+    names = ["raw", "category", "direction", "g", "p", "x", "n", "c", "kind", "tag", "warnings", "errors", "scores", "raw_log", "a.b"]
+    df = spark.createDataFrame([(FLAT_JSON, *names[1:])], ", ".join(f"`{k}` string" for k in names))
+    out = C.normalize(df)
+    assert out.columns == [*names, "event"]
+    assert list(out.first())[1:-1] == names[1:]
