@@ -155,13 +155,14 @@ def learned_parser(rules: list[Rule], priority: int = 65) -> Parser:
     return Parser("jit_inferred", priority, parse)
 
 
-def learn(lines: DataFrame, line: str = "raw", config: MinerConfig | None = None, at_least: int = 1, most: int = 200, make: Callable[[str], tuple[str, tuple[str, ...]]] = synthesize) -> list[Rule]:
-    """Rules of the `most` frequent templates of the lines that pass the sandbox on their own sample.
+def learn(lines: DataFrame, line: str = "raw", config: MinerConfig | None = None, at_least: int = 1, most: int | None = None, make: Callable[[str], tuple[str, tuple[str, ...]]] = synthesize) -> list[Rule]:
+    """Rules of all templates of the lines (of the `most` frequent ones, if given) that pass the sandbox on their own sample.
 
-    The number of rules is a parameter, because each is an expression of the parse stage. make turns a template
+    Each rule is an expression of the parse stage: at_least keeps templates of few lines from becoming one. make turns a template
     into a pattern and its fields.
     """
-    mined = mine(lines, line, config).where(F.col("n") >= at_least).orderBy(F.desc("n"), "template").limit(most).collect()
+    mined = mine(lines, line, config).where(F.col("n") >= at_least).orderBy(F.desc("n"), "template")
+    mined = (mined if most is None else mined.limit(most)).collect()
     rules = []
     for r in mined:
         pattern, fields = make(r["template"])

@@ -18,6 +18,7 @@ from logloom.operators import learn as L
 from logloom.operators import multiline as M
 from logloom.operators import parsers as P
 from logloom.operators import review as R
+from logloom.plans import batch
 from logloom.sources import sinks
 from logloom.sources.tables import synthetic, table
 from logloom.streaming import streams
@@ -411,6 +412,19 @@ def review_enqueue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.enqueue(events.where("event_type = 'signup'"), events.select("event_id"))
 
 
+@query("review_insert", "select user_id as event_id, 'PENDING' as status from events where user_id % 3 <> 0 group by 1")
+def review_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events").selectExpr("user_id as event_id")
+    return sinks.enqueue(events.where("event_id % 3 = 0"), events)
+
+
+@query("learn_batch", f"{E} select event_id, case when event_id % 2 = 0 then 'CEF' else 'JIT_INFERRED' end as format, src as src_ip from e")
+def learn_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = facts(spark, sf_dir).selectExpr("event_id", f"case when event_id % 2 = 0 then {LINES['cef']} else {LINES['rare']} end as raw")
+    events, _ = batch.learn_and_parse(given, config=CONFIG)
+    return events.select("event_id", F.col("event.processing_metadata.format_detected").alias("format"), F.col("event.src_endpoint.ip").alias("src_ip"))
+
+
 @query("upsert_latest", "select user_id as id, max(event_id) as seq from events group by 1")
 def upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").selectExpr("user_id as id", "event_id as seq")
@@ -443,7 +457,11 @@ def stream_window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{sf_dir}/events.parquet"
     read = spark.readStream.schema(spark.read.parquet(path).schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     name = f"counts_{abs(hash(path))}"
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-")
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="checkpoint-")
     read = read.withColumn("ts", F.convert_timezone(F.lit("UTC"), F.current_timezone(), F.col("ts")).cast("timestamp"))
     counted = streams.counts(read, "ts", "1 day", by=("event_type",))
     run = counted.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{folder}/{name}-{spark.sparkContext.applicationId}-{spark._jvm.System.nanoTime()}").trigger(availableNow=True).start()
@@ -477,6 +495,11 @@ def file_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.preview(flat(spark, sf_dir, "cef"))
 
 
+@query("recent_events", f"{_CEF_TABLE}, r as (select *, 'CEF:0|Acme|Wall|1.0|' || event_id || '|' || event_type || '|' || sev || '|src=' || src || ' dst=' || dst || ' spt=' || spt || ' dpt=' || dpt || ' act=' || act || ' rt=' || (epoch_us(ts) // 1000) || ' suser=' || usr as raw_log from t) select src as src_ip, dst as dst_ip, cast(dpt as int) as dst_port, x_action as action, raw_log from r where event_type = 'purchase' order by md5(event_id || chr(31) || raw_log) limit 25")
+def recent_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.recent(flat(spark, sf_dir, "cef"), "|PURCHASE|").select("src_ip", "dst_ip", "dst_port", "action", "raw_log")
+
+
 @query("html_fallback", f"select page_id, len(regexp_extract_all(html, '{_IP_DUCK}')) as n_ips from pages")
 def html_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = table(spark, sf_dir, "pages").select("page_id", P.fallback_lines(F.col("html"))["fields"]["detected_ips"].alias("ips"))

@@ -9,6 +9,7 @@ from logloom.operators import canonical as C
 from logloom.operators import learn as L
 from logloom.operators import multiline as M
 from logloom.operators import parsers as P
+from logloom.plans import batch
 from logloom.sources import sinks, tables
 from logloom.streaming import streams
 
@@ -232,3 +233,14 @@ def test_normalize_keeps_columns_of_any_name(spark):
     out = C.normalize(df)
     assert out.columns == [*names, "event"]
     assert list(out.first())[1:-1] == names[1:]
+
+
+def test_batch_entries(spark):
+    text = ["2026-09-16T10:00:00 a", "    at x.Y(z)", FLAT_JSON, " "]
+    assert batch.ingest(spark, text, multiline=True).count() == 2
+    assert tuple(batch.summary(batch.ingest(spark, text)).first()) == (4, 2, 1)
+    lines = spark.createDataFrame([(f"beam from 10.0.0.{i} port {i + 1000}",) for i in range(5)] + [(FLAT_JSON,)], "raw string")
+    events, rules = batch.learn_and_parse(lines)
+    assert len(rules) == 1
+    assert sorted(r["f"] for r in events.select(F.col("event.processing_metadata.format_detected").alias("f")).collect()) == ["JIT_INFERRED"] * 5 + ["JSON"]
+    assert batch.learn_and_parse(lines.limit(0))[1] == []
