@@ -77,12 +77,16 @@ def bind(df: DataFrame, **columns: Column) -> DataFrame:
     return df
 
 
+def _found(name: str) -> Column:
+    """The first of a name's aliases that is given; null if none is."""
+    return F.get(F.array_intersect(F.array(*[F.lit(k) for k in ALIASES[name]]), F.map_keys("g")), F.lit(0))
+
+
 def _pick(name: str) -> Column:
-    """struct<value, taken>: the first given alias, and the aliases consumed up to it (all, if none is given)."""
-    keys = F.array(*[F.lit(k) for k in ALIASES[name]])
-    at = F.array_position(F.transform(keys, lambda k: F.map_contains_key(F.col("g"), k)), F.lit(True))
-    value = F.try_element_at("g", F.get(keys, (at - 1).cast("int")))
-    return F.struct(F.when(at > 0, value).alias("value"), F.slice(keys, 1, F.when(at > 0, at.cast("int")).otherwise(len(ALIASES[name]))).alias("taken"))
+    """struct<value, taken>: the value of the alias found, and the aliases consumed up to it (all, if none is given)."""
+    keys, found = F.array(*[F.lit(k) for k in ALIASES[name]]), F.col(f"a.{name}")
+    taken = F.slice(keys, F.lit(1), F.coalesce(F.array_position(keys, found).cast("int"), F.lit(len(ALIASES[name]))))
+    return F.struct(F.col("g")[found].alias("value"), taken.alias("taken"))
 
 
 def _note(condition: Column, text: Column) -> Column:
@@ -107,6 +111,7 @@ def canonical(df: DataFrame, kept: dict[str, str], config: EngineConfig) -> Data
     """As normalize(), for rows with raw_log and a parsed struct p; kept: columns that stay, and what they are called at last."""
     fields, kinds = F.col("p.fields"), F.col("p.types")
     df = bind(df, g=given(fields, kinds))
+    df = bind(df, a=F.struct(*[_found(k).alias(k) for k in ALIASES]))
     df = bind(df, x=F.struct(*[_pick(k).alias(k) for k in ALIASES]))
     x = lambda k: F.col(f"x.{k}.value")
 
