@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm import bpe, embedding_dedup, html_text, language_id, line_dedup, mixing, quality, simhash, token_counts, toxicity
+from logloom.llm import bpe, embedding_dedup, hard_negatives, html_text, language_id, line_dedup, mixing, quality, simhash, token_counts, toxicity
 from logloom.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -120,6 +120,21 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where an id is divisible by 7 the label is moved on by one, so that close rows of another label exist."""
+    given = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label")).alias("label"))
+    return hard_negatives.mine(given, F.col("vec_id") % 100 == 0)
+
+
+OP11_SQL = """with r as (select vec_id, case when vec_id % 7 = 0 then (label::bigint + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)) as v
+  from embeddings where vec_id is not null and label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select a.vec_id as anchor_id, b.vec_id as id, a.label = b.label as same, list_inner_product(a.v, b.v)::bigint as score from r a join r b on a.vec_id % 100 = 0 and a.vec_id <> b.vec_id),
+p as (select anchor_id, id as positive_id, score as positive_score from s where same qualify row_number() over (partition by anchor_id order by score desc, id) <= 5),
+n as (select anchor_id, positive_id, (row_number() over (partition by anchor_id, positive_id order by score desc, id))::int as rank, id as negative_id, positive_score, score as negative_score
+  from p join s using (anchor_id) where not same and 80 * positive_score <= 100 * score and score <= positive_score)
+select * from n where rank <= 5"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -127,9 +142,9 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op1_simhash, op2_quality, op3_mixing, op4_bpe, op5_token_counts, op6_language_id, op7_embedding_dedup, op8_line_dedup, op9_toxicity, op10_html, pipeline]
+    named = [op1_simhash, op2_quality, op3_mixing, op4_bpe, op5_token_counts, op6_language_id, op7_embedding_dedup, op8_line_dedup, op9_toxicity, op10_html, op11_hard_negatives, pipeline]
     return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing": OP3_SQL, "op8_line_dedup": OP8_SQL}
+    return {"op3_mixing": OP3_SQL, "op8_line_dedup": OP8_SQL, "op11_hard_negatives": OP11_SQL}
