@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm import bpe, embedding_dedup, hard_negatives, html_text, language_id, line_dedup, mixing, quality, simhash, token_counts, toxicity
+from logloom.llm import bpe, conversation_repair, embedding_dedup, hard_negatives, html_text, language_id, line_dedup, mixing, pii, quality, simhash, token_counts, toxicity
 from logloom.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -135,6 +135,22 @@ n as (select anchor_id, positive_id, (row_number() over (partition by anchor_id,
 select * from n where rank <= 5"""
 
 
+def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    count = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long")
+    counts = [count(i).alias(f"n_{k}") for i, k in enumerate(pii.KINDS)]
+    return found.select("doc_id", *counts, sha256(pii.listed(F.col("base"))).alias("base_sha256"), pii.listed(F.concat("base", "added")).alias("spans"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "conversations")
+    edits, summary = conversation_repair.repair(conversation_repair.damaged(given))
+    every = given.select(F.col("conv_id").alias("conv")).distinct()
+    whole = conversation_repair.together(every, summary, conversation_repair.digests(edits))
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return whole.select(F.col("conv").alias("conv_id"), *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", sha256(F.lit(""))).alias("repaired_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -142,7 +158,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op1_simhash, op2_quality, op3_mixing, op4_bpe, op5_token_counts, op6_language_id, op7_embedding_dedup, op8_line_dedup, op9_toxicity, op10_html, op11_hard_negatives, pipeline]
+    named = [op1_simhash, op2_quality, op3_mixing, op4_bpe, op5_token_counts, op6_language_id, op7_embedding_dedup, op8_line_dedup, op9_toxicity, op10_html, op11_hard_negatives, op12_pii, op13_conversation_repair, pipeline]
     return {f.__name__: f for f in named}
 
 
