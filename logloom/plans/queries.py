@@ -5,7 +5,6 @@ The SQL never parses lines: it derives what must come out from the columns that
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,7 +19,7 @@ from logloom.operators import parsers as P
 from logloom.operators import review as R
 from logloom.plans import batch
 from logloom.sources import sinks
-from logloom.sources.tables import synthetic, table
+from logloom.sources.tables import scratch, synthetic, table, table_stream
 from logloom.streaming import streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -339,9 +338,9 @@ _HEAD = "'2026-01-01T00:00:00 event ' || lpad(cast(event_id as {t}), 9, '0')"
 _FRAME = "'    at app.Main(line' || lpad(cast(f as {t}), 3, '0') || ')'"
 
 
-def stack_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def stack_lines(events: DataFrame) -> DataFrame:
     """A header for each event and event_id % 5 indented frames, in one source for each user."""
-    one = table(spark, sf_dir, "events").selectExpr("concat('s', user_id) as source", "event_id", "explode(sequence(0, cast(event_id % 5 as int))) as f")
+    one = events.selectExpr("concat('s', user_id) as source", "event_id", "explode(sequence(0, cast(event_id % 5 as int))) as f")
     return one.selectExpr("source", "event_id * 10 + f as line_no", f"case when f = 0 then {_HEAD.format(t='string')} else {_FRAME.format(t='string')} end as line")
 
 
@@ -353,12 +352,19 @@ def _stack_sql(cap: int) -> str:
 
 @query("multiline_assemble", _stack_sql(M.CAP))
 def multiline_assemble(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.assemble(stack_lines(spark, sf_dir))
+    return M.assemble(stack_lines(table(spark, sf_dir, "events")))
+
+
+@query("stream_multiline", _stack_sql(M.CAP))
+def stream_multiline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over a stream of the file, run to its end, the last record of each source included."""
+    read = table_stream(spark, sf_dir, "events")
+    return streams.assemble_all(stack_lines(read), scratch(spark, "records"), scratch(spark, "assembled"))
 
 
 @query("multiline_overflow", _stack_sql(100))
 def multiline_overflow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.assemble(stack_lines(spark, sf_dir), cap=100)
+    return M.assemble(stack_lines(table(spark, sf_dir, "events")), cap=100)
 
 
 _RARE = "event_type || ' request from <IP> port <NUM> state '"
@@ -454,17 +460,11 @@ def window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("stream_window_counts", "select date_trunc('day', ts) as start, date_trunc('day', ts) + interval 1 day as end, event_type, count(*) as count from events group by all")
 def stream_window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same over a stream of the file, run to its end; the state is written below the checkpoint folder."""
-    path = f"{sf_dir}/events.parquet"
-    read = spark.readStream.schema(spark.read.parquet(path).schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    name = f"counts_{abs(hash(path))}"
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        folder = tempfile.mkdtemp(prefix="checkpoint-")
+    read = table_stream(spark, sf_dir, "events")
+    name = f"counts_{abs(hash(sf_dir))}"
     read = read.withColumn("ts", F.convert_timezone(F.lit("UTC"), F.current_timezone(), F.col("ts")).cast("timestamp"))
     counted = streams.counts(read, "ts", "1 day", by=("event_type",))
-    run = counted.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{folder}/{name}-{spark.sparkContext.applicationId}-{spark._jvm.System.nanoTime()}").trigger(availableNow=True).start()
+    run = counted.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", scratch(spark, name)).trigger(availableNow=True).start()
     run.awaitTermination()
     return spark.table(name).select(N.utc(F.col("start")).alias("start"), N.utc(F.col("end")).alias("end"), "event_type", "count")
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +26,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table as a stream of its files, be it one file or a folder of them."""
+    path = f"{sf_dir}/{name}.parquet"
+    read = spark.readStream.schema(spark.read.parquet(path).schema)
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    whole = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(hadoop).isDirectory()
+    return read.parquet(path) if whole else read.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder name below spark.checkpoint.dir. Only where that is unset and all runs in one process, a temporary
+    folder becomes it."""
+    sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if folder is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="checkpoint-")
+        sc.setCheckpointDir(folder)
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df, computed once and written below spark.checkpoint.dir; lineage ends there."""
+    if df.sparkSession.sparkContext.getCheckpointDir() is None:
+        df.sparkSession.sparkContext.setCheckpointDir(scratch(df.sparkSession, "checkpoint"))
+    return df.checkpoint(eager=True)
+
+
 def pick(values: tuple, *seed: Column | str) -> Column:
     return F.get(F.array(*[F.lit(v) for v in values]), F.pmod(F.xxhash64(*[F.lit(s) if isinstance(s, str) else s for s in seed]), F.lit(len(values))).cast("int"))
 

@@ -1,5 +1,8 @@
 """Parsers, normalizers, canonical records, multiline, learner, sinks and streams on small tables."""
 
+import os
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -198,13 +201,55 @@ def test_text_files_and_stream(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "t")).count() == 3
 
 
+STACK = ["2026-09-16T10:00:00 a", "    at x.Y(z)", "2026-09-16T10:00:01 b"]
+
+
+def _lines_folder(tmp_path, name, rows):
+    (tmp_path / "in").mkdir(exist_ok=True)
+    path = tmp_path / "in" / name
+    path.write_text("".join(f"{s},{n},{x}\n" for s, n, x in rows))
+    os.utime(path, (1_700_000_000 + ord(name[0]), 1_700_000_000 + ord(name[0])))  # files are read in the order of their times
+
+
 def test_stream_multiline(spark, tmp_path):
-    (tmp_path / "in").mkdir()
-    (tmp_path / "in" / "a.csv").write_text("s,1,2026-09-16T10:00:00 a\ns,2,    at x.Y(z)\ns,3,2026-09-16T10:00:01 b\n")
+    _lines_folder(tmp_path, "a.csv", [("s", i + 1, x) for i, x in enumerate(STACK)])
     read = spark.readStream.schema("source string, line_no long, line string").csv(str(tmp_path / "in"))
-    run = streams.assemble(read).writeStream.format("memory").queryName("assembled").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    run.awaitTermination()
-    assert [r["raw"] for r in spark.table("assembled").collect()] == ["2026-09-16T10:00:00 a\n    at x.Y(z)"]
+    run = lambda: sorted(tuple(r) for r in streams.assemble_all(read, str(tmp_path / "out"), str(tmp_path / "c")).collect())
+    first = ("s", 1, 2, "2026-09-16T10:00:00 a\n    at x.Y(z)")
+    assert run() == [first, ("s", 3, 1, "2026-09-16T10:00:01 b")]
+    _lines_folder(tmp_path, "b.csv", [("s", 4, "    at z"), ("t", 1, "    lost"), ("t", 2, "  more")])
+    assert run() == [first, ("s", 3, 2, "2026-09-16T10:00:01 b\n    at z"), ("t", 1, 2, "    lost\n  more")]
+    assert run() == run()
+
+
+def test_stream_multiline_equals_batch(spark, tmp_path):
+    text = ["lost", *["2026-09-16T10:00:00 " + "h" * (i % 5) if i % 7 == 0 else "    at x.Y" + "z" * (i % 11) for i in range(90)]]
+    rows = [(s, i, x) for s in ("a", "b", "c") for i, x in enumerate(text)]
+    for k in range(3):
+        _lines_folder(tmp_path, f"{k}.csv", [r for r in rows if r[1] // 31 == k])
+    read = spark.readStream.schema("source string, line_no long, line string").option("maxFilesPerTrigger", 1).csv(str(tmp_path / "in"))
+    got = streams.assemble_all(read, str(tmp_path / "out"), str(tmp_path / "c"), cap=60)
+    want = M.assemble(spark.createDataFrame(rows, "source string, line_no long, line string"), cap=60)
+    assert sorted(map(tuple, got.collect())) == sorted(tuple(r) for r in want.select("source", "line_no", "n_lines", "raw").collect())
+
+
+def test_stream_timers_give_out_idle_records(spark, tmp_path):
+    _lines_folder(tmp_path, "a.csv", [("s", 1, STACK[0]), ("s", 2, STACK[1])])
+    _lines_folder(tmp_path, "b.csv", [("t", 1, "2026-09-16T12:00:00 late")])
+    read = spark.readStream.schema("source string, line_no long, line string").option("maxFilesPerTrigger", 1).csv(str(tmp_path / "in"))
+    timed = read.withColumn("at", F.regexp_extract("line", r"^(\S+)", 1).try_cast("timestamp")).withColumn("at", F.coalesce("at", F.lit("2026-09-16 10:00:00").cast("timestamp"))).withWatermark("at", "1 minute")
+    run = streams.assemble(timed, idle_ms=60_000, time_col="at").writeStream.format("memory").queryName("by_event_time").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    assert run.awaitTermination(120)
+    assert [r["raw"] for r in spark.table("by_event_time").collect()] == ["\n".join(STACK[:2])]
+    run = streams.assemble(read, idle_ms=1000).writeStream.format("memory").queryName("by_clock").option("checkpointLocation", str(tmp_path / "c2")).start()
+    try:
+        for _ in range(60):
+            if spark.table("by_clock").count() == 2:
+                break
+            time.sleep(1)
+    finally:
+        run.stop()
+    assert sorted(r["raw"] for r in spark.table("by_clock").collect()) == ["\n".join(STACK[:2]), "2026-09-16T12:00:00 late"]
 
 
 @pytest.mark.parametrize("kind", ["double", "bigint"])
