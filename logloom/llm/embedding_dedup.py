@@ -7,6 +7,7 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -132,7 +133,14 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "
 
 @F.arrow_udf(T.DoubleType())
 def _cosine(a: pa.Array, b: pa.Array) -> pa.Array:
-    return pa.array([float(_unit(np.array(x.as_py())) @ _unit(np.array(y.as_py()))) for x, y in zip(a, b, strict=True)], pa.float64())
+    """Cosines of vectors of equal lengths, a batch at once; -2 for others."""
+    n, m = (pc.fill_null(pc.list_value_length(x), -1).to_numpy(zero_copy_only=False) for x in (a, b))
+    out = np.full(len(n), -2.0)
+    for size in np.unique(n[(n == m) & (n > 0)]):
+        own = np.flatnonzero((n == size) & (m == size))
+        x, y = (_unit(v.take(pa.array(own)).flatten().to_numpy(zero_copy_only=False).reshape(len(own), size)) for v in (a, b))
+        out[own] = np.einsum("ij,ij->i", x, y)
+    return pa.array(out)
 
 
 def _compare(cell: pd.DataFrame, cosine: float) -> pd.DataFrame:
