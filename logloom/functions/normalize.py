@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ipaddress
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -38,6 +39,10 @@ PRIVATE_V4 = (
     "192.168.0.0/16", "198.18.0.0/15", "198.51.100.0/24", "203.0.113.0/24", "240.0.0.0/4", "255.255.255.255/32",
 )
 PUBLIC_V4 = ("192.0.0.9/32", "192.0.0.10/32")
+#: IPv6 blocks that are not public, and exceptions. A mapped IPv4 address is judged as IPv4.
+PRIVATE_V6 = ("::1/128", "::/128", "64:ff9b:1::/48", "100::/64", "2001::/23", "2001:db8::/32", "2002::/16", "fc00::/7", "fe80::/10")
+PUBLIC_V6 = ("2001:1::1/128", "2001:1::2/128", "2001:3::/32", "2001:4:112::/48", "2001:20::/28", "2001:30::/28")
+MAPPED_V6 = "0" * 20 + "ffff"
 OCTET = r"(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 V4 = rf"^{OCTET}\.{OCTET}\.{OCTET}\.{OCTET}$"
 MONTH = "(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)"
@@ -48,47 +53,101 @@ def _inside(number: Column, block: str) -> Column:
     return number.between(int(net.network_address), int(net.broadcast_address))
 
 
-@F.arrow_udf(T.StructType([T.StructField("ip", T.StringType()), T.StructField("is_private", T.BooleanType())]))
-def _v6(texts: pa.Array) -> pa.Array:
-    """IPv6 by the standard library; null for what is no address."""
-    out = []
-    for x in texts.to_pylist():
-        try:
-            ip = ipaddress.ip_address(x) if x is not None else None
-        except ValueError:
-            ip = None
-        out.append({"ip": str(ip), "is_private": ip.is_private} if ip is not None and ip.version == 6 else None)
-    return pa.array(out, pa.struct([("ip", pa.string()), ("is_private", pa.bool_())]))
-
-
 def v4_number(ip: Column) -> Column:
     """An IPv4 address as a number; null if it is none."""
     part = [F.try_element_at(F.split(ip, r"\."), F.lit(i)).cast("bigint") for i in (1, 2, 3, 4)]
     return F.when(ip.rlike(V4), part[0] * 16777216 + part[1] * 65536 + part[2] * 256 + part[3])
 
 
-def classify_ip(raw: Column, ipv6: bool = False) -> Column:
+def _inside_v6(hex32: Column, block: str) -> Column:
+    """Numbers of 32 hex digits are in order as texts."""
+    net = ipaddress.ip_network(block)
+    return hex32.between(f"{int(net.network_address):032x}", f"{int(net.broadcast_address):032x}")
+
+
+def v6_hex(ip: Column) -> Column:
+    """An IPv6 address without a zone, in lower case, as 32 hex digits; null if it is none. The last four groups of digits may be
+    an IPv4 address; `::` stands for one group of zeros or more, once."""
+
+    def padded(groups: Column) -> Column:
+        return F.array_join(F.transform(groups, lambda g: F.lpad(g, 4, "0")), "")
+
+    def of(t: Column) -> Column:
+        tail = F.substring_index(t, ":", -1)
+        number = v4_number(tail)
+        quad = lambda n: F.lower(F.concat(F.lpad(F.hex(F.floor(n / 65536)), 4, "0"), F.lit(":"), F.lpad(F.hex(n % 65536), 4, "0")))
+        plain = F.when(~t.contains("."), t).otherwise(F.concat(F.substring(t, F.lit(1), F.length(t) - F.length(tail)), quad(number)))
+        return let(plain, of_groups)
+
+    def of_groups(t: Column) -> Column:
+        sides = F.split(t, "::")
+        groups = lambda side: F.when(side == "", F.array().cast("array<string>")).otherwise(F.split(side, ":"))
+        left, right = groups(F.get(sides, F.lit(0))), groups(F.get(sides, F.lit(1)))
+        n = F.size(left) + F.when(F.size(sides) == 2, F.size(right)).otherwise(0)
+        every = F.concat(left, F.when(F.size(sides) == 2, right).otherwise(F.array().cast("array<string>")))
+        fine = F.forall(every, lambda g: g.rlike("^[0-9a-f]{1,4}$"))
+        whole = F.when((F.size(sides) == 1) & (n == 8), padded(left)).when((F.size(sides) == 2) & (n <= 7), F.concat(padded(left), F.repeat(F.lit("0000"), 8 - n), padded(right)))
+        return F.when(fine, whole)
+
+    return F.when(ip.rlike(r"^[0-9a-f:]*:[0-9a-f:.]*$"), let(ip, of))
+
+
+def _v6_text(hex32: Column) -> Column:
+    """The usual text: groups without leading zeros, the first of the longest runs of two zero groups or more as `::`, mapped
+    addresses with a dotted end."""
+    group = lambda i: F.regexp_replace(F.substring(hex32, 4 * i + 1, 4), "^0{1,3}", "")
+    marked = F.concat(F.lit(":"), F.array_join(F.array(*[group(i) for i in range(8)]), ":"), F.lit(":"))
+
+    def shortened(t: Column) -> Column:
+        out = F.substring(t, F.lit(2), F.length(t) - 2)
+        for run in range(2, 9):
+            mark = ":" + "0:" * run
+            at = F.instr(t, mark)
+            cut = F.concat(F.substring(t, F.lit(1), at - 1), F.lit("::"), F.substring(t, at + len(mark), F.length(t)))
+            bare = F.regexp_replace(F.regexp_replace(cut, "^:(?!:)", ""), "(?<!:):$", "")
+            out = F.when(at > 0, bare).otherwise(out)
+        return out
+
+    byte = lambda i: F.conv(F.substring(hex32, 2 * i + 1, 2), 16, 10)
+    mapped = F.concat(F.lit("::ffff:"), F.concat_ws(".", *[byte(i) for i in range(12, 16)]))
+    return F.when(hex32.startswith(MAPPED_V6), mapped).otherwise(let(marked, shortened))
+
+
+def _blocks(number: Column, inside: Callable[[Column, str], Column], private: tuple[str, ...], public: tuple[str, ...]) -> Column:
+    held, free = F.lit(False), F.lit(False)
+    for block in private:
+        held = held | inside(number, block)
+    for block in public:
+        free = free | inside(number, block)
+    return held & ~free
+
+
+def classify_ip(raw: Column, ipv6: bool = True) -> Column:
     """struct<ip, is_private, version>: stripped, one `:port` of an IPv4 address cut off; all null if invalid.
 
-    IPv4 stays in column expressions. With ipv6, texts that hold two colons go through one Arrow function.
+    Column expressions throughout. IPv6 texts may be compressed, mapped or have a zone, which stays behind the address;
+    ipv6=False takes them for invalid.
     """
-    none = F.struct(F.lit(None).cast("string").alias("ip"), F.lit(None).cast("boolean").alias("is_private"), F.lit(None).cast("string").alias("version"))
-
-    def of_number(s: Column, number: Column) -> Column:
-        private, public = F.lit(False), F.lit(False)
-        for block in PRIVATE_V4:
-            private = private | _inside(number, block)
-        for block in PUBLIC_V4:
-            public = public | _inside(number, block)
-        return F.when(number.isNotNull(), F.struct(s.alias("ip"), (private & ~public).alias("is_private"), F.lit("IPv4").alias("version")))
+    text = lambda v: F.lit(v).cast("string")
+    none = F.struct(text(None).alias("ip"), F.lit(None).cast("boolean").alias("is_private"), text(None).alias("version"))
+    found = lambda ip, private, version: F.struct(ip.alias("ip"), private.alias("is_private"), F.lit(version).alias("version"))
+    private_v4 = lambda n: _blocks(n, _inside, PRIVATE_V4, PUBLIC_V4)
 
     s = strip(raw)
     s = F.when(s.contains(".") & (F.length(s) - F.length(F.replace(s, F.lit(":"))) == 1), F.split_part(s, F.lit(":"), F.lit(1))).otherwise(s)
-    v4 = let(s, lambda t: let(v4_number(t), lambda n: of_number(t, n)))
+    v4 = lambda t: let(v4_number(t), lambda n: F.when(n.isNotNull(), found(t, private_v4(n), "IPv4")))
     if not ipv6:
-        return F.coalesce(v4, none)
-    six = _v6(F.when(s.rlike(":.*:"), s))
-    return F.coalesce(v4, F.when(six["ip"].isNotNull(), F.struct(six["ip"].alias("ip"), six["is_private"].alias("is_private"), F.lit("IPv6").alias("version"))), none)
+        return F.coalesce(let(s, v4), none)
+
+    def v6(t: Column) -> Column:
+        zone = F.when(t.contains("%"), F.substring(t, F.instr(t, "%"), F.length(t))).otherwise("")
+        address = F.lower(F.substring_index(t, "%", 1))
+        fine = (zone == "") | zone.rlike("^%[^%]+$")
+        of_mapped = lambda h: private_v4(F.conv(F.substring(h, 25, 8), 16, 10).cast("bigint"))
+        private = lambda h: F.when(h.startswith(MAPPED_V6), of_mapped(h)).otherwise(_blocks(h, _inside_v6, PRIVATE_V6, PUBLIC_V6))
+        return F.when(fine, let(v6_hex(address), lambda h: F.when(h.isNotNull(), found(F.concat(_v6_text(h), zone), private(h), "IPv6"))))
+
+    return F.coalesce(let(s, lambda t: F.when(t.rlike(":.*:"), v6(t)).otherwise(v4(t))), none)
 
 
 def direction(src_private: Column, dst_private: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from logloom.functions import normalize as N
 from logloom.functions.text import contains_any, let, strip
+from logloom.operators.learn import apply_rules
 from logloom.operators.parsers import Registry
 
 #: Aliases of each canonical field; the first value that isn't empty wins.
@@ -54,7 +55,7 @@ class EngineConfig:
     auto_accept: float = 0.85
     review_below: float = 0.60
     today: str = "2026-01-01"
-    ipv6: bool = False
+    ipv6: bool = True
     free_form_dates: bool = False
 
 
@@ -93,18 +94,27 @@ def _note(condition: Column, text: Column) -> Column:
     return F.when(condition, F.array(text)).otherwise(F.array().cast("array<string>"))
 
 
-def normalize(lines: DataFrame, registry: Registry | None = None, config: EngineConfig | None = None, raw_col: str = "raw") -> DataFrame:
+def normalize(lines: DataFrame, registry: Registry | None = None, config: EngineConfig | None = None, raw_col: str = "raw", rules: DataFrame | None = None) -> DataFrame:
     """lines with `event`, the canonical record, added; blank lines give a record with ERR_EMPTY_LOG alone.
 
+    rules, a rule table (learn.RULES), reads lines that no parser takes, and verified ones key-value lines too.
+
     One narrow stage without a shuffle: parse, pick aliases, normalise, tag, score. Every step is a column
     of its own, so that no expression is repeated where it is used twice. All columns of lines are kept, whatever their
     names (they are called otherwise on the way); only one called `event` is replaced.
     """
     registry, config = registry or Registry(), config or EngineConfig()
+    df, kept = given_lines(lines, raw_col)
+    if rules is None:
+        return canonical(bind(df, p=registry.dispatch(F.col("raw_log"))), kept, config)
+    df = bind(df, p=registry.detect(F.col("raw_log")))
+    return canonical(apply_rules(df, rules, registry.priorities()), kept, config)
+
+
+def given_lines(lines: DataFrame, raw_col: str) -> tuple[DataFrame, dict[str, str]]:
+    """(lines with raw_log, the stripped line, and all their columns under other names, what those are called at last)."""
     kept = {f"__kept_{i}": c for i, c in enumerate(lines.columns) if c.lower() != "event"}
-    df = lines.select(*[F.col(f"`{c}`").alias(k) for k, c in kept.items()], strip(F.col(raw_col)).alias("raw_log"))
-    df = bind(df, p=registry.dispatch(F.col("raw_log")))
-    return canonical(df, kept, config)
+    return lines.select(*[F.col(f"`{c}`").alias(k) for k, c in kept.items()], strip(F.col(raw_col)).alias("raw_log")), kept
 
 
 def canonical(df: DataFrame, kept: dict[str, str], config: EngineConfig) -> DataFrame:

@@ -20,8 +20,14 @@ from pyspark.sql import functions as F
 from logloom.functions.text import contains_any, fields_of, group, last_wins, let, pairs, strip
 
 PARSED = "struct<format: string, parser: string, fields: map<string,string>, types: map<string,string>, ts_raw: string, exact: boolean, warnings: array<string>, errors: array<string>>"
-#: Nested objects are flattened to this depth; what lies deeper stays as JSON text.
+#: Nested objects are flattened by variants to this depth; lines that go deeper, or name a key twice, are read token by token.
 JSON_DEPTH = 6
+#: Tokens of a JSON text: strings, marks, and words between them. Numbers that JSON lacks, outside of strings.
+JSON_STRING = r'"(?:[^"\\]++|\\.)*+"'
+JSON_TOKEN = JSON_STRING + r'|[{}\[\],:]|[^\s{}\[\],:"]++'
+JSON_ODD = rf'\G((?:{JSON_STRING}|[^"NI\-]++|(?!NaN|-?Infinity)[^"])*+)(NaN|-?Infinity)'
+#: Stands before such a number where it is held as a text.
+ODD = "\x01"
 
 #: Patterns of the formats.
 # A key starts where no key character stands before and is never given back, so a long run of them is read once.
@@ -73,38 +79,92 @@ def _ends_with(key: Column, e: Column) -> Column:
     return F.lower(e["key"]).endswith(key)
 
 
+Entry = "array<struct<key: string, value: string, kind: string>>"
+
+
+def _json_value(v: Column) -> Column:
+    """struct<value, kind> of a variant; kind is object where one is left."""
+
+    def of(text: Column) -> Column:
+        kind = F.schema_of_variant(v)
+        nested = kind.startswith("ARRAY") | kind.startswith("OBJECT")
+        short = F.when(kind == "STRING", F.when(text.startswith(ODD), "float").otherwise("str")).when(kind == "BIGINT", "int").when(kind == "BOOLEAN", "bool").when(kind == "VOID", "null").when(kind.startswith("OBJECT"), "object").when(nested, "list").otherwise("float")
+        return F.struct(F.when(nested, _plain(F.to_json(v))).when(text.startswith(ODD), F.substring(text, 2, 9)).otherwise(text).alias("value"), short.alias("kind"))
+
+    return let(F.try_variant_get(v, "$", "string"), of)
+
+
+def _plain(nested: Column) -> Column:
+    """JSON text whose odd numbers are words again."""
+    return F.regexp_replace(nested, r'"\\u0001(NaN|-?Infinity)"', "$1")
+
+
+def _json_fold(s: Column) -> Column:
+    """Entries of a valid object of any depth, in the order of the text: one pass over its tokens with the path as a stack."""
+    start = F.struct(F.array().cast("array<string>").alias("path"), F.lit(None).cast("string").alias("key"), F.lit(0).alias("lists"), F.lit("").alias("text"), F.array().cast(Entry).alias("out"))
+
+    def step(state: Column, t: Column) -> Column:
+        path, key, lists = state["path"], state["key"], state["lists"]
+        none = F.lit(None).cast("string")
+        name = F.array_join(F.concat(path, F.array(key)), ".")
+        inside = lists > 0
+        text = F.concat(state["text"], t)
+        closes = inside & (t == "]") & (lists == 1)
+        mark = t.isin("{", "}", "[", "]", ",", ":")
+        is_key = ~inside & ~mark & key.isNull()
+        is_value = ~inside & ~mark & key.isNotNull()
+        own = F.when(closes, F.array(F.struct(name.alias("key"), _plain(text).alias("value"), F.lit("list").alias("kind")))).when(
+            is_value, F.array(let(_json_value(F.try_parse_json(t)), lambda v: F.struct(name.alias("key"), v["value"].alias("value"), v["kind"].alias("kind"))))
+        )
+        return F.struct(
+            F.when(~inside & (t == "{") & key.isNotNull(), F.concat(path, F.array(key))).when(~inside & (t == "}"), F.slice(path, F.lit(1), F.greatest(F.size(path) - 1, F.lit(0)))).otherwise(path).alias("path"),
+            F.when(is_key, F.try_variant_get(F.try_parse_json(t), "$", "string")).when(closes | is_value | (~inside & t.isin("{", "}")), none).otherwise(key).alias("key"),
+            (lists + F.when(t == "[", 1).when(t == "]", -1).otherwise(0)).alias("lists"),
+            F.when(inside & ~closes, text).when(~inside & (t == "["), t).otherwise("").alias("text"),
+            F.when(own.isNotNull(), F.concat(state["out"], own)).otherwise(state["out"]).alias("out"),
+        )
+
+    return F.aggregate(F.regexp_extract_all(s, F.lit(JSON_TOKEN), F.lit(0)), start, step, lambda state: state["out"])
+
+
 def json_lines(raw: Column) -> Column:
-    """Root objects, flattened with dots; empty nested objects vanish, lists stay as JSON text."""
-    s = strip(raw)
-    looks = s.startswith("{") & s.endswith("}") & ~s.rlike(r"\}\s*\{")
-    whole = F.try_variant_get(F.try_parse_json(F.when(looks, s)), "$", "map<string,variant>")
+    """Root objects, flattened with dots whatever their depth; empty nested objects vanish, lists stay as JSON text, of equal
+    keys the last stays. The line must be one object and nothing else; NaN and Infinity count as numbers."""
+    stripped = strip(raw)
+    fixed = F.when(stripped.contains("NaN") | stripped.contains("Infinity"), F.regexp_replace(stripped, JSON_ODD, f'$1"\\\\u0001$2"')).otherwise(stripped)
+    return F.when(stripped.startswith("{") & stripped.endswith("}"), let(fixed, _json))
+
+
+def _json(s: Column) -> Column:
+    # one root: beside a second element the line is one element of a list. Spark's list functions allow single quotes
+    alone = (F.json_array_length(F.concat(F.lit("["), s, F.lit(",0]"))) == 2) & ~F.regexp_replace(s, JSON_STRING, "").contains("'")
 
     def deeper(e: Column) -> Column:
         inner = F.transform(F.map_entries(F.try_variant_get(e["value"], "$", "map<string,variant>")), lambda c: F.struct(F.concat(e["key"], F.lit("."), c["key"]).alias("key"), c["value"].alias("value")))
         return F.coalesce(inner, F.array(F.struct(e["key"].alias("key"), e["value"].alias("value"))))
 
-    def leaf(e: Column) -> Column:
-        kind = F.schema_of_variant(e["value"])
-        nested = kind.startswith("ARRAY") | kind.startswith("OBJECT")
-        short = F.when(kind == "STRING", "str").when(kind == "BIGINT", "int").when(kind == "BOOLEAN", "bool").when(kind == "VOID", "null").when(nested, "list").otherwise("float")
-        text = F.when(nested, F.to_json(e["value"])).otherwise(F.try_variant_get(e["value"], "$", "string"))
-        return F.struct(e["key"].alias("key"), text.alias("value"), short.alias("kind"))
-
-    place = lambda order, e: F.coalesce(F.array_position(order, e["key"]), F.lit(0)).cast("int")
-    top = let(F.json_object_keys(s), lambda order: F.array_sort(F.map_entries(whole), lambda a, b: place(order, a) - place(order, b)))
-    for _ in range(JSON_DEPTH - 1):
-        top = F.flatten(F.transform(top, deeper))
+    def flatten(whole: Column) -> Column:
+        place = lambda order, e: F.coalesce(F.array_position(order, e["key"]), F.lit(0)).cast("int")
+        top = let(F.json_object_keys(s), lambda order: F.array_sort(F.map_entries(whole), lambda a, b: place(order, a) - place(order, b)))
+        for _ in range(JSON_DEPTH - 1):
+            top = F.flatten(F.transform(top, deeper))
+        return F.transform(top, lambda e: let(_json_value(e["value"]), lambda v: F.struct(e["key"].alias("key"), v["value"].alias("value"), v["kind"].alias("kind"))))
 
     def build(flat: Column) -> Column:
-        fields = F.map_from_entries(F.transform(flat, lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value"))))
-        kinds = F.map_from_entries(F.transform(F.filter(flat, lambda e: e["kind"] != "str"), lambda e: F.struct(e["key"].alias("key"), e["kind"].alias("value"))))
+        fields = last_wins(F.transform(flat, lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value"))))
+        kinds = F.map_filter(last_wins(F.transform(flat, lambda e: F.struct(e["key"].alias("key"), e["kind"].alias("value")))), lambda _, kind: kind != "str")
         hits = []
         for key in map(F.lit, JSON_TIME_KEYS):
             hit = F.try_element_at(F.filter(flat, partial(_ends_with, key)), F.lit(1))
             hits.append(F.when(hit.isNotNull(), F.when(hit["kind"] == "null", "None").otherwise(F.when(hit["value"] != "", hit["value"]))))
         return parsed("JSON", "json_fast_parser", fields, kinds, F.coalesce(*hits))
 
-    return F.when(whole.isNotNull(), let(F.transform(top, leaf), build))
+    def read(whole: Column) -> Column:
+        deep = lambda flat: F.exists(flat, lambda e: e["kind"] == "object")
+        flat = let(F.when(whole.isNotNull(), flatten(whole)), lambda flat: F.when(flat.isNull() | deep(flat), _json_fold(s)).otherwise(flat))
+        return let(flat, build)
+
+    return F.when(alone, let(F.try_variant_get(F.try_parse_json(s), "$", "map<string,variant>"), read))
 
 
 def _cut(s: Column, mark: str) -> Column:
@@ -265,6 +325,9 @@ class Registry:
     def names(self) -> list[str]:
         return [p.name for p in self._parsers]
 
+    def priorities(self) -> dict[str, int]:
+        return {p.name: p.priority for p in self._parsers}
+
     def load(self, folder: str) -> list[str]:
         """Registers every Parser that a module of the folder defines (files with a leading __ left out); gives the
         names of files that could not be imported."""

@@ -9,7 +9,7 @@ from logloom.operators import canonical as C
 from logloom.operators import learn as L
 from logloom.operators import multiline as M
 from logloom.operators.parsers import Registry
-from logloom.sources.tables import from_list
+from logloom.sources.tables import checkpointed, from_list
 
 
 def ingest(spark: SparkSession, lines: list[str], multiline: bool = False, registry: Registry | None = None, config: C.EngineConfig | None = None) -> DataFrame:
@@ -20,19 +20,26 @@ def ingest(spark: SparkSession, lines: list[str], multiline: bool = False, regis
 
 def summary(events: DataFrame, config: C.EngineConfig | None = None) -> DataFrame:
     """One row: n_events, n_review (events that go to review), n_blank."""
-    review = C.needs_review(events, config).agg(F.count("*").alias("n_review"))
-    blank = F.count_if(F.col("event.raw_log") == "").alias("n_blank")
-    return events.agg(F.count("*").alias("n_events"), blank).crossJoin(review).select("n_events", "n_review", "n_blank")
+    blank = F.col("event.raw_log") == ""
+    review = ~blank & (F.col("event.processing_metadata.confidence.overall_confidence") < (config or C.EngineConfig()).review_below)
+    return events.agg(F.count("*").alias("n_events"), F.count_if(review).alias("n_review"), F.count_if(blank).alias("n_blank"))
 
 
-def learn_and_parse(lines: DataFrame, registry: Registry | None = None, config: C.EngineConfig | None = None, raw_col: str = "raw", at_least: int = 1) -> tuple[DataFrame, list[L.Rule]]:
-    """(events, new rules): parse, mine what no parser took, keep the rules that pass the sandbox, parse again with them.
+def learn_and_parse(lines: DataFrame, registry: Registry | None = None, config: C.EngineConfig | None = None, raw_col: str = "raw", at_least: int = 1, known: DataFrame | None = None, created: int = 0) -> tuple[DataFrame, DataFrame]:
+    """(events, new rules): parse, mine what neither a parser nor a known rule took, keep the rules that pass the sandbox, read the
+    unknown lines with them.
 
-    The registry keeps the learned parser. Without unknown lines nothing is learned.
+    Lines are parsed once. `known` is a rule table, as is what comes back; `created` is the version of the new rules. Rules
+    that are known already are not new. Without unknown lines nothing is learned.
     """
-    registry = registry or Registry()
-    unknown = L.novel(C.bind(lines.select(F.col(raw_col).alias("raw")), p=registry.dispatch(F.col("raw"))))
-    rules = L.learn(unknown.select("raw"), at_least=at_least)
-    if rules:
-        registry.register(L.learned_parser(rules))
-    return C.normalize(lines, registry, config, raw_col), rules
+    registry, config = registry or Registry(), config or C.EngineConfig()
+    df, kept = C.given_lines(lines, raw_col)
+    first = checkpointed(C.bind(df, p=registry.detect(F.col("raw_log"))))
+    unknown = first.where(F.col("p").isNull() & (F.col("raw_log") != "")).select(F.col("raw_log").alias("raw"))
+    if known is not None:
+        met = L.with_candidates(unknown, "raw", known, F.lit(True), F.lit(True))
+        fits = lambda c: F.coalesce(F.size(L.fitting(F.col(c), F.col("raw"))) > 0, F.lit(False))
+        unknown = met.where(~fits("learned") & ~fits("approved")).select("raw")
+    new = L.learn(unknown, at_least=at_least, created=created)
+    new = checkpointed(new if known is None else new.join(known.select("signature"), "signature", "left_anti").select(*new.columns))
+    return C.canonical(L.apply_rules(first, new if known is None else known.unionByName(new), registry.priorities()), kept, config), new

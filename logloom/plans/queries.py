@@ -394,9 +394,7 @@ def sandbox_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("learned_parse", f"{E} select event_id, 'JIT_INFERRED' as format, src as src_ip from e")
 def learned_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     rare = lines(spark, sf_dir, "rare")
-    registry = P.Registry()
-    registry.register(L.learned_parser(L.learn(rare)))
-    e = C.normalize(rare, registry, CONFIG)
+    e = C.normalize(rare, config=CONFIG, rules=L.learn(rare))
     return e.select("event_id", F.col("event.processing_metadata.format_detected").alias("format"), F.col("event.src_endpoint.ip").alias("src_ip"))
 
 
@@ -431,6 +429,51 @@ def learn_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.select("event_id", F.col("event.processing_metadata.format_detected").alias("format"), F.col("event.src_endpoint.ip").alias("src_ip"))
 
 
+_HARD = {
+    0: """concat('{"src_ip":"', src, '","msg":"${', event_type, '} {x}"}')""",
+    1: """concat('{"src_ip":"', src, '"} {"dst_port":', dpt, '}')""",
+    2: """concat(repeat('{"k":', event_id % 40 + 1), dpt, repeat('}', event_id % 40 + 1))""",
+    3: """concat('{"src_ip":"', src, '","ratio":NaN,"low":[-Infinity,', dpt, '],"msg":"NaN"}')""",
+    4: """concat('{"src_ip":"old","dst_port":', dpt, ',"src_ip":"', src, '","meta":{"n":1,"n":', sev, '}}')""",
+    5: """concat('{"src_ip":"', src, '",}')""",
+    6: """concat('{"meta.n":1,"meta":{"n":', sev, ',"e":{}},"src_ip":"', src, '"}')""",
+}
+
+
+@query("json_hard", f"""{E} select event_id, case when event_id % 7 in (1, 5) then null else 'JSON' end as format, case when event_id % 7 in (1, 2, 5) then null else src end as src_ip,
+  case event_id % 7 when 0 then '${{' || event_type || '}} {{x}}' when 3 then 'NaN' end as msg, case event_id % 7 when 3 then '[-Infinity,' || dpt || ']' end as low, case event_id % 7 when 3 then 'float' end as ratio_kind,
+  case when event_id % 7 in (4, 6) then cast(sev as varchar) end as n, case when event_id % 7 = 2 then cast(dpt as varchar) end as deepest, case when event_id % 7 = 2 then event_id % 40 + 1 end as depth from e""")
+def json_hard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Braces in texts, two roots, objects within objects to a depth of 40, numbers that JSON lacks, keys that come twice."""
+    case = " ".join(f"when {k} then {v}" for k, v in _HARD.items())
+    p = facts(spark, sf_dir).selectExpr("event_id", f"case event_id % 7 {case} end as raw").select("event_id", P.json_lines(F.col("raw")).alias("p"))
+    f = lambda k: F.col("p.fields")[k]
+    deep = F.get(F.filter(F.map_entries("p.fields"), lambda e: e["key"].rlike(r"^k(?:\.k)*$")), F.lit(0))
+    return p.select("event_id", F.col("p.format").alias("format"), f("src_ip").alias("src_ip"), f("msg").alias("msg"), f("low").alias("low"), F.col("p.types")["ratio"].alias("ratio_kind"), f("meta.n").alias("n"), deep["value"].alias("deepest"), F.size(F.split(deep["key"], r"\.")).cast("long").alias("depth"))
+
+
+_V6_HEX = "lower({hex}(cast(event_id % 60000 + 1 as bigint)))"
+
+
+@query("ip_v6", f"""select event_id, case event_id % 8 when 0 then '2001:db8::' || {_V6_HEX.format(hex='to_hex')} when 1 then '::ffff:10.0.' || (event_id % 250) || '.1' when 2 then 'fe80::' || {_V6_HEX.format(hex='to_hex')} || '%eth0' when 3 then '2606:4700::1:0:0:' || {_V6_HEX.format(hex='to_hex')}
+  when 4 then '64:ff9b::808:808' when 5 then null when 6 then '::ffff:8.8.' || (event_id % 250) || '.8' end as ip, case event_id % 8 when 3 then false when 4 then false when 6 then false when 5 then null when 7 then null else true end as is_private from events""")
+def ip_v6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written out, compressed, mapped, upper-case and zoned addresses, and some that are none."""
+    h = _V6_HEX.format(hex="hex")
+    raw = F.expr(f"""case event_id % 8 when 0 then '2001:0DB8:0:0:0:0:0:' || upper({h}) when 1 then '::ffff:10.0.' || event_id % 250 || '.1' when 2 then 'FE80:0:0::' || {h} || '%eth0' when 3 then '2606:4700:0:0:1:0:0:' || {h}
+      when 4 then ' 64:ff9b::8.8.8.8 ' when 5 then '1:2:3:4:5:6:7:8:' || {h} when 6 then '0:0:0:0:0:FFFF:0808:' || hex((event_id % 250) * 256 + 8) else '1::2::' || {h} end""")
+    return table(spark, sf_dir, "events").select("event_id", N.classify_ip(raw).alias("c")).select("event_id", "c.ip", "c.is_private")
+
+
+@query("stream_learned", f"{E} select 'sig_' || substr(md5({{0}}), 1, 12) as signature, count(*) as n from e group by all".format("event_type || ' request from <IP> port <NUM> state <*>'"))
+def stream_learned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Uses of the rules that a stream over the events has learned."""
+    events = table_stream(spark, sf_dir, "events").selectExpr("*", *[f"{v} as {k}" for k, v in FACTS.items()])
+    at = scratch(spark, "learning")
+    streams.ingest_learning(events.selectExpr(f"{LINES['rare']} as raw"), f"{at}/table", f"{at}/rules", f"{at}/used", f"{at}/checkpoint", CONFIG).awaitTermination()
+    return R.uses(spark, f"{at}/used")
+
+
 @query("upsert_latest", "select user_id as id, max(event_id) as seq from events group by 1")
 def upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").selectExpr("user_id as id", "event_id as seq")
@@ -478,9 +521,7 @@ def review_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("approved_rule", f"{E} select event_id, 'JIT_INFERRED' as format, src as src_ip, cast(spt as int) as dst_port from e")
 def approved_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     rule = R.approve("sig_rare", "rare", r"^\w+ request from (\S+) port (\d+) state \w+$", ("src_endpoint.ip", "dst_endpoint.port"), 1)
-    registry = P.Registry()
-    registry.register(L.learned_parser(R.rules(R.rule_log(spark, [rule])), R.APPROVED_PRIORITY))
-    e = C.normalize(lines(spark, sf_dir, "rare"), registry, CONFIG)
+    e = C.normalize(lines(spark, sf_dir, "rare"), config=CONFIG, rules=R.rules(R.rule_log(spark, [rule])))
     return e.select("event_id", F.col("event.processing_metadata.format_detected").alias("format"), F.col("event.src_endpoint.ip").alias("src_ip"), F.col("event.dst_endpoint.port").alias("dst_port"))
 
 

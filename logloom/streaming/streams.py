@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
-from logloom.operators import canonical
+from logloom.operators import canonical, review
 from logloom.operators.multiline import CAP, starts_entry
+from logloom.plans import batch as batches
 from logloom.sources import sinks
+from logloom.sources.tables import checkpointed
 
 RECORD = "source string, line_no long, n_lines int, raw string"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -151,3 +153,25 @@ def ingest(lines: DataFrame, table: str, dead: str, checkpoint: str, config: can
         events.unpersist()
 
     return lines.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def ingest_learning(lines: DataFrame, table: str, rules: str, used: str, checkpoint: str, config: canonical.EngineConfig | None = None, at_least: int = 1) -> StreamingQuery:
+    """Parses a stream of raw lines and learns from those that neither parser nor rule takes.
+
+    Batch n reads the rules of the versions before n, and is parsed with those and with what it teaches itself; its new
+    rules are version n of the rule log, and the lines that each rule reads version n of the log of uses. Events,
+    rules and uses of a batch each stand in a folder of its number, so a batch that is run again after a failure
+    replaces what it wrote, and sees the same rules again.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        known = checkpointed(review.read_rules(spark, rules, batch_id))
+        events, new = batches.learn_and_parse(batch, config=config, at_least=at_least, known=known, created=batch_id)
+        events = checkpointed(events)
+        canonical.flat(events).write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
+        read = events.where("event.processing_metadata.parser_used = 'jit_inferred'").select(F.col("event.raw_log").alias("raw"))
+        review.append_rules(review.times_used(read, known.unionByName(new)), used, batch_id)
+        review.append_rules(new, rules, batch_id)
+
+    return lines.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -1,6 +1,8 @@
 """Parsers, normalizers, canonical records, multiline, learner, sinks and streams on small tables."""
 
+import ipaddress
 import os
+import random
 import time
 
 import pytest
@@ -12,6 +14,7 @@ from logloom.operators import canonical as C
 from logloom.operators import learn as L
 from logloom.operators import multiline as M
 from logloom.operators import parsers as P
+from logloom.operators import review as R
 from logloom.plans import batch
 from logloom.sources import sinks, tables
 from logloom.streaming import streams
@@ -43,6 +46,48 @@ def test_formats(spark):
     assert [(r["p"]["format"], r["p"]["fields"].get(x[2])) for r, x in zip(found, LINES, strict=True)] == [(x[1], x[3]) for x in LINES]
 
 
+#: (line, fields, kinds); None: no JSON.
+HARD_JSON = [
+    ('{"msg":"${a} {b}","src_ip":"10.0.0.1"}', {"msg": "${a} {b}", "src_ip": "10.0.0.1"}, {}),
+    ('{"a":1},{"b":2}', None, None),
+    ('{"a":1}] , [{"b":2}', None, None),
+    ("{'a':1}", None, None),
+    ('{"a":01}', None, None),
+    ('{"a":1,}', None, None),
+    ("{}", {}, {}),
+    ('{"a":"it\'s","b":{}}', {"a": "it's"}, {}),
+    ('{"k":' * 50 + "1" + "}" * 50, {".".join("k" * 50): "1"}, {".".join("k" * 50): "int"}),
+    ('{"a":NaN,"b":"NaN","c":[-Infinity,1],"e":"x\\"NaN"}', {"a": "NaN", "b": "NaN", "c": "[-Infinity,1]", "e": 'x"NaN'}, {"a": "float", "c": "list"}),
+    ('{"a":1,"a":2,"b":{"c":1,"c":"x"}}', {"a": "2", "b.c": "x"}, {"a": "int"}),
+    ('{"a.b":1,"a":{"b":null}}', {"a.b": None}, {"a.b": "null"}),
+    ('{"a":{"b":{"c":{"d":{"e":{"f":{"g":[1,{"h":2}],"i":"\\u00e9","j":{}}}}}}}}', {"a.b.c.d.e.f.g": '[1,{"h":2}]', "a.b.c.d.e.f.i": "é"}, {"a.b.c.d.e.f.g": "list"}),
+    ('{"x":"' + '{}\\"' * 20_000 + '"}', {"x": '{}"' * 20_000}, {}),
+]
+
+
+def test_hard_json(spark):
+    df = spark.createDataFrame(list(enumerate(x[0] for x in HARD_JSON)), "i int, raw string")
+    found = df.select("i", P.json_lines(F.col("raw")).alias("p")).orderBy("i").collect()
+    assert [(r["p"] and r["p"]["fields"], r["p"] and r["p"]["types"]) for r in found] == [x[1:] for x in HARD_JSON]
+
+
+def test_addresses_equal_the_standard_library(spark):
+    rng = random.Random(1)
+    texts = ["::", ":::", "1::2::3", "1:2:3:4:5:6:7::", "::2:3:4:5:6:7:8", "::1:2:3:4:5:6:7:8", "12345::", "fe80::1%", "fe80::1%a%b", "0:0:1:0:0:1:1:1", "::1.2.3.256", "1:2:3:4:5:6:7:1.2.3.4", "2001:1::1", "2001:20::1", "::ffff:192.0.0.9", "::.1.2.3", "1.2.3.4::"]
+    for _ in range(1500):
+        x = ipaddress.IPv6Address(rng.getrandbits(128) & rng.choice([(1 << 128) - 1, 0xFFFF << 112 | 0xFFFF, 0xFFFF0000FFFF00000000FFFF0000FFFF, (1 << 48) - 1]))
+        text = rng.choice([str(x), x.exploded, str(x).upper()])
+        at = rng.randrange(len(text))
+        texts += [text, text[:at] + rng.choice(":0f.:g") + text[at + 1 :]]
+    for r in spark.createDataFrame([(t,) for t in texts], "t string").select("t", N.classify_ip(F.col("t")).alias("c")).collect():
+        try:
+            text = r["t"].split(":")[0] if "." in r["t"] and r["t"].count(":") == 1 else r["t"]
+            want = (str(ipaddress.ip_address(text)), ipaddress.ip_address(text).is_private)
+        except ValueError:
+            want = (None, None)
+        assert (r["c"]["ip"], r["c"]["is_private"]) == want, r["t"]
+
+
 def test_registry_order():
     r = P.Registry()
     r.register(P.Parser("first", 95, P.kv_lines))
@@ -159,16 +204,88 @@ def test_multiline_cap_lets_shorter_lines_fit(spark):
 def test_learner(spark):
     raw = [(f"link from 10.0.0.{i} port {i + 1000} state {'up' if i % 2 else 'down'}",) for i in range(20)]
     df = spark.createDataFrame(raw, "raw string")
-    rules = L.learn(df)
+    table = L.learn(df)
+    rules = table.collect()
     assert [r.template for r in rules] == ["link from <IP> port <NUM> state <*>"]
-    registry = P.Registry()
-    registry.register(L.learned_parser(rules))
-    e = C.normalize(df, registry).first()["event"]
+    e = C.normalize(df, rules=table).first()["event"]
     assert (e["processing_metadata"]["format_detected"], e["src_endpoint"]["ip"][:7], e["dst_endpoint"]["port"] >= 1000) == ("JIT_INFERRED", "10.0.0.", True)
     box = L.sandbox(df, rules[0].pattern, len(rules[0].fields)).first()
     assert (box["matched"], box["valid"], box["score"]) == (20, True, 0.84)
 
 
+def test_large_leaves_do_not_depend_on_shares(spark, monkeypatch):
+    kinds = [("open", "read", "file"), ("open", "sent", "mail"), ("shut", "kept", "door")]
+    raw = [f"job run {a} {b} {c} by user{i} on host{i % 7}x after {i} for {'w' * (i % 9 + 1)}" for i in range(400) for a, b, c in kinds]
+    df = spark.createDataFrame([(x,) for x in raw], "raw string")
+    whole = sorted(tuple(r) for r in L.mine(df).collect())
+    assert sum(r[2] for r in whole) == len(raw)
+    monkeypatch.setattr(L, "SEEDS", 20)
+    found = []
+    for share in (50, 300, 100_000):
+        monkeypatch.setattr(L, "SHARE", share)
+        found.append(sorted(tuple(r) for r in L.mine(df.repartition(5)).collect()))
+    assert found[0] == found[1] == found[2]
+    assert sum(r[2] for r in found[0]) == len(raw)
+    assert {r[0] for r in found[0]} == {r[0] for r in whole}
+    assert L.mine(df.limit(0)).count() == 0
+
+
+def test_many_rules_are_a_join(spark):
+    lines = spark.range(3000).selectExpr("concat('unit', lpad(id, 4, 'x'), ' w', hex(id * 7919 % 100003), ' reports from 10.0.0.', id % 250, ' port ', id + 1, ' ok') as raw")
+    made = spark.range(10_000).selectExpr("concat('sig_', id) as signature", "concat('t', id, ' reports <*>') as template", "concat('^t', id, ' reports (\\\\S+)$') as pattern", "array('event.action') as fields", "0.9D as score", "false as verified", "0L as created")
+    rules = made.unionByName(L.learn(lines.limit(50)))
+    start = time.time()
+    plan = C.normalize(lines.unionByName(spark.sql("select 't77 reports stop' as raw")), rules=rules)
+    assert len(plan._jdf.queryExecution().optimizedPlan().toString()) > 0
+    assert time.time() - start < 60
+    found = plan.groupBy("event.processing_metadata.format_detected").count().collect()
+    assert dict(map(tuple, found)).get("JIT_INFERRED", 0) >= 51
+
+
+def test_rules_by_priority_and_age(spark):
+    rule = lambda name, pattern, fields, verified, created: R.Rule(name, "go to <*>", pattern, fields, 1.0, verified, created)
+    table = R.rule_log(spark, [rule("old", r"^go to (\S+)$", ("event.action",), False, 1), rule("new", r"^go (to) \S+$", ("actor.user_name",), False, 2), rule("hand", r"k=(\S+) b=\S+ c", ("actor.user_name",), True, 1), rule("none", r"^never", (), True, 9)])
+    lines = spark.createDataFrame([("go to x",), ("a=1 k=me b=2 c=3",), ("CEF:0|a|b|c|d|k=me b=2 c|5|",), ("nothing",), ("",), (None,)], "raw string")
+    got = [(r["event"]["processing_metadata"]["format_detected"], r["event"]["actor"] and r["event"]["actor"]["user_name"]) for r in C.normalize(lines, rules=table).collect()]
+    assert sorted(got, key=str) == sorted([("JIT_INFERRED", "to"), ("JIT_INFERRED", "me"), ("CEF", None), ("GENERIC_FALLBACK", None), ("UNKNOWN", None), ("UNKNOWN", None)], key=str)
+    used = {r["signature"]: r["n"] for r in R.times_used(lines, table).collect()}
+    assert used == {"old": 1, "new": 1, "hand": 2}
+    assert [r["signature"] for r in R.listed(table).collect()] == ["none", "new", "hand", "old"]
+
+
+def test_rules_beyond_the_broadcast(spark, monkeypatch):
+    df = spark.createDataFrame([(f"link from 10.0.0.{i} port {i + 1000} state up",) for i in range(20)] + [(FLAT_JSON,)], "raw string")
+    want = sorted(map(str, C.normalize(df, rules=L.learn(df)).collect()))
+    monkeypatch.setattr(L, "BROADCAST_BYTES", -1)
+    assert sorted(map(str, C.normalize(df, rules=L.learn(df)).collect())) == want
+
+
+def test_learning_stream(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for k in range(3):
+        path = tmp_path / "in" / f"{k}.txt"
+        path.write_text("".join(f"{'link' if k < 2 else 'beam'} from 10.0.{k}.{i} port {i + 1000} ok\n" for i in range(6)) + FLAT_JSON + "\n")
+        os.utime(path, (1_700_000_000 + k, 1_700_000_000 + k))
+    read = spark.readStream.option("maxFilesPerTrigger", 1).text(str(tmp_path / "in")).withColumnRenamed("value", "raw")
+    at = lambda name: str(tmp_path / name)
+    streams.ingest_learning(read, at("table"), at("rules"), at("used"), at("c")).awaitTermination()
+    table = lambda: sorted((r["batch"], r["format_detected"], r["raw_log"]) for r in spark.read.parquet(at("table")).collect())
+    first, rules = table(), sorted((r["template"], r["created"]) for r in R.read_rules(spark, at("rules")).collect())
+    assert len(first) == 21
+    assert sum(f == "JIT_INFERRED" for _, f, _ in first) == 18
+    assert rules == [("beam from <IP> port <NUM> ok", 2), ("link from <IP> port <NUM> ok", 0)]
+    assert sorted(r["n"] for r in R.uses(spark, at("used")).collect()) == [6, 12]
+    # the last batch is run again: its commit is taken away, as after a failure
+    os.remove(tmp_path / "c" / "commits" / "2")
+    crc = tmp_path / "c" / "commits" / ".2.crc"
+    if crc.exists():
+        os.remove(crc)
+    streams.ingest_learning(read, at("table"), at("rules"), at("used"), at("c")).awaitTermination()
+    assert table() == first
+    assert sorted((r["template"], r["created"]) for r in R.read_rules(spark, at("rules")).collect()) == rules
+    assert sorted(r["n"] for r in R.uses(spark, at("used")).collect()) == [6, 12]
+
+
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([("plain words",), (FLAT_JSON,)], "raw string")
     events = C.normalize(df)
@@ -286,6 +403,6 @@ def test_batch_entries(spark):
     assert tuple(batch.summary(batch.ingest(spark, text)).first()) == (4, 2, 1)
     lines = spark.createDataFrame([(f"beam from 10.0.0.{i} port {i + 1000}",) for i in range(5)] + [(FLAT_JSON,)], "raw string")
     events, rules = batch.learn_and_parse(lines)
-    assert len(rules) == 1
+    assert rules.count() == 1
     assert sorted(r["f"] for r in events.select(F.col("event.processing_metadata.format_detected").alias("f")).collect()) == ["JIT_INFERRED"] * 5 + ["JSON"]
-    assert batch.learn_and_parse(lines.limit(0))[1] == []
+    assert batch.learn_and_parse(lines.limit(0))[1].collect() == []
