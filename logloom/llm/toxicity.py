@@ -43,6 +43,8 @@ CHANCE = 10.0
 #: Share of the texts of a mined voter that are of the class it speaks for, at least (or so many times the odds of the
 #: whole, if that class is the larger one): a voter is right more often than wrong.
 RIGHT = 0.6
+#: Mined voters at most: those of the largest gain. What they are chosen from is counted whole.
+VOTERS = 4096
 #: Words whose voters a Python worker keeps, and stems that a task counts before it hands them on.
 HELD_WORDS, COUNTED = 30_000, 1 << 17
 
@@ -116,25 +118,47 @@ class LabelModel:
 
     The given labels are no voter. They calibrate: each accuracy has the voter's rate on the labelled rows
     as its prior, worth `trust` times the rows, so that the classes stay toxic and clean; the posterior is of the
-    votes alone, voters that do not fire abstaining (a word of one language says nothing about texts without it). A
+    votes alone. A voter that does not fire has no say of its own (a word of one language says nothing about texts without
+    it), but silence counts in all: what the votes add up to is brought to odds by a slope and an offset that fit the
+    labels best, so the posteriors' mean is the labels' share and cannot drift from round to round, and rows on which
+    nothing fires fall below that share as those on which much does rise. A
     voter's say is divided by the sum of its squared correlations (the variance that it shares), so that ten voters that
-    always fire together count as one.
+    always fire together count as one; correlations come from the labels first, then from the posteriors of earlier rounds.
     """
 
     def __init__(self, votes: Sparse, labels: np.ndarray, trust: float = 1.0, rounds: int = 20) -> None:
         gold = np.stack([1 - labels, labels]).astype(float)
-        self.say = np.ones(votes.width)
         overall = (votes.sums(np.ones(votes.n)) + 0.1) / (votes.n + 0.2)
         base = (np.stack([votes.sums(g) for g in gold]) + overall) / (gold.sum(axis=1)[:, None] + 1)
-        share = np.clip(labels.mean(), 1e-4, 1 - 1e-4)
-        self.prior, self.fires = share, base
+        self.fires, self.slope, self.offset = base, 1.0, 0.0
         self.say = 1 / self.shared(votes, gold)
-        for _ in range(rounds):
+        for i in range(rounds):
+            self._calibrate(votes, labels)
             q = self.posterior(votes)
             mass = np.stack([1 - q, q])
+            if i in (rounds // 3, 2 * rounds // 3):
+                self.say = 1 / self.shared(votes, mass)
             own, prior = mass.sum(axis=1)[:, None], trust * gold.sum(axis=1)[:, None]
-            self.prior = float((q.sum() + trust * votes.n * share) / (votes.n * (1 + trust)))
             self.fires = np.clip((np.stack([votes.sums(m) for m in mass]) + prior * base) / (own + prior), 1e-6, 1 - 1e-6)
+        self._calibrate(votes, labels)
+
+    def _calibrate(self, votes: Sparse, labels: np.ndarray) -> None:
+        """Slope and offset by Newton steps, on targets that one row more of each class keeps from 0 and 1."""
+        x, n_bad = self._odds(votes), labels.sum()
+        target = np.where(labels > 0, (n_bad + 1) / (n_bad + 2), 1 / (votes.n - n_bad + 2))
+        scaled = np.stack([x, np.ones(votes.n)])
+        w = np.array([1.0, np.log((n_bad + 1) / (votes.n - n_bad + 1)) - x.mean()])
+        loss = lambda w: np.logaddexp(0, w @ scaled).sum() - target @ (w @ scaled)
+        for _ in range(50):
+            q = 1 / (1 + np.exp(-np.clip(w @ scaled, -30, 30)))
+            step = np.linalg.solve((scaled * (q * (1 - q))) @ scaled.T + 1e-6 * np.eye(2), scaled @ (q - target))
+            while loss(w - step) > loss(w) and np.abs(step).max() > 1e-9:
+                step = step / 2
+            w = w - step
+        self.slope, self.offset = w
+
+    def _odds(self, votes: Sparse) -> np.ndarray:
+        return votes.times(self.say * np.log(self.fires[1] / self.fires[0]))
 
     def shared(self, votes: Sparse, mass: np.ndarray) -> np.ndarray:
         """Sum of the squared correlations of each voter with all that fire beside it, itself included, within classes."""
@@ -154,8 +178,7 @@ class LabelModel:
         return out
 
     def posterior(self, votes: Sparse) -> np.ndarray:
-        odds = np.log(self.prior / (1 - self.prior)) + votes.times(self.say * np.log(self.fires[1] / self.fires[0]))
-        return 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(self.slope * self._odds(votes) + self.offset, -30, 30)))
 
 
 def fit_linear(x: Sparse, target: np.ndarray, rounds: int = 300, decay: float = 1e-3, rate: float = 0.2) -> tuple[np.ndarray, float]:
@@ -210,7 +233,7 @@ def mine(rows: DataFrame, n: int, n_bad: int, chance: float = CHANCE, right: flo
     """Words and stems of rows (text, label) whose documents' labels differ from the overall share by more than `chance`
     of them would without any meaning (log likelihood ratio against the number looked at), and that are right in `right`
     of their texts. Counted by Spark; the driver gets those that pass both tests, for toxic or for
-    clean, whatever their number."""
+    clean, VOTERS at most."""
     stems = common.checkpointed(rows.mapInArrow(_count_stems, "stem string, n long, bad long").groupBy("stem").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")))
     base = n_bad / n
     part = lambda k, share: F.when(k > 0, k * F.ln(k / F.col("n") / share)).otherwise(0.0)
@@ -220,7 +243,8 @@ def mine(rows: DataFrame, n: int, n_bad: int, chance: float = CHANCE, right: flo
     asked = right / (1 - right)
     toxic = odds(F.col("bad"), n_bad) >= asked * max(1.0, (n - n_bad) / n_bad)
     clean = odds(F.col("n") - F.col("bad"), n - n_bad) >= asked * max(1.0, n_bad / (n - n_bad))
-    return [r["stem"] for r in stems.where((toxic | clean) & (gain > float(np.log(max(looked_at, 1) / chance)))).select("stem").orderBy("stem").collect()]
+    chosen = stems.where((toxic | clean) & (gain > float(np.log(max(looked_at, 1) / chance)))).select("stem", gain.alias("gain")).orderBy(F.desc("gain"), "stem").limit(VOTERS)
+    return sorted(r["stem"] for r in chosen.select("stem").collect())
 
 
 def _fired(voters: Voters, spark: SparkSession, text: str) -> Column:
@@ -237,13 +261,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Learned from rows of docs that have a label in labels (id_col, label_col) and are not held out.
 
     At most `sample` labelled ids are used, those of the smallest hash: a bound of what is fitted on, not
-    of what is scored. Labels that contradict each other for one id count as toxic. Without
+    of what is scored. Labels that contradict each other for one id count as toxic; of several texts of
+    one id the least is learned from. Without
     any labelled row, or with labels of one kind, the fixed voters decide alone.
     """
     given = labels.where(F.col(label_col).isNotNull() & ~common.is_held_out(id_col)).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("label"))
     chosen = given.orderBy(F.xxhash64(F.lit("sample"), "id"), "id").limit(sample)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = common.checkpointed(texts.join(F.broadcast(chosen), "id").dropDuplicates(["id"]))
+    rows = common.checkpointed(texts.join(F.broadcast(chosen), "id").groupBy("id", "label").agg(F.min(F.coalesce("text", F.lit(""))).alias("text")))
     n, n_bad = rows.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
     if n_bad in (0, n):
         return Classifier(Voters([]), np.array([4.0] * len(LEXICONS) + [2.0] * len(PATTERNS)), -3.0)
@@ -251,6 +276,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     got = rows.select("id", "label", _fired(voters, docs.sparkSession, "text").alias("fired")).orderBy("id").toArrow()
     votes = Sparse([x.values.to_numpy(zero_copy_only=False) for x in got["fired"]], len(voters))
     posterior = LabelModel(votes, got["label"].to_numpy().astype(float)).posterior(votes)
+    odds = (n - n_bad) / n_bad  # as if both classes were equally frequent
+    posterior = posterior * odds / (posterior * odds + 1 - posterior)
     return Classifier(voters, *fit_linear(votes, posterior))
 
 

@@ -322,7 +322,9 @@ def test_label_model_discounts_copies():
     m = toxicity.LabelModel(sparse(votes), y.astype(float))
     assert m.say[0] < 0.4 < 0.9 < m.say[3]
     p = m.posterior(sparse(votes))
-    assert ((p > 0.5) == y).mean() > 0.85
+    assert ((p > 0.5) == y).mean() > 0.9
+    assert ((p > 0.5) == y).mean() >= ((votes.sum(axis=1) > 3) == y).mean()  # no worse than the majority
+    assert abs(p.mean() - y.mean()) < 0.01
     assert ((p > 0.5) != y).sum() > 20  # where voters say otherwise, the label has no vote
 
 
@@ -343,17 +345,24 @@ def test_label_model_against_dense_em():
         np.fill_diagonal(r2, 1)
         return 1 / r2.sum(axis=1)
 
-    def post(prior, fires, weight):
-        odds = np.log(prior / (1 - prior)) + votes @ (weight * np.log(fires[1] / fires[0]))
-        return 1 / (1 + np.exp(-odds))
-
-    prior, fires, weight = y.mean(), base, say(base, gold)
-    for _ in range(7):
-        q = post(prior, fires, weight)
+    def post(fires, weight):
+        x = votes @ (weight * np.log(fires[1] / fires[0]))
+        target = np.where(y > 0, (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2))
+        slope, offset = 1.0, -3.0
+        for _ in range(20_000):  # plain descent
+            q = 1 / (1 + np.exp(-slope * x - offset))
+            slope, offset = slope - 0.1 * ((q - target) * x).mean(), offset - 0.1 * (q - target).mean()
+        return 1 / (1 + np.exp(-slope * x - offset))
+
+    fires, weight = base, say(base, gold)
+    for i in range(7):
+        q = post(fires, weight)
         mass = np.stack([1 - q, q])
+        if i in (2, 4):
+            weight = say(fires, mass)
         n, n_gold = mass.sum(axis=1)[:, None], gold.sum(axis=1)[:, None]
-        prior, fires = (q.sum() + y.sum()) / 800, (mass @ votes + n_gold * base) / (n + n_gold)
-    assert np.allclose(m.posterior(sparse(votes)), post(prior, fires, weight), atol=1e-6)
+        fires = (mass @ votes + n_gold * base) / (n + n_gold)
+    assert np.allclose(m.posterior(sparse(votes)), post(fires, weight), atol=1e-4)
 
 
 def test_mined_voters_against_counts(spark):
@@ -550,3 +559,27 @@ def test_oracles(spark, name):
     want = con.execute(queries.oracle_sql()[name])
     order = [d[0] for d in want.description]
     assert sorted(tuple(r) for r in df.select(*order).collect()) == sorted(want.fetchall())
+
+
+def test_toxicity_odd_tables(spark):
+    """Empty tables, repeated rows, ids with two texts and null ids; the least text of an id is learned from."""
+    rows = [(i, f"{'idiot stupid' if i % 3 == 0 else 'river house'} word{i % 5}", "en") for i in range(200)] + [(0, "river", "en"), (0, "idiot stupid word0", "en"), (None, "idiot stupid", "en"), (7, "river house word2", "en")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, predicted string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(200)] + [(3, 1), (4, None)], "doc_id long, toxic int")
+    runs = [sorted((tuple(r) for r in toxicity.score_documents(df.repartition(n), labels).collect()), key=str) for n in (1, 3)]
+    assert runs[0] == runs[1]
+    assert len(runs[0]) == len(rows)
+    assert [r for r in runs[0] if r[0] is None][0][1:] == (True, *[r for r in runs[0] if r[0] == 0 and r[3]][0][2:])
+    assert toxicity.score_documents(df.limit(0), labels).count() == 0
+    assert toxicity.score_documents(df, labels.limit(0)).count() == len(rows)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no tables")
+def test_toxicity_finds_held_out_labels(spark):
+    sf = "/root/testdata/sf0.1"
+    got = {r["doc_id"]: r for r in queries.op9_toxicity(spark, sf).where("held_out").collect()}
+    labels = [(r["doc_id"], r["toxic"]) for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if r["doc_id"] in got]
+    caught, toxic = sum(got[i]["predicted"] for i, t in labels if t), sum(t for _, t in labels)
+    false = sum(got[i]["predicted"] for i, t in labels if not t)
+    assert caught / toxic > 0.85
+    assert false / (len(labels) - toxic) < 0.01
