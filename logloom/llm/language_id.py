@@ -14,10 +14,11 @@ from pyspark.sql import functions as F
 from logloom.llm import common, ngrams
 
 N = 3
-#: Bytes of filters that every worker may hold; larger ones stay in Spark and meet the texts in a join.
+#: Bytes of filters that a worker holds at once; larger ones are cut by the n-grams' hash, one pass over the texts a part.
 MOST_BYTES = 1 << 27
-#: Shares that a frequent n-gram's rows are cut into in that join.
-SALTS = 16
+#: A language does not count as holding an n-gram that is so many times rarer in it than in the language where it is most
+#: frequent: in enough text every language holds every n-gram, as a name, a quotation or a slip.
+RARER = 1000
 HASHES, BITS_PER_ENTRY = 4, 12
 UNKNOWN = "und"
 _TEXTS = 1 << 20
@@ -98,6 +99,10 @@ class Filters:
 
     def rates(self, keys: np.ndarray) -> np.ndarray:
         """Share of the n-grams that each language holds, less its expected false positives."""
+        return np.clip(self.hits(keys) / len(keys), 0, 1)
+
+    def hits(self, keys: np.ndarray) -> np.ndarray:
+        """Number of the n-grams that each language holds, less its expected false positives."""
         hits = np.zeros(len(self.langs))
         for cut in ngrams.parts(keys, 1):
             for w, sliced in enumerate(self.words):
@@ -106,7 +111,7 @@ class Filters:
                     found &= sliced[at]
                 for i in range(64 * w, min(64 * w + 64, len(self.langs))):
                     hits[i] += np.count_nonzero(found >> np.uint64(i % 64) & np.uint64(1))
-        return np.clip((hits / len(keys) - self.false) / (1 - self.false), 0, 1)
+        return (hits - len(keys) * self.false) / (1 - self.false)
 
 
 def places(keys: np.ndarray, mask: np.uint64) -> Iterator[np.ndarray]:
@@ -119,9 +124,14 @@ def places(keys: np.ndarray, mask: np.uint64) -> Iterator[np.ndarray]:
         yield (h + np.uint64(i) * step) & mask
 
 
+def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
+    """The part, of so many, that an n-gram's filter entry is in."""
+    return (keys * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(40)) % np.uint64(parts)
+
+
 def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], DataFrame]:
     """The languages, most text first, and (gram, langs) of every letter trigram, pair and letter of all rows with a
-    language and a letter, langs being places in that list."""
+    language and a letter, langs being places in that list: those that hold it, by RARER."""
     given = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null")
     counted = common.checkpointed(given.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
     langs = [r["lang"] for r in counted.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").collect()]
@@ -129,19 +139,22 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tu
         return [], counted.select("gram", F.array(F.lit(0)).alias("langs"))
     place = counted.sparkSession.createDataFrame(list(enumerate(langs)), "place int, lang string")
     every = F.explode(F.array(F.col("gram"), F.col("gram").bitwiseAND(F.lit((1 << 42) - 1)), F.shiftright("gram", 21).bitwiseAND(F.lit((1 << 21) - 1))))
-    met = counted.join(place, "lang").select("place", every.alias("gram"))
-    return langs, common.checkpointed(met.groupBy("gram").agg(F.collect_set("place").alias("langs")))
+    totals = F.broadcast(counted.groupBy("lang").agg(F.sum("n").alias("total")).join(place, "lang"))
+    met = counted.join(totals, "lang").select("place", "total", "n", every.alias("gram")).groupBy("gram", "place").agg((F.sum("n") / F.first("total")).alias("rate"))
+    held = F.filter(F.collect_list(F.struct("place", "rate")), lambda x: x["rate"] * RARER >= F.max("rate"))
+    return langs, common.checkpointed(met.groupBy("gram").agg(F.transform(held, lambda x: x["place"]).alias("langs")))
 
 
-def filters(langs: list[str], known: DataFrame, bits: int) -> Filters:
-    """Filters of `bits` bits a language. Spark joins the languages of each position; the driver gets one word for each
+def filters(langs: list[str], known: DataFrame, bits: int, part: int = 0, parts: int = 1) -> Filters:
+    """Filters of `bits` bits a language, for one part of the n-grams. Spark joins the languages of each position; the driver gets one word for each
     position that is set, `bits` for every 64 languages at most."""
 
     def set_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = batch["langs"]
             keys = np.repeat(batch["gram"].to_numpy().view(np.uint64), np.diff(own.offsets.to_numpy()))
-            lang = own.flatten().to_numpy()
+            mine = part_of(keys, parts) == part
+            keys, lang = keys[mine], own.flatten().to_numpy()[mine]
             for at in places(keys, np.uint64(bits - 1)):
                 yield pa.record_batch({"word": pa.array(lang // 64, pa.int32()), "at": pa.array(at.view(np.int64)), "bits": pa.array((np.uint64(1) << (lang % 64).astype(np.uint64)).view(np.int64))})
 
@@ -182,46 +195,61 @@ def predict(spark: SparkSession, model: Filters, text: Column) -> Column:
     return of(text)
 
 
-def _text_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct n-grams of each row by order, with their counts."""
-    for batch in batches:
-        for row, text in zip(batch["row"], batch["text"], strict=True):
-            keys = grams(text.as_py())
-            for order, own in zip((3, 2, 1), (keys, *shorter(keys)), strict=True):
-                k, n = np.unique(own, return_counts=True)
-                yield pa.record_batch({"row": pa.array([row.as_py()] * len(k), pa.int64()), "level": pa.array([order] * len(k), pa.int32()), "gram": pa.array(k.view(np.int64)), "n": pa.array(n.astype(np.int64))})
-
-
-def predict_by_join(rows: DataFrame, langs: list[str], known: DataFrame) -> DataFrame:
-    """(row, lang, score) of rows (row, text) that have a letter, as predict() decides, from the n-grams themselves: for
-    languages whose filters no worker can hold. Frequent n-grams are salted, so no n-gram's rows meet in one task."""
-    found = rows.select("row", "text").mapInArrow(_text_grams, "row long, level int, gram long, n long").withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int"))
-    salted = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    hits = found.join(salted, ["gram", "salt"]).select("row", "level", F.explode("langs").alias("place"), "n").groupBy("row", "level", "place").agg(F.sum("n").alias("n"))
-    best = hits.groupBy("row", "level").agg(F.max(F.struct("n", (-F.col("place")).alias("before"))).alias("best"), F.sum("n").alias("all"))
-    best = best.groupBy("row").agg(F.max(F.struct("level", "best", "all")).alias("b"))
-    every = found.select("row").distinct().join(best, "row", "left")
-    names = F.array(*[F.lit(x) for x in langs])
-    return every.select("row", F.get(names, F.coalesce(-F.col("b.best.before"), F.lit(0))).alias("lang"), F.coalesce(F.col("b.best.n") / F.col("b.all"), F.lit(0.0)).alias("score"))
+def predict_in_parts(rows: DataFrame, langs: list[str], known: DataFrame, bits: int, parts: int) -> DataFrame:
+    """(row, found) of rows (row, text), as predict() decides, with filters of `bits` bits a language and part: each part
+    is held in turn, and a text's hits are added up."""
+    made = None
+    for part in range(parts):
+        shared = rows.sparkSession.sparkContext.broadcast(filters(langs, known, bits, part, parts))
+
+        @F.arrow_udf("array<double>")
+        def hits(texts: pa.Array, shared=shared, part=part) -> pa.Array:
+            out = []
+            for x in texts:
+                keys = grams(x.as_py())
+                out.append(np.concatenate([[len(k), *shared.value.hits(k[part_of(k, parts) == part])] for k in (keys, *shorter(keys))]))
+            return pa.array(out, pa.list_(pa.float64()))
+
+        own = common.checkpointed(rows.select("row", hits("text").alias("hits")))
+        shared.unpersist()
+        made = own if made is None else made.unionByName(own)
+
+    @F.arrow_udf("struct<lang: string, score: double>")
+    def decide(sums: pa.Array) -> pa.Array:
+        out = []
+        for x in sums.to_pylist():
+            best = (UNKNOWN, 0.0)
+            for level in np.array(x).reshape(3, -1):
+                if level[0]:
+                    rates = np.clip(level[1:] * parts / level[0], 0, 1)  # the number of n-grams is there once a part
+                    best = (langs[int(rates.argmax())], float(rates.max() / rates.sum()) if rates.any() else 0.0)
+                    if rates.any():
+                        break
+            out.append({"lang": best[0], "score": best[1]})
+        return pa.array(out, pa.struct([("lang", pa.string()), ("score", pa.float64())]))
+
+    added = F.aggregate(F.collect_list("hits"), F.array_repeat(F.lit(0.0), 3 * (1 + len(langs))), lambda a, b: F.zip_with(a, b, lambda x, y: x + y))
+    return made.groupBy("row").agg(added.alias("sums")).select("row", decide("sums").alias("found"))
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most_bytes: int = MOST_BYTES) -> DataFrame:
     """(id_col, held_out, lang_pred, score) of every row, learned from all of the rows that are not held out.
 
-    Filters are as large as the n-grams that were learned need; where that is more than most_bytes, texts meet the
-    n-grams in a join instead (then without false positives). Repeated rows give repeated rows, null ids are held out, an
-    empty table gives none; other columns are not looked at.
+    Filters are as large as the n-grams that were learned need; where that is more than most_bytes they are cut by the
+    n-grams' hash into parts of that size, which the texts visit one after the other. Repeated rows give repeated rows,
+    null ids are held out, an empty table gives none; other columns are not looked at.
     """
     held = common.is_held_out(id_col)
     langs, known = learn(docs.where(~held), text_col, lang_col)
     entries = known.select(F.explode("langs").alias("place")).groupBy("place").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    of_bits = lambda bits: bits * 8 * -(-len(langs) // 64)
     bits = width(entries)
+    parts = max(1, -(-of_bits(bits) // most_bytes))
     texts = docs.select(F.col(id_col).alias("id"), held.alias("held_out"), F.col(text_col).alias("text"))
-    if not langs or bits * 8 * -(-len(langs) // 64) <= most_bytes:
+    if parts == 1:
         out = texts.select("id", "held_out", predict(docs.sparkSession, filters(langs, known, bits), F.col("text")).alias("found"))
-        lang, score = F.col("found.lang"), F.col("found.score")
     else:
         rows = common.checkpointed(texts.withColumn("row", F.monotonically_increasing_id()))
-        out = rows.drop("text").join(predict_by_join(rows, langs, known), "row", "left")
-        lang, score = F.coalesce("lang", F.lit(UNKNOWN)), F.coalesce("score", F.lit(0.0))
+        out = rows.drop("text").join(predict_in_parts(rows, langs, known, width(-(-entries // parts)), parts), "row")
+    lang, score = F.col("found.lang"), F.col("found.score")
     return out.select(F.col("id").alias(id_col), "held_out", lang.alias("lang_pred"), score.alias("score"))

@@ -260,7 +260,7 @@ def brute_language(rows, text):
     return langs[0], 0.0, 0
 
 
-@pytest.mark.parametrize("most_bytes", [language_id.MOST_BYTES, 0])
+@pytest.mark.parametrize("most_bytes", [language_id.MOST_BYTES, 50_000, 1 << 14])
 def test_language_id_against_brute_force(spark, most_bytes):
     rows = language_rows(20)
     rows += [(2000 + i, t, None) for i, t in enumerate([*ODD, "zzz qqq", "ß", "é", "数学", "the the der"])] + [(None, "the water", "en"), (rows[0][0], rows[0][1], rows[0][2])]
@@ -268,11 +268,39 @@ def test_language_id_against_brute_force(spark, most_bytes):
     got = language_id.identify(df, most_bytes=most_bytes).collect()
     assert len(got) == len(rows)
     want = {i: brute_language(rows, t) for i, t, _ in rows}
-    if most_bytes:  # a Bloom filter may be wrong about single n-grams, so texts of known ones are held against it
-        wrong = [i for i in {r["doc_id"] for r in got} if want[i][1] > 0.6 and want[i][2] == 3 and {r["lang_pred"] for r in got if r["doc_id"] == i} != {want[i][0]}]
-    else:
-        wrong = [r["doc_id"] for r in got if (r["lang_pred"], round(r["score"], 9)) != (want[r["doc_id"]][0], round(want[r["doc_id"]][1], 9))]
+    # a Bloom filter may be wrong about single n-grams, so texts of known ones are held against it
+    wrong = [i for i in {r["doc_id"] for r in got} if want[i][1] > 0.6 and want[i][2] == 3 and {r["lang_pred"] for r in got if r["doc_id"] == i} != {want[i][0]}]
     assert wrong == []
+    for r in got:
+        assert (r["lang_pred"] == "und") == (want[r["doc_id"]][0] == "und")
+        if want[r["doc_id"]][2] == 3 and want[r["doc_id"]][1] > 0.6:
+            assert abs(r["score"] - want[r["doc_id"]][1]) < 0.1
+
+
+def test_parts_of_filters_add_up(spark):
+    keys = np.arange(1, 4001, dtype=np.uint64) * np.uint64(104729)
+    known = spark.createDataFrame([(int(k), [i % 3]) for i, k in enumerate(keys)], "gram long, langs array<int>")
+    made = [language_id.filters(["a", "b", "c"], known, language_id.width(500), p, 4) for p in range(4)]
+    parts = language_id.part_of(keys, 4)
+    assert set(parts.tolist()) == {0, 1, 2, 3}
+    for i in range(3):
+        own = keys[i::3]
+        hits = sum(f.hits(own[language_id.part_of(own, 4) == p]) for p, f in enumerate(made))
+        assert hits[i] == pytest.approx(len(own))
+        assert all(abs(h) < 0.05 * len(own) for j, h in enumerate(hits) if j != i)
+
+
+def test_languages_do_not_fill_up(spark):
+    """Where every language holds every n-gram somewhere, bare membership tells nothing apart; rates do."""
+    words = {"en": "the water of stone", "de": "das wasser vom stein"}
+    rows = [(i, " ".join([words[k]] * 400 + ([words["de" if k == "en" else "en"]] if i % 40 == 0 else [])), k) for i, k in enumerate(["en", "de"] * 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    _, known = language_id.learn(docs.where("doc_id % 5 <> 4"))
+    sizes = [len(r["langs"]) for r in known.collect()]
+    shared = set(language_id.grams(words["en"]).tolist()) & set(language_id.grams(words["de"]).tolist())
+    assert sum(n > 1 for n in sizes) <= 40 + len(shared) < len(sizes)
+    got = language_id.identify(docs).collect()
+    assert all(r["lang_pred"] == rows[r["doc_id"]][2] and r["score"] > 0.6 for r in got)
 
 
 def test_bloom_filters_return_all_languages(spark):
