@@ -35,6 +35,18 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows of an Arrow batch where rows are whole texts.
+TEXT_ROWS = 1000
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Batches that Python workers get hold TEXT_ROWS rows at most from now on in this session: with Spark's ten thousand
+    texts a batch, its copies in the JVM and in the worker take most of an executor's memory besides the heap."""
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= TEXT_ROWS:
+        spark.conf.set(rows, TEXT_ROWS)
+
+
 def remove(spark: SparkSession, folder: str) -> None:
     """Removes a folder of intermediate rows, on whatever file system it lies."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
