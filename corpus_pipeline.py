@@ -18,6 +18,7 @@ MIX_SHARE = 0.9
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    common.text_batches(spark)
     return toxicity.drop_toxic(docs, common.table(spark, sf_dir, "labels"))
 
 
@@ -30,6 +31,7 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    common.text_batches(spark)
     return simhash.keep_one(docs, least=SIMILAR, shingle=5, distance=NEAR)
 
 
@@ -39,6 +41,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    common.text_batches(spark)
     encoded = bpe.encode_documents(docs, public_tokenizers.path(queries.TOKENIZER))
     return queries.digests(encoded, "ids")
 
