@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ipaddress
-from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -48,23 +47,12 @@ V4 = rf"^{OCTET}\.{OCTET}\.{OCTET}\.{OCTET}$"
 MONTH = "(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)"
 
 
-def _inside(number: Column, block: str) -> Column:
-    net = ipaddress.ip_network(block)
-    return number.between(int(net.network_address), int(net.broadcast_address))
-
-
 def v4_number(ip: Column) -> Column:
     """An IPv4 address as a number; null if it is none."""
     part = [F.try_element_at(F.split(ip, r"\."), F.lit(i)).cast("bigint") for i in (1, 2, 3, 4)]
     return F.when(ip.rlike(V4), part[0] * 16777216 + part[1] * 65536 + part[2] * 256 + part[3])
 
 
-def _inside_v6(hex32: Column, block: str) -> Column:
-    """Numbers of 32 hex digits are in order as texts."""
-    net = ipaddress.ip_network(block)
-    return hex32.between(f"{int(net.network_address):032x}", f"{int(net.broadcast_address):032x}")
-
-
 def v6_hex(ip: Column) -> Column:
     """An IPv6 address without a zone, in lower case, as 32 hex digits; null if it is none. The last four groups of digits may be
     an IPv4 address; `::` stands for one group of zeros or more, once."""
@@ -113,13 +101,15 @@ def _v6_text(hex32: Column) -> Column:
     return F.when(hex32.startswith(MAPPED_V6), mapped).otherwise(let(marked, shortened))
 
 
-def _blocks(number: Column, inside: Callable[[Column, str], Column], private: tuple[str, ...], public: tuple[str, ...]) -> Column:
-    held, free = F.lit(False), F.lit(False)
-    for block in private:
-        held = held | inside(number, block)
-    for block in public:
-        free = free | inside(number, block)
-    return held & ~free
+def _in_blocks(number: Column, blocks: tuple[str, ...]) -> Column:
+    """IPv4 numbers are longs, IPv6 numbers texts of 32 hex digits, which are in order as texts."""
+    ends = [(n, int(n.network_address), int(n.broadcast_address)) for n in map(ipaddress.ip_network, blocks)]
+    shown = [f"struct({a}L as a, {b}L as b)" if n.version == 4 else f"struct('{a:032x}' as a, '{b:032x}' as b)" for n, a, b in ends]
+    return F.exists(F.expr(f"array({', '.join(shown)})"), lambda block: number.between(block["a"], block["b"]))
+
+
+def _private(number: Column, private: tuple[str, ...], public: tuple[str, ...]) -> Column:
+    return _in_blocks(number, private) & ~_in_blocks(number, public)
 
 
 def classify_ip(raw: Column, ipv6: bool = True) -> Column:
@@ -131,7 +121,7 @@ def classify_ip(raw: Column, ipv6: bool = True) -> Column:
     text = lambda v: F.lit(v).cast("string")
     none = F.struct(text(None).alias("ip"), F.lit(None).cast("boolean").alias("is_private"), text(None).alias("version"))
     found = lambda ip, private, version: F.struct(ip.alias("ip"), private.alias("is_private"), F.lit(version).alias("version"))
-    private_v4 = lambda n: _blocks(n, _inside, PRIVATE_V4, PUBLIC_V4)
+    private_v4 = lambda n: _private(n, PRIVATE_V4, PUBLIC_V4)
 
     s = strip(raw)
     s = F.when(s.contains(".") & (F.length(s) - F.length(F.replace(s, F.lit(":"))) == 1), F.split_part(s, F.lit(":"), F.lit(1))).otherwise(s)
@@ -144,7 +134,7 @@ def classify_ip(raw: Column, ipv6: bool = True) -> Column:
         address = F.lower(F.substring_index(t, "%", 1))
         fine = (zone == "") | zone.rlike("^%[^%]+$")
         of_mapped = lambda h: private_v4(F.conv(F.substring(h, 25, 8), 16, 10).cast("bigint"))
-        private = lambda h: F.when(h.startswith(MAPPED_V6), of_mapped(h)).otherwise(_blocks(h, _inside_v6, PRIVATE_V6, PUBLIC_V6))
+        private = lambda h: F.when(h.startswith(MAPPED_V6), of_mapped(h)).otherwise(_private(h, PRIVATE_V6, PUBLIC_V6))
         return F.when(fine, let(v6_hex(address), lambda h: F.when(h.isNotNull(), found(F.concat(_v6_text(h), zone), private(h), "IPv6"))))
 
     return F.coalesce(let(s, lambda t: F.when(t.rlike(":.*:"), v6(t)).otherwise(v4(t))), none)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 from logloom.functions import normalize as N
 from logloom.functions.text import contains_any, let, strip
 from logloom.operators.learn import apply_rules
-from logloom.operators.parsers import Registry
+from logloom.operators.parsers import Parser, Registry
 
 #: Aliases of each canonical field; the first value that isn't empty wins.
 ALIASES = {
@@ -70,6 +72,13 @@ def given(fields: Column, kinds: Column) -> Column:
     return F.map_filter(fields, counts)
 
 
+def step(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with more columns, each of which may use those before it."""
+    for name, value in columns.items():
+        df = df.select("*", value.alias(name))
+    return df
+
+
 def bind(df: DataFrame, **columns: Column) -> DataFrame:
     """df with columns that are computed once: as the one row of a generator, which Spark neither merges with what
     stands above nor repeats in a pushed-down filter, as it would for a projection."""
@@ -99,16 +108,16 @@ def normalize(lines: DataFrame, registry: Registry | None = None, config: Engine
 
     rules, a rule table (learn.RULES), reads lines that no parser takes, and verified ones key-value lines too.
 
-    One narrow stage without a shuffle: parse, pick aliases, normalise, tag, score. Every step is a column
-    of its own, so that no expression is repeated where it is used twice. All columns of lines are kept, whatever their
+    One narrow stage without a shuffle: parse, pick aliases, normalise, tag, score. What is parsed, picked and normalised
+    is computed once a row (bind); what comes after are plain columns, which Spark leaves out where nothing asks for
+    them. All columns of lines are kept, whatever their
     names (they are called otherwise on the way); only one called `event` is replaced.
     """
     registry, config = registry or Registry(), config or EngineConfig()
     df, kept = given_lines(lines, raw_col)
     if rules is None:
-        return canonical(bind(df, p=registry.dispatch(F.col("raw_log"))), kept, config)
-    df = bind(df, p=registry.detect(F.col("raw_log")))
-    return canonical(apply_rules(df, rules, registry.priorities()), kept, config)
+        return canonical(parsed_lines(df, registry, whole=True), kept, config)
+    return canonical(apply_rules(parsed_lines(df, registry), rules, registry.priorities()), kept, config)
 
 
 def given_lines(lines: DataFrame, raw_col: str) -> tuple[DataFrame, dict[str, str]]:
@@ -119,17 +128,41 @@ def given_lines(lines: DataFrame, raw_col: str) -> tuple[DataFrame, dict[str, st
 
 def canonical(df: DataFrame, kept: dict[str, str], config: EngineConfig) -> DataFrame:
     """As normalize(), for rows with raw_log and a parsed struct p; kept: columns that stay, and what they are called at last."""
+    stages, event = _stages(df.sparkSession.sparkContext.applicationId, config)
+    for add, columns in stages:
+        df = add(df, **columns)
+    return df.select(*kept, event.alias("event")).select(*[F.col(k).alias(c) for k, c in kept.items()], "event")
+
+
+@lru_cache(maxsize=32)
+def _parsed(application: str, parsers: tuple[Parser, ...], whole: bool) -> Column:
+    """The column of a registry's parsers over raw_log, with the fallback if whole; built once an application."""
+    registry = Registry(parsers)
+    return (registry.dispatch if whole else registry.detect)(F.col("raw_log"))
+
+
+def parsed_lines(df: DataFrame, registry: Registry, whole: bool = False) -> DataFrame:
+    """Rows with raw_log, and p, what the registry makes of it."""
+    return bind(df, p=_parsed(df.sparkSession.sparkContext.applicationId, registry.parsers(), whole))
+
+
+@lru_cache(maxsize=32)
+def _stages(application: str, config: EngineConfig) -> tuple[list[tuple[Callable[..., DataFrame], dict[str, Column]]], Column]:
+    """The columns between p and the event, in order, and the event. They are the same for every table, and to build them takes
+    thousands of calls into the JVM, so it is done once an application and configuration."""
+    stages: list = []
+    put = lambda add, **columns: stages.append((add, columns))
     fields, kinds = F.col("p.fields"), F.col("p.types")
-    df = bind(df, g=given(fields, kinds))
-    df = bind(df, a=F.struct(*[_found(k).alias(k) for k in ALIASES]))
-    df = bind(df, x=F.struct(*[_pick(k).alias(k) for k in ALIASES]))
+    put(step, g=given(fields, kinds))
+    put(step, a=F.struct(*[_found(k).alias(k) for k in ALIASES]))
+    put(bind, x=F.struct(*[_pick(k).alias(k) for k in ALIASES]))
     x = lambda k: F.col(f"x.{k}.value")
 
     detected = F.from_json(fields["detected_ips"], "array<string>")
     rescued = x("src_ip").isNull() & x("dst_ip").isNull() & detected.isNotNull()
     time_text = F.coalesce(F.when(F.col("p.ts_raw") != "", F.col("p.ts_raw")), *[F.col("g")[k] for k in ("timestamp", "time", "date")])
     left = lambda names: let(F.flatten(F.array(*[F.col(f"x.{n}.taken") for n in names])), lambda t: F.map_filter(fields, lambda k, v: ~F.array_contains(t, k)))
-    df = bind(df, n=F.struct(
+    put(bind, n=F.struct(
         time_text.alias("time_text"),
         F.when(rescued, F.get(detected, F.lit(0))).otherwise(x("src_ip")).alias("src_raw"),
         F.when(rescued & (F.size(detected) >= 2), F.get(detected, F.lit(1))).otherwise(x("dst_ip")).alias("dst_raw"),
@@ -137,7 +170,7 @@ def canonical(df: DataFrame, kept: dict[str, str], config: EngineConfig) -> Data
         left(EARLY).alias("left_early"),
         F.lower(F.col("raw_log")).alias("low"),
     ))
-    df = bind(df, c=F.struct(
+    put(bind, c=F.struct(
         N.timestamp(F.col("n.time_text"), config.today, config.free_form_dates).alias("ts"),
         N.classify_ip(F.col("n.src_raw"), config.ipv6).alias("src"),
         N.classify_ip(F.col("n.dst_raw"), config.ipv6).alias("dst"),
@@ -149,7 +182,7 @@ def canonical(df: DataFrame, kept: dict[str, str], config: EngineConfig) -> Data
         N.status(x("status")).alias("status"),
     ))
     c = lambda k: F.col(f"c.{k}")
-    df = bind(df, direction=N.direction(c("src.is_private"), c("dst.is_private")))
+    put(step, direction=N.direction(c("src.is_private"), c("dst.is_private")))
 
     texts = F.map_entries(F.col("n.left_early"))
     said = F.exists(texts, lambda e: contains_any(F.lower(F.concat_ws(" ", e["key"], e["value"])), AUTH_WORDS))
@@ -158,7 +191,7 @@ def canonical(df: DataFrame, kept: dict[str, str], config: EngineConfig) -> Data
     secure = F.col("p.format").isin("AUDITD", "CEF", "LEEF")
     category = F.when(secure, "security").when(run, "system").when(said, "authentication").when(met, "network").otherwise("unknown")
     kind = F.when(run, "process_activity").when(said, "login").when(met, "connection").otherwise("generic")
-    df = bind(df, category=category, kind=kind, tag=threat(F.col("n.low"), c("action"), F.col("direction"), c("dst_port")))
+    put(step, category=category, kind=kind, tag=threat(F.col("n.low"), c("action"), F.col("direction"), c("dst_port")))
 
     whole = lambda name, value: x(name).isNotNull() & value.isNull() & x(name).try_cast("bigint").isNull()
     warnings = F.concat(
@@ -175,8 +208,8 @@ def canonical(df: DataFrame, kept: dict[str, str], config: EngineConfig) -> Data
         _note(F.col("n.src_raw").isNotNull() & c("src.ip").isNull(), F.lit("ERR_INVALID_SRC_IP")),
         _note(F.col("n.dst_raw").isNotNull() & c("dst.ip").isNull(), F.lit("ERR_INVALID_DST_IP")),
     )
-    df = bind(df, warnings=warnings, errors=errors)
-    df = bind(df, scores=F.struct(
+    put(step, warnings=warnings, errors=errors)
+    put(step, scores=F.struct(
         format_score(F.col("p.format"), F.col("p.exact")).alias("format_confidence"),
         field_score(fields, kinds, F.col("g")).alias("field_extraction_confidence"),
         schema_score(F.col("n.time_text"), F.col("category"), c("action"), c("src.ip"), c("dst.ip"), F.coalesce(x("hostname"), x("vendor"), x("process"), x("user")), F.col("n.ambiguous")).alias("schema_mapping_confidence"),
@@ -188,50 +221,27 @@ def canonical(df: DataFrame, kept: dict[str, str], config: EngineConfig) -> Data
     )
     none = lambda kind="string": F.lit(None).cast(kind)
     endpoint = lambda side: F.struct(c(f"{side}.ip").alias("ip"), c(f"{side}_port").alias("port"), none().alias("mac"), none().alias("domain"), c(f"{side}.is_private").alias("is_private"), none("struct<country:string,city:string,lat:double,lon:double>").alias("geo"))
+    # a struct of plain columns, so that whoever needs a few of its fields computes those alone
+    blank = F.coalesce(F.col("raw_log"), F.lit("")) == ""
+    unless = lambda value, other=None: F.when(~blank, value) if other is None else F.when(blank, other).otherwise(value)
     event = F.struct(
         F.struct(F.col("category"), F.col("kind").alias("type"), c("action").alias("action"), c("severity").alias("severity"), c("status").alias("status")).alias("event"),
-        F.struct(F.col("n.time_text").alias("raw"), c("ts.iso").alias("normalized"), c("ts.epoch_us").alias("epoch_us"), c("ts.timezone").alias("timezone"), F.timestamp_micros(c("ts.epoch_us")).alias("ts"), c("ts.ok").alias("ok")).alias("timestamp"),
+        F.struct(F.col("n.time_text").alias("raw"), unless(c("ts.iso")).alias("normalized"), unless(c("ts.epoch_us")).alias("epoch_us"), c("ts.timezone").alias("timezone"), unless(F.timestamp_micros(c("ts.epoch_us"))).alias("ts"), unless(c("ts.ok"), F.lit(False)).alias("ok")).alias("timestamp"),
         F.struct(x("hostname").alias("hostname"), x("vendor").alias("vendor"), x("product").alias("product"), none().alias("version"), none().alias("ip")).alias("device"),
         endpoint("src").alias("src_endpoint"), endpoint("dst").alias("dst_endpoint"),
         F.struct(c("protocol").alias("protocol"), none("bigint").alias("bytes_in"), none("bigint").alias("bytes_out"), F.col("direction").alias("direction")).alias("network"),
         F.struct(x("user").alias("user_name"), none().alias("user_domain"), none().alias("user_id")).alias("actor"),
         F.struct(x("pid").try_cast("int").alias("pid"), x("process").alias("name"), none().alias("executable_path"), none().alias("command_line"), none("int").alias("parent_pid")).alias("process"),
-        F.struct(F.col("tag.id").alias("mitre_technique_id"), F.col("tag.name").alias("mitre_technique_name"), F.col("tag.tactic").alias("tactic"), F.coalesce(F.col("tag.risk"), F.lit(15)).alias("risk_score")).alias("threat_intel"),
-        F.col("raw_log"),
+        F.struct(F.col("tag.id").alias("mitre_technique_id"), F.col("tag.name").alias("mitre_technique_name"), F.col("tag.tactic").alias("tactic"), unless(F.coalesce(F.col("tag.risk"), F.lit(15)), F.lit(0)).alias("risk_score")).alias("threat_intel"),
+        F.coalesce("raw_log", F.lit("")).alias("raw_log"),
         left(ALIASES).alias("unmapped"),
         F.struct(
-            F.col("p.format").alias("format_detected"), F.col("p.parser").alias("parser_used"), (F.col("p.parser") == "jit_inferred").alias("inference_used"),
-            F.struct(overall.alias("overall_exact"), F.round(overall, 3).alias("overall_confidence"), *[F.round(f"scores.{k}", 3).alias(k) for k in ("format_confidence", "field_extraction_confidence", "schema_mapping_confidence")]).alias("confidence"),
-            F.concat("warnings", score_notes).alias("warnings"), F.col("errors").alias("error_codes"), fields.alias("extracted"),
+            unless(F.col("p.format"), F.lit("UNKNOWN")).alias("format_detected"), unless(F.col("p.parser"), F.lit("NONE")).alias("parser_used"), (~blank & (F.col("p.parser") == "jit_inferred")).alias("inference_used"),
+            F.struct(unless(overall, F.lit(0.0)).alias("overall_exact"), unless(F.round(overall, 3), F.lit(0.0)).alias("overall_confidence"), *[unless(F.round(f"scores.{k}", 3), F.lit(0.0)).alias(k) for k in ("format_confidence", "field_extraction_confidence", "schema_mapping_confidence")]).alias("confidence"),
+            unless(F.concat("warnings", score_notes), F.array().cast("array<string>")).alias("warnings"), unless(F.col("errors"), F.array(F.lit("ERR_EMPTY_LOG"))).alias("error_codes"), fields.alias("extracted"),
         ).alias("processing_metadata"),
     )
-    return bind(df, event=F.coalesce(F.when(F.coalesce(F.col("raw_log"), F.lit("")) != "", event), empty_record())).select(*[F.col(k).alias(c) for k, c in kept.items()], "event")
-
-
-def empty_record() -> Column:
-    """What a blank line gives: nothing parsed, risk 0, ERR_EMPTY_LOG."""
-    return F.from_json(
-        F.lit('{"event":{"category":"unknown","type":"generic","action":"unknown","severity":"info","status":"unknown"},"timestamp":{"timezone":"UTC","ok":false},"threat_intel":{"risk_score":0},"raw_log":"","unmapped":{},'
-              '"processing_metadata":{"format_detected":"UNKNOWN","parser_used":"NONE","inference_used":false,"confidence":{"overall_exact":0.0,"overall_confidence":0.0,"format_confidence":0.0,"field_extraction_confidence":0.0,"schema_mapping_confidence":0.0},"warnings":[],"error_codes":["ERR_EMPTY_LOG"],"extracted":{}}}'),
-        RECORD,
-    )
-
-
-_ENDPOINT = "struct<ip:string,port:int,mac:string,domain:string,is_private:boolean,geo:struct<country:string,city:string,lat:double,lon:double>>"
-RECORD = (
-    "event struct<category:string,type:string,action:string,severity:string,status:string>,"
-    "timestamp struct<raw:string,normalized:string,epoch_us:bigint,timezone:string,ts:timestamp,ok:boolean>,"
-    "device struct<hostname:string,vendor:string,product:string,version:string,ip:string>,"
-    f"src_endpoint {_ENDPOINT},dst_endpoint {_ENDPOINT},"
-    "network struct<protocol:string,bytes_in:bigint,bytes_out:bigint,direction:string>,"
-    "actor struct<user_name:string,user_domain:string,user_id:string>,"
-    "process struct<pid:int,name:string,executable_path:string,command_line:string,parent_pid:int>,"
-    "threat_intel struct<mitre_technique_id:string,mitre_technique_name:string,tactic:string,risk_score:int>,"
-    "raw_log string,unmapped map<string,string>,"
-    "processing_metadata struct<format_detected:string,parser_used:string,inference_used:boolean,"
-    "confidence:struct<overall_exact:double,overall_confidence:double,format_confidence:double,field_extraction_confidence:double,schema_mapping_confidence:double>,"
-    "warnings:array<string>,error_codes:array<string>,extracted:map<string,string>>"
-)
+    return stages, event
 
 
 def threat(low: Column, action: Column, direction: Column, dst_port: Column) -> Column:

@@ -137,18 +137,20 @@ def json_lines(raw: Column) -> Column:
 
 def _json(s: Column) -> Column:
     # one root: beside a second element the line is one element of a list. Spark's list functions allow single quotes
-    alone = (F.json_array_length(F.concat(F.lit("["), s, F.lit(",0]"))) == 2) & ~F.regexp_replace(s, JSON_STRING, "").contains("'")
+    bare = F.regexp_replace(s, JSON_STRING, "")
+    alone = (F.json_array_length(F.concat(F.lit("["), s, F.lit(",0]"))) == 2) & ~bare.contains("'")
 
     def deeper(e: Column) -> Column:
         inner = F.transform(F.map_entries(F.try_variant_get(e["value"], "$", "map<string,variant>")), lambda c: F.struct(F.concat(e["key"], F.lit("."), c["key"]).alias("key"), c["value"].alias("value")))
         return F.coalesce(inner, F.array(F.struct(e["key"].alias("key"), e["value"].alias("value"))))
 
     def flatten(whole: Column) -> Column:
-        place = lambda order, e: F.coalesce(F.array_position(order, e["key"]), F.lit(0)).cast("int")
-        top = let(F.json_object_keys(s), lambda order: F.array_sort(F.map_entries(whole), lambda a, b: place(order, a) - place(order, b)))
+        top = F.transform(F.json_object_keys(s), lambda k: F.struct(k.alias("key"), F.try_element_at(whole, k).alias("value")))
+        nested = top
         for _ in range(JSON_DEPTH - 1):
-            top = F.flatten(F.transform(top, deeper))
-        return F.transform(top, lambda e: let(_json_value(e["value"]), lambda v: F.struct(e["key"].alias("key"), v["value"].alias("value"), v["kind"].alias("kind"))))
+            nested = F.flatten(F.transform(nested, deeper))
+        valued = lambda es: F.transform(es, lambda e: let(_json_value(e["value"]), lambda v: F.struct(e["key"].alias("key"), v["value"].alias("value"), v["kind"].alias("kind"))))
+        return F.when(F.instr(F.substring(bare, F.lit(2), F.length(bare)), "{") == 0, valued(top)).otherwise(valued(nested))
 
     def build(flat: Column) -> Column:
         fields = last_wins(F.transform(flat, lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value"))))
@@ -325,6 +327,9 @@ class Registry:
     def names(self) -> list[str]:
         return [p.name for p in self._parsers]
 
+    def parsers(self) -> tuple[Parser, ...]:
+        return tuple(self._parsers)
+
     def priorities(self) -> dict[str, int]:
         return {p.name: p.priority for p in self._parsers}
 

@@ -34,7 +34,7 @@ def learn_and_parse(lines: DataFrame, registry: Registry | None = None, config:
     """
     registry, config = registry or Registry(), config or C.EngineConfig()
     df, kept = C.given_lines(lines, raw_col)
-    first = checkpointed(C.bind(df, p=registry.detect(F.col("raw_log"))))
+    first = checkpointed(C.parsed_lines(df, registry))
     unknown = first.where(F.col("p").isNull() & (F.col("raw_log") != "")).select(F.col("raw_log").alias("raw"))
     if known is not None:
         met = L.with_candidates(unknown, "raw", known, F.lit(True), F.lit(True))
