@@ -334,6 +334,48 @@ def format_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.format_share(flat(spark, sf_dir))
 
 
+_OVERALL = f"round(0.25 * ({_SCORES['conf_format'][1]}) + 0.35 * ({_SCORES['conf_field'][1]}) + 0.40 * ({_SCORES['conf_schema'][1]}), 3)"
+_MIXED_TABLE = f"{E}, t as (select *, cast({_OVERALL} as double) as overall from e)"
+
+
+@query("metrics_mixed", f"{_MIXED_TABLE} select count(*) as total_logs, round(avg(overall), 3) as avg_confidence, cast(null as double) as avg_latency_us, cast(0 as bigint) as inference_count, cast(count(*) filter (overall >= 0.85) as bigint) as auto_accepted, cast(count(*) filter (overall < 0.6) as bigint) as needs_review from t")
+def metrics_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.metrics(flat(spark, sf_dir), CONFIG)
+
+
+@query("accuracy_mixed", f"{_MIXED_TABLE} select round(100.0 * count(*) filter (overall >= 0.85) / count(*), 2)::double as auto_accept_pct, 100.0::double as success_pct, round(100.0 * count(*) filter (event_id % 9 not in (3, 4, 6)) / count(*), 2)::double as core_field_pct from t")
+def accuracy_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of both syslog kinds and of auditd name neither an address nor a user."""
+    return A.accuracy(flat(spark, sf_dir), CONFIG)
+
+
+_RULED = {
+    0: "concat('CEF:0|Acme|Wall|1.0|', event_id, '|', event_type, '|5|src=', src, ' dst=', dst, ' act=permit msg=cmd.exe')",
+    1: "concat('src_ip=', src, ' dst_ip=', dst, ' target=vault action=permit proto=TCP')",
+    2: "concat('{\"detected_ips\":[\"', src, '\",\"', dst, '\"],\"action\":\"permit\"}')",
+    3: "concat('{\"src_ip\":\"999.1.1.', event_id % 250, '\",\"dst_ip\":\"', dst, '\",\"network_transport\":\"UDP\"}')",
+    4: "concat('{\"process.name\":\"', event_type, '\",\"pid\":', 1000 + event_id % 9000, ',\"vendor\":\"Acme\",\"device_product\":\"Box\"}')",
+    5: "concat('{\"hostname\":\"host', user_id % 20, '\",\"detected_ips\":[\"', src, '\"],\"procid\":\"none\"}')",
+}
+_K = "event_id % 6"
+
+
+@query("mapping_rules", f"""{E} select event_id, case {_K} when 0 then 'T1059.004' when 1 then 'T1555' end as mitre_id, case {_K} when 0 then 90 when 1 then 80 else 15 end as risk_score,
+  case when {_K} in (0, 1, 2, 5) then src end as src_ip, case when {_K} in (0, 1, 2, 3) then dst end as dst_ip, case {_K} when 3 then '["ERR_INVALID_SRC_IP"]' else '[]' end as errors,
+  case {_K} when 1 then 'tcp' when 3 then 'udp' end as protocol, case {_K} when 4 then event_type end as process_name, case {_K} when 4 then cast(1000 + event_id % 9000 as int) end as process_pid,
+  case {_K} when 5 then 'host' || (user_id % 20) end as hostname, case {_K} when 0 then 'Acme' when 4 then 'Acme' end as vendor, {_K} = 2 as ambiguous from e""")
+def mapping_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shell and secret words, addresses found in a list, a bad address, protocols, processes and devices."""
+    case = " ".join(f"when {k} then {v}" for k, v in _RULED.items())
+    e = C.normalize(facts(spark, sf_dir).selectExpr("event_id", f"case {_K} {case} end as raw"), config=CONFIG)
+    f = lambda path, name: F.col(f"event.{path}").alias(name)
+    meta = "event.processing_metadata"
+    return e.select(
+        "event_id", f("threat_intel.mitre_technique_id", "mitre_id"), f("threat_intel.risk_score", "risk_score"), f("src_endpoint.ip", "src_ip"), f("dst_endpoint.ip", "dst_ip"), F.to_json(f"{meta}.error_codes").alias("errors"), f("network.protocol", "protocol"),
+        f("process.name", "process_name"), f("process.pid", "process_pid"), f("device.hostname", "hostname"), f("device.vendor", "vendor"), F.exists(f"{meta}.warnings", lambda w: w.startswith("Ambiguous")).alias("ambiguous"),
+    )
+
+
 _HEAD = "'2026-01-01T00:00:00 event ' || lpad(cast(event_id as {t}), 9, '0')"
 _FRAME = "'    at app.Main(line' || lpad(cast(f as {t}), 3, '0') || ')'"
 
