@@ -343,6 +343,15 @@ def metrics_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.metrics(flat(spark, sf_dir), CONFIG)
 
 
+@query("observed_metrics", f"{_MIXED_TABLE} select count(*) as total_logs, round(avg(overall), 3) as avg_confidence, cast(count(*) filter (overall >= 0.85) as bigint) as auto_accepted, cast(count(*) filter (overall < 0.6) as bigint) as needs_review, cast(0 as bigint) as n_blank, cast(count(*) filter (overall < 0.6) as bigint) as dead from t")
+def observed_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics that come with the write of the table and the dead letters, and the dead letters read back."""
+    at = scratch(spark, "observed")
+    got = sinks.write_observed(C.normalize(mixed(spark, sf_dir), config=CONFIG), f"{at}/table", f"{at}/dead", ("event_id",), CONFIG)
+    columns = {"total_logs": "bigint", "avg_confidence": "double", "auto_accepted": "bigint", "needs_review": "bigint", "n_blank": "bigint"}
+    return sinks.read_dead_letters(spark, f"{at}/dead").agg(F.count("*").alias("dead")).select(*[F.lit(got[k]).cast(t).alias(k) for k, t in columns.items()], "dead")
+
+
 @query("accuracy_mixed", f"{_MIXED_TABLE} select round(100.0 * count(*) filter (overall >= 0.85) / count(*), 2)::double as auto_accept_pct, 100.0::double as success_pct, round(100.0 * count(*) filter (event_id % 9 not in (3, 4, 6)) / count(*), 2)::double as core_field_pct from t")
 def accuracy_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of both syslog kinds and of auditd name neither an address nor a user."""

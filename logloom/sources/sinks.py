@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.operators.canonical import EngineConfig, needs_review
+from logloom.operators.canonical import EngineConfig, flat, needs_review
 from logloom.operators.learn import latest
+from logloom.sources.tables import checkpointed
 
 
 def upsert(current: DataFrame, new: DataFrame, key: str = "id", order: str = "seq") -> DataFrame:
@@ -14,10 +15,30 @@ def upsert(current: DataFrame, new: DataFrame, key: str = "id", order: str = "se
     return latest(current.unionByName(new), key, order)
 
 
-def append_table(flat: DataFrame, path: str, day_col: str = "timestamp_epoch_us") -> None:
+def append_table(rows: DataFrame, path: str, day_col: str = "timestamp_epoch_us") -> None:
     """Parquet by event day, so that time filters prune folders."""
     day = F.to_date(F.timestamp_micros(F.col(day_col)))
-    flat.withColumn("day", day).write.mode("append").partitionBy("day").parquet(path)
+    rows.withColumn("day", day).write.mode("append").partitionBy("day").parquet(path)
+
+
+def write_observed(events: DataFrame, table: str, dead: str, id_cols: tuple[str, ...] = (), config: EngineConfig | None = None) -> dict[str, float | int | None]:
+    """Appends events to the table and those for review to the dead letters, and returns the table's metrics (those of
+    analytics.metrics, and n_blank), which are counted while the table is written: no pass over the rows of their own.
+
+    Sums over no rows are None.
+    """
+    config = config or EngineConfig()
+    kept = checkpointed(events)
+    seen = Observation()
+    one = lambda c, name: F.sum(F.when(c, 1).otherwise(0)).alias(name)
+    score = F.col("confidence_overall")
+    observed = flat(kept, id_cols).observe(
+        seen, F.count(F.lit(1)).alias("total_logs"), F.round(F.avg(score), 3).alias("avg_confidence"), F.round(F.avg("latency_us"), 1).alias("avg_latency_us"),
+        one(F.col("inference_used"), "inference_count"), one(score >= config.auto_accept, "auto_accepted"), one(score < config.review_below, "needs_review"), one(F.col("raw_log") == "", "n_blank"),
+    )
+    append_table(observed, table)
+    append_dead_letters(dead_letters(kept, config), dead)
+    return seen.get
 
 
 def dead_letters(events: DataFrame, config: EngineConfig | None = None, at: str | None = None) -> DataFrame:
@@ -42,7 +63,7 @@ def enqueue(queue: DataFrame, items: DataFrame, key: str = "event_id") -> DataFr
     return new.withColumn("status", F.lit("PENDING"))
 
 
-def export(flat: DataFrame, path: str, kind: str = "csv", limit: int = 1000) -> None:
+def export(table: DataFrame, path: str, kind: str = "csv", limit: int = 1000) -> None:
     """The first rows by id as CSV with a header or as JSON lines."""
-    rows = flat.orderBy("id").limit(limit).coalesce(1)
+    rows = table.orderBy("id").limit(limit).coalesce(1)
     (rows.write.mode("overwrite").option("header", True).csv if kind == "csv" else rows.write.mode("overwrite").json)(path)

@@ -300,6 +300,17 @@ def test_sinks(spark, tmp_path):
     assert spark.read.option("header", True).csv(str(tmp_path / "csv")).count() == 2
 
 
+def test_observed_write(spark, tmp_path):
+    df = spark.createDataFrame([("plain words",), (FLAT_JSON,), (" ",)], "raw string")
+    got = sinks.write_observed(C.normalize(df), str(tmp_path / "t"), str(tmp_path / "d"))
+    assert (got["total_logs"], got["needs_review"], got["n_blank"], got["auto_accepted"]) == (3, 2, 1, 1)
+    want = A.metrics(C.flat(C.normalize(df))).first().asDict()
+    assert {k: got[k] for k in want} == want
+    assert sinks.read_dead_letters(spark, str(tmp_path / "d")).count() == 1
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 3
+    assert sinks.write_observed(C.normalize(df.limit(0)), str(tmp_path / "t2"), str(tmp_path / "d2"))["auto_accepted"] is None
+
+
 def test_synthetic_corpus(spark):
     first, again = (sorted(map(tuple, tables.synthetic(spark, 200, seed=3).collect())) for _ in range(2))
     assert first == again
