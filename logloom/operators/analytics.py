@@ -34,12 +34,15 @@ def format_share(table: DataFrame) -> DataFrame:
     return n.withColumn("share", F.round(F.col("count") * 100.0 / F.sum("count").over(Window.partitionBy()), 2))
 
 
+def holding(table: DataFrame, text: str) -> DataFrame:
+    """Events whose line, format or source address holds a text in any case; it is matched literally."""
+    low = F.lower(F.lit(text))
+    return table.where(F.lower("raw_log").contains(low) | F.lower("format_detected").contains(low) | F.lower("src_ip").contains(low))
+
+
 def recent(table: DataFrame, text: str = "", limit: int = 25) -> DataFrame:
-    """The latest events whose line, format or source address holds a text; it is matched literally."""
-    found = table
-    if text:
-        low = F.lit(text.lower())
-        found = table.where(F.lower("raw_log").contains(low) | F.lower("format_detected").contains(low) | F.lower("src_ip").contains(low))
+    """The latest events that hold a text. search.candidates() gives the table without files that don't hold it."""
+    found = holding(table, text) if text else table
     return found.orderBy(F.desc_nulls_last("created_time"), "id").select("created_time", "format_detected", "src_ip", "dst_ip", "dst_port", "action", "confidence_overall", "raw_log").limit(limit)
 
 

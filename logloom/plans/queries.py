@@ -17,8 +17,10 @@ from logloom.operators import learn as L
 from logloom.operators import multiline as M
 from logloom.operators import parsers as P
 from logloom.operators import review as R
+from logloom.operators import search, splitters
 from logloom.plans import batch
 from logloom.sources import sinks
+from logloom.sources.store import LatestTable
 from logloom.sources.tables import scratch, synthetic, table, table_stream
 from logloom.streaming import streams
 
@@ -531,6 +533,51 @@ def upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.upsert(rows.where("seq % 2 = 0"), rows.where("seq % 2 = 1"))
 
 
+@query("latest_table", "select user_id as id, arg_max(event_id, (event_id % 4) * 1000000000000 + event_id) as seq from events group by 1")
+def latest_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four versions of a table that is merged when it is read, compacted between the last two."""
+    rows = table(spark, sf_dir, "events").selectExpr("user_id as id", "event_id as seq")
+    stored = LatestTable(scratch(spark, "latest"), buckets=16)
+    for version in range(4):
+        if version == 3:
+            stored.compact(spark, 2)
+        stored.upsert(rows.where(F.col("seq") % 4 == version), version)
+    return stored.read(spark)
+
+
+@query("review_stream", "select distinct user_id as event_id, 'PENDING' as status from events")
+def review_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The queue of a stream of three batches that hold most ids each."""
+    events = table(spark, sf_dir, "events").selectExpr("user_id as event_id", "event_id % 3 as part")
+    given, queue = scratch(spark, "items"), scratch(spark, "queue")
+    for part in range(3):
+        events.where(F.col("part") == part).drop("part").coalesce(1).write.mode("append").parquet(given)
+    items = spark.readStream.schema("event_id long").option("maxFilesPerTrigger", 1).parquet(given)
+    streams.enqueue(items, queue, scratch(spark, "checkpoint")).awaitTermination()
+    return sinks.read_queue(spark, queue, items.schema)
+
+
+@query("search_indexed", f"{E} select event_id, src as src_ip from e where contains(lower(src || '|' || event_type || '|' || event_id || '|'), 'purchase|1') or contains(src, 'purchase|1')")
+def search_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that hold a text, by the index of trigrams of the table's files."""
+    given = facts(spark, sf_dir).select("event_id", F.col("src").alias("src_ip"), F.lit("plain").alias("format_detected"), F.expr("concat(src, '|', event_type, '|', event_id, '|')").alias("raw_log"))
+    path, index = scratch(spark, "table"), scratch(spark, "index")
+    given.repartitionByRange("event_id").write.parquet(path)
+    search.index_table(spark, path, index)
+    found = search.candidates(spark, path, index, "PURCHASE|1")
+    return A.holding(found, "PURCHASE|1").select("event_id", "src_ip")
+
+
+@query("plugin_records", f"""{E} select event_id, 0 as part, 'KEY_VALUE' as format, src as src_ip from e
+  union all select event_id, 1, 'CEF', src from e where event_id % 5 <> 0""")
+def plugin_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of one or two records, cut by a table function in a lateral join."""
+    splitters.register(spark, "cut_records", "split(raw, ' ;; ')")
+    given = facts(spark, sf_dir).selectExpr("event_id", f"concat({LINES['kv']}, case when event_id % 5 = 0 then '' else concat(' ;; ', {LINES['cef']}) end) as raw")
+    e = C.normalize(splitters.records(given, "cut_records"), config=CONFIG)
+    return e.select("event_id", "part", F.col("event.processing_metadata.format_detected").alias("format"), F.col("event.src_endpoint.ip").alias("src_ip"))
+
+
 @query("plugin_parse", f"select event_id, 'PLAIN' as format, 'u' || user_id as user_name from events")
 def plugin_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     plain = P.Parser("plain", 95, lambda raw: F.when(raw.startswith("plain "), P.parsed("PLAIN", "plain", F.create_map(F.lit("user"), F.split_part(raw, F.lit(" "), F.lit(2))))))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from logloom.operators.canonical import EngineConfig, flat, needs_review
 from logloom.operators.learn import latest
@@ -63,6 +64,15 @@ def enqueue(queue: DataFrame, items: DataFrame, key: str = "event_id") -> DataFr
     return new.withColumn("status", F.lit("PENDING"))
 
 
+def read_queue(spark: SparkSession, path: str, items: StructType, before: int | None = None) -> DataFrame:
+    """The queue that streams.enqueue() writes of items of a schema: all batches, or those before one."""
+    schema = StructType([*items.fields, StructField("status", StringType()), StructField("batch", LongType())])
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+    queue = spark.read.schema(schema).parquet(path) if there else spark.createDataFrame([], schema)
+    return (queue if before is None else queue.where(F.col("batch") < before)).drop("batch")
+
+
 def export(table: DataFrame, path: str, kind: str = "csv", limit: int = 1000) -> None:
     """The first rows by id as CSV with a header or as JSON lines."""
     rows = table.orderBy("id").limit(limit).coalesce(1)

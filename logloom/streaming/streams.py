@@ -175,3 +175,19 @@ def ingest_learning(lines: DataFrame, table: str, rules: str, used: str, checkpo
         review.append_rules(new, rules, batch_id)
 
     return lines.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def enqueue(items: DataFrame, path: str, checkpoint: str, key: str = "event_id") -> StreamingQuery:
+    """Items of a stream that the review queue at path doesn't hold yet, one for each key, as PENDING: each once.
+
+    Batch n is compared with the batches before n and stands in a folder of its number, so a batch that is run again after
+    a failure replaces what it wrote. A queue has one checkpoint folder: with another one, numbers start anew. The keys of the
+    whole queue are compared, which takes one column of it; a stream with a watermark may drop its own repeats before
+    (dropDuplicatesWithinWatermark).
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        held = sinks.read_queue(batch.sparkSession, path, batch.schema, batch_id)
+        sinks.enqueue(held, batch, key).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return items.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -15,6 +15,8 @@ from logloom.operators import learn as L
 from logloom.operators import multiline as M
 from logloom.operators import parsers as P
 from logloom.operators import review as R
+from logloom.operators import search as S
+from logloom.operators import splitters as X
 from logloom.plans import batch
 from logloom.sources import sinks, tables
 from logloom.streaming import streams
@@ -417,3 +419,105 @@ def test_batch_entries(spark):
     assert rules.count() == 1
     assert sorted(r["f"] for r in events.select(F.col("event.processing_metadata.format_detected").alias("f")).collect()) == ["JIT_INFERRED"] * 5 + ["JSON"]
     assert batch.learn_and_parse(lines.limit(0))[1].collect() == []
+
+
+def _files(path):
+    return {str(p.relative_to(path)): p.stat().st_mtime_ns for p in path.rglob("*.parquet")}
+
+
+def test_latest_table(spark, tmp_path):
+    from logloom.sources.store import LatestTable
+
+    t = LatestTable(str(tmp_path / "t"), by=("day",), buckets=16)
+    row = lambda i, seq, word: (i, seq, None if i is None else i % 3, word)
+    make = lambda rows: spark.createDataFrame(rows, "id long, seq long, day int, word string")
+    got = lambda df: sorted(map(tuple, df.select("id", "seq", "day", "word").collect()), key=str)
+    want = {}
+
+    def put(version, rows):
+        t.upsert(make(rows), version)
+        want.update({r[0]: r for r in sorted(rows, key=lambda r: r[1])})
+
+    put(0, [row(i, s, f"a{s}") for i in [*range(300), None] for s in (1, 2)])
+    assert got(t.read(spark)) == sorted(want.values(), key=str)
+    before = _files(tmp_path / "t")
+    for v in (1, 2, 3):
+        put(v, [row(i, -v, f"b{v}") for i in (5, 6, 7)])  # a later version wins, whatever its order
+    put(3, [row(5, 0, "c")])  # written again: only this row is left of version 3
+    want.update({i: row(i, -2, "b2") for i in (6, 7)})
+    assert got(t.read(spark)) == sorted(want.values(), key=str)
+    after = _files(tmp_path / "t")
+    assert before.items() <= after.items()
+    keys = make([row(6, 0, ""), row(None, 0, ""), row(999, 0, "")])
+    assert got(t.lookup(keys)) == sorted([want[6], want[None]], key=str)
+    plan = t.lookup(keys)._jdf.queryExecution().optimizedPlan().toString()
+    assert "bucket#" in plan and "IN (" in plan.upper()
+    place = lambda f: f.rsplit("/", 1)[0].split("/", 2)[2]  # noqa: E731  day and bucket of a file
+    folders = {}
+    for f in after:
+        folders.setdefault(place(f), set()).add(f.split("/")[0])
+    full = {p for p, versions in folders.items() if len(versions) > 2}
+    removed = t.compact(spark, most=2)
+    assert got(t.read(spark)) == sorted(want.values(), key=str)
+    merged = _files(tmp_path / "t")
+    gone = {f for f in after if f not in merged}
+    assert full and removed == len(gone) and {place(f) for f in gone} == full == {place(f) for f in merged if f not in after}
+    assert {f: m for f, m in merged.items() if f in after} == {f: m for f, m in after.items() if f not in gone}
+    put(4, [row(6, 9, "d")])
+    assert got(t.read(spark)) == sorted(want.values(), key=str)
+    assert t.compact(spark, most=50) == 0
+
+
+def test_review_queue_on_a_stream(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    run = lambda: streams.enqueue(spark.readStream.schema("event_id long").json(str(tmp_path / "in")), str(tmp_path / "q"), str(tmp_path / "c")).awaitTermination()
+    queue = lambda: sorted(tuple(r) for r in sinks.read_queue(spark, str(tmp_path / "q"), spark.createDataFrame([], "event_id long").schema).collect())
+    (tmp_path / "in" / "a.json").write_text('{"event_id":1}\n{"event_id":2}\n{"event_id":2}\n')
+    run()
+    (tmp_path / "in" / "b.json").write_text('{"event_id":2}\n{"event_id":3}\n')
+    run()
+    assert queue() == [(1, "PENDING"), (2, "PENDING"), (3, "PENDING")]
+    (tmp_path / "c" / "commits" / "1").unlink()  # as if the run had died before it noted the second batch
+    (tmp_path / "c" / "commits" / ".1.crc").unlink(missing_ok=True)
+    run()
+    assert queue() == [(1, "PENDING"), (2, "PENDING"), (3, "PENDING")]
+
+
+def test_search_by_index_equals_the_whole_scan(spark, tmp_path):
+    path, index = str(tmp_path / "a table"), str(tmp_path / "index")
+    make = lambda words: spark.createDataFrame([(w, "CEF", None) for w in words], "raw_log string, format_detected string, src_ip string").coalesce(1)
+    for words in (["Denied 10.0.0.1", "x" * 50_000 + "needle"], ["accepted Ünï 👍🏽 ok", None], ["", "50% _off_"]):
+        make(words).write.mode("append").parquet(path)
+    assert S.index_table(spark, path, index) == 3
+    assert S.index_table(spark, path, index) == 0
+    make(["late NEEDLE"]).write.mode("append").parquet(path)  # not in the index yet
+    whole = spark.read.parquet(path)
+    got = lambda df: sorted(str(r["raw_log"]) for r in df.collect())
+    for text in ("needle", "ÜNÏ 👍🏽", "ef", "cef", "50%", "_o", "%", "none of it", "denied 10", "d 1"):
+        found = S.candidates(spark, path, index, text)
+        assert got(A.holding(found, text)) == got(A.holding(whole, text)), text
+    assert len(S.candidates(spark, path, index, "denied 10").inputFiles()) == 2
+    assert S.index_table(spark, path, index) == 1
+    assert len(S.candidates(spark, path, index, "denied 10").inputFiles()) == 1
+    assert S.candidates(spark, path, index, "none of it").count() == 0
+
+
+def test_table_functions_give_several_records(spark):
+    class Pieces:
+        def eval(self, raw):
+            for i, x in enumerate((raw or "").split(";;")):
+                if x:
+                    yield i, x
+
+    lines = spark.createDataFrame([(1, "a;;b", 7), (2, "", 8), (3, None, 9), (4, "c", 9)], "id int, raw string, part int")
+    X.register(spark, "pieces", Pieces)
+    X.register(spark, "pieces_sql", "filter(split(raw, ';;'), x -> x <> '')")
+    want = [(1, 0, "a"), (1, 1, "b"), (2, 0, ""), (3, 0, None), (4, 0, "c")]
+    for name in ("pieces", "pieces_sql"):
+        assert sorted(tuple(r) for r in X.records(lines, name).select("id", "part", "raw").collect()) == want
+        found = A.query(spark, lines.withColumnRenamed("raw", "raw_log"), f"select count(*) as n from normalized_logs t, lateral {name}(t.raw_log) r where r.part = :p", {"p": 1})
+        assert found.first()["n"] == 1
+    assert X.records(lines.select("raw"), "pieces").columns == ["part", "raw"]
+    assert X.records(lines.limit(0), "pieces").count() == 0
+    with pytest.raises(ValueError):
+        X.register(spark, "no name", "split(raw, ' ')")
