@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from logloom.llm import html_style
+
 #: Fixed values of the HTML standard: elements by how they are parsed and shown.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -316,14 +318,17 @@ def _table(node: Node, seen: bool) -> Iterator:
             row, below = [], {k: n - 1 for k, n in taken.items() if n > 1}
             for c in x.children:
                 if isinstance(c, str):
-                    if seen and c.strip():
-                        row.append([" ".join(_SPACES.split(c.strip()))])
+                    if seen and c.strip():  # stands before the table, as do elements that are no cells
+                        out.append(" ".join(_SPACES.split(c.strip())))
                     continue
                 if hidden(c):
                     continue
+                if c.name not in ("td", "th"):
+                    out += (yield _page(_inner([c]), seen)).split("\n")
+                    continue
                 while len(row) in taken:
                     row.append([""])
-                text = yield _page(_inner(c.children) if c.name in ("td", "th") else _inner([c]), visible(c, seen))
+                text = yield _page(_inner(c.children), visible(c, seen))
                 wide, high = _span(c, "colspan", 1000), _span(c, "rowspan", 65534)
                 if high > 1:
                     below |= dict.fromkeys(range(len(row), len(row) + wide), high - 1)
@@ -349,7 +354,11 @@ def _table(node: Node, seen: bool) -> Iterator:
 
 
 def page_text(page: str | None) -> str | None:
-    return None if page is None else render(parse(page))
+    if page is None:
+        return None
+    root = parse(page)
+    html_style.apply(root)
+    return render(root)
 
 
 def extract(markup: str | Column) -> Column:

@@ -515,6 +515,20 @@ def test_html(spark):
         ("<div style='display:none'>no <b style='visibility:visible'>no</b></div>", ""),
         ("<table style='visibility:hidden'><tr><td>no<td style='visibility:visible'>yes</table>", "  yes"),
         ("<table><tr><td>x<table><tr><td>1<td>2<tr><td>3</table><td>y</table>", "x     y\n\n1  2\n3".replace("\n\n", "\n")),
+        ("<table><tr>loose<td>a<td>b<tr><b>more</b><td>c<td>d</table>", "loose\nmore\na  b\nc  d"),
+        ("<style>.h{display:none}</style><p class='a h'>no</p><p class=ha>yes", "yes"),
+        ("<style>p.h, #x { color:red; DISPLAY : NONE } /* .y{display:none} */</style><p class=h>no<div class=h>a</div><div id=x>no</div><b class=y>b", "a\nb"),
+        ("<style>.h{display:none} .h.s{display:block} b{display:none!important}</style><p class='h s'>yes<b style='display:inline'>no</b></p>", "yes"),
+        ("<style>.h{display:none}</style><p class=h style='display:block'>yes</p><p hidden class=s>no</p>", "yes"),
+        ("<style>.s{display:block}</style><p hidden class=s>yes", "yes"),
+        ("<style>nav .m i{display:none}</style><nav><p class=m><u><i>no</i></u>a</p><i>b</i></nav><p class=m><i>c</i>", "a\n\nb\n\nc"),
+        ("<style>.v{visibility:hidden} .w{visibility:visible}</style><div class=v>no<b class=w>yes</b></div>", "yes"),
+        ("<style>@media print{p{display:none}} @media screen{b{display:none}} @import 'x'; i{display:none}</style><p>a<b>no</b><i>no</i>", "a"),
+        ("<style media=print>p{display:none}</style><style>p>b{display:none} a:hover{display:none} [x]{display:none}</style><p>a <b>b</b>", "a b"),
+        ("<style>p{display:none", ""),
+        ("<noscript><style>p{display:none}</style></noscript><p>a", "a"),
+        ("<details>no<summary>s</summary><p>no</details><details open><summary>t</summary>u</details>", "s\nt\nu"),
+        ("<style>.a .b{display:none}" + "{" * 20_000 + "</style>" + "<div class=a>" * 5000 + "<p class=b>no</p>x", "x"),
         ("x" * 50_000 + "<p>" * 20_000 + "</b>" * 20_000 + "y", "x" * 50_000 + "\n\ny"),
     ],
 )
