@@ -60,16 +60,35 @@ def joined(lines: Column, cap: int = CAP) -> Column:
 def assemble(lines: DataFrame, source: str = "source", order: str = "line_no", line: str = "line", cap: int = CAP) -> DataFrame:
     """(source, line_no of the first line, n_lines, raw) of each record; lines before a first start make a record too.
 
-    Empty and null lines are skipped, line ends cut off. `order` is a whole number. A source is cut into blocks of BLOCK
-    such numbers: starts are counted inside each block, a block's total is carried to the next ones, so that no task gets
-    a whole source; the lines of one record meet in one task.
+    Empty and null lines are skipped, line ends cut off; lines without a number are left out. `order` is a whole number. A
+    source is cut into blocks of BLOCK such numbers: starts are counted inside each block, a block's total is carried to the
+    next ones, so that no task gets a whole source. n_lines counts the lines that the cap leaves out as well, but their
+    texts stay behind: once a line is left out, so are all later ones of its length, so that at most cap / (length + 1) + 1
+    lines of a length can be of use. Others are told by their place among the record's lines of their length in a block, and
+    by the lengths that earlier blocks have used up. A record brings together at most twice `cap` characters a length.
     """
     given = lines.where(F.col(line).isNotNull() & (F.col(line) != "")).withColumn(line, F.regexp_replace(line, r"[\r\n]+$", ""))
-    given = given.select(F.col(source).alias("source"), F.col(order).alias("no"), F.col(line).alias("line"), F.floor(F.col(order) / BLOCK).alias("block"), starts_entry(F.col(line)).cast("long").alias("start"))
-    here = given.withColumn("own", F.sum("start").over(Window.partitionBy("source", "block").orderBy("no")))
+    given = given.select(F.col(source).alias("source"), F.col(order).alias("no"), F.col(line).alias("line"), F.floor(F.col(order) / BLOCK).alias("block"), starts_entry(F.col(line)).cast("long").alias("start"), F.length(line).alias("n"))
+    block = Window.partitionBy("source", "block")
+    useful = F.floor(F.lit(cap) / (F.col("n") + 1)) + 1
+
+    here = given.withColumn("own", F.sum("start").over(block.orderBy("no")))
     totals = given.groupBy("source", "block").agg(F.sum("start").alias("starts"))
     before = F.sum("starts").over(Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
-    carried = totals.select(F.col("source").alias("of"), F.col("block").alias("at"), F.coalesce(before, F.lit(0)).alias("before"))
-    numbered = here.join(carried, F.col("source").eqNullSafe(F.col("of")) & (F.col("block") == F.col("at")))
-    grouped = numbered.groupBy("source", (F.col("own") + F.col("before")).alias("record")).agg(F.array_sort(F.collect_list(F.struct("no", "line"))).alias("all"))
-    return grouped.select(F.col("source").alias(source), F.get("all", F.lit(0))["no"].alias(order), F.size("all").alias("n_lines"), joined(F.transform("all", lambda x: x["line"]), cap).alias("raw"))
+    carried = totals.select(F.col("source").alias("of"), F.col("block").alias("at"), "starts", F.coalesce(before, F.lit(0)).alias("before"))
+    of_block = F.col("source").eqNullSafe(F.col("of")) & (F.col("block") == F.col("at"))
+
+    open_ = here.withColumn("all", F.sum("start").over(block)).where("own = all").groupBy("source", "block", "n").agg(F.count("*").alias("held"))
+    open_ = open_.join(carried, of_block).select("source", "block", "n", "held", (F.col("before") + F.col("starts")).alias("record"))
+    upto = F.sum("held").over(Window.partitionBy("source", "record", "n").orderBy("block"))
+    used = open_.withColumn("upto", upto).where(F.col("upto") >= useful).groupBy("source", "record", "n").agg(F.min("block").alias("block"))
+    used = used.groupBy(F.col("source").alias("by"), "record").agg(F.collect_list(F.struct("n", "block")).alias("used"))
+    carried = carried.join(used, F.col("of").eqNullSafe(F.col("by")) & (F.col("before") == F.col("record")), "left").select("of", "at", "before", "used")
+
+    place = F.row_number().over(Window.partitionBy("source", "block", "own", "n").orderBy("no", "line"))
+    here = here.withColumn("first", (F.col("start") == 1) | (F.row_number().over(block.orderBy("no", "line")) == 1)).withColumn("place", place)
+    numbered = here.join(carried, of_block)
+    shut = (F.col("own") == 0) & F.coalesce(F.exists("used", lambda u: (u["n"] == F.col("n")) & (u["block"] < F.col("block"))), F.lit(False))
+    kept = F.when((F.col("place") <= useful) & (F.col("first") | (F.col("n") < cap)) & ~shut, F.struct("no", "line"))
+    grouped = numbered.groupBy("source", (F.col("own") + F.col("before")).alias("record")).agg(F.min("no").alias("no"), F.count("*").cast("int").alias("n_lines"), F.array_sort(F.collect_list(kept)).alias("kept"))
+    return grouped.select(F.col("source").alias(source), F.col("no").alias(order), "n_lines", joined(F.transform("kept", lambda x: x["line"]), cap).alias("raw"))

@@ -402,6 +402,30 @@ def test_multiline_carries_records_over_blocks(spark, monkeypatch):
     assert len(whole) == 3 * 10
 
 
+@pytest.mark.parametrize(("block", "cap"), [(7, 60), (50, 400), (1 << 16, 60)])
+def test_lines_beyond_the_cap_stay_behind(spark, monkeypatch, block, cap):
+    """Against a fold in order over records of hundreds of lines, empty, long and equally long ones among them."""
+    draw = random.Random(5)
+    wanted, rows = [], []
+    for source in ("a", None):
+        kept, size, first, count = [], 0, None, 0
+        for no in range(700):
+            line = "head " + "h" * draw.choice((1, 9, 80)) if draw.random() < 0.01 else draw.choice(("\r\n", "  " + "x" * draw.choice((3, 3, 3, 20, 21, 90, 500))))
+            rows.append((source, no, line))
+            line = line.rstrip("\r\n")
+            if line.startswith("head") or not no:
+                wanted += [(source, first, count, "\n".join(kept))] if no else []
+                kept, size, first, count = [line], len(line), no, 1
+            else:
+                count += 1
+                if size + len(line) < cap:
+                    kept, size = [*kept, line], size + len(line) + 1
+        wanted.append((source, first, count, "\n".join(kept)))
+    monkeypatch.setattr(M, "BLOCK", block)
+    got = M.assemble(spark.createDataFrame(rows, "source string, line_no bigint, line string").repartition(5), cap=cap).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(wanted, key=str)
+
+
 def test_normalize_keeps_columns_of_any_name(spark):
     names = ["raw", "category", "direction", "g", "p", "x", "n", "c", "kind", "tag", "warnings", "errors", "scores", "raw_log", "a.b"]
     df = spark.createDataFrame([(FLAT_JSON, *names[1:])], ", ".join(f"`{k}` string" for k in names))
