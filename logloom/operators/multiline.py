@@ -68,27 +68,28 @@ def assemble(lines: DataFrame, source: str = "source", order: str = "line_no", l
     by the lengths that earlier blocks have used up. A record brings together at most twice `cap` characters a length.
     """
     given = lines.where(F.col(line).isNotNull() & (F.col(line) != "")).withColumn(line, F.regexp_replace(line, r"[\r\n]+$", ""))
-    given = given.select(F.col(source).alias("source"), F.col(order).alias("no"), F.col(line).alias("line"), F.floor(F.col(order) / BLOCK).alias("block"), starts_entry(F.col(line)).cast("long").alias("start"), F.length(line).alias("n"))
+    # a struct, because the null source is a source too and structs of nulls are equal
+    given = given.select(F.struct(F.col(source).alias("name")).alias("source"), F.col(order).alias("no"), F.col(line).alias("line"), F.floor(F.col(order) / BLOCK).alias("block"), starts_entry(F.col(line)).cast("long").alias("start"), F.length(line).alias("n"))
+    given = given.where(F.col("block").isNotNull())
     block = Window.partitionBy("source", "block")
     useful = F.floor(F.lit(cap) / (F.col("n") + 1)) + 1
 
-    here = given.withColumn("own", F.sum("start").over(block.orderBy("no")))
-    totals = given.groupBy("source", "block").agg(F.sum("start").alias("starts"))
+    here = given.withColumns({"own": F.sum("start").over(block.orderBy("no")), "least": F.min("no").over(block.orderBy("no"))})
+    last = here.select("source", "block", "n", "own", F.sum("start").over(block).alias("starts")).where("own = starts")
+    last = last.groupBy("source", "block", "n").agg(F.count("*").alias("held"), F.first("starts").alias("starts"))
     before = F.sum("starts").over(Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
-    carried = totals.select(F.col("source").alias("of"), F.col("block").alias("at"), "starts", F.coalesce(before, F.lit(0)).alias("before"))
-    of_block = F.col("source").eqNullSafe(F.col("of")) & (F.col("block") == F.col("at"))
+    carried = last.groupBy("source", "block").agg(F.first("starts").alias("starts")).select("source", "block", F.coalesce(before, F.lit(0)).alias("before"))
 
-    open_ = here.withColumn("all", F.sum("start").over(block)).where("own = all").groupBy("source", "block", "n").agg(F.count("*").alias("held"))
-    open_ = open_.join(carried, of_block).select("source", "block", "n", "held", (F.col("before") + F.col("starts")).alias("record"))
+    open_ = last.join(carried, ["source", "block"]).select("source", "block", "n", "held", (F.col("before") + F.col("starts")).alias("record"))
     upto = F.sum("held").over(Window.partitionBy("source", "record", "n").orderBy("block"))
     used = open_.withColumn("upto", upto).where(F.col("upto") >= useful).groupBy("source", "record", "n").agg(F.min("block").alias("block"))
-    used = used.groupBy(F.col("source").alias("by"), "record").agg(F.collect_list(F.struct("n", "block")).alias("used"))
-    carried = carried.join(used, F.col("of").eqNullSafe(F.col("by")) & (F.col("before") == F.col("record")), "left").select("of", "at", "before", "used")
+    used = used.groupBy("source", F.col("record").alias("before")).agg(F.collect_list(F.struct("n", "block")).alias("used"))
+    carried = carried.join(used, ["source", "before"], "left")
 
     place = F.row_number().over(Window.partitionBy("source", "block", "own", "n").orderBy("no", "line"))
-    here = here.withColumn("first", (F.col("start") == 1) | (F.row_number().over(block.orderBy("no", "line")) == 1)).withColumn("place", place)
-    numbered = here.join(carried, of_block)
+    first = (F.col("start") == 1) | (F.col("no") == F.col("least"))
+    numbered = here.withColumn("place", place).join(carried, ["source", "block"])
     shut = (F.col("own") == 0) & F.coalesce(F.exists("used", lambda u: (u["n"] == F.col("n")) & (u["block"] < F.col("block"))), F.lit(False))
-    kept = F.when((F.col("place") <= useful) & (F.col("first") | (F.col("n") < cap)) & ~shut, F.struct("no", "line"))
+    kept = F.when((F.col("place") <= useful) & (first | (F.col("n") < cap)) & ~shut, F.struct("no", "line"))
     grouped = numbered.groupBy("source", (F.col("own") + F.col("before")).alias("record")).agg(F.min("no").alias("no"), F.count("*").cast("int").alias("n_lines"), F.array_sort(F.collect_list(kept)).alias("kept"))
-    return grouped.select(F.col("source").alias(source), F.col("no").alias(order), "n_lines", joined(F.transform("kept", lambda x: x["line"]), cap).alias("raw"))
+    return grouped.select(F.col("source.name").alias(source), F.col("no").alias(order), "n_lines", joined(F.transform("kept", lambda x: x["line"]), cap).alias("raw"))

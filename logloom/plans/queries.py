@@ -21,7 +21,7 @@ from logloom.operators import search, splitters
 from logloom.plans import batch
 from logloom.sources import sinks
 from logloom.sources.store import LatestTable
-from logloom.sources.tables import scratch, synthetic, table, table_stream
+from logloom.sources.tables import scratch, spread, synthetic, table, table_stream
 from logloom.streaming import streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -69,8 +69,7 @@ CONFIG = C.EngineConfig(today=TODAY)
 
 
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # the table is one small file, hence one task; parsing is worth dealing its slim rows out first
-    return table(spark, sf_dir, "events").repartition(spark.sparkContext.defaultParallelism, "event_id").selectExpr("*", *[f"{v} as {k}" for k, v in FACTS.items()])
+    return spread(table(spark, sf_dir, "events"), "event_id").selectExpr("*", *[f"{v} as {k}" for k, v in FACTS.items()])
 
 
 def lines(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
@@ -405,7 +404,7 @@ def _stack_sql(cap: int) -> str:
 
 @query("multiline_assemble", _stack_sql(M.CAP))
 def multiline_assemble(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.assemble(stack_lines(table(spark, sf_dir, "events")))
+    return M.assemble(stack_lines(spread(table(spark, sf_dir, "events"), "event_id")))
 
 
 @query("stream_multiline", _stack_sql(M.CAP))
@@ -417,7 +416,7 @@ def stream_multiline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("multiline_overflow", _stack_sql(100))
 def multiline_overflow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.assemble(stack_lines(table(spark, sf_dir, "events")), cap=100)
+    return M.assemble(stack_lines(spread(table(spark, sf_dir, "events"), "event_id")), cap=100)
 
 
 _RARE = "event_type || ' request from <IP> port <NUM> state '"
