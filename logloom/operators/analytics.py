@@ -123,9 +123,9 @@ def pending(queue: DataFrame, limit: int = 50) -> DataFrame:
     return queue.where("status = 'PENDING'").orderBy(F.desc("created_at"), "event_id").limit(limit)
 
 
-def explain(events: DataFrame) -> DataFrame:
-    """Each event as JSON text with its confidence and warnings; reads only."""
-    return events.select(F.to_json("event").alias("explanation"))
+def explain(events: DataFrame, *keys: str) -> DataFrame:
+    """Each event as JSON text with its confidence and warnings, beside its keys; reads only."""
+    return events.select(*keys, F.to_json("event").alias("explanation"))
 
 
 def query(spark: SparkSession, table: DataFrame, sql: str, args: dict | None = None) -> DataFrame:

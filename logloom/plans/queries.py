@@ -21,7 +21,7 @@ from logloom.operators import search, splitters
 from logloom.plans import batch
 from logloom.sources import sinks
 from logloom.sources.store import LatestTable
-from logloom.sources.tables import scratch, spread, synthetic, table, table_stream
+from logloom.sources.tables import read_lines, scratch, spread, synthetic, table, table_stream
 from logloom.streaming import streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -290,7 +290,7 @@ def action_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
 def recent_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = C.normalize(lines(spark, sf_dir, "cef").join(facts(spark, sf_dir).select("event_id", "ts"), "event_id"), config=CONFIG)
     t = C.flat(events, ("event_id",)).withColumn("event_id", F.regexp_extract("raw_log", r"1\.0\|(\d+)", 1).cast("long"))
-    found = t.where(F.lower("raw_log").contains("|purchase|")).orderBy(F.desc("timestamp_epoch_us"), "event_id").limit(25)
+    found = A.holding(t, "|PURCHASE|").orderBy(F.desc("timestamp_epoch_us"), "event_id").limit(25)
     return found.select("event_id", "src_ip", "dst_ip", "dst_port")
 
 
@@ -462,10 +462,13 @@ def pending_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.pending(queue).select("event_id", "created_at")
 
 
-@query("review_enqueue", "select user_id as event_id, 'PENDING' as status from events group by 1 having count(*) filter (event_type = 'signup') = 0")
+@query("review_enqueue", "select event_id, 'PENDING' as status from events where event_type = 'error' and user_id not in (select user_id from events where event_type = 'signup' and event_id % 10 = 0)")
 def review_enqueue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = table(spark, sf_dir, "events").selectExpr("user_id as event_id", "event_type")
-    return sinks.enqueue(events.where("event_type = 'signup'"), events.select("event_id"))
+    """Errors of users who have no sign-up in the queue, each given twice."""
+    events = table(spark, sf_dir, "events").selectExpr("user_id", "event_id", "event_type")
+    queued = events.join(events.where("event_type = 'signup' and event_id % 10 = 0").select("user_id"), "user_id", "left_semi").select("event_id")
+    errors = events.where("event_type = 'error'").select("event_id")
+    return sinks.enqueue(queued, errors.unionAll(errors))
 
 
 @query("review_insert", "select user_id as event_id, 'PENDING' as status from events where user_id % 3 <> 0 group by 1")
@@ -601,12 +604,11 @@ def window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same over a stream of the file, run to its end; the state is written below the checkpoint folder."""
     read = table_stream(spark, sf_dir, "events")
-    name = f"counts_{abs(hash(sf_dir))}"
     read = read.withColumn("ts", F.convert_timezone(F.lit("UTC"), F.current_timezone(), F.col("ts")).cast("timestamp"))
-    counted = streams.counts(read, "ts", "1 day", by=("event_type",))
-    run = counted.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", scratch(spark, name)).trigger(availableNow=True).start()
-    run.awaitTermination()
-    return spark.table(name).select(N.utc(F.col("start")).alias("start"), N.utc(F.col("end")).alias("end"), "event_type", "count")
+    counted, at = streams.counts(read, "ts", "1 day", by=("event_type",)), scratch(spark, "counts")
+    run = counted.writeStream.outputMode("complete").foreachBatch(lambda whole, _: whole.write.mode("overwrite").parquet(f"{at}/table"))
+    run.option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{at}/table").select(N.utc(F.col("start")).alias("start"), N.utc(F.col("end")).alias("end"), "event_type", "count")
 
 
 @query("review_status", "select user_id as event_id, arg_max(case when event_type = 'error' then 'PENDING' else 'APPROVED' end, event_id) as status from events group by 1")
@@ -644,8 +646,75 @@ def html_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", F.coalesce(F.size(F.from_json("ips", "array<string>")), F.lit(0)).cast("long").alias("n_ips"))
 
 
-@query("synthetic_corpus")
+_DRAWN = "('0x' || substr(md5('1{0}:' || event_id), 1, 8))::bigint % {1}"
+
+
+@query("synthetic_corpus", f"""with k as (select {_DRAWN.format('kind', 8)} as kind, '10.' || {_DRAWN.format('inb', 255)} || '.' || {_DRAWN.format('inc', 255)} || '.' || ({_DRAWN.format('ind', 254)} + 1) as inner_ip from events)
+  select case kind when 0 then 'SYSLOG_CISCO' when 1 then 'JSON' when 2 then 'CEF' when 3 then 'LEEF' when 4 then 'SYSLOG_RFC5424' when 5 then 'AUDITD' else 'KEY_VALUE' end as format, count(*) as n,
+  count(distinct case when kind in (1, 3) then inner_ip end) as sources from k group by all""")
 def synthetic_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """5,000 seeded lines, the size of the benchmark corpus, by the format that is found in them."""
-    found = synthetic(spark, 5000).select(P.Registry().dispatch(F.col("raw"))["format"].alias("format"))
-    return found.groupBy("format").agg(F.count("*").alias("n"))
+    """A seeded line for each event, by the format that is found in it; source addresses of the two kinds that name the inner one."""
+    found = synthetic(facts(spark, sf_dir).select(F.col("event_id").alias("id"))).select(P.Registry().dispatch(F.col("raw")).alias("p"))
+    source = F.when(F.col("p.format").isin("JSON", "LEEF"), F.coalesce(F.col("p.fields")["network.src_ip"], F.col("p.fields")["src"]))
+    return found.groupBy(F.col("p.format").alias("format")).agg(F.count("*").alias("n"), F.countDistinct(source).alias("sources"))
+
+
+#: Escapes, quotes and delimiters in values, and heads that are too short for their format.
+_ROUGH = {
+    0: r"concat('CEF:0|Acme|Wall\\|East|1.0|', event_id, '|Name|5|src=', src, ' dst=', dst, ' cs1=a\\=', usr)",
+    1: "concat('CEF:0|Acme|Wall|src=', src)",
+    2: "concat('<134>Oct 11 22:14:15 gate CEF:0|Acme|Wall|1.0|', event_id, '|Name|5|src=', dst, ' cs1=\"two ', usr, '\" src=', src)",
+    3: "concat('LEEF:2.0|Acme|Mail|4.0|', event_id, '|^|src=', src, '^ note = a=', usr, ' ^empty')",
+    4: "concat('LEEF:1.0|Acme|Mail ', event_id)",
+    5: "concat('note=\"x ', usr, '\" src_ip: ', dst, ' kind=''a=b'' src_ip=', src)",
+    6: "concat('note=', usr, ' src_ip=', src)",
+    7: """concat('{"src_ip":"', src, '","note":')""",
+}
+
+
+@query("lines_rough", f"""{E} select event_id, case event_id % 8 when 0 then 'CEF' when 2 then 'CEF' when 3 then 'LEEF' when 5 then 'KEY_VALUE' else 'GENERIC_FALLBACK' end as format,
+  case when event_id % 8 <> 4 then src end as src_ip, case event_id % 8 when 0 then 'Wall|East' when 2 then 'Wall' when 3 then 'Mail' end as product,
+  case event_id % 8 when 0 then 'a=' || usr when 2 then 'two ' || usr when 3 then 'a=' || usr when 5 then 'x ' || usr end as note from e""")
+def lines_rough(spark: SparkSession, sf_dir: str) -> DataFrame:
+    case = " ".join(f"when {k} then {v}" for k, v in _ROUGH.items())
+    p = facts(spark, sf_dir).selectExpr("event_id", f"case event_id % 8 {case} end as raw").select("event_id", P.Registry().dispatch(F.col("raw")).alias("p"))
+    f = lambda *keys: F.coalesce(*[F.col("p.fields")[k] for k in keys])
+    return p.select("event_id", F.col("p.format").alias("format"), f("src", "src_ip").alias("src_ip"), f("device_product").alias("product"), f("cs1", "note").alias("note"))
+
+
+@query("rules_listed", "select 'sig_' || user_id as signature, max(event_id) as created, arg_max(event_type, event_id) as template from events group by user_id")
+def rules_listed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The latest form of each rule of a log that holds many versions of each."""
+    log = table(spark, sf_dir, "events").selectExpr("concat('sig_', user_id) as signature", "event_type as template", "'^x' as pattern", "array() as fields", "1.0D as score", "true as verified", "event_id as created")
+    return R.listed(log).select("signature", "created", "template")
+
+
+@query("explained", f"{E} select event_id, {_FORMATS} as format, case when event_id % 9 in (0, 1, 2, 5, 7, 8) then src end as src_ip, {_OVERALL}::double as overall from e")
+def explained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as JSON texts, read back."""
+    e = A.explain(C.normalize(mixed(spark, sf_dir), config=CONFIG), "event_id")
+    at = lambda path: F.get_json_object("explanation", f"$.{path}")
+    meta = "processing_metadata"
+    return e.select("event_id", at(f"{meta}.format_detected").alias("format"), at("src_endpoint.ip").alias("src_ip"), F.round(at(f"{meta}.confidence.overall_confidence").cast("double"), 3).alias("overall"))
+
+
+_CEF_RAW = "'CEF:0|Acme|Wall|1.0|' || event_id || '|' || event_type || '|' || sev || '|src=' || src || ' dst=' || dst || ' spt=' || spt || ' dpt=' || dpt || ' act=' || act || ' rt=' || (epoch_us(ts) // 1000) || ' suser=' || usr"
+
+
+@query("exported", f"{E}, r as (select *, md5(event_id || chr(31) || {_CEF_RAW}) as id from e) select id, src as src_ip, cast(dpt as int) as dst_port, x_action as action from r order by id limit 1000")
+def exported(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first rows of the table as CSV with a header, read back."""
+    at = scratch(spark, "export")
+    sinks.export(flat(spark, sf_dir, "cef").select("id", "src_ip", "dst_port", "action"), at)
+    return spark.read.option("header", True).schema("id string, src_ip string, dst_port int, action string").csv(at)
+
+
+@query("text_files", f"select 'h' || (user_id % 20) as host, cast(event_id % 5 + 1 as int) as n_lines, {_HEAD.format(t='varchar')} || coalesce((select string_agg(chr(10) || {_FRAME.format(t='varchar')}, '' order by f) from range(1, event_id % 5 + 1) t(f)), '') as raw from events")
+def text_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A text file a host, written in order, read as lines and assembled."""
+    events = table(spark, sf_dir, "events").selectExpr("event_id", "user_id % 20 as user_id")
+    at = scratch(spark, "texts")
+    given = stack_lines(events).selectExpr("concat('h', substr(source, 2)) as host", "line_no", "line").repartition("host").sortWithinPartitions("host", "line_no")
+    given.select("host", "line").write.partitionBy("host").text(at)
+    records = M.assemble(read_lines(spark, at))
+    return records.select(F.regexp_extract("source", "host=(h[0-9]+)", 1).alias("host"), "n_lines", "raw")

@@ -61,14 +61,20 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def pick(values: tuple, *seed: Column | str) -> Column:
-    return F.get(F.array(*[F.lit(v) for v in values]), F.pmod(F.xxhash64(*[F.lit(s) if isinstance(s, str) else s for s in seed]), F.lit(len(values))).cast("int"))
+def drawn(seed: str, i: Column, m: int) -> Column:
+    """A whole number below m: the first eight hexadecimal digits of md5(seed:i), modulo m."""
+    text = F.concat_ws(":", F.lit(seed), i.cast("string"))
+    return F.pmod(F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long"), F.lit(m))
 
 
-def synthetic(spark: SparkSession, n: int, seed: int = 1, start: str = "2026-01-01 00:00:00") -> DataFrame:
-    """(id, raw) of n lines in eight formats, 50 ms apart, the same for the same seed."""
+def pick(values: tuple, seed: str, i: Column) -> Column:
+    return F.get(F.array(*[F.lit(v) for v in values]), drawn(seed, i, len(values)).cast("int"))
+
+
+def synthetic(ids: DataFrame, seed: int = 1, start: str = "2026-01-01 00:00:00") -> DataFrame:
+    """(id, raw): a line for each whole number `id`, in one of eight formats, 50 ms apart, the same for the same seed."""
     i = F.col("id")
-    num = lambda name, m: F.pmod(F.xxhash64(F.lit(f"{seed}{name}"), i), F.lit(m))
+    num = lambda name, m: drawn(f"{seed}{name}", i, m)
     s = lambda c: c.cast("string")
     ip = lambda name, first: F.concat_ws(".", s(first), s(num(name + "b", 255)), s(num(name + "c", 255)), s(num(name + "d", 254) + 1))
     inner, outer = ip("in", F.lit(10)), ip("out", num("outa", 100) + 11)
@@ -91,4 +97,4 @@ def synthetic(spark: SparkSession, n: int, seed: int = 1, start: str = "2026-01-
     raw = F.lit(None).cast("string")
     for k, expression in enumerate(kinds):
         raw = F.when(kind == k, expression).otherwise(raw)
-    return spark.range(n).select("id", raw.alias("raw"))
+    return ids.select("id", raw.alias("raw"))
