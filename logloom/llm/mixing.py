@@ -16,28 +16,44 @@ def n_words(text: str) -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(r"[^ \t-\r]+")), F.lit(0)).cast("long")
 
 
+#: Steps of the fill of a node for each doubling, so some 64,000 in all.
+STEPS = 1024
+
+
 def share_out(nodes: DataFrame, parent: list[str]) -> DataFrame:
     """Adds `share` to nodes (parent columns, `budget` of the parent, `weight`, `capacity`; all whole numbers).
 
     Each child of a parent gets weight / (sum of weights) of the budget, but no more than its capacity;
     what it leaves goes to its siblings in proportion to their weights, again up to their capacities.
-    Solved at once: children in the order of capacity / weight fill up first. Divisions round down.
-    A weight of 0 gets nothing.
+    Solved at once: children in the order of capacity / weight, their fill, are full first. Divisions round
+    down. A weight of 0 gets nothing.
+
+    Children are not put in one order, for one parent may have any number of them. Those of one weight and
+    capacity are counted as one kind, for all of one fill are full or none is. Kinds are summed by steps of
+    the fill, the sums of STEPS for each doubling are put in order, kinds only inside their step.
     """
     fill = F.when(F.col("weight") > 0, F.col("capacity") / F.col("weight")).otherwise(F.lit(float("inf")))
-    order = Window.partitionBy(*parent).orderBy("fill", "weight", "capacity", "node")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    rest = order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    spread = nodes.withColumn("fill", fill).withColumn("full", F.coalesce(F.sum("capacity").over(before), F.lit(0))).withColumn("open", F.sum("weight").over(rest))
-    fits = (F.col("weight") > 0) & (F.col("capacity").cast("decimal(38,0)") * F.col("open") <= F.col("weight").cast("decimal(38,0)") * (F.col("budget") - F.col("full")))
-    spread = spread.withColumn("fits", fits)
-    # the fits come first in this order; what is left after them is shared by weight
-    siblings = Window.partitionBy(*parent)
-    ends = spread.withColumn("used", F.sum(F.when(F.col("fits"), F.col("capacity")).otherwise(0)).over(siblings)).withColumn("others", F.sum(F.when(~F.col("fits"), F.col("weight")).otherwise(0)).over(siblings))
-    left = F.greatest(F.col("budget") - F.col("used"), F.lit(0))
+    step = F.when(F.col("weight") > 0, F.floor(F.log2(F.col("capacity") / F.col("weight") + 1) * STEPS)).otherwise(1 << 30).cast("int")
+    kinds = nodes.groupBy(*parent, "weight", "capacity").agg(F.count("*").alias("n"), F.first("budget").alias("budget"))
+    kinds = kinds.select("*", fill.alias("fill"), step.alias("step"), (F.col("n") * F.col("capacity")).alias("holds"), (F.col("n") * F.col("weight")).alias("weighs"))
+    steps = Window.partitionBy(*parent).orderBy("step")
+    sums = kinds.groupBy(*parent, "step").agg(F.sum("holds").alias("here"), F.sum("weighs").alias("pull"))
+    sums = sums.select(*parent, "step", (F.sum("here").over(steps) - F.col("here")).alias("before"), F.coalesce(F.sum("pull").over(steps.rowsBetween(1, Window.unboundedFollowing)), F.lit(0)).alias("after"))
+    inside = Window.partitionBy(*parent, "step").orderBy("fill", "weight", "capacity")
+    kinds = kinds.join(sums, [*parent, "step"])
+    full = F.col("before") + F.sum("holds").over(inside) - F.col("holds")
+    open_ = F.col("after") + F.sum("weighs").over(inside.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    fits = (F.col("weight") > 0) & (F.col("capacity").cast("decimal(38,0)") * open_ <= F.col("weight").cast("decimal(38,0)") * (F.col("budget") - full))
+    ends = [F.max(F.when(F.col("fits"), F.col("fill"))).alias("level"), F.sum(F.when(F.col("fits"), F.col("holds")).otherwise(0)).alias("used"), F.sum(F.when(~F.col("fits"), F.col("weighs")).otherwise(0)).alias("others")]
+    kinds = kinds.select(*parent, "fill", "holds", "weighs", fits.alias("fits"))
+    if parent:
+        told = nodes.join(kinds.groupBy(*parent).agg(*ends), parent)
+    else:
+        one = kinds.agg(*ends).first()
+        told = nodes.select("*", F.lit(one["level"]).cast("double").alias("level"), F.lit(one["used"] or 0).cast("long").alias("used"), F.lit(one["others"] or 0).cast("long").alias("others"))
     part = F.expr("cast(cast(greatest(budget - used, 0) as decimal(28,0)) * weight div greatest(others, 1) as bigint)")
-    share = F.when(F.col("fits"), F.col("capacity")).otherwise(F.when(left > 0, part).otherwise(0)).cast("long")
-    return ends.withColumn("share", share).drop("fill", "full", "open", "fits", "used", "others")
+    share = F.when((F.col("weight") > 0) & (fill <= F.col("level")), F.col("capacity")).otherwise(part).cast("long")
+    return told.withColumn("share", share).drop("level", "used", "others")
 
 
 def leaf_budgets(leaves: DataFrame, weights: dict[str, dict[str, int]], share: float, max_epochs: int) -> DataFrame:
@@ -60,7 +76,7 @@ def leaf_budgets(leaves: DataFrame, weights: dict[str, dict[str, int]], share: f
     path, now = ["domain", "lang", "source"], None
     for depth in range(1, len(path) + 1):
         parent, own = path[: depth - 1], path[:depth]
-        nodes = leaves.groupBy(*own).agg(F.sum("capacity").alias("capacity")).withColumn("weight", weight(path[depth - 1])).withColumn("node", F.col(path[depth - 1]))
+        nodes = leaves.groupBy(*own).agg(F.sum("capacity").alias("capacity")).withColumn("weight", weight(path[depth - 1]))
         nodes = nodes.withColumn("budget", F.lit(root).cast("long")) if now is None else nodes.join(now, parent)
         now = common.checkpointed(share_out(nodes, parent).select(*own, F.col("share").alias("budget")))
     return now

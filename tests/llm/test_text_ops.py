@@ -5,6 +5,7 @@ import os
 import random
 import re
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import public_tokenizers
@@ -471,6 +472,25 @@ def test_mixing_odd_rows(spark):
     assert mixing.mix(df.limit(0), {}, 1.0, 1).count() == 0
 
 
+@pytest.mark.parametrize("budget", [0, 1, 500, 20_000, 60_000, 10**7])
+def test_budgets_of_many_siblings(spark, budget):
+    """Against filling up in order, with equal and unequal weights and capacities and weights of nothing."""
+    draw = random.Random(budget)
+    rows = [(p, i, draw.choice((0, 1, 1, 2, 7)), draw.choice((0, 5, 5, 10, 35, draw.randrange(900)))) for p in "ab" for i in range(300)]
+    df = spark.createDataFrame(rows, "p string, node long, weight long, capacity long").withColumn("budget", F.lit(budget).cast("long"))
+    for parent in ([], ["p"]):
+        want = {}
+        for group in ([rows] if not parent else [[r for r in rows if r[0] == p] for p in "ab"]):
+            left, pull = budget, sum(r[2] for r in group)
+            for p, i, w, c in sorted((r for r in group if r[2]), key=lambda r: Fraction(r[3], r[2])):
+                if c * pull > w * left:
+                    break
+                want[p, i], left, pull = c, left - c, pull - w
+            want |= {(p, i): left * w // max(pull, 1) for p, i, w, _ in group if (p, i) not in want}
+        assert {(r["p"], r["node"]): r["share"] for r in mixing.share_out(df, parent).collect()} == want
+
+
+
 PAGES = [
     ("<p>a <b>b</b>c<p>d<br>e", "a bc\n\nd\ne"),
     ("<ul><li>x<li>y<ol start=3><li>1<li>2</ol></ul>after", "- x\n- y\n  3. 1\n  4. 2\n\nafter"),
