@@ -26,10 +26,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of a task at most, on average, where lines are parsed.
+DEALT = 50_000
+
+
 def spread(df: DataFrame, *by: str) -> DataFrame:
-    """df in as many tasks as there are cores at least: only a scan of fewer, such as of one small file, is dealt out."""
+    """df dealt out to tasks of some DEALT rows, and to as many as there are cores at least. The number of a scan's tasks says
+    nothing of their rows: a Parquet file is cut by bytes, but all rows of a row group go to one of its tasks."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *by)
+    return df.repartition(max(cores, -(-df.count() // DEALT)), *by)
 
 
 def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

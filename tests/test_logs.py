@@ -545,3 +545,22 @@ def test_table_functions_give_several_records(spark):
     assert X.records(lines.limit(0), "pieces").count() == 0
     with pytest.raises(ValueError):
         X.register(spark, "no name", "split(raw, ' ')")
+
+
+def test_spread_deals_out_one_row_group(spark, tmp_path):
+    """A file that is cut into many scan tasks by its bytes, but holds all rows in one row group."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    n = 4 * tables.DEALT + 1
+    pq.write_table(pa.table({"event_id": pa.array(range(n))}), tmp_path / "one.parquet", row_group_size=n, compression="none", use_dictionary=False)
+    name = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "100000")
+    try:
+        read = spark.read.parquet(str(tmp_path / "one.parquet"))
+        assert read.rdd.getNumPartitions() > 8
+        dealt = [r["n"] for r in tables.spread(read, "event_id").groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+        assert len(dealt) == 5 and sum(dealt) == n and max(dealt) < 1.5 * tables.DEALT
+    finally:
+        spark.conf.set(name, before)
