@@ -49,7 +49,7 @@ MONTH = "(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)"
 
 def v4_number(ip: Column) -> Column:
     """An IPv4 address as a number; null if it is none."""
-    part = [F.try_element_at(F.split(ip, r"\."), F.lit(i)).cast("bigint") for i in (1, 2, 3, 4)]
+    part = [F.split_part(ip, F.lit("."), F.lit(i)).cast("bigint") for i in (1, 2, 3, 4)]
     return F.when(ip.rlike(V4), part[0] * 16777216 + part[1] * 65536 + part[2] * 256 + part[3])
 
 
@@ -103,9 +103,11 @@ def _v6_text(hex32: Column) -> Column:
 
 def _in_blocks(number: Column, blocks: tuple[str, ...]) -> Column:
     """IPv4 numbers are longs, IPv6 numbers texts of 32 hex digits, which are in order as texts."""
-    ends = [(n, int(n.network_address), int(n.broadcast_address)) for n in map(ipaddress.ip_network, blocks)]
-    shown = [f"struct({a}L as a, {b}L as b)" if n.version == 4 else f"struct('{a:032x}' as a, '{b:032x}' as b)" for n, a, b in ends]
-    return F.exists(F.expr(f"array({', '.join(shown)})"), lambda block: number.between(block["a"], block["b"]))
+    out = F.lit(False)
+    for n in map(ipaddress.ip_network, blocks):
+        a, b = (v if n.version == 4 else f"{v:032x}" for v in (int(n.network_address), int(n.broadcast_address)))
+        out = out | ((number >= F.lit(a)) & (number <= F.lit(b)))
+    return out
 
 
 def _private(number: Column, private: tuple[str, ...], public: tuple[str, ...]) -> Column:
@@ -118,26 +120,48 @@ def classify_ip(raw: Column, ipv6: bool = True) -> Column:
     Column expressions throughout. IPv6 texts may be compressed, mapped or have a zone, which stays behind the address;
     ipv6=False takes them for invalid.
     """
-    text = lambda v: F.lit(v).cast("string")
-    none = F.struct(text(None).alias("ip"), F.lit(None).cast("boolean").alias("is_private"), text(None).alias("version"))
-    found = lambda ip, private, version: F.struct(ip.alias("ip"), private.alias("is_private"), F.lit(version).alias("version"))
-    private_v4 = lambda n: _private(n, PRIVATE_V4, PUBLIC_V4)
+    def of(t: Column) -> Column:
+        v4 = let(v4_number(t), lambda n: classified(t, n))
+        return F.when(t.rlike(TWO_COLONS), classified(t, F.lit(None).cast("bigint"), v6_found(t))).otherwise(v4) if ipv6 else v4
+
+    return F.coalesce(let(ip_text(raw), of), no_ip())
+
+
+TWO_COLONS = ":.*:"
+
+
+def _ip_found(ip: Column, private: Column, version: Column) -> Column:
+    return F.struct(ip.cast("string").alias("ip"), private.cast("boolean").alias("is_private"), version.cast("string").alias("version"))
+
+
+def no_ip() -> Column:
+    return _ip_found(F.lit(None), F.lit(None), F.lit(None))
+
 
+def ip_text(raw: Column) -> Column:
+    """Stripped, one `:port` of an IPv4 address cut off."""
     s = strip(raw)
-    s = F.when(s.contains(".") & (F.length(s) - F.length(F.replace(s, F.lit(":"))) == 1), F.split_part(s, F.lit(":"), F.lit(1))).otherwise(s)
-    v4 = lambda t: let(v4_number(t), lambda n: F.when(n.isNotNull(), found(t, private_v4(n), "IPv4")))
-    if not ipv6:
-        return F.coalesce(let(s, v4), none)
+    return F.when(s.contains(".") & (F.length(s) - F.length(F.replace(s, F.lit(":"))) == 1), F.split_part(s, F.lit(":"), F.lit(1))).otherwise(s)
+
+
+def v6_found(t: Column) -> Column:
+    """As classify_ip() for an ip_text() of two colons or more; null for others and invalid ones."""
 
     def v6(t: Column) -> Column:
         zone = F.when(t.contains("%"), F.substring(t, F.instr(t, "%"), F.length(t))).otherwise("")
         address = F.lower(F.substring_index(t, "%", 1))
         fine = (zone == "") | zone.rlike("^%[^%]+$")
-        of_mapped = lambda h: private_v4(F.conv(F.substring(h, 25, 8), 16, 10).cast("bigint"))
+        of_mapped = lambda h: _private(F.conv(F.substring(h, 25, 8), 16, 10).cast("bigint"), PRIVATE_V4, PUBLIC_V4)
         private = lambda h: F.when(h.startswith(MAPPED_V6), of_mapped(h)).otherwise(_private(h, PRIVATE_V6, PUBLIC_V6))
-        return F.when(fine, let(v6_hex(address), lambda h: F.when(h.isNotNull(), found(F.concat(_v6_text(h), zone), private(h), "IPv6"))))
+        return F.when(fine, let(v6_hex(address), lambda h: F.when(h.isNotNull(), _ip_found(F.concat(_v6_text(h), zone), private(h), F.lit("IPv6")))))
+
+    return F.when(t.rlike(TWO_COLONS), let(t, v6))
+
 
-    return F.coalesce(let(s, lambda t: F.when(t.rlike(":.*:"), v6(t)).otherwise(v4(t))), none)
+def classified(t: Column, number: Column, v6: Column | None = None) -> Column:
+    """classify_ip() of an ip_text(), by its v4_number() and v6_found(), which no text has both of."""
+    v4 = F.when(number.isNotNull(), _ip_found(t, _private(number, PRIVATE_V4, PUBLIC_V4), F.lit("IPv4")))
+    return F.coalesce(*([] if v6 is None else [v6]), v4, no_ip())
 
 
 def direction(src_private: Column, dst_private: Column) -> Column:
@@ -205,12 +229,23 @@ def timestamp(raw: Column, today: str, free_form: bool = False) -> Column:
     16 digits, Apache, BSD and ISO dates are column expressions; with free_form the rest goes to one
     Arrow function. Nothing depends on the session's time zone.
     """
-    s = F.regexp_replace(strip(raw), r"^[\[\]\"']+|[\[\]\"']+$", "")
     if free_form:  # an Arrow function cannot stand inside a lambda
-        native = let(s, lambda t: _native(t, today))
-        found = F.coalesce(native, _free_form(F.when(native.isNull() & (s != ""), s), F.lit(today)))
-        return let(F.struct(s.alias("s"), found.alias("found")), lambda x: _stamped(x["s"], x["found"], today))
-    return let(s, lambda t: let(_native(t, today), lambda found: _stamped(t, found, today)))
+        s = time_text(raw)
+        return let(F.struct(s.alias("s"), time_found(s, today, True).alias("found")), lambda x: stamped(x["s"], x["found"], today))
+    return let(time_text(raw), lambda t: let(time_found(t, today), lambda found: stamped(t, found, today)))
+
+
+def time_text(raw: Column) -> Column:
+    """Stripped, brackets and quotes at both ends cut off."""
+    return F.regexp_replace(strip(raw), r"^[\[\]\"']+|[\[\]\"']+$", "")
+
+
+def time_found(s: Column, today: str, free_form: bool = False) -> Column:
+    """Microseconds of a time_text(); null if nothing fits."""
+    if not free_form:
+        return _native(s, today)
+    native = let(s, lambda t: _native(t, today))
+    return F.coalesce(native, _free_form(F.when(native.isNull() & (s != ""), s), F.lit(today)))
 
 
 APACHE = rf"^\d{{1,2}}/{MONTH}/\d{{4}}:\d{{2}}:\d{{2}}:\d{{2}}\s+[+-]\d{{4}}$"
@@ -232,7 +267,8 @@ def _native(s: Column, today: str) -> Column:
     return F.coalesce(number, apache, bsd, iso)
 
 
-def _stamped(s: Column, found: Column, today: str) -> Column:
+def stamped(s: Column, found: Column, today: str) -> Column:
+    """timestamp() of a time_text() and its time_found()."""
     zone = F.when(s.rlike(APACHE) & ~s.rlike(r"[+-]0000$"), F.concat(F.lit("UTC"), F.regexp_extract(s, r"([+-]\d{2})(\d{2})$", 1), F.lit(":"), F.regexp_extract(s, r"([+-]\d{2})(\d{2})$", 2))).otherwise("UTC")
     epoch = F.coalesce(found, F.unix_micros(F.lit(today + "T00:00:00Z").cast("timestamp")))
     text = F.date_format(utc(F.timestamp_micros(epoch)), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'")

@@ -65,11 +65,13 @@ def given(fields: Column, kinds: Column) -> Column:
     """The fields that count as given: no null, no empty text, no false, no zero that was a number, no empty list."""
 
     def counts(k: Column, v: Column) -> Column:
-        kind = F.coalesce(kinds[k], F.lit("str"))
-        zero = kind.isin("int", "float") & (F.coalesce(v.try_cast("double"), F.lit(1.0)) == 0)
-        return v.isNotNull() & (v != "") & ~zero & ~((kind == "bool") & (v == "false")) & ~((kind == "list") & (v == "[]"))
+        zero = kinds[k].isin("int", "float") & (F.coalesce(v.try_cast("double"), F.lit(1.0)) == 0)
+        empty = zero | ((kinds[k] == "bool") & (v == "false")) | ((kinds[k] == "list") & (v == "[]"))
+        return v.isNotNull() & (v != "") & (kinds[k].isNull() | ~empty)
 
-    return F.map_filter(fields, counts)
+    # texts alone, none of them empty or null: nothing to look at one by one
+    full = (F.size(kinds) == 0) & F.coalesce(~F.array_contains(F.map_values(fields), ""), F.lit(False))
+    return F.when(full, fields).otherwise(F.map_filter(fields, counts))
 
 
 def step(df: DataFrame, **columns: Column) -> DataFrame:
@@ -79,24 +81,27 @@ def step(df: DataFrame, **columns: Column) -> DataFrame:
     return df
 
 
+def beside(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with more columns, all of them from its own. Spark keeps a projection apart where columns are used more than once;
+    a bind() above keeps filters off."""
+    return df.select("*", *[v.alias(k) for k, v in columns.items()])
+
+
 def bind(df: DataFrame, **columns: Column) -> DataFrame:
-    """df with columns that are computed once: as the one row of a generator, which Spark neither merges with what
-    stands above nor repeats in a pushed-down filter, as it would for a projection."""
+    """df with columns that are computed once: they go through the one row of a generator, which Spark neither merges with
+    what stands above nor repeats in a pushed-down filter, as it would for a projection. The value itself is a projection's
+    column, because Spark compiles those, while a generator's argument is walked through node by node."""
     for name, value in columns.items():
-        df = df.select("*", F.explode_outer(F.array(value)).alias(name))
+        held = f"__{name}"
+        df = df.select("*", value.alias(held)).select("*", F.explode_outer(F.array(held)).alias(name)).drop(held)
     return df
 
 
-def _found(name: str) -> Column:
-    """The first of a name's aliases that is given; null if none is."""
-    return F.get(F.array_intersect(F.array(*[F.lit(k) for k in ALIASES[name]]), F.map_keys("g")), F.lit(0))
-
-
-def _pick(name: str) -> Column:
-    """struct<value, taken>: the value of the alias found, and the aliases consumed up to it (all, if none is given)."""
-    keys, found = F.array(*[F.lit(k) for k in ALIASES[name]]), F.col(f"a.{name}")
-    taken = F.slice(keys, F.lit(1), F.coalesce(F.array_position(keys, found).cast("int"), F.lit(len(ALIASES[name]))))
-    return F.struct(F.col("g")[found].alias("value"), taken.alias("taken"))
+def _taken(name: str, g: Column) -> Column:
+    """The aliases consumed up to the first that is given (all, if none is)."""
+    keys = ALIASES[name]
+    upto = lambda i: F.array(*[F.lit(k) for k in keys[: i + 1]])
+    return F.coalesce(*[F.when(g[k].isNotNull(), upto(i)) for i, k in enumerate(keys[:-1])], upto(len(keys)))
 
 
 def _note(condition: Column, text: Column) -> Column:
@@ -153,71 +158,73 @@ def _stages(application: str, config: EngineConfig) -> tuple[list[tuple[Callable
     stages: list = []
     put = lambda add, **columns: stages.append((add, columns))
     fields, kinds = F.col("p.fields"), F.col("p.types")
-    put(step, g=given(fields, kinds))
-    put(step, a=F.struct(*[_found(k).alias(k) for k in ALIASES]))
-    put(bind, x=F.struct(*[_pick(k).alias(k) for k in ALIASES]))
-    x = lambda k: F.col(f"x.{k}.value")
+    # Operators that hold a lambda are compiled as many small methods, others as one, which the JVM does not compile beyond
+    # 8,000 bytes. So what is large stands beside a lambda, and what can be compiled does not stand inside of one.
+    put(beside, g=given(fields, kinds), ips=_texts(SCORED_IPS, fields, kinds), ports=_texts(SCORED_PORTS, fields, kinds, no_texts=True))
+    g = F.col("g")
+    put(beside, **{f"x_{name}": F.coalesce(*[g[k] for k in keys]) for name, keys in ALIASES.items()}, x_ips=F.array_compact("ips"), x_ports=F.array_compact("ports"))
+    x = lambda k: F.col(f"x_{k}")
 
     detected = F.from_json(fields["detected_ips"], "array<string>")
     rescued = x("src_ip").isNull() & x("dst_ip").isNull() & detected.isNotNull()
-    time_text = F.coalesce(F.when(F.col("p.ts_raw") != "", F.col("p.ts_raw")), *[F.col("g")[k] for k in ("timestamp", "time", "date")])
-    left = lambda names: let(F.flatten(F.array(*[F.col(f"x.{n}.taken") for n in names])), lambda t: F.map_filter(fields, lambda k, v: ~F.array_contains(t, k)))
-    put(bind, n=F.struct(
-        time_text.alias("time_text"),
-        F.when(rescued, F.get(detected, F.lit(0))).otherwise(x("src_ip")).alias("src_raw"),
-        F.when(rescued & (F.size(detected) >= 2), F.get(detected, F.lit(1))).otherwise(x("dst_ip")).alias("dst_raw"),
-        F.coalesce(rescued & (F.size(detected) >= 2), F.lit(False)).alias("ambiguous"),
-        left(EARLY).alias("left_early"),
-        F.lower(F.col("raw_log")).alias("low"),
-    ))
+    src_raw = F.when(rescued, F.get(detected, F.lit(0))).otherwise(x("src_ip"))
+    dst_raw = F.when(rescued & (F.size(detected) >= 2), F.get(detected, F.lit(1))).otherwise(x("dst_ip"))
+    time_text = F.coalesce(F.when(F.col("p.ts_raw") != "", F.col("p.ts_raw")), *[g[k] for k in ("timestamp", "time", "date")])
+    untaken = lambda names: F.array_except(F.map_keys(fields), F.flatten(F.array(*[_taken(n, g) for n in names])))
+    # a word that no key or value holds need not be looked for one by one
+    held = contains_any(F.lower(F.concat_ws(" ", F.map_keys(fields), F.map_values(fields))), AUTH_WORDS)
+    said = lambda keys: F.exists(keys, lambda k: contains_any(F.lower(F.concat_ws(" ", k, fields[k])), AUTH_WORDS))
+    put(
+        beside, time_text=time_text, time=N.time_text(time_text), src_raw=src_raw, dst_raw=dst_raw, src_text=N.ip_text(src_raw), dst_text=N.ip_text(dst_raw),
+        ambiguous=F.coalesce(rescued & (F.size(detected) >= 2), F.lit(False)), left_early=F.when(held, untaken(EARLY)), low=F.lower(F.col("raw_log")),
+    )
+    put(
+        beside, m_time=N.time_found(F.col("time"), config.today, config.free_form_dates), m_said=F.when(F.size("left_early") > 0, said(F.col("left_early"))),
+        **{f"m_{side}_{v}": f(F.col(f"{side}_text")) for side in ("src", "dst") for f, v in ((N.v4_number, "v4"), *(((N.v6_found, "v6"),) if config.ipv6 else ()))},
+        m_src_port=N.port(x("src_port")), m_dst_port=N.port(x("dst_port")), m_protocol=F.lower(x("protocol")), m_action=N.action(x("action")), m_severity=N.severity(x("severity")), m_status=N.status(x("status")),
+    )
+    m = lambda k: F.col(f"m_{k}")
     put(bind, c=F.struct(
-        N.timestamp(F.col("n.time_text"), config.today, config.free_form_dates).alias("ts"),
-        N.classify_ip(F.col("n.src_raw"), config.ipv6).alias("src"),
-        N.classify_ip(F.col("n.dst_raw"), config.ipv6).alias("dst"),
-        N.port(x("src_port")).alias("src_port"),
-        N.port(x("dst_port")).alias("dst_port"),
-        F.lower(x("protocol")).alias("protocol"),
-        N.action(x("action")).alias("action"),
-        N.severity(x("severity")).alias("severity"),
-        N.status(x("status")).alias("status"),
+        N.stamped(F.col("time"), m("time"), config.today).alias("ts"),
+        *[N.classified(F.col(f"{side}_text"), m(f"{side}_v4"), m(f"{side}_v6") if config.ipv6 else None).alias(side) for side in ("src", "dst")],
+        *[m(k).alias(k) for k in ("src_port", "dst_port", "protocol", "action", "severity", "status")],
     ))
     c = lambda k: F.col(f"c.{k}")
     put(step, direction=N.direction(c("src.is_private"), c("dst.is_private")))
 
-    texts = F.map_entries(F.col("n.left_early"))
-    said = F.exists(texts, lambda e: contains_any(F.lower(F.concat_ws(" ", e["key"], e["value"])), AUTH_WORDS))
-    run = F.exists(F.map_keys(F.col("n.left_early")), lambda k: k.isin("comm", "pid", "exe", "process"))
+    said = m("said")
+    run = F.arrays_overlap(F.map_keys(fields), F.array(*[F.lit(k) for k in ("comm", "pid", "exe", "process")]))
     met = c("src.ip").isNotNull() | c("dst.ip").isNotNull() | c("protocol").isNotNull()
     secure = F.col("p.format").isin("AUDITD", "CEF", "LEEF")
     category = F.when(secure, "security").when(run, "system").when(said, "authentication").when(met, "network").otherwise("unknown")
     kind = F.when(run, "process_activity").when(said, "login").when(met, "connection").otherwise("generic")
-    put(step, category=category, kind=kind, tag=threat(F.col("n.low"), c("action"), F.col("direction"), c("dst_port")))
+    put(step, category=category, kind=kind, tag=threat(F.col("low"), c("action"), F.col("direction"), c("dst_port")))
 
     whole = lambda name, value: x(name).isNotNull() & value.isNull() & x(name).try_cast("bigint").isNull()
     warnings = F.concat(
         F.col("p.warnings"),
-        _note(~c("ts.ok") & F.col("n.time_text").isNotNull(), F.concat(F.lit("Unparseable timestamp: "), F.col("n.time_text"))),
-        _note(F.col("n.src_raw").isNotNull() & c("src.ip").isNull(), F.concat(F.lit("Malformed source IP: "), F.col("n.src_raw"))),
-        _note(F.col("n.dst_raw").isNotNull() & c("dst.ip").isNull(), F.concat(F.lit("Malformed destination IP: "), F.col("n.dst_raw"))),
+        _note(~c("ts.ok") & F.col("time_text").isNotNull(), F.concat(F.lit("Unparseable timestamp: "), F.col("time_text"))),
+        _note(F.col("src_raw").isNotNull() & c("src.ip").isNull(), F.concat(F.lit("Malformed source IP: "), F.col("src_raw"))),
+        _note(F.col("dst_raw").isNotNull() & c("dst.ip").isNull(), F.concat(F.lit("Malformed destination IP: "), F.col("dst_raw"))),
         _note(whole("src_port", c("src_port")), F.concat(F.lit("Invalid src_port: "), x("src_port"))),
         _note(whole("dst_port", c("dst_port")), F.concat(F.lit("Invalid dst_port: "), x("dst_port"))),
     )
     errors = F.concat(
         F.col("p.errors"),
-        _note(~c("ts.ok") & F.col("n.time_text").isNotNull(), F.lit("ERR_UNPARSEABLE_TIMESTAMP")),
-        _note(F.col("n.src_raw").isNotNull() & c("src.ip").isNull(), F.lit("ERR_INVALID_SRC_IP")),
-        _note(F.col("n.dst_raw").isNotNull() & c("dst.ip").isNull(), F.lit("ERR_INVALID_DST_IP")),
+        _note(~c("ts.ok") & F.col("time_text").isNotNull(), F.lit("ERR_UNPARSEABLE_TIMESTAMP")),
+        _note(F.col("src_raw").isNotNull() & c("src.ip").isNull(), F.lit("ERR_INVALID_SRC_IP")),
+        _note(F.col("dst_raw").isNotNull() & c("dst.ip").isNull(), F.lit("ERR_INVALID_DST_IP")),
     )
     put(step, warnings=warnings, errors=errors)
     put(step, scores=F.struct(
         format_score(F.col("p.format"), F.col("p.exact")).alias("format_confidence"),
-        field_score(fields, kinds, F.col("g")).alias("field_extraction_confidence"),
-        schema_score(F.col("n.time_text"), F.col("category"), c("action"), c("src.ip"), c("dst.ip"), F.coalesce(x("hostname"), x("vendor"), x("process"), x("user")), F.col("n.ambiguous")).alias("schema_mapping_confidence"),
+        field_score(fields, x("ips"), x("ports"), g).alias("field_extraction_confidence"),
+        schema_score(F.col("time_text"), F.col("category"), c("action"), c("src.ip"), c("dst.ip"), F.coalesce(x("hostname"), x("vendor"), x("process"), x("user")), F.col("ambiguous")).alias("schema_mapping_confidence"),
     ))
     overall = 0.25 * F.col("scores.format_confidence") + 0.35 * F.col("scores.field_extraction_confidence") + 0.40 * F.col("scores.schema_mapping_confidence")
     score_notes = F.concat(
-        _field_notes(fields, kinds, F.col("g")),
-        _note(F.col("n.ambiguous"), F.lit("Ambiguous network direction: source and destination inferred by heuristic")),
+        _field_notes(fields, x("ips"), x("ports"), g),
+        _note(F.col("ambiguous"), F.lit("Ambiguous network direction: source and destination inferred by heuristic")),
     )
     none = lambda kind="string": F.lit(None).cast(kind)
     endpoint = lambda side: F.struct(c(f"{side}.ip").alias("ip"), c(f"{side}_port").alias("port"), none().alias("mac"), none().alias("domain"), c(f"{side}.is_private").alias("is_private"), none("struct<country:string,city:string,lat:double,lon:double>").alias("geo"))
@@ -226,7 +233,7 @@ def _stages(application: str, config: EngineConfig) -> tuple[list[tuple[Callable
     unless = lambda value, other=None: F.when(~blank, value) if other is None else F.when(blank, other).otherwise(value)
     event = F.struct(
         F.struct(F.col("category"), F.col("kind").alias("type"), c("action").alias("action"), c("severity").alias("severity"), c("status").alias("status")).alias("event"),
-        F.struct(F.col("n.time_text").alias("raw"), unless(c("ts.iso")).alias("normalized"), unless(c("ts.epoch_us")).alias("epoch_us"), c("ts.timezone").alias("timezone"), unless(F.timestamp_micros(c("ts.epoch_us"))).alias("ts"), unless(c("ts.ok"), F.lit(False)).alias("ok")).alias("timestamp"),
+        F.struct(F.col("time_text").alias("raw"), unless(c("ts.iso")).alias("normalized"), unless(c("ts.epoch_us")).alias("epoch_us"), c("ts.timezone").alias("timezone"), unless(F.timestamp_micros(c("ts.epoch_us"))).alias("ts"), unless(c("ts.ok"), F.lit(False)).alias("ok")).alias("timestamp"),
         F.struct(x("hostname").alias("hostname"), x("vendor").alias("vendor"), x("product").alias("product"), none().alias("version"), none().alias("ip")).alias("device"),
         endpoint("src").alias("src_endpoint"), endpoint("dst").alias("dst_endpoint"),
         F.struct(c("protocol").alias("protocol"), none("bigint").alias("bytes_in"), none("bigint").alias("bytes_out"), F.col("direction").alias("direction")).alias("network"),
@@ -234,7 +241,7 @@ def _stages(application: str, config: EngineConfig) -> tuple[list[tuple[Callable
         F.struct(x("pid").try_cast("int").alias("pid"), x("process").alias("name"), none().alias("executable_path"), none().alias("command_line"), none("int").alias("parent_pid")).alias("process"),
         F.struct(F.col("tag.id").alias("mitre_technique_id"), F.col("tag.name").alias("mitre_technique_name"), F.col("tag.tactic").alias("tactic"), unless(F.coalesce(F.col("tag.risk"), F.lit(15)), F.lit(0)).alias("risk_score")).alias("threat_intel"),
         F.coalesce("raw_log", F.lit("")).alias("raw_log"),
-        left(ALIASES).alias("unmapped"),
+        F.map_from_entries(F.transform(untaken(ALIASES), lambda k: F.struct(k.alias("key"), fields[k].alias("value")))).alias("unmapped"),
         F.struct(
             unless(F.col("p.format"), F.lit("UNKNOWN")).alias("format_detected"), unless(F.col("p.parser"), F.lit("NONE")).alias("parser_used"), (~blank & (F.col("p.parser") == "jit_inferred")).alias("inference_used"),
             F.struct(unless(overall, F.lit(0.0)).alias("overall_exact"), unless(F.round(overall, 3), F.lit(0.0)).alias("overall_confidence"), *[unless(F.round(f"scores.{k}", 3), F.lit(0.0)).alias(k) for k in ("format_confidence", "field_extraction_confidence", "schema_mapping_confidence")]).alias("confidence"),
@@ -273,14 +280,13 @@ def _ip_text(v: Column) -> Column:
 
 
 def _texts(keys: tuple[str, ...], fields: Column, kinds: Column, no_texts: bool = False) -> Column:
-    """Values of the keys that are there: given texts, or with no_texts anything but null."""
+    """Values of the keys, null but for given texts, or with no_texts for anything but null."""
     fits = (lambda k: F.coalesce(kinds[k], F.lit("")) != "null") if no_texts else (lambda k: kinds[k].isNull() & (fields[k] != ""))
-    found = F.transform(F.array(*[F.lit(k) for k in keys]), lambda k: F.when(fits(k), fields[k]))
-    return F.filter(found, lambda v: v.isNotNull())
+    return F.array(*[F.when(fits(k), fields[k]) for k in keys])
 
 
 def _fine_ip(v: Column) -> Column:
-    return N.v4_number(_ip_text(v)).isNotNull() | _ip_text(v).rlike(r"^[0-9A-Fa-f]{0,4}(?::[0-9A-Fa-f]{0,4}){2,7}$")
+    return v.rlike(N.V4) | N.v4_number(_ip_text(v)).isNotNull() | _ip_text(v).rlike(r"^[0-9A-Fa-f]{0,4}(?::[0-9A-Fa-f]{0,4}){2,7}$")
 
 
 def _port_number(v: Column) -> Column:
@@ -288,22 +294,20 @@ def _port_number(v: Column) -> Column:
 
 
 def _timed(g: Column) -> Column:
-    return F.exists(F.array(*[F.lit(k) for k in SCORED_TIMES]), lambda k: F.map_contains_key(g, k))
+    return F.arrays_overlap(F.map_keys(g), F.array(*[F.lit(k) for k in SCORED_TIMES]))
 
 
-def field_score(fields: Column, kinds: Column, g: Column) -> Column:
+def field_score(fields: Column, ips: Column, ports: Column, g: Column) -> Column:
     """Mean over the addresses, ports and one time check of the extracted fields; no fields at all: 0.1.
 
-    g: the fields that are given. IPv6 texts are judged by their form here.
+    ips, ports: texts of the scored keys; g: the fields that are given. IPv6 texts are judged by their form here.
     """
-    ips, ports = _texts(SCORED_IPS, fields, kinds), _texts(SCORED_PORTS, fields, kinds, no_texts=True)
     grade = lambda v: F.when(_port_number(v).between(1, 65535), 1.0).when(_port_number(v).isNotNull(), 0.2).otherwise(0.0)
     total = F.size(F.filter(ips, _fine_ip)) + F.aggregate(ports, F.lit(0.0), lambda a, v: a + grade(v)) + F.when(_timed(g), 1.0).otherwise(0.3)
     return F.when(F.size(fields) == 0, 0.1).otherwise(F.least(F.lit(1.0), total / (F.size(ips) + F.size(ports) + 1)))
 
 
-def _field_notes(fields: Column, kinds: Column, g: Column) -> Column:
-    ips, ports = _texts(SCORED_IPS, fields, kinds), _texts(SCORED_PORTS, fields, kinds, no_texts=True)
+def _field_notes(fields: Column, ips: Column, ports: Column, g: Column) -> Column:
     bad_ips = F.transform(F.filter(ips, lambda v: ~_fine_ip(v)), lambda v: F.concat(F.lit("Invalid IP address format: "), v))
     bad_ports = F.transform(
         F.filter(ports, lambda v: ~F.coalesce(_port_number(v).between(1, 65535), F.lit(False))),

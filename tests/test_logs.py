@@ -564,3 +564,15 @@ def test_spread_deals_out_one_row_group(spark, tmp_path):
         assert len(dealt) == 5 and sum(dealt) == n and max(dealt) < 1.5 * tables.DEALT
     finally:
         spark.conf.set(name, before)
+
+
+def test_values_are_compiled(spark):
+    """What is bound once is a projection's column (those are compiled) and not a generator's argument, and is not repeated in
+    a filter that Spark pushes down."""
+    lines = spark.createDataFrame([(1, "CEF:0|A|B|1|2|n|3|src=1.1.1.1 act=Deny")], "id long, raw string")
+    events = C.normalize(lines).where("event.event.action = 'deny'")
+    plan = events._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    generators = [x for x in plan if x.strip(" :+-").startswith("Generate ")]
+    assert generators and not [x for x in generators if "lambda" in x]
+    assert [x for x in plan if x.strip(" :+-").startswith("Filter ")] == [x for x in plan[: plan.index(generators[0])] if x.strip(" :+-").startswith("Filter ")]
+    assert events.count() == 1
