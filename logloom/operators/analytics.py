@@ -69,7 +69,9 @@ def preview(table: DataFrame, limit: int = 15) -> DataFrame:
 
 
 def badges(table: DataFrame) -> DataFrame:
-    return table.groupBy(route_badge(F.col("parser_used"), F.col("inference_used")).alias("badge")).agg(F.count("*").alias("count"))
+    # by plain columns first: Spark would build whole events for an expression of two of their fields
+    n = table.groupBy("parser_used", "inference_used").agg(F.count("*").alias("n"))
+    return n.groupBy(route_badge(F.col("parser_used"), F.col("inference_used")).alias("badge")).agg(F.sum("n").alias("count"))
 
 
 def accuracy(table: DataFrame, config: EngineConfig | None = None) -> DataFrame:

@@ -83,10 +83,16 @@ def step(df: DataFrame, **columns: Column) -> DataFrame:
 
 def beside(df: DataFrame, **columns: Column) -> DataFrame:
     """df with more columns, all of them from its own. Spark keeps a projection apart where columns are used more than once;
-    a bind() above keeps filters off."""
+    apart() above keeps filters off."""
     return df.select("*", *[v.alias(k) for k, v in columns.items()])
 
 
+def apart(df: DataFrame, **columns: Column) -> DataFrame:
+    """As beside(), for columns that no filter is pushed below, because they ask for the partition. Those that nobody needs
+    are left out, which they would not be if they went through bind()."""
+    return beside(df, **{k: F.when(F.spark_partition_id() >= 0, v) for k, v in columns.items()})
+
+
 def bind(df: DataFrame, **columns: Column) -> DataFrame:
     """df with columns that are computed once: they go through the one row of a generator, which Spark neither merges with
     what stands above nor repeats in a pushed-down filter, as it would for a projection. The value itself is a projection's
@@ -184,12 +190,12 @@ def _stages(application: str, config: EngineConfig) -> tuple[list[tuple[Callable
         m_src_port=N.port(x("src_port")), m_dst_port=N.port(x("dst_port")), m_protocol=F.lower(x("protocol")), m_action=N.action(x("action")), m_severity=N.severity(x("severity")), m_status=N.status(x("status")),
     )
     m = lambda k: F.col(f"m_{k}")
-    put(bind, c=F.struct(
-        N.stamped(F.col("time"), m("time"), config.today).alias("ts"),
-        *[N.classified(F.col(f"{side}_text"), m(f"{side}_v4"), m(f"{side}_v6") if config.ipv6 else None).alias(side) for side in ("src", "dst")],
-        *[m(k).alias(k) for k in ("src_port", "dst_port", "protocol", "action", "severity", "status")],
-    ))
-    c = lambda k: F.col(f"c.{k}")
+    put(
+        apart, c_ts=N.stamped(F.col("time"), m("time"), config.today),
+        **{f"c_{side}": N.classified(F.col(f"{side}_text"), m(f"{side}_v4"), m(f"{side}_v6") if config.ipv6 else None) for side in ("src", "dst")},
+        **{f"c_{k}": m(k) for k in ("src_port", "dst_port", "protocol", "action", "severity", "status")},
+    )
+    c = lambda k: F.col(f"c_{k}")
     put(step, direction=N.direction(c("src.is_private"), c("dst.is_private")))
 
     said = m("said")
@@ -228,9 +234,16 @@ def _stages(application: str, config: EngineConfig) -> tuple[list[tuple[Callable
     )
     none = lambda kind="string": F.lit(None).cast(kind)
     endpoint = lambda side: F.struct(c(f"{side}.ip").alias("ip"), c(f"{side}_port").alias("port"), none().alias("mac"), none().alias("domain"), c(f"{side}.is_private").alias("is_private"), none("struct<country:string,city:string,lat:double,lon:double>").alias("geo"))
-    # a struct of plain columns, so that whoever needs a few of its fields computes those alone
+    # a struct of columns and constants alone, so that whoever needs a few of its fields computes those alone: Spark would
+    # build the whole of it for two fields that are more than that
+    leaves: dict[str, Column] = {}
+
+    def leaf(value: Column) -> Column:
+        leaves[f"e_{len(leaves)}"] = value
+        return F.col(f"e_{len(leaves) - 1}")
+
     blank = F.coalesce(F.col("raw_log"), F.lit("")) == ""
-    unless = lambda value, other=None: F.when(~blank, value) if other is None else F.when(blank, other).otherwise(value)
+    unless = lambda value, other=None: leaf(F.when(~blank, value) if other is None else F.when(blank, other).otherwise(value))
     event = F.struct(
         F.struct(F.col("category"), F.col("kind").alias("type"), c("action").alias("action"), c("severity").alias("severity"), c("status").alias("status")).alias("event"),
         F.struct(F.col("time_text").alias("raw"), unless(c("ts.iso")).alias("normalized"), unless(c("ts.epoch_us")).alias("epoch_us"), c("ts.timezone").alias("timezone"), unless(F.timestamp_micros(c("ts.epoch_us"))).alias("ts"), unless(c("ts.ok"), F.lit(False)).alias("ok")).alias("timestamp"),
@@ -238,16 +251,18 @@ def _stages(application: str, config: EngineConfig) -> tuple[list[tuple[Callable
         endpoint("src").alias("src_endpoint"), endpoint("dst").alias("dst_endpoint"),
         F.struct(c("protocol").alias("protocol"), none("bigint").alias("bytes_in"), none("bigint").alias("bytes_out"), F.col("direction").alias("direction")).alias("network"),
         F.struct(x("user").alias("user_name"), none().alias("user_domain"), none().alias("user_id")).alias("actor"),
-        F.struct(x("pid").try_cast("int").alias("pid"), x("process").alias("name"), none().alias("executable_path"), none().alias("command_line"), none("int").alias("parent_pid")).alias("process"),
+        F.struct(leaf(x("pid").try_cast("int")).alias("pid"), x("process").alias("name"), none().alias("executable_path"), none().alias("command_line"), none("int").alias("parent_pid")).alias("process"),
         F.struct(F.col("tag.id").alias("mitre_technique_id"), F.col("tag.name").alias("mitre_technique_name"), F.col("tag.tactic").alias("tactic"), unless(F.coalesce(F.col("tag.risk"), F.lit(15)), F.lit(0)).alias("risk_score")).alias("threat_intel"),
-        F.coalesce("raw_log", F.lit("")).alias("raw_log"),
-        F.map_from_entries(F.transform(untaken(ALIASES), lambda k: F.struct(k.alias("key"), fields[k].alias("value")))).alias("unmapped"),
+        leaf(F.coalesce("raw_log", F.lit(""))).alias("raw_log"),
+        leaf(F.map_from_entries(F.transform(untaken(ALIASES), lambda k: F.struct(k.alias("key"), fields[k].alias("value"))))).alias("unmapped"),
         F.struct(
-            unless(F.col("p.format"), F.lit("UNKNOWN")).alias("format_detected"), unless(F.col("p.parser"), F.lit("NONE")).alias("parser_used"), (~blank & (F.col("p.parser") == "jit_inferred")).alias("inference_used"),
+            unless(F.col("p.format"), F.lit("UNKNOWN")).alias("format_detected"), unless(F.col("p.parser"), F.lit("NONE")).alias("parser_used"), leaf(~blank & (F.col("p.parser") == "jit_inferred")).alias("inference_used"),
             F.struct(unless(overall, F.lit(0.0)).alias("overall_exact"), unless(F.round(overall, 3), F.lit(0.0)).alias("overall_confidence"), *[unless(F.round(f"scores.{k}", 3), F.lit(0.0)).alias(k) for k in ("format_confidence", "field_extraction_confidence", "schema_mapping_confidence")]).alias("confidence"),
             unless(F.concat("warnings", score_notes), F.array().cast("array<string>")).alias("warnings"), unless(F.col("errors"), F.array(F.lit("ERR_EMPTY_LOG"))).alias("error_codes"), fields.alias("extracted"),
         ).alias("processing_metadata"),
     )
+    put(beside, **leaves)
+    put(bind, above=F.lit(True))  # Spark would merge the leaves into the event
     return stages, event
 
 

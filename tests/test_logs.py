@@ -574,5 +574,16 @@ def test_values_are_compiled(spark):
     plan = events._jdf.queryExecution().optimizedPlan().toString().splitlines()
     generators = [x for x in plan if x.strip(" :+-").startswith("Generate ")]
     assert generators and not [x for x in generators if "lambda" in x]
-    assert [x for x in plan if x.strip(" :+-").startswith("Filter ")] == [x for x in plan[: plan.index(generators[0])] if x.strip(" :+-").startswith("Filter ")]
+    assert [x for x in plan if x.strip(" :+-").startswith("Filter ")] == [x for x in plan[: plan.index(generators[-1])] if x.strip(" :+-").startswith("Filter ")]
     assert events.count() == 1
+
+
+def test_plain_fields_leave_the_rest_out(spark):
+    """Two fields of the flat table take neither the whole event nor the stages that they do not need."""
+    lines = spark.createDataFrame([(1, "CEF:0|A|B|1|2|n|3|src=1.1.1.1 act=Deny"), (2, "from 1.2.3.4"), (3, "")], "id long, raw string")
+    flat = C.flat(C.normalize(lines), ("id",))
+    plan = A.badges(flat)._jdf.queryExecution().optimizedPlan().toString()
+    assert "struct(event" not in plan and " AS c_src#" not in plan and " AS g#" not in plan
+    plan = A.metrics(flat)._jdf.queryExecution().optimizedPlan().toString()
+    assert "struct(event" not in plan and " AS m_time#" not in plan
+    assert {tuple(r) for r in A.badges(flat).collect()} == {("hot", 2), ("degraded", 1)}
