@@ -49,7 +49,8 @@ MONTH = "(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)"
 
 def v4_number(ip: Column) -> Column:
     """An IPv4 address as a number; null if it is none."""
-    part = [F.split_part(ip, F.lit("."), F.lit(i)).cast("bigint") for i in (1, 2, 3, 4)]
+    cut = F.substring_index
+    part = [t.cast("bigint") for t in (cut(ip, ".", 1), cut(cut(ip, ".", 2), ".", -1), cut(cut(ip, ".", -2), ".", 1), cut(ip, ".", -1))]
     return F.when(ip.rlike(V4), part[0] * 16777216 + part[1] * 65536 + part[2] * 256 + part[3])
 
 

@@ -12,7 +12,10 @@ BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\
 
 
 def strip(s: Column) -> Column:
-    return F.btrim(s, F.lit(BLANKS))
+    """Texts that begin and end with a visible ASCII character are left alone: to trim by a set of characters, Spark looks each
+    up in the set and goes through the whole text, which takes microseconds a text."""
+    fine = F.substring(s, 1, 1).between("!", "~") & F.substring(s, -1, 1).between("!", "~")
+    return F.when(fine, s).otherwise(F.btrim(s, F.lit(BLANKS)))
 
 
 def contains_any(s: Column, words: tuple[str, ...] | list[str]) -> Column:
@@ -50,19 +53,23 @@ def last_wins(entries: Column) -> Column:
 
 
 def pairs(s: Column, pattern: str, groups: tuple[int, ...] = (2, 3)) -> Column:
-    """Array of struct<key, value> of all matches: key is group 1, value that of `groups` which took part (one does, keys
-    hold no '='). One pass over the text; its matches are taken apart one by one."""
-    taken = "$1=" + "".join(f"${g}" for g in groups)
+    """Array of struct<key, value> of all matches: key is group 1, value that of `groups` which took part (one does). All but the
+    last of `groups` are texts in quotes, and are looked for in lines with quotes alone. A pass over the text for each group:
+    to match each pair anew for its parts costs several times as much."""
 
-    def entry(match: Column) -> Column:
-        flat = F.regexp_replace(match, pattern, taken)
-        return F.struct(F.substring_index(flat, "=", 1).alias("key"), F.substring(flat, F.instr(flat, "=") + 1, F.length(flat)).alias("value"))
+    def build(t: Column) -> Column:
+        every = lambda i: F.regexp_extract_all(t, F.lit(pattern), F.lit(i))
+        values = every(groups[-1])
+        for i in groups[:-1]:
+            values = F.zip_with(every(i), values, lambda own, other: F.when(own != "", own).otherwise(other))
+        values = F.when(t.contains('"') | t.contains("'"), values).otherwise(every(groups[-1]))
+        return F.zip_with(every(1), values, lambda k, v: F.struct(k.alias("key"), v.alias("value")))
 
-    return F.transform(F.regexp_extract_all(s, F.lit(pattern), F.lit(0)), entry)
+    return let(s, build)
 
 
 def fields_of(s: Column, pattern: str, n: int) -> Column:
     """Array of the n groups of a pattern that fits the whole of a stripped line, else null. The groups must not take
     in a line end: it parts them, so that the pattern runs once."""
     cut = F.regexp_replace(s, pattern, "".join(f"\n${i}" for i in range(1, n + 1)))
-    return F.when(cut.startswith("\n"), F.slice(F.split(cut, "\n"), 2, n))
+    return let(cut, lambda t: F.when(t.startswith("\n"), F.slice(F.split(t, "\n"), 2, n)))

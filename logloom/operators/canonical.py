@@ -171,17 +171,19 @@ def _stages(application: str, config: EngineConfig) -> tuple[list[tuple[Callable
     put(beside, **{f"x_{name}": F.coalesce(*[g[k] for k in keys]) for name, keys in ALIASES.items()}, x_ips=F.array_compact("ips"), x_ports=F.array_compact("ports"))
     x = lambda k: F.col(f"x_{k}")
 
-    detected = F.from_json(fields["detected_ips"], "array<string>")
-    rescued = x("src_ip").isNull() & x("dst_ip").isNull() & detected.isNotNull()
-    src_raw = F.when(rescued, F.get(detected, F.lit(0))).otherwise(x("src_ip"))
-    dst_raw = F.when(rescued & (F.size(detected) >= 2), F.get(detected, F.lit(1))).otherwise(x("dst_ip"))
+    # columns of their own: an address is referred to a dozen times further on, and the list would be read as often
+    put(beside, detected=F.when(x("src_ip").isNull() & x("dst_ip").isNull() & fields["detected_ips"].isNotNull(), F.from_json(fields["detected_ips"], "array<string>")))
+    detected = F.col("detected")
+    rescued = detected.isNotNull()
+    put(beside, src_raw=F.when(rescued, F.get(detected, F.lit(0))).otherwise(x("src_ip")), dst_raw=F.when(rescued & (F.size(detected) >= 2), F.get(detected, F.lit(1))).otherwise(x("dst_ip")))
+    src_raw, dst_raw = F.col("src_raw"), F.col("dst_raw")
     time_text = F.coalesce(F.when(F.col("p.ts_raw") != "", F.col("p.ts_raw")), *[g[k] for k in ("timestamp", "time", "date")])
     untaken = lambda names: F.array_except(F.map_keys(fields), F.flatten(F.array(*[_taken(n, g) for n in names])))
     # a word that no key or value holds need not be looked for one by one
     held = contains_any(F.lower(F.concat_ws(" ", F.map_keys(fields), F.map_values(fields))), AUTH_WORDS)
     said = lambda keys: F.exists(keys, lambda k: contains_any(F.lower(F.concat_ws(" ", k, fields[k])), AUTH_WORDS))
     put(
-        beside, time_text=time_text, time=N.time_text(time_text), src_raw=src_raw, dst_raw=dst_raw, src_text=N.ip_text(src_raw), dst_text=N.ip_text(dst_raw),
+        beside, time_text=time_text, time=N.time_text(time_text), src_text=N.ip_text(src_raw), dst_text=N.ip_text(dst_raw),
         ambiguous=F.coalesce(rescued & (F.size(detected) >= 2), F.lit(False)), left_early=F.when(held, untaken(EARLY)), low=F.lower(F.col("raw_log")),
     )
     put(

@@ -11,7 +11,8 @@ from __future__ import annotations
 import importlib.util
 from collections.abc import Callable
 from dataclasses import dataclass
-from functools import partial
+from functools import partial, reduce
+from operator import or_
 from pathlib import Path
 
 from pyspark.sql import Column
@@ -50,6 +51,8 @@ USER = r"""(?i)\b(?:user|username|usr|account|for)\s*[=:]\s*['"]?([a-zA-Z0-9_\-\
 DENY_WORDS = ("deny", "blocked", "drop", "reject", "failed")
 ALLOW_WORDS = ("allow", "accept", "permit", "success")
 JSON_TIME_KEYS = ("@timestamp", "timestamp", "time", "event_time", "datetime", "date", "created_at")
+#: One of them ends each of JSON_TIME_KEYS.
+JSON_TIME_ENDS = ("time", "date", "stamp", "created_at")
 KV_TIME_KEYS = ("timestamp", "time", "datetime", "date", "ts", "@timestamp")
 
 
@@ -137,8 +140,13 @@ def json_lines(raw: Column) -> Column:
 
 def _json(s: Column) -> Column:
     # one root: beside a second element the line is one element of a list. Spark's list functions allow single quotes
-    bare = F.regexp_replace(s, JSON_STRING, "")
+    return let(F.regexp_replace(s, JSON_STRING, ""), lambda bare: _one_json(s, bare))
+
+
+def _one_json(s: Column, bare: Column) -> Column:
+    """_json() of a line, and the line without its strings."""
     alone = (F.json_array_length(F.concat(F.lit("["), s, F.lit(",0]"))) == 2) & ~bare.contains("'")
+    objects = F.length(bare) - F.length(F.replace(bare, F.lit("{"), F.lit("")))  # no more levels than that
 
     def deeper(e: Column) -> Column:
         inner = F.transform(F.map_entries(F.try_variant_get(e["value"], "$", "map<string,variant>")), lambda c: F.struct(F.concat(e["key"], F.lit("."), c["key"]).alias("key"), c["value"].alias("value")))
@@ -147,19 +155,24 @@ def _json(s: Column) -> Column:
     def flatten(whole: Column) -> Column:
         top = F.transform(F.json_object_keys(s), lambda k: F.struct(k.alias("key"), F.try_element_at(whole, k).alias("value")))
         nested = top
-        for _ in range(JSON_DEPTH - 1):
-            nested = F.flatten(F.transform(nested, deeper))
+        for level in range(1, JSON_DEPTH):
+            nested = let(nested, lambda es, level=level: F.when(objects > level, F.flatten(F.transform(es, deeper))).otherwise(es))
         valued = lambda es: F.transform(es, lambda e: let(_json_value(e["value"]), lambda v: F.struct(e["key"].alias("key"), v["value"].alias("value"), v["kind"].alias("kind"))))
-        return F.when(F.instr(F.substring(bare, F.lit(2), F.length(bare)), "{") == 0, valued(top)).otherwise(valued(nested))
+        return valued(nested)
 
     def build(flat: Column) -> Column:
         fields = last_wins(F.transform(flat, lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value"))))
         kinds = F.map_filter(last_wins(F.transform(flat, lambda e: F.struct(e["key"].alias("key"), e["kind"].alias("value")))), lambda _, kind: kind != "str")
-        hits = []
-        for key in map(F.lit, JSON_TIME_KEYS):
-            hit = F.try_element_at(F.filter(flat, partial(_ends_with, key)), F.lit(1))
-            hits.append(F.when(hit.isNotNull(), F.when(hit["kind"] == "null", "None").otherwise(F.when(hit["value"] != "", hit["value"]))))
-        return parsed("JSON", "json_fast_parser", fields, kinds, F.coalesce(*hits))
+
+        def first_time(timed: Column) -> Column:
+            hits = []
+            for key in map(F.lit, JSON_TIME_KEYS):
+                hit = F.try_element_at(F.filter(timed, partial(_ends_with, key)), F.lit(1))
+                hits.append(F.when(hit.isNotNull(), F.when(hit["kind"] == "null", "None").otherwise(F.when(hit["value"] != "", hit["value"]))))
+            return F.when(F.size(timed) > 0, F.coalesce(*hits))
+
+        timed = F.filter(flat, lambda e: let(F.lower(e["key"]), lambda k: reduce(or_, [k.endswith(end) for end in JSON_TIME_ENDS])))
+        return parsed("JSON", "json_fast_parser", fields, kinds, let(timed, first_time))
 
     def read(whole: Column) -> Column:
         deep = lambda flat: F.exists(flat, lambda e: e["kind"] == "object")
@@ -270,19 +283,27 @@ def kv_lines(raw: Column) -> Column:
 
 def fallback_lines(raw: Column) -> Column:
     """Tokens of any text: addresses, ports, MACs, hex codes, a user and an action word."""
-    s = strip(raw)
-    low = F.lower(s)
+    return let(strip(raw), _fallback)
+
+
+def _fallback(s: Column) -> Column:
     all_of = lambda p, g=0: F.regexp_extract_all(s, F.lit(p), F.lit(g))
-    ips, macs, codes = all_of(IPV4), all_of(MAC), all_of(HEX)
-    ports = F.filter(F.transform(all_of(PORT, 1), lambda p: p.cast("int")), lambda p: p.between(1, 65535))
+    user = F.regexp_extract_all(s, F.lit(USER), F.lit(1))
+    tokens = F.struct(F.lower(s).alias("low"), all_of(IPV4).alias("ips"), all_of(MAC).alias("macs"), all_of(HEX).alias("codes"), all_of(PORT, 1).alias("digits"), F.get(user, F.lit(0)).alias("user"))
+    return let(tokens, lambda t: _tokens(s, t, F.filter(F.transform(t["digits"], lambda p: p.cast("int")), lambda p: p.between(1, 65535))))
+
+
+def _tokens(s: Column, t: Column, ports: Column) -> Column:
+    """parsed() of what was found in a line, so that it is looked for once."""
+    low, ips = t["low"], t["ips"]
     one, two = F.size(ips) == 1, F.size(ips) >= 2
     named = contains_any(low, ("from", "src", "client", "host"))
     listed = lambda a: F.when(F.size(a) > 0, F.to_json(a))
     act = F.when(contains_any(low, DENY_WORDS), "deny").when(contains_any(low, ALLOW_WORDS), "allow")
     found = entries(
         detected_ips=listed(ips), src_ip=F.when(two | (one & named), F.get(ips, F.lit(0))), ip=F.when(one & ~named, F.get(ips, F.lit(0))), dst_ip=F.when(two, F.get(ips, F.lit(1))),
-        detected_ports=F.when(F.size(all_of(PORT, 1)) > 0, F.to_json(ports)), dst_port=F.get(ports, F.lit(0)), detected_macs=listed(macs), hex_codes=listed(codes),
-        user_name=F.when(s.rlike(USER), F.regexp_extract(s, USER, 1)), action=act,
+        detected_ports=F.when(F.size(t["digits"]) > 0, F.to_json(ports)), dst_port=F.get(ports, F.lit(0)), detected_macs=listed(t["macs"]), hex_codes=listed(t["codes"]),
+        user_name=t["user"], action=act,
     )
     fields = F.map_from_entries(F.filter(found, lambda e: e["value"].isNotNull()))
     notes = F.concat(F.array(F.lit("Parsed using generic fallback token extraction")), F.when(two, F.array(F.lit("Inferred source and destination IPs positionally from unstructured text"))).otherwise(F.array().cast("array<string>")))

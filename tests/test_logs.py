@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from logloom.functions import normalize as N
+from logloom.functions.text import pairs, strip
 from logloom.operators import analytics as A
 from logloom.operators import canonical as C
 from logloom.operators import learn as L
@@ -587,3 +588,21 @@ def test_plain_fields_leave_the_rest_out(spark):
     plan = A.metrics(flat)._jdf.queryExecution().optimizedPlan().toString()
     assert "struct(event" not in plan and " AS m_time#" not in plan
     assert {tuple(r) for r in A.badges(flat).collect()} == {("hot", 2), ("degraded", 1)}
+
+
+def test_pairs_match_once(spark):
+    """A line's pairs are not matched anew one by one, nor a detected address read as often as it is referred to."""
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    df = spark.createDataFrame([("a=1 b=\"x y\" c='q' d=\"\" e=\"un",), ("no pairs",), (None,)], "raw string")
+    got = df.select(pairs(F.col("raw"), P.KV_PAIR, (2, 3, 4)).alias("p"))
+    assert "regexp_replace" not in plan(got)
+    assert [r["p"] and [tuple(e) for e in r["p"]] for r in got.collect()] == [[("a", "1"), ("b", "x y"), ("c", "q"), ("d", ""), ("e", '"un')], [], None]
+    assert plan(C.normalize(df).select("event.src_endpoint.ip")).count("from_json(") == 1
+
+
+def test_strip_of_any_blank(spark):
+    texts = ["", " ", "a", " a b ", "　é\x85", "é", "~a\x1f", "\tx", "x\n", "!", "\x7f"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, s string").orderBy("i")
+    got = df.select(strip(F.col("s")).alias("t"))
+    assert "CASE WHEN" in got._jdf.queryExecution().optimizedPlan().toString()  # most texts are not looked through
+    assert [r["t"] for r in got.collect()] == [t.strip() for t in texts]
