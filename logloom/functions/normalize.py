@@ -141,7 +141,11 @@ def no_ip() -> Column:
 
 def ip_text(raw: Column) -> Column:
     """Stripped, one `:port` of an IPv4 address cut off."""
-    s = strip(raw)
+    return without_port(strip(raw))
+
+
+def without_port(s: Column) -> Column:
+    """ip_text() of a stripped text."""
     return F.when(s.contains(".") & (F.length(s) - F.length(F.replace(s, F.lit(":"))) == 1), F.split_part(s, F.lit(":"), F.lit(1))).otherwise(s)
 
 

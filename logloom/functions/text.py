@@ -37,25 +37,38 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def last_wins(entries: Column) -> Column:
-    """Map of an array of struct<key, value>; of equal keys the last stays. Time n log n in the entries, n if no key
-    comes twice."""
+def last_of_each(entries: Column) -> Column:
+    """An array of structs with a `key`; of equal keys the last stays. Time n log n in the entries, n if no key comes twice."""
 
     def build(e: Column) -> Column:
-        keys = F.transform(e, lambda x: x["key"])
-        placed = F.array_sort(F.transform(e, lambda x, i: F.struct(x["key"].alias("key"), i.alias("i"), x["value"].alias("value"))))
+        placed = F.array_sort(F.transform(e, lambda x, i: F.struct(x["key"].alias("key"), i.alias("i"), x.alias("entry"))))
         lasts = let(placed, lambda p: F.filter(p, lambda x, i: (i == F.size(p) - 1) | (F.get(p, i + 1)["key"] != x["key"])))
-        ordered = F.array_sort(F.transform(lasts, lambda x: F.struct(x["i"].alias("i"), x["key"].alias("key"), x["value"].alias("value"))))
-        once = F.transform(ordered, lambda x: F.struct(x["key"].alias("key"), x["value"].alias("value")))
-        return F.map_from_entries(F.when(F.size(F.array_distinct(keys)) == F.size(e), e).otherwise(once))
+        ordered = F.array_sort(F.transform(lasts, lambda x: F.struct(x["i"].alias("i"), x["entry"].alias("entry"))))
+        return F.when(F.size(F.array_distinct(e["key"])) == F.size(e), e).otherwise(ordered["entry"])
 
     return let(entries, build)
 
 
-def pairs(s: Column, pattern: str, groups: tuple[int, ...] = (2, 3)) -> Column:
-    """Array of struct<key, value> of all matches: key is group 1, value that of `groups` which took part (one does). All but the
-    last of `groups` are texts in quotes, and are looked for in lines with quotes alone. A pass over the text for each group:
-    to match each pair anew for its parts costs several times as much."""
+def last_wins(entries: Column) -> Column:
+    """Map of an array of struct<key, value>; of equal keys the last stays."""
+    return F.map_from_entries(last_of_each(entries))
+
+
+def mapped(keys: Column, values: Column) -> Column:
+    """As last_wins(), of two arrays: where no key comes twice, nothing is done one by one."""
+
+    def build(t: Column) -> Column:
+        k, v = t["keys"], t["values"]
+        twice = last_wins(F.zip_with(k, v, lambda key, value: F.struct(key.alias("key"), value.alias("value"))))
+        return F.when(F.size(F.array_distinct(k)) == F.size(k), F.map_from_arrays(k, v)).otherwise(twice)
+
+    return let(F.struct(keys.alias("keys"), values.alias("values")), build)
+
+
+def matches(s: Column, pattern: str, groups: tuple[int, ...] = (2, 3)) -> Column:
+    """struct<keys, values> of all matches, two arrays: a key is group 1, a value that of `groups` which took part (one does). All
+    but the last of `groups` are texts in quotes, and are looked for in lines with quotes alone. A pass over the text for each
+    group: to match each pair anew for its parts costs several times as much."""
 
     def build(t: Column) -> Column:
         every = lambda i: F.regexp_extract_all(t, F.lit(pattern), F.lit(i))
@@ -63,11 +76,22 @@ def pairs(s: Column, pattern: str, groups: tuple[int, ...] = (2, 3)) -> Column:
         for i in groups[:-1]:
             values = F.zip_with(every(i), values, lambda own, other: F.when(own != "", own).otherwise(other))
         values = F.when(t.contains('"') | t.contains("'"), values).otherwise(every(groups[-1]))
-        return F.zip_with(every(1), values, lambda k, v: F.struct(k.alias("key"), v.alias("value")))
+        return F.when(t.isNotNull(), F.struct(every(1).alias("keys"), values.alias("values")))
 
     return let(s, build)
 
 
+def pairs(s: Column, pattern: str, groups: tuple[int, ...] = (2, 3)) -> Column:
+    """matches() as an array of struct<key, value>."""
+    return let(matches(s, pattern, groups), lambda m: F.zip_with(m["keys"], m["values"], lambda k, v: F.struct(k.alias("key"), v.alias("value"))))
+
+
+def each_stripped(values: Column) -> Column:
+    """strip() of each text. One search tells whether any of them begins or ends with more than a visible ASCII character."""
+    rough = "(?dm)^[^!-~]|[^!-~]$"
+    return let(values, lambda vs: F.when(F.array_join(vs, "\n").rlike(rough), F.transform(vs, strip)).otherwise(vs))
+
+
 def fields_of(s: Column, pattern: str, n: int) -> Column:
     """Array of the n groups of a pattern that fits the whole of a stripped line, else null. The groups must not take
     in a line end: it parts them, so that the pattern runs once."""

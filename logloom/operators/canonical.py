@@ -61,6 +61,11 @@ class EngineConfig:
     free_form_dates: bool = False
 
 
+#: A line that may be a number that is zero, false, or an empty list. A number that is zero has a 0 first, or behind
+#: a sign or dot, or is too small to tell.
+NOTHING = r"(?dm)^[^!-~]*[+-]?\.?0|[eE]-|^false$|^\[\]$"
+
+
 def given(fields: Column, kinds: Column) -> Column:
     """The fields that count as given: no null, no empty text, no false, no zero that was a number, no empty list."""
 
@@ -69,8 +74,9 @@ def given(fields: Column, kinds: Column) -> Column:
         empty = zero | ((kinds[k] == "bool") & (v == "false")) | ((kinds[k] == "list") & (v == "[]"))
         return v.isNotNull() & (v != "") & (kinds[k].isNull() | ~empty)
 
-    # texts alone, none of them empty or null: nothing to look at one by one
-    full = (F.size(kinds) == 0) & F.coalesce(~F.array_contains(F.map_values(fields), ""), F.lit(False))
+    # none of them empty or null, and texts alone or nothing that may be spelt zero, false or []: nothing to look at one by one
+    bare = (F.size(kinds) == 0) | ~F.array_join(F.map_values(fields), "\n").rlike(NOTHING)
+    full = F.coalesce(~F.array_contains(F.map_values(fields), ""), F.lit(False)) & bare
     return F.when(full, fields).otherwise(F.map_filter(fields, counts))
 
 
@@ -87,10 +93,17 @@ def beside(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select("*", *[v.alias(k) for k, v in columns.items()])
 
 
+def small(value: Column) -> Column:
+    """value, beside a lambda that does nothing: Spark compiles an operator without one as a single method, which the JVM walks
+    through byte by byte if it is longer than 8,000 bytes; an operator with one becomes many small methods. What value uses more
+    than once must be a column, as no common parts are found inside."""
+    return F.when(F.exists(F.array(F.lit(True)), lambda x: x), value)
+
+
 def apart(df: DataFrame, **columns: Column) -> DataFrame:
     """As beside(), for columns that no filter is pushed below, because they ask for the partition. Those that nobody needs
     are left out, which they would not be if they went through bind()."""
-    return beside(df, **{k: F.when(F.spark_partition_id() >= 0, v) for k, v in columns.items()})
+    return beside(df, **{k: F.when(F.spark_partition_id() >= 0, small(v)) for k, v in columns.items()})
 
 
 def bind(df: DataFrame, **columns: Column) -> DataFrame:
@@ -149,7 +162,7 @@ def canonical(df: DataFrame, kept: dict[str, str], config: EngineConfig) -> Data
 def _parsed(application: str, parsers: tuple[Parser, ...], whole: bool) -> Column:
     """The column of a registry's parsers over raw_log, with the fallback if whole; built once an application."""
     registry = Registry(parsers)
-    return (registry.dispatch if whole else registry.detect)(F.col("raw_log"))
+    return (registry.dispatch if whole else registry.detect)(F.col("raw_log"), stripped=True)
 
 
 def parsed_lines(df: DataFrame, registry: Registry, whole: bool = False) -> DataFrame:
@@ -175,16 +188,16 @@ def _stages(application: str, config: EngineConfig) -> tuple[list[tuple[Callable
     put(beside, detected=F.when(x("src_ip").isNull() & x("dst_ip").isNull() & fields["detected_ips"].isNotNull(), F.from_json(fields["detected_ips"], "array<string>")))
     detected = F.col("detected")
     rescued = detected.isNotNull()
-    put(beside, src_raw=F.when(rescued, F.get(detected, F.lit(0))).otherwise(x("src_ip")), dst_raw=F.when(rescued & (F.size(detected) >= 2), F.get(detected, F.lit(1))).otherwise(x("dst_ip")))
-    src_raw, dst_raw = F.col("src_raw"), F.col("dst_raw")
     time_text = F.coalesce(F.when(F.col("p.ts_raw") != "", F.col("p.ts_raw")), *[g[k] for k in ("timestamp", "time", "date")])
+    put(beside, time_text=time_text, src_raw=F.when(rescued, F.get(detected, F.lit(0))).otherwise(x("src_ip")), dst_raw=F.when(rescued & (F.size(detected) >= 2), F.get(detected, F.lit(1))).otherwise(x("dst_ip")))
+    put(beside, src_bare=strip(F.col("src_raw")), dst_bare=strip(F.col("dst_raw")), words=F.lower(F.concat_ws(" ", F.map_keys(fields), F.map_values(fields))))
     untaken = lambda names: F.array_except(F.map_keys(fields), F.flatten(F.array(*[_taken(n, g) for n in names])))
     # a word that no key or value holds need not be looked for one by one
-    held = contains_any(F.lower(F.concat_ws(" ", F.map_keys(fields), F.map_values(fields))), AUTH_WORDS)
+    held = contains_any(F.col("words"), AUTH_WORDS)
     said = lambda keys: F.exists(keys, lambda k: contains_any(F.lower(F.concat_ws(" ", k, fields[k])), AUTH_WORDS))
     put(
-        beside, time_text=time_text, time=N.time_text(time_text), src_text=N.ip_text(src_raw), dst_text=N.ip_text(dst_raw),
-        ambiguous=F.coalesce(rescued & (F.size(detected) >= 2), F.lit(False)), left_early=F.when(held, untaken(EARLY)), low=F.lower(F.col("raw_log")),
+        beside, time=small(N.time_text(F.col("time_text"))), src_text=small(N.without_port(F.col("src_bare"))), dst_text=small(N.without_port(F.col("dst_bare"))),
+        ambiguous=F.coalesce(rescued & (F.size(detected) >= 2), F.lit(False)), left_early=small(F.when(held, untaken(EARLY))), low=F.lower(F.col("raw_log")),
     )
     put(
         beside, m_time=N.time_found(F.col("time"), config.today, config.free_form_dates), m_said=F.when(F.size("left_early") > 0, said(F.col("left_early"))),

@@ -9,7 +9,7 @@ values of those count as missing further on.
 from __future__ import annotations
 
 import importlib.util
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from functools import partial, reduce
 from operator import or_
@@ -18,7 +18,7 @@ from pathlib import Path
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from logloom.functions.text import contains_any, fields_of, group, last_wins, let, pairs, strip
+from logloom.functions.text import contains_any, each_stripped, fields_of, group, last_of_each, last_wins, let, mapped, matches, strip
 
 PARSED = "struct<format: string, parser: string, fields: map<string,string>, types: map<string,string>, ts_raw: string, exact: boolean, warnings: array<string>, errors: array<string>>"
 #: Nested objects are flattened by variants to this depth; lines that go deeper, or name a key twice, are read token by token.
@@ -69,6 +69,19 @@ def entries(**values: Column) -> Column:
     return F.array(*[F.struct(F.lit(k).alias("key"), v.cast("string").alias("value")) for k, v in values.items()])
 
 
+def names(keys: Iterable[str]) -> Column:
+    return F.array(*[F.lit(k) for k in keys])
+
+
+def texts(values: Iterable[Column]) -> Column:
+    return F.array(*[v.cast("string") for v in values])
+
+
+def map_of(**values: Column) -> Column:
+    """Map of texts, as map_from_entries(entries()) makes it."""
+    return F.map_from_arrays(names(values), texts(values.values()))
+
+
 def types_of(**kinds: str) -> Column:
     return F.create_map(*[F.lit(x) for kv in kinds.items() for x in kv])
 
@@ -133,7 +146,11 @@ def _json_fold(s: Column) -> Column:
 def json_lines(raw: Column) -> Column:
     """Root objects, flattened with dots whatever their depth; empty nested objects vanish, lists stay as JSON text, of equal
     keys the last stays. The line must be one object and nothing else; NaN and Infinity count as numbers."""
-    stripped = strip(raw)
+    return read_json(strip(raw))
+
+
+def read_json(stripped: Column) -> Column:
+    """json_lines() of a stripped line, as the other read_ functions are of theirs."""
     fixed = F.when(stripped.contains("NaN") | stripped.contains("Infinity"), F.regexp_replace(stripped, JSON_ODD, f'$1"\\\\u0001$2"')).otherwise(stripped)
     return F.when(stripped.startswith("{") & stripped.endswith("}"), let(fixed, _json))
 
@@ -161,9 +178,6 @@ def _one_json(s: Column, bare: Column) -> Column:
         return valued(nested)
 
     def build(flat: Column) -> Column:
-        fields = last_wins(F.transform(flat, lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value"))))
-        kinds = F.map_filter(last_wins(F.transform(flat, lambda e: F.struct(e["key"].alias("key"), e["kind"].alias("value")))), lambda _, kind: kind != "str")
-
         def first_time(timed: Column) -> Column:
             hits = []
             for key in map(F.lit, JSON_TIME_KEYS):
@@ -172,7 +186,8 @@ def _one_json(s: Column, bare: Column) -> Column:
             return F.when(F.size(timed) > 0, F.coalesce(*hits))
 
         timed = F.filter(flat, lambda e: let(F.lower(e["key"]), lambda k: reduce(or_, [k.endswith(end) for end in JSON_TIME_ENDS])))
-        return parsed("JSON", "json_fast_parser", fields, kinds, let(timed, first_time))
+        kinds = lambda once: let(F.filter(once, lambda e: e["kind"] != "str"), lambda odd: F.map_from_arrays(odd["key"], odd["kind"]))
+        return let(last_of_each(flat), lambda once: parsed("JSON", "json_fast_parser", F.map_from_arrays(once["key"], once["value"]), kinds(once), let(timed, first_time)))
 
     def read(whole: Column) -> Column:
         deep = lambda flat: F.exists(flat, lambda e: e["kind"] == "object")
@@ -188,7 +203,10 @@ def _cut(s: Column, mark: str) -> Column:
 
 
 def cef_lines(raw: Column) -> Column:
-    s = strip(raw)
+    return read_cef(strip(raw))
+
+
+def read_cef(s: Column) -> Column:
     looks = s.startswith("CEF:") | s.contains(" CEF:")
     return F.when(looks, let(F.split(_cut(s, "CEF:"), r"(?<!\\)\|"), _cef))
 
@@ -197,14 +215,17 @@ def _cef(parts: Column) -> Column:
     head = lambda i: F.replace(F.get(parts, F.lit(i)), F.lit("\\|"), F.lit("|"))
     clean = lambda v: F.replace(F.replace(F.replace(F.replace(v, F.lit("\\="), F.lit("=")), F.lit("\\|"), F.lit("|")), F.lit("\\\\"), F.lit("\\")), F.lit("\\n"), F.lit("\n"))
     extension = F.array_join(F.slice(parts, 8, F.greatest(F.size(parts), F.lit(8))), "|")
-    own = F.transform(pairs(extension, CEF_PAIR), lambda e: F.struct(e["key"].alias("key"), clean(e["value"]).alias("value")))
-    header = entries(cef_version=F.replace(F.get(parts, F.lit(0)), F.lit("CEF:"), F.lit("")), device_vendor=head(1), device_product=head(2), device_version=head(3), signature_id=head(4), event_name=head(5), severity=head(6))
-    fields = last_wins(F.concat(header, own))
+    header = dict(cef_version=F.replace(F.get(parts, F.lit(0)), F.lit("CEF:"), F.lit("")), device_vendor=head(1), device_product=head(2), device_version=head(3), signature_id=head(4), event_name=head(5), severity=head(6))
+    cleaned = lambda values: F.when(F.array_join(values, "").contains("\\"), F.transform(values, clean)).otherwise(values)
+    fields = let(matches(extension, CEF_PAIR), lambda m: mapped(F.concat(names(header), m["keys"]), F.concat(texts(header.values()), cleaned(m["values"]))))
     return F.when(F.size(parts) >= 8, let(fields, lambda f: parsed("CEF", "cef_parser", f, ts_raw=truthy_first(f, "rt", "end", "start"))))
 
 
 def leef_lines(raw: Column) -> Column:
-    s = strip(raw)
+    return read_leef(strip(raw))
+
+
+def read_leef(s: Column) -> Column:
     looks = s.startswith("LEEF:") | s.contains(" LEEF:")
     return F.when(looks, let(F.split(_cut(s, "LEEF:"), r"(?<!\\)\|"), _leef))
 
@@ -215,18 +236,21 @@ def _leef(parts: Column) -> Column:
     own_mark = version.startswith("2.") & (F.size(parts) >= 7)
     mark = F.when(own_mark & (part(5) != ""), part(5)).otherwise("\t")
     extension = F.array_join(F.slice(parts, F.when(own_mark, 7).otherwise(6), F.size(parts)), "|")
-    tokens = F.filter(F.transform(F.split(extension, F.concat(F.lit("\\Q"), mark, F.lit("\\E"))), strip), lambda t: t.contains("="))
-    own = F.transform(tokens, lambda t: F.struct(strip(F.split_part(t, F.lit("="), F.lit(1))).alias("key"), strip(F.substring(t, F.instr(t, "=") + 1, F.length(t))).alias("value")))
-    header = entries(leef_version=version, device_vendor=part(1), device_product=part(2), device_version=part(3), event_id=part(4))
-    fields = last_wins(F.concat(header, own))
+    tokens = F.filter(each_stripped(F.split(extension, F.concat(F.lit("\\Q"), mark, F.lit("\\E")))), lambda t: t.contains("="))
+    keys = lambda ts: each_stripped(F.transform(ts, lambda t: F.substring_index(t, "=", 1)))
+    values = lambda ts: each_stripped(F.transform(ts, lambda t: F.substring(t, F.instr(t, "=") + 1, F.length(t))))
+    header = dict(leef_version=version, device_vendor=part(1), device_product=part(2), device_version=part(3), event_id=part(4))
+    fields = let(tokens, lambda ts: mapped(F.concat(names(header), keys(ts)), F.concat(texts(header.values()), values(ts))))
     return F.when(F.size(parts) >= 6, let(fields, lambda f: parsed("LEEF", "leef_parser", f, ts_raw=truthy_first(f, "devTime", "calmTime"))))
 
 
 def syslog_lines(raw: Column) -> Column:
     """RFC 5424, RFC 3164 with a priority, and Cisco lines, tried in that order; bodies of several lines fit none."""
-    s = strip(raw)
+    return read_syslog(strip(raw))
+
+
+def read_syslog(s: Column) -> Column:
     looks = (s.startswith("<") & F.substring(s, 1, 5).contains(">")) | (s.startswith("%") & s.contains(":")) | s.rlike(r"^[A-Za-z]{3}\s+\d{1,2}\s+\d{2}:\d{2}:\d{2}\s+\S+\s+.*:")
-    s = F.when(looks, s)
     ints = types_of(syslog_pri="int", syslog_facility="int", syslog_severity="int")
 
     def ranks(pri: Column) -> dict[str, Column]:
@@ -234,17 +258,17 @@ def syslog_lines(raw: Column) -> Column:
         return {"syslog_pri": n, "syslog_facility": F.floor(n / 8), "syslog_severity": n % 8}
 
     def new(g: Callable[[int], Column]) -> Column:
-        fields = entries(**ranks(g(1)), syslog_version=g(2), hostname=g(4), app_name=g(5), procid=g(6), msgid=g(7), message=g(8))
-        return parsed("SYSLOG_RFC5424", "syslog_parser", F.map_from_entries(fields), ints, g(3))
+        fields = map_of(**ranks(g(1)), syslog_version=g(2), hostname=g(4), app_name=g(5), procid=g(6), msgid=g(7), message=g(8))
+        return parsed("SYSLOG_RFC5424", "syslog_parser", fields, ints, g(3))
 
     def old(g: Callable[[int], Column]) -> Column:
-        fields = entries(**ranks(g(1)), hostname=g(3), app_name=g(4), pid=F.when(g(5) != "", g(5)), message=g(6))
-        return parsed("SYSLOG_RFC3164", "syslog_parser", F.map_from_entries(fields), ints, g(2))
+        fields = map_of(**ranks(g(1)), hostname=g(3), app_name=g(4), pid=F.when(g(5) != "", g(5)), message=g(6))
+        return parsed("SYSLOG_RFC3164", "syslog_parser", fields, ints, g(2))
 
     def cisco(g: Callable[[int], Column]) -> Column:
-        flow = F.filter(entries(**{k: F.regexp_extract(g(5), CISCO_FLOW, i + 1) for i, k in enumerate(CISCO_NAMES)}), lambda e: e["value"] != "")
-        head = F.concat(F.when(g(1) != "", entries(**ranks(g(1)))).otherwise(entries(syslog_severity=g(3))), entries(facility=g(2), mnemonic=g(4), message=g(5)))
-        return parsed("SYSLOG_CISCO", "syslog_parser", F.map_from_entries(F.concat(head, flow)), ints)
+        flow = F.map_filter(F.map_from_arrays(names(CISCO_NAMES), fields_of(g(5), rf"(?s)^.*?{CISCO_FLOW}.*$", len(CISCO_NAMES))), lambda _, v: v != "")
+        head = F.map_concat(F.when(g(1) != "", map_of(**ranks(g(1)))).otherwise(map_of(syslog_severity=g(3))), map_of(facility=g(2), mnemonic=g(4), message=g(5)))
+        return parsed("SYSLOG_CISCO", "syslog_parser", F.map_concat(head, F.coalesce(flow, F.create_map().cast("map<string,string>"))), ints)
 
     def of(pattern: str, n: int, build: Callable[[Callable[[int], Column]], Column]) -> Column:
         return let(fields_of(s, pattern, n), lambda a: F.when(a.isNotNull(), build(lambda i: F.get(a, F.lit(i - 1)))))
@@ -253,18 +277,23 @@ def syslog_lines(raw: Column) -> Column:
 
 
 def audit_lines(raw: Column) -> Column:
-    s = strip(raw)
+    return read_audit(strip(raw))
+
+
+def read_audit(s: Column) -> Column:
     looks = s.startswith("type=") & s.contains("msg=audit(")
 
     def build(base: Column) -> Column:
         status = F.when(base["success"].isNotNull(), F.when(F.lower(base["success"]).isin("yes", "1"), "success").otherwise("failure"))
-        extra = F.filter(entries(process_name=base["comm"], executable_path=base["exe"], status=status), lambda e: e["value"].isNotNull())
+        extra = dict(process_name=base["comm"], executable_path=base["exe"], status=status)
+        more = F.array_compact(F.array(*[F.when(v.isNotNull(), F.lit(k)) for k, v in extra.items()]))
+        fields = mapped(F.concat(F.map_keys(base), more), F.concat(F.map_values(base), F.array_compact(F.array(*extra.values()))))
         kinds = F.when(base["pid"].rlike(r"^\d+$"), types_of(pid="int")).otherwise(F.create_map().cast("map<string,string>"))
-        return parsed("AUDITD", "auditd_parser", last_wins(F.concat(F.map_entries(base), extra)), kinds, base["event_time_epoch"])
+        return parsed("AUDITD", "auditd_parser", fields, kinds, base["event_time_epoch"])
 
     def of(a: Column) -> Column:
         g = lambda i: F.get(a, F.lit(i - 1))
-        base = last_wins(F.concat(entries(audit_type=g(1), audit_id=g(3), event_time_epoch=g(2)), pairs(g(4), AUDIT_PAIR)))
+        base = let(matches(g(4), AUDIT_PAIR), lambda m: mapped(F.concat(names(("audit_type", "audit_id", "event_time_epoch")), m["keys"]), F.concat(F.array(g(1), g(3), g(2)), m["values"])))
         return F.when(a.isNotNull(), let(base, build))
 
     return F.when(looks, let(fields_of(s, AUDIT_HEAD, 4), of))
@@ -272,21 +301,23 @@ def audit_lines(raw: Column) -> Column:
 
 def kv_lines(raw: Column) -> Column:
     """Three pairs or more."""
+    return read_kv(strip(raw))
+
 
-    def build(own: Column) -> Column:
-        fields = last_wins(F.transform(own, lambda e: F.struct(e["key"].alias("key"), strip(e["value"]).alias("value"))))
-        return F.when(F.size(own) >= 3, let(fields, lambda f: parsed("KEY_VALUE", "keyvalue_parser", f, ts_raw=F.coalesce(*[f[k] for k in KV_TIME_KEYS]))))
+def read_kv(s: Column) -> Column:
+    def build(m: Column) -> Column:
+        fields = mapped(m["keys"], each_stripped(m["values"]))
+        return F.when(F.size(m["keys"]) >= 3, let(fields, lambda f: parsed("KEY_VALUE", "keyvalue_parser", f, ts_raw=F.coalesce(*[f[k] for k in KV_TIME_KEYS]))))
 
-    s = strip(raw)
-    return F.when(s.contains("=") | s.contains(":"), let(pairs(s, KV_PAIR, (2, 3, 4)), build))
+    return F.when(s.contains("=") | s.contains(":"), let(matches(s, KV_PAIR, (2, 3, 4)), build))
 
 
 def fallback_lines(raw: Column) -> Column:
     """Tokens of any text: addresses, ports, MACs, hex codes, a user and an action word."""
-    return let(strip(raw), _fallback)
+    return let(strip(raw), read_text)
 
 
-def _fallback(s: Column) -> Column:
+def read_text(s: Column) -> Column:
     all_of = lambda p, g=0: F.regexp_extract_all(s, F.lit(p), F.lit(g))
     user = F.regexp_extract_all(s, F.lit(USER), F.lit(1))
     tokens = F.struct(F.lower(s).alias("low"), all_of(IPV4).alias("ips"), all_of(MAC).alias("macs"), all_of(HEX).alias("codes"), all_of(PORT, 1).alias("digits"), F.get(user, F.lit(0)).alias("user"))
@@ -300,12 +331,12 @@ def _tokens(s: Column, t: Column, ports: Column) -> Column:
     named = contains_any(low, ("from", "src", "client", "host"))
     listed = lambda a: F.when(F.size(a) > 0, F.to_json(a))
     act = F.when(contains_any(low, DENY_WORDS), "deny").when(contains_any(low, ALLOW_WORDS), "allow")
-    found = entries(
+    found = map_of(
         detected_ips=listed(ips), src_ip=F.when(two | (one & named), F.get(ips, F.lit(0))), ip=F.when(one & ~named, F.get(ips, F.lit(0))), dst_ip=F.when(two, F.get(ips, F.lit(1))),
         detected_ports=F.when(F.size(t["digits"]) > 0, F.to_json(ports)), dst_port=F.get(ports, F.lit(0)), detected_macs=listed(t["macs"]), hex_codes=listed(t["codes"]),
         user_name=t["user"], action=act,
     )
-    fields = F.map_from_entries(F.filter(found, lambda e: e["value"].isNotNull()))
+    fields = F.map_filter(found, lambda _, v: v.isNotNull())
     notes = F.concat(F.array(F.lit("Parsed using generic fallback token extraction")), F.when(two, F.array(F.lit("Inferred source and destination IPs positionally from unstructured text"))).otherwise(F.array().cast("array<string>")))
     kinds = types_of(detected_ips="list", detected_ports="list", detected_macs="list", hex_codes="list", dst_port="int")
     return parsed("GENERIC_FALLBACK", "generic_fallback", fields, kinds, group(s, STAMP, 0), False, notes, F.array(F.lit("WARN_GENERIC_FALLBACK_APPLIED")))
@@ -313,20 +344,22 @@ def _tokens(s: Column, t: Column, ports: Column) -> Column:
 
 @dataclass(frozen=True)
 class Parser:
-    """A format: its name, its priority (higher first) and its expression, null for other lines."""
+    """A format: its name, its priority (higher first) and its expression, null for other lines; read is the same for lines
+    that are stripped already, if there is a shorter one."""
 
     name: str
     priority: int
     parse: Callable[[Column], Column]
+    read: Callable[[Column], Column] | None = None
 
 
 BUILT_IN = (
-    Parser("json_fast_parser", 90, json_lines),
-    Parser("cef_parser", 85, cef_lines),
-    Parser("leef_parser", 84, leef_lines),
-    Parser("syslog_parser", 80, syslog_lines),
-    Parser("auditd_parser", 75, audit_lines),
-    Parser("keyvalue_parser", 70, kv_lines),
+    Parser("json_fast_parser", 90, json_lines, read_json),
+    Parser("cef_parser", 85, cef_lines, read_cef),
+    Parser("leef_parser", 84, leef_lines, read_leef),
+    Parser("syslog_parser", 80, syslog_lines, read_syslog),
+    Parser("auditd_parser", 75, audit_lines, read_audit),
+    Parser("keyvalue_parser", 70, kv_lines, read_kv),
 )
 
 
@@ -371,10 +404,10 @@ class Registry:
                     self.register(value)
         return failed
 
-    def detect(self, raw: Column) -> Column:
+    def detect(self, raw: Column, stripped: bool = False) -> Column:
         """The first parser that takes the line; null if none does."""
-        return F.coalesce(*[p.parse(raw) for p in self._parsers])
+        return F.coalesce(*[((stripped and p.read) or p.parse)(raw) for p in self._parsers])
 
-    def dispatch(self, raw: Column) -> Column:
+    def dispatch(self, raw: Column, stripped: bool = False) -> Column:
         """As detect(), the fallback taking what is left."""
-        return F.coalesce(self.detect(raw), fallback_lines(raw))
+        return F.coalesce(self.detect(raw, stripped), (read_text if stripped else fallback_lines)(raw))

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from logloom.functions import normalize as N
-from logloom.functions.text import pairs, strip
+from logloom.functions.text import each_stripped, mapped, pairs, strip
 from logloom.operators import analytics as A
 from logloom.operators import canonical as C
 from logloom.operators import learn as L
@@ -18,7 +18,7 @@ from logloom.operators import parsers as P
 from logloom.operators import review as R
 from logloom.operators import search as S
 from logloom.operators import splitters as X
-from logloom.plans import batch
+from logloom.plans import batch, queries
 from logloom.sources import sinks, tables
 from logloom.streaming import streams
 
@@ -606,3 +606,36 @@ def test_strip_of_any_blank(spark):
     got = df.select(strip(F.col("s")).alias("t"))
     assert "CASE WHEN" in got._jdf.queryExecution().optimizedPlan().toString()  # most texts are not looked through
     assert [r["t"] for r in got.collect()] == [t.strip() for t in texts]
+
+
+@pytest.mark.parametrize("name", ["accuracy_mixed", "metrics_summary", "route_review", "recent_events", "dead_letter"])
+def test_compiled_methods(spark, name):
+    """The JVM never compiles a method of more than 8,000 bytes."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan()
+        debug = spark._jvm.java.lang.Class.forName("org.apache.spark.sql.execution.debug.package$").getField("MODULE$").get(None)
+        parts = debug.codegenStringSeq(plan)
+        assert parts.length() and all(parts.apply(i)._3().maxMethodCodeSize() < 8000 for i in range(parts.length()))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_whole_arrays(spark):
+    """Arrays of keys and values that are taken as they are give what was made of them one by one."""
+    df = spark.createDataFrame([(["a", "b"], ["1", "2"]), (["a", "b", "a"], ["1", " 2\t", "3 "]), (["a", "b"], ["x\r", "y\ny"]), ([], []), (None, None)], "k array<string>, v array<string>")
+    got = [r.m for r in df.select(mapped(F.col("k"), each_stripped(F.col("v"))).alias("m")).collect()]
+    assert got == [{"a": "1", "b": "2"}, {"b": "2", "a": "3"}, {"a": "x", "b": "y\ny"}, {}, None]
+    texts = ["0", "-0.0", ".0", "0E+3", "1e-400", "00", "5", "-7", "10.0.0.1", "x"]
+    kinds = spark.createDataFrame([({"n": t, "s": "0", "e": "7"}, {"n": "float"}) for t in texts] + [({"n": "false"}, {"n": "bool"}), ({"n": "[]"}, {"n": "list"}), ({"n": "[0]"}, {"n": "list"})], "f map<string,string>, k map<string,string>")
+    held = [("n" in r.g) for r in kinds.select(C.given(F.col("f"), F.col("k")).alias("g")).collect()]
+    assert held == [False] * 6 + [True] * 4 + [False, False, True]
+
+
+def test_cisco_flow_and_backslashes(spark):
+    df = spark.createDataFrame([("%ASA-4-106023: xx permit TCP src a:1.2.3.4 dst b:2.3.4.5 deny udp src 9.9.9.9/1 dst d:8.8.8.8/2",), ("%ASA-0-1: no flow",)], "raw string")
+    first, second = [r.p.fields for r in df.select(P.syslog_lines(F.col("raw")).alias("p")).collect()]
+    assert {k: first[k] for k in ("action", "proto", "src_if", "src", "dst_if", "dst")} == {"action": "permit", "proto": "TCP", "src_if": "a", "src": "1.2.3.4", "dst_if": "b", "dst": "2.3.4.5"}
+    assert "spt" not in first and "action" not in second and second["message"] == "no flow"
+    cef = spark.createDataFrame([(r"CEF:0|A|B|1|2|n|5|msg=a\=b k=x k=\\y",)], "raw string").select(P.cef_lines(F.col("raw")).alias("p")).first().p.fields
+    assert (cef["msg"], cef["k"]) == ("a=b", "\\y")
